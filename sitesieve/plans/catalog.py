@@ -107,3 +107,7 @@ def q_outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_dofollow_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 on ``fx_html``."""
     return C.dofollow_pct(Fixtures(spark, sf_dir).html())
+
+
+# Query groups register themselves on import (kept after the helpers above).
+from . import cat_urls  # noqa: E402,F401
