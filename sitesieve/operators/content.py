@@ -133,10 +133,10 @@ def link_alive(
     keyed = urls.withColumn("_tgt", F.lit(target) if target is not None else F.col(target_col))
     keys = keyed.select(F.col(url_col).alias("_k"), "_tgt").distinct()
     hits = keys.join(links, (F.col("_k") == F.col("_lurl")) & F.col("_href").contains(F.col("_tgt")), "left_semi")
-    hits = hits.withColumn("_hit", F.lit(True))
+    hits = hits.select(F.col("_k").alias("_hk"), F.col("_tgt").alias("_ht"), F.lit(True).alias("_hit"))
     out_df = (
         keyed.join(page, F.col(url_col) == F.col("_purl"), "left")
-        .join(hits, (F.col(url_col) == F.col("_k")) & (F.col("_tgt").eqNullSafe(hits["_tgt"])), "left")
+        .join(hits, (F.col(url_col) == F.col("_hk")) & F.col("_tgt").eqNullSafe(F.col("_ht")), "left")
     )
     value = (
         F.when(F.col("_purl").isNull(), F.lit(None).cast("string"))
@@ -144,7 +144,7 @@ def link_alive(
         .when(F.col("_hit"), F.lit("yes"))
         .otherwise(F.lit("no"))
     )
-    keep = [keyed[c] for c in urls.columns if c != out]
+    keep = [F.col(c) for c in urls.columns if c != out]
     return out_df.select(*keep, value.alias(out))
 
 

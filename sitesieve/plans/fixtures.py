@@ -101,6 +101,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def anchor_for(x):
+    return F.concat(
+        F.lit('<a href="'), x["href"], F.lit('"'),
+        F.when(x["rel"].isNull(), F.lit("")).otherwise(F.concat(F.lit(' rel="'), x["rel"], F.lit('"'))),
+        F.lit(">t</a>"),
+    )
+
+
 class Fixtures:
     """Builds the fixture views over one scale-factor folder.
 
@@ -199,13 +207,28 @@ class Fixtures:
             )
         return pages.join(per_page, "page_id").select("page_id", "url", html.alias("html"))
 
-
-def anchor_for(x):
-    return F.concat(
-        F.lit('<a href="'), x["href"], F.lit('"'),
-        F.when(x["rel"].isNull(), F.lit("")).otherwise(F.concat(F.lit(' rel="'), x["rel"], F.lit('"'))),
-        F.lit(">t</a>"),
-    )
+    def dns(self) -> DataFrame:
+        """Two addresses per distinct host of ``fx_urls`` (``ord`` 0 and 1);
+        hosts whose site number is a multiple of 7 have none."""
+        hosts = self.urls().select(F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]*)", 1)).alias("host")).distinct()
+        n = F.regexp_extract("host", r"site([0-9]+)", 1).cast("long")
+        hosts = hosts.where(n % 7 != 0)
+        ip = lambda a: F.concat_ws(".", F.lit("10"), F.lit(a), (n / 256).cast("long").cast("string"), (n % 256).cast("string"))
+        return hosts.select("host", ip("0").alias("ip"), F.lit(0).alias("ord")).unionByName(
+            hosts.select("host", ip("1").alias("ip"), F.lit(1).alias("ord")))
+
+    def supplier_domains(self, fmt: str) -> DataFrame:
+        """One row per supplier and public suffix: ``domain`` = fmt with {k} and {s}."""
+        sup = self.base("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+        sfx = [x for x in FX_SUFFIXES if x not in ("uk", "au")]
+        sup = sup.withColumn("suffix", F.explode(F.array(*[F.lit(x) for x in sfx])))
+        dom = F.replace(F.replace(F.lit(fmt), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{s}"), F.col("suffix"))
+        return sup.select(dom.alias("domain"), "s_suppkey", "s_nationkey", "s_acctbal", "suffix")
+
+    def avail(self) -> DataFrame:
+        """Availability replies per registered domain: ``true``/``false``."""
+        d = self.supplier_domains("site{k}.{s}")
+        return d.select("domain", F.when(F.col("s_suppkey") % 2 == 0, F.lit("true")).otherwise(F.lit("false")).alias("value"))
 
 
 Inputs = Fixtures
