@@ -112,3 +112,4 @@ def q_dofollow_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Query groups register themselves on import (kept after the helpers above).
 from . import cat_urls  # noqa: E402,F401
 from . import cat_enrich  # noqa: E402,F401
+from . import cat_content  # noqa: E402,F401

@@ -230,5 +230,37 @@ class Fixtures:
         d = self.supplier_domains("site{k}.{s}")
         return d.select("domain", F.when(F.col("s_suppkey") % 2 == 0, F.lit("true")).otherwise(F.lit("false")).alias("value"))
 
+    def paged_html(self) -> DataFrame:
+        """``pages`` with a next-page anchor to page ``page_id + 1`` on every page
+        whose ``page_id % 4 != 3`` (chains of four pages)."""
+        p = self.pages()
+        nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_href"))
+        j = p.join(nxt, "page_id", "left")
+        anchor = F.when((F.col("page_id") % 4 != 3) & F.col("next_href").isNotNull(),
+                        F.concat(F.lit('<a class="next" href="'), F.col("next_href"), F.lit('">next</a>'))).otherwise(F.lit(""))
+        return j.select("page_id", "url", F.concat(F.col("html"), anchor).alias("html"))
+
+    def platform_rules(self) -> DataFrame:
+        from ..operators.platform import rules_from_json
+
+        return rules_from_json(self.spark, PLATFORM_RULES_JSON)
+
+
+# Our own small platform rule file (shape of FIXTURES.md §5; fixed test values).
+PLATFORM_RULES_JSON = r"""
+{"apps": {
+  "WordPress": {"cats": [1, 11], "meta": {"generator": "WordPress( [\\d.]+)?\\;version:\\1"},
+                "html": ["<link rel=[\"']stylesheet[\"'] [^>]+wp-content"], "script": "/wp-includes/"},
+  "Drupal": {"cats": [1], "headers": {"X-Generator": "Drupal"}, "meta": {"generator": "Drupal"}},
+  "PhpBB": {"cats": [2], "headers": {"Set-Cookie": "phpbb"}, "html": "powered by <a[^>]+phpbb"},
+  "ShopJS": {"cats": [6], "script": ["jquery-3\\.[0-9]", "shop\\.js"]},
+  "AdNet": {"cats": [7], "html": ["<!-- ad 1[0-9]* -->"]},
+  "BlogHost": {"cats": [11], "html": "<footer>&copy; blog\\."},
+  "LibOnly": {"cats": [12], "script": "jquery"}
+ },
+ "categories": {"1": {"name": "CMS"}, "2": {"name": "Message Boards"}, "6": {"name": "Ecommerce"},
+                "7": {"name": "Advertising"}, "11": {"name": "Blogs"}, "12": {"name": "JavaScript Libraries"}}}
+"""
+
 
 Inputs = Fixtures
