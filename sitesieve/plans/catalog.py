@@ -113,3 +113,4 @@ def q_dofollow_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 from . import cat_urls  # noqa: E402,F401
 from . import cat_enrich  # noqa: E402,F401
 from . import cat_content  # noqa: E402,F401
+from . import cat_sources  # noqa: E402,F401

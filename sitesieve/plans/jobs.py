@@ -68,3 +68,53 @@ def clean_and_enrich(
     if "ip" in steps and dns is not None:
         df = enrich_ip(df, dns, col)
     return df
+
+
+def ingest_backlinks(api_raw: DataFrame, provider: str, fetch_log: DataFrame | None = None, pages: DataFrame | None = None,
+                     steps: tuple[str, ...] = ("status", "dofollow")) -> DataFrame:
+    """L3: provider link lists (S11/S13/S14) → the provider's backlinks schema
+    → appended in reply order (U3) → L1 with status and dofollow only."""
+    from ..sources import files as SF
+    from ..sources import providers as PR
+
+    parsers = {"majestic": PR.parse_majestic_links, "ahrefs": PR.parse_ahrefs_links, "moz": PR.parse_moz_links}
+    if provider not in parsers:
+        raise ValueError(f"unknown provider {provider!r}")
+    rows = parsers[provider](api_raw)
+    if "error" in rows.columns:
+        rows = rows.where(F.col("error").isNull()).drop("error")
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
+    table = SF.align_to_schema(rows, f"backlinks/{provider}")
+    return clean_and_enrich(table, fetch_log=fetch_log, pages=pages, steps=steps)
+
+
+def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: DataFrame | None, pages: DataFrame, rule,
+                    http_rules=None, content_rules=None, headers: list[str] | None = None) -> DataFrame:
+    """L2: frontier (G2 with G4, G5) → fetched pages → guards (F12, F13) → rule items
+    (C3, P21/P16) → prefix/suffix with placeholders (P11) → optional split into
+    header columns (P12/P13) → one row per distinct item (A1, last page wins).
+
+    Items are extracted once per fetched page (pages that some frontier URL
+    asks for, by a semi-join), then joined to the frontier rows by URL, so a
+    page asked for by many frontier rows is parsed once.
+    """
+    from ..operators.elements import Rule, decorate_items, extract_items, split_custom_columns
+    from ..operators.filters import apply_content_guard, apply_http_guard
+    from ..operators.frontier import first_of_macro, frontier_customs
+    from ..operators.urls import coerce_metric_types
+
+    texts = [rule.prefix, rule.suffix] + [t.value for t in rule.tests]
+    frontier = frontier_customs(spark, template, custom1, custom2, rule_texts=texts)
+    frontier = frontier.withColumn("url", first_of_macro(F.col("url")))
+    fetched = pages.join(frontier.select("url").distinct(), "url", "left_semi")
+    if http_rules:
+        fetched = apply_http_guard(fetched, http_rules).where(F.col("disposition") == "process").drop("disposition")
+    if content_rules:
+        fetched = apply_content_guard(fetched, content_rules).where(F.col("content_disposition") == "process").drop("content_disposition")
+    plain = Rule("_items", rule.tag, rule.tests, rule.output, keep_html=rule.keep_html)
+    items = extract_items(fetched.select("page_id", "url", "html"), [plain])
+    rows = frontier.join(items, "url").select("page_id", "url", "custom1", "custom2", F.explode("_items").alias("item"))
+    rows = decorate_items(rows, "item", rule.prefix, rule.suffix, {"custom1": "custom1", "custom2": "custom2", "scrapurl": "url"})
+    if headers:
+        rows = coerce_metric_types(split_custom_columns(rows, "item", headers))
+    return dedup_urls(rows, "item", "page_id")
