@@ -14,12 +14,15 @@ SEP = '","'
 
 
 def _step(v: Column, step: str) -> Column:
+    """One path step: an index into an array, or a key of an object.
+
+    An index path on an object, or a key path on an array, gives NULL, so
+    the two lookups coalesced pick the right one without testing the type."""
     key = step.replace("\\", "\\\\").replace("'", "\\'")
     by_key = F.try_variant_get(v, f"$['{key}']", "variant")
     if step.isdigit():
-        by_index = F.try_variant_get(v, f"$[{int(step)}]", "variant")
-        return F.when(F.schema_of_variant(v).startswith("ARRAY"), by_index).otherwise(by_key)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), by_key)
+        return F.coalesce(F.try_variant_get(v, f"$[{int(step)}]", "variant"), by_key)
+    return by_key
 
 
 def variant_text(v: Column) -> Column:
@@ -38,10 +41,21 @@ def variant_text(v: Column) -> Column:
     )
 
 
+def with_json_pick(df: DataFrame, body_col: str, spec: str, out: str = "picked") -> DataFrame:
+    """C7 as a DataFrame step: the body is parsed once (its own projection,
+    which Catalyst keeps separate because the parse is not cheap), then every
+    path reads the parsed value."""
+    parsed = df.withColumn("_jv", F.try_parse_json(F.col(body_col)))
+    return parsed.withColumn(out, _pick(F.col("_jv"), spec)).drop("_jv")
+
+
 def json_pick(body: Column, spec: str) -> Column:
     """Values at the space-separated paths of ``spec`` joined by ``","``;
     a path that does not resolve (or a body that is not JSON) gives ``""``."""
-    root = F.try_parse_json(body)
+    return _pick(F.try_parse_json(body), spec)
+
+
+def _pick(root: Column, spec: str) -> Column:
     parts = []
     for path in spec.split(" "):
         v = root

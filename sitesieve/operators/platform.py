@@ -89,7 +89,11 @@ def _hit(kind: str, key: str, pattern: str, html: Column, headers: Column | None
         return F.coalesce(html.rlike(ci + "<script.+\\s+src=[\"']([^\"]*" + pattern + "[^\"]*)[\"']"), F.lit(False))
     if kind == "meta":
         tag = F.regexp_extract(html, ci + "<meta.+name=[\"']" + re.escape(key) + "[\"'][^>]+>", 0)
-        return F.coalesce(tag.rlike(ci + ".+\\s+content=[\"']([^\"]*" + pattern + "[^\"]*)[\"']"), F.lit(False))
+        # ".+\s+content=..." searched anywhere is the same test as
+        # "[^\n]\s+content=...": one non-newline character is a valid ".+".
+        # The second form searches in linear time; the first restarts its
+        # greedy ".+" at every position when the test fails (quadratic).
+        return F.coalesce(tag.rlike(ci + "[^\\n]\\s+content=[\"']([^\"]*" + pattern + "[^\"]*)[\"']"), F.lit(False))
     if kind == "headers":
         if headers is None:
             return F.lit(False)

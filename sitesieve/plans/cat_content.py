@@ -36,7 +36,7 @@ def q_extract_elements(spark, sf_dir):
 
 
 @register("extract_items", """
-SELECT page_id, 'h1' AS rule, 0 AS idx, replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS item FROM pages
+SELECT page_id, 'h1' AS rule, 0 AS idx, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&') AS item FROM pages
 UNION ALL
 SELECT page_id, 'nav', CAST(generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) - 1 AS INTEGER),
        unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) FROM pages
@@ -60,7 +60,7 @@ def q_next_page(spark, sf_dir):
 
 @register("follow_pagination", """
 SELECT s.page_id AS seed_id, CAST(p.page_id - s.page_id AS INTEGER) AS hop, p.url AS page_url,
-       replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS item
+       replace(replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&') AS item
 FROM pages s JOIN pages p ON p.page_id BETWEEN s.page_id AND s.page_id + 3 WHERE s.page_id % 4 = 0""")
 def q_follow_pagination(spark, sf_dir):
     """Chains of four pages linked by next-page anchors, h1 of each page."""
@@ -164,7 +164,7 @@ FROM orders""")
 def q_json_pick(spark, sf_dir):
     """Four paths (object, array index, top key) and one bad path over order JSON bodies."""
     b = _order_bodies(fx(spark, sf_dir))
-    return b.select("o_orderkey", J.json_pick(F.col("body"), "c,o_totalprice arr,1 o_orderkey c,o_custkey nope,x").alias("picked"))
+    return J.with_json_pick(b, "body", "c,o_totalprice arr,1 o_orderkey c,o_custkey nope,x").select("o_orderkey", "picked")
 
 
 @register("json_pick_events", "SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k FROM events")
@@ -266,3 +266,31 @@ def q_split_custom_columns(spark, sf_dir):
                     F.coalesce(F.col("http_status").cast("string"), F.lit("")), F.lit('"'))
     s = EL.split_custom_columns(u.select("row_id", item.alias("item")), "item", ["h_url", "h_tf", "h_status", "h_more"])
     return s.select("row_id", "h_url", "h_tf", "h_status", "h_more")
+
+
+@register("items_per_page", """
+SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS BIGINT) AS items FROM pages""")
+def q_items_per_page(spark, sf_dir):
+    """Items of the site-relative link rule per page."""
+    from ..operators.enrich import items_per_page
+
+    return items_per_page(EL.extract_items(fx(spark, sf_dir).pages(), [NAV]), "nav")
+
+
+@register("items_total", """SELECT CAST(sum(len(regexp_extract_all(html, '<a href="(/[^"]*)"', 1))) AS BIGINT) AS items FROM pages""")
+def q_items_total(spark, sf_dir):
+    """A11 total over all pages."""
+    from ..operators.enrich import items_total
+
+    return items_total(EL.extract_items(fx(spark, sf_dir).pages(), [NAV]), "nav")
+
+
+@register("expand_customs", """
+SELECT 'https://example.com/s?q=' || url_encode(p_name) || '&r=' || r_name AS url, p_name AS custom1, r_name AS custom2
+FROM part, region""")
+def q_expand_customs(spark, sf_dir):
+    """The product of two parameter lists, the smaller attached as an array."""
+    f = fx(spark, sf_dir)
+    one = lambda df, c: df.select(F.col(c).cast("string").alias("v"))
+    return G.expand_customs(F.lit("https://example.com/s?q={%custom1::encoded%}&r={%custom2%}"),
+                            one(f.base("part"), "p_name"), one(f.base("region"), "r_name"))

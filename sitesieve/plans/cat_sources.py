@@ -318,8 +318,8 @@ def q_list_rules(spark, sf_dir):
 SELECT item, url FROM (
   SELECT item, url, row_number() OVER (PARTITION BY item ORDER BY page_id DESC) AS rn FROM (
     SELECT p.page_id, p.url,
-           replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'),
-                   '&quot;', '"'), '&#39;', ''''), '&amp;', '&') || ' (' || p.url || ')' AS item
+           replace(replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'),
+                   '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&') || ' (' || p.url || ')' AS item
     FROM pages p JOIN fx_crawl c USING (page_id)
     WHERE (c.http_status IS NULL OR c.http_status <= 399) AND NOT contains(p.html, 'cheap-pills')) t) d
 WHERE rn = 1""", "fx_crawl"))
