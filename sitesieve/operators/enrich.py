@@ -113,11 +113,10 @@ def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", statu
     """HTTP status of each pending row (empty status, absolute URL) from the
     latest fetch of its URL."""
     _require(urls, col, status_col)
-    latest = latest_fetch(fetch_log, ["http_status"]).withColumnRenamed("http_status", status_col)
+    latest = latest_fetch(fetch_log, ["http_status"])  # already one row per URL
+    upd = latest.select(F.col("url").alias(f"_k_{col}"), F.col("http_status").alias(f"_u_{status_col}"), F.lit(True).alias("_u_hit"))
     pend = urls.withColumn("_abs", U.is_absolute(col))
-    latest = latest.withColumn("_abs", F.lit(True))
-    upd = _one_per_key(latest, [col, "_abs"], [status_col], None)
-    cond = (pend[col] == upd[f"_k_{col}"]) & (pend["_abs"] == upd["_k__abs"])
+    cond = (pend[col] == upd[f"_k_{col}"]) & pend["_abs"]
     return _set_columns(pend, upd, cond, [status_col], only_empty=True).drop("_abs")
 
 
@@ -199,9 +198,12 @@ def enrich_availability(
     answers = avail.groupBy(F.lower("domain").alias("_adom")).agg(F.max("value").alias("_aval"))
     domains = domains.join(answers, domains["_dom"] == answers["_adom"], "left")
     verdict = F.when((F.col("_tld") == "") | F.col("_stld").isNull(), F.lit(TLD_NOT_SUPPORTED)).otherwise(F.col("_aval"))
-    per_domain = domains.select(F.col("_dom").alias("domain"), verdict.alias(out))
-    base = keyed.drop("_dom")
-    return update_by_domain(base, per_domain, [out], st, True, col, "domain", only_empty=True)
+    per_domain = domains.select(F.col("_dom").alias("_k_domain"), verdict.alias(f"_u_{out}"), F.lit(True).alias("_u_hit"))
+    # join back on the key already computed for every row (no second suffix lookup)
+    if out not in keyed.columns:
+        keyed = keyed.withColumn(out, F.lit(None).cast("string"))
+    joined = _set_columns(keyed, per_domain, keyed["_dom"] == per_domain["_k_domain"], [out], only_empty=True)
+    return joined.drop("_dom")
 
 
 def enrich_backlinks(

@@ -102,22 +102,24 @@ def registered_domain(
     """
     _require(df, col)
     x = F.col(col)
-    host = U.url_host(x)
-    prefix = F.concat(U.url_scheme(x), F.lit("://")) if scheme else F.lit("")
+    # the URL regex runs once per row: host and scheme become columns first
+    cur = df.withColumn("_h", U.url_host(x)).withColumn("_s", U.url_scheme(x))
+    host = F.col("_h")
+    prefix = F.concat(F.col("_s"), F.lit("://")) if scheme else F.lit("")
     empty = (x.isNull()) | (host == "")
     if not domain_only:
-        return df.withColumn(out, F.when(empty, F.lit("")).otherwise(F.concat(prefix, host)))
-    cur = with_public_suffix(df, suffixes, host, "_sfx")
+        return cur.withColumn(out, F.when(empty, F.lit("")).otherwise(F.concat(prefix, host))).drop("_h", "_s")
+    cur = with_public_suffix(cur, suffixes, host, "_sfx")
     sfx = F.col("_sfx")
     tld = F.when(sfx == "", F.lit("")).otherwise(F.concat(F.lit("."), sfx))
     pre = F.expr("substring(_h, 1, length(_h) - length(_t))")
-    cur = cur.withColumn("_h", host).withColumn("_t", tld).withColumn("_pre", pre)
+    cur = cur.withColumn("_t", tld).withColumn("_pre", pre)
     value = (
         F.when(empty, F.lit(""))
         .when(F.col("_pre") == "www", sfx)
         .otherwise(F.concat(prefix, F.substring_index(F.col("_pre"), ".", -1), F.col("_t")))
     )
-    return cur.withColumn(out, value).drop("_sfx", "_h", "_t", "_pre")
+    return cur.withColumn(out, value).drop("_sfx", "_h", "_s", "_t", "_pre")
 
 
 def _distinct_first(df: DataFrame, value: Column, col: str, order_col: str) -> DataFrame:

@@ -35,6 +35,9 @@ def clean_and_enrich(
     """L1: dedup → status → remove bad → redirects (→ dedup → remove bad) →
     dofollow → backlinks → obl → ip.
 
+    dofollow and obl only fill empty cells from the same page bodies, so both
+    come from one pass over the pages and one join (order-independent).
+
     Steps are switched individually; a step whose input is missing is
     skipped.  ``remove_bad`` is independent of the others, as in the
     reference.  Enrichment fills empty cells only.
@@ -53,18 +56,23 @@ def clean_and_enrich(
         df = resolve_redirect_chain(df, fetch_log, col, dedup=True)
         if "remove_bad" in steps:
             df = remove_bad_urls(df)
-    if "dofollow" in steps and pages is not None:
-        pct = C.dofollow_pct(pages).select(F.col("url").alias(col), "dofollow_pct")
-        if "dofollow_pct" not in df.columns:
-            df = df.withColumn("dofollow_pct", F.lit(None).cast("double"))
-        df = update_by_url(df, pct, ["dofollow_pct"], col, only_empty=True)
+    page_cols = [c for c, step in (("dofollow_pct", "dofollow"), ("obl", "obl")) if step in steps]
+    if page_cols and pages is not None:
+        # one pass over the page bodies gives both numbers; one join fills both
+        stats = C.page_link_stats(pages)
+        ext = F.col("external").cast("double")
+        nof = F.col("external_nofollow").cast("double")
+        answers = stats.select(
+            F.col("url").alias(col),
+            F.round(F.when(F.col("empty_page"), F.lit(-2.0)).when(ext == 0, F.lit(0.0)).otherwise((ext - nof) * 100.0 / ext), 2).alias("dofollow_pct"),
+            F.when(F.col("empty_page"), F.lit(-1)).otherwise(F.col("external")).cast("int").alias("obl"),
+        ).select(col, *page_cols)
+        for c, dtype in (("dofollow_pct", "double"), ("obl", "int")):
+            if c in page_cols and c not in df.columns:
+                df = df.withColumn(c, F.lit(None).cast(dtype))
+        df = update_by_url(df, answers, page_cols, col, only_empty=True)
     if "backlinks" in steps and metrics is not None and metric_cols:
         df = enrich_backlinks(df, metrics, metric_cols, backlink_level, suffixes, col)
-    if "obl" in steps and pages is not None:
-        obl = C.outbound_links(pages).select(F.col("url").alias(col), "obl")
-        if "obl" not in df.columns:
-            df = df.withColumn("obl", F.lit(None).cast("int"))
-        df = update_by_url(df, obl, ["obl"], col, only_empty=True)
     if "ip" in steps and dns is not None:
         df = enrich_ip(df, dns, col)
     return df
