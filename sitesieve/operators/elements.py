@@ -98,29 +98,49 @@ def _parse(html: str | None) -> list[list]:
     return c.finish()
 
 
-def _elements_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _elements_fn(tags: frozenset | None, carry: list[str]):
     cols = ["page_id", "pos", "tag", "attrs", "text", "depth"]
-    for pdf in batches:
-        out = {c: [] for c in cols}
-        for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-            for pos, tag, attrs, text, depth in _parse(html):
-                out["page_id"].append(pid)
-                out["pos"].append(pos)
-                out["tag"].append(tag)
-                out["attrs"].append(attrs)
-                out["text"].append(text)
-                out["depth"].append(depth)
-        yield pd.DataFrame(out, columns=cols)
-
-
-def extract_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {c: [] for c in cols + carry}
+            extra = [pdf[c].tolist() for c in carry]
+            for i, (pid, html) in enumerate(zip(pdf["page_id"].tolist(), pdf["html"].tolist())):
+                for pos, tag, attrs, text, depth in _parse(html):
+                    if tags is not None and tag not in tags:
+                        continue
+                    out["page_id"].append(pid)
+                    out["pos"].append(pos)
+                    out["tag"].append(tag)
+                    out["attrs"].append(attrs)
+                    out["text"].append(text)
+                    out["depth"].append(depth)
+                    for c, vals in zip(carry, extra):
+                        out[c].append(vals[i])
+            yield pd.DataFrame(out, columns=cols + carry)
+
+    return run
+
+
+def extract_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                     tags: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per element: page_id, pos (start order), tag (lower case),
     attrs MAP, text (string value: all descendant text, entities decoded),
     depth.  Unclosed elements end where an ancestor ends or at the end of
-    the page; void elements have no content."""
+    the page; void elements have no content.
+
+    ``tags`` keeps only those elements (the whole page is still parsed, so
+    positions and texts are the same); it is how C3 avoids sending every
+    element of every page through Arrow.  ``carry`` names page columns
+    (strings) copied onto each element row.
+    """
     _require(pages, id_col, html_col)
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return src.mapInPandas(_elements_batches, ELEMENT_SCHEMA)
+    carry = list(carry or [])
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"),
+                       *[F.col(c).cast("string").alias(c) for c in carry])
+    schema = T.StructType(ELEMENT_SCHEMA.fields + [T.StructField(c, T.StringType()) for c in carry])
+    wanted = frozenset(t.lower() for t in tags) if tags is not None else None
+    return src.mapInPandas(_elements_fn(wanted, carry), schema)
 
 
 # --- rules --------------------------------------------------------------------
@@ -198,22 +218,33 @@ def substitute(c: Column, values: dict[str, Column] | None) -> Column:
 
 
 def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", html_col: str = "html",
-                  elements: DataFrame | None = None) -> DataFrame:
+                  elements: DataFrame | None = None, placeholders: dict[str, str] | None = None) -> DataFrame:
     """Evaluate rules per page → one ``ARRAY<STRING>`` column per rule
     (named after the rule; ``count`` rules give a one-item array).
 
+    ``placeholders`` maps a placeholder name (``scrapurl``, ``custom1``,
+    ``custom2``, ``footprint``) to a column of ``pages``; rule test values
+    have those placeholders filled per page row (plain and ``::encoded``).
+
     One aggregation answers all rules; items keep document order (sorted
     ``(pos, value)`` structs, not ``collect_list`` order).  Pages without a
     match get an empty array.
     """
     _require(pages, id_col, html_col)
-    el = elements if elements is not None else extract_elements(pages, id_col, html_col)
+    values = dict(placeholders or {})
+    if elements is not None:
+        el = elements
+    else:
+        tags = None if any(r.tag == "*" for r in rules) else sorted({r.tag.lower() for r in rules})
+        el = extract_elements(pages, id_col, html_col, tags=tags, carry=sorted(set(values.values())))
+    ph = {k: F.col(c) for k, c in values.items()}
     aggs = []
     for r in rules:
+        cond = r.condition(ph)
         if r.output == "count":
-            aggs.append(F.count_if(r.condition()).alias(r.name))
+            aggs.append(F.count_if(cond).alias(r.name))
         else:
-            aggs.append(F.array_sort(F.collect_list(F.when(r.condition(), F.struct(F.col("pos"), r.value().alias("v"))))).alias(r.name))
+            aggs.append(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("pos"), r.value().alias("v"))))).alias(r.name))
     per_page = el.groupBy("page_id").agg(*aggs)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), *[c for c in pages.columns if c not in (id_col, html_col)])
     out = base.join(per_page, "page_id", "left")

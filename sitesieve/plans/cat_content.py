@@ -294,3 +294,15 @@ def q_expand_customs(spark, sf_dir):
     one = lambda df, c: df.select(F.col(c).cast("string").alias("v"))
     return G.expand_customs(F.lit("https://example.com/s?q={%custom1::encoded%}&r={%custom2%}"),
                             one(f.base("part"), "p_name"), one(f.base("region"), "r_name"))
+
+
+@register("extract_items_placeholders", """
+SELECT page_id, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS idx, unnest(xs) AS item FROM (
+  SELECT page_id, list_filter(regexp_extract_all(html, '<a href="(/[^"]*)"', 1),
+                              x -> starts_with(x, CASE WHEN page_id % 2 = 0 THEN '/t' ELSE '/a' END)) AS xs FROM pages) t""")
+def q_extract_items_placeholders(spark, sf_dir):
+    """C3 with ``{%custom1%}`` in a rule test, filled from each page row's ``c1``."""
+    p = fx(spark, sf_dir).pages().withColumn("c1", F.when(F.col("page_id") % 2 == 0, F.lit("/t")).otherwise(F.lit("/a")))
+    rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "{%custom1%}"),), "@href")
+    it = EL.extract_items(p, [rule], placeholders={"custom1": "c1"})
+    return it.select("page_id", F.posexplode("nav").alias("idx", "item"))
