@@ -299,7 +299,7 @@ def q_expand_customs(spark, sf_dir):
 @register("extract_items_placeholders", """
 SELECT page_id, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS idx, unnest(xs) AS item FROM (
   SELECT page_id, list_filter(regexp_extract_all(html, '<a href="(/[^"]*)"', 1),
-                              x -> starts_with(x, CASE WHEN page_id % 2 = 0 THEN '/t' ELSE '/a' END)) AS xs FROM pages) t""")
+                              lambda x: starts_with(x, CASE WHEN page_id % 2 = 0 THEN '/t' ELSE '/a' END)) AS xs FROM pages) t""")
 def q_extract_items_placeholders(spark, sf_dir):
     """C3 with ``{%custom1%}`` in a rule test, filled from each page row's ``c1``."""
     p = fx(spark, sf_dir).pages().withColumn("c1", F.when(F.col("page_id") % 2 == 0, F.lit("/t")).otherwise(F.lit("/a")))

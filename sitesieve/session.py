@@ -39,16 +39,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value
     is used as is.  Only when nothing is configured (tests, local runs) is a
-    fresh temporary folder created.
+    fresh temporary folder created.  Works with a classic session (the
+    SparkContext's folder) and with Spark Connect (the configuration only).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
+            return sc.getCheckpointDir() or conf_dir
         return conf_dir
     path = tempfile.mkdtemp(prefix="sitesieve-ckpt-")
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    else:
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
