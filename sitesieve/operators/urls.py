@@ -34,25 +34,41 @@ def _require(df: DataFrame, *cols: str) -> None:
 class SuffixTable:
     """A public-suffix table (one ``suffix`` per row, no leading dot).
 
-    ``depth`` is the largest number of labels in a suffix and ``rows`` the
-    table size; both come from one small aggregate over the table.  The table
-    is broadcast only when ``rows`` is within ``MAX_BROADCAST_SUFFIXES``;
-    beyond it the lookups become ordinary equi-joins that AQE may split when a
-    suffix is hot.
+    Rows may be exact suffixes (``co.uk``), wildcards (``*.ck``: every label
+    under ``ck`` is a suffix) or exceptions (``!www.ck``: not a suffix despite
+    a wildcard), as in the public suffix list.  ``depth`` is the largest
+    number of labels in a rule and ``rows`` the table size; both, and whether
+    wildcards/exceptions occur, come from one small aggregate over the table.
+    The table is broadcast only when ``rows`` is within
+    ``MAX_BROADCAST_SUFFIXES``; beyond it the lookups become ordinary
+    equi-joins that AQE may split when a suffix is hot.
     """
 
     df: DataFrame
     depth: int
     rows: int
+    wildcards: bool = False
+    exceptions: bool = False
 
     @classmethod
     def of(cls, suffixes: DataFrame) -> "SuffixTable":
-        clean = suffixes.select(F.lower(F.regexp_replace(F.col("suffix"), r"^\.", "")).alias("suffix")).distinct()
-        stats = clean.agg(F.count("*").alias("n"), F.max(F.size(F.split("suffix", r"\."))).alias("d")).first()
-        return cls(clean, int(stats["d"] or 0), int(stats["n"] or 0))
-
-    def side(self, name: str) -> DataFrame:
-        d = self.df.select(F.col("suffix").alias(name))
+        clean = suffixes.select(F.lower(F.regexp_replace(F.trim(F.col("suffix")), r"^\.", "")).alias("suffix")).distinct()
+        stats = clean.agg(
+            F.count("*").alias("n"),
+            F.max(F.size(F.split(F.regexp_replace("suffix", "^!", ""), r"\."))).alias("d"),
+            F.max(F.col("suffix").startswith("*.")).alias("w"),
+            F.max(F.col("suffix").startswith("!")).alias("e"),
+        ).first()
+        return cls(clean, int(stats["d"] or 0), int(stats["n"] or 0), bool(stats["w"]), bool(stats["e"]))
+
+    def side(self, name: str, kind: str = "exact") -> DataFrame:
+        s = F.col("suffix")
+        if kind == "exact":
+            d = self.df.where(~s.startswith("*.") & ~s.startswith("!")).select(s.alias(name))
+        elif kind == "wild":
+            d = self.df.where(s.startswith("*.")).select(s.substr(3, 10_000).alias(name))
+        else:
+            d = self.df.where(s.startswith("!")).select(s.substr(2, 10_000).alias(name))
         return F.broadcast(d) if self.rows <= MAX_BROADCAST_SUFFIXES else d
 
 
@@ -60,27 +76,43 @@ def with_public_suffix(df: DataFrame, suffixes: SuffixTable | DataFrame, host_co
     """Add the longest public suffix of ``host_col`` (``""`` when none matches).
 
     Candidates are the last k labels of the host for k = 1..depth (the whole
-    host included, as in Qt).  Each depth is one left hash join against the
-    broadcast suffix table, so rows never leave their partition.
+    host included, as in Qt).  A candidate is a suffix when it is listed, or
+    when its parent (last k-1 labels) has a wildcard rule and the candidate
+    has no exception rule.  Each lookup is one left hash join against the
+    broadcast suffix table, so rows never leave their partition; wildcard
+    and exception lookups are only planned when the table has such rules.
     """
     st = suffixes if isinstance(suffixes, SuffixTable) else SuffixTable.of(suffixes)
     hcol = "_host_for_suffix"
     cur = df.withColumn(hcol, host_col)
     labels = F.split(F.col(hcol), r"\.")
     picked: list[Column] = []
+    temp = [hcol]
     for k in range(1, st.depth + 1):
-        cand = f"_cand{k}"
-        hit = f"_hit{k}"
+        cand, hit = f"_cand{k}", f"_hit{k}"
         cur = cur.withColumn(
             cand,
             F.when((F.col(hcol) != "") & (F.size(labels) >= k), F.array_join(F.slice(labels, -k, k), ".")),
         )
         cur = cur.join(st.side(hit), F.col(cand) == F.col(hit), "left")
-        picked.append(F.when(F.col(hit).isNotNull(), F.col(cand)))
+        is_suffix = F.col(hit).isNotNull()
+        temp += [cand, hit]
+        if st.wildcards and k >= 2:
+            parent, whit = f"_par{k}", f"_wild{k}"
+            cur = cur.withColumn(parent, F.when(F.col(cand).isNotNull(), F.array_join(F.slice(labels, -(k - 1), k - 1), ".")))
+            cur = cur.join(st.side(whit, "wild"), F.col(parent) == F.col(whit), "left")
+            wild = F.col(whit).isNotNull()
+            temp += [parent, whit]
+            if st.exceptions:
+                ehit = f"_exc{k}"
+                cur = cur.join(st.side(ehit, "exc"), F.col(cand) == F.col(ehit), "left")
+                wild = wild & F.col(ehit).isNull()
+                temp.append(ehit)
+            is_suffix = is_suffix | wild
+        picked.append(F.when(is_suffix, F.col(cand)))
     longest = F.coalesce(*reversed(picked), F.lit("")) if picked else F.lit("")
     cur = cur.withColumn(out, longest)
-    drop = [hcol] + [f"_cand{k}" for k in range(1, st.depth + 1)] + [f"_hit{k}" for k in range(1, st.depth + 1)]
-    return cur.drop(*drop)
+    return cur.drop(*temp)
 
 
 def registered_domain(

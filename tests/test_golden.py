@@ -178,3 +178,12 @@ def test_absent_column_raises(spark):
 def test_percent_encoding(spark):
     df = spark.createDataFrame([("a b*c~d/e",)], "v string")
     assert df.select(U.percent_encode("v").alias("e")).first().e == "a%20b%2Ac~d%2Fe"
+
+
+def test_public_suffix_wildcards_and_exceptions(spark):
+    rules = spark.createDataFrame([("com",), ("ck",), ("*.ck",), ("!www.ck",), ("uk",), ("co.uk",)], "suffix string")
+    df = urls_df(spark, ["http://a.b.ck/", "http://www.ck/x", "http://shop.www.ck/", "http://a.co.uk/", "http://x.y.com/"])
+    out = col(P.registered_domain(df, rules), "domain")
+    # b.ck is a suffix by the wildcard; www.ck is excepted, so its suffix is ck,
+    # and a host that is exactly www.<suffix> gives the bare suffix (P2 rule)
+    assert out == ["http://a.b.ck", "ck", "http://www.ck", "http://a.co.uk", "http://y.com"]
