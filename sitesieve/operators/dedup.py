@@ -28,17 +28,29 @@ def dedup_urls(df: DataFrame, col: str = "url", order_col: str = "row_id") -> Da
     return _unpack(picked, "_r", names)
 
 
-def dedup_domains(df: DataFrame, metric: str | None = None, col: str = "url", order_col: str = "row_id") -> DataFrame:
+# Metrics a provider's table offers for A2 (fixed values).
+DEDUP_METRICS = {
+    "majestic": ("citation_flow", "trust_flow", "ttf_value"),
+    "ahrefs": ("domain_rank", "url_rank"),
+    "moz": ("moz_rank", "page_authority", "domain_authority"),
+}
+
+
+def dedup_domains(df: DataFrame, metric: str | None = None, col: str = "url", order_col: str = "row_id",
+                  provider: str | None = None) -> DataFrame:
     """A2: one URL per host after A1.
 
     The greatest metric wins (empty metric = 0), ties go to the smallest URL;
     without a metric the smallest URL wins.  Decision (SURVEY §2.5): grouped
     globally by lower-case host, so ``http`` and ``https`` of a host give one
     row.  Rows without a host (relative URLs) pass through unchanged.
+    With ``provider`` the metric must be one that provider offers.
     """
     _require(df, col, order_col)
     if metric is not None:
         _require(df, metric)
+        if provider is not None and metric not in DEDUP_METRICS.get(provider, ()):
+            raise ValueError(f"{metric!r} is not a dedup metric of {provider!r}: {DEDUP_METRICS.get(provider)}")
     names = df.columns
     last = dedup_urls(df, col, order_col).withColumn("_host", U.url_host(col))
     keyed = last.where(F.col("_host") != "")
