@@ -30,6 +30,9 @@ CATEGORY_ORDER = [1, 2, 6, 7, 8, 11, 18]
 KIND_ORDER = ["headers", "meta", "script", "html"]
 NOT_FOUND = "Not Found"
 MAX_RULES = 20_000
+# Up to this many patterns the tests are Spark expressions (one CASE chain);
+# above it one mapInPandas compiles them once per task (SURVEY §7.4 (b)).
+INLINE_RULES = 200
 
 RULE_SCHEMA = T.StructType([
     T.StructField("app", T.StringType()),
@@ -121,12 +124,73 @@ def match_platform_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page
     return pages.select(F.col(id_col).alias("page_id"), F.explode(arr).alias("h")).select("page_id", "h.app", "h.kind")
 
 
+def _python_tests(rs: list):
+    """Compiled tests per app in priority order, for the mapInPandas path."""
+    import re as _re
+
+    flags = _re.IGNORECASE
+    apps: dict[str, list] = {}
+    order: list[tuple[int, str, str]] = []
+    for r in rs:
+        if r["app"] not in apps:
+            apps[r["app"]] = []
+            order.append((r["cat_rank"], r["app"], r["category_names"]))
+        kind, key, pat = r["kind"], r["key"], r["pattern"]
+        if kind == "html":
+            apps[r["app"]].append(("html", None, _re.compile(pat, flags)))
+        elif kind == "script":
+            apps[r["app"]].append(("html", None, _re.compile("<script.+\\s+src=[\"']([^\"]*" + pat + "[^\"]*)[\"']", flags)))
+        elif kind == "meta":
+            tag = _re.compile("<meta.+name=[\"']" + _re.escape(key) + "[\"'][^>]+>", flags)
+            apps[r["app"]].append(("meta", tag, _re.compile("[^\\n]\\s+content=[\"']([^\"]*" + pat + "[^\"]*)[\"']", flags)))
+        elif kind == "headers":
+            apps[r["app"]].append(("headers", key, _re.compile(pat, flags)))
+    return [(f"{names} | {app}", apps[app]) for _, app, names in sorted(order)]
+
+
+def _detect_batches(tests, html_col: str, headers_col: str | None, out: str):
+    def label(html, headers):
+        for name, checks in tests:
+            for kind, key, rx in checks:
+                if kind == "html" and rx.search(html):
+                    return name
+                if kind == "meta":
+                    m = key.search(html)
+                    if m and rx.search(m.group(0)):
+                        return name
+                if kind == "headers" and headers:
+                    v = dict(headers).get(key)
+                    if v is not None and rx.search(v):
+                        return name
+        return NOT_FOUND
+
+    def run(batches):
+        for pdf in batches:
+            hs = pdf[headers_col].tolist() if headers_col else [None] * len(pdf)
+            pdf[out] = [label(h or "", hd) for h, hd in zip(pdf[html_col].tolist(), hs)]
+            yield pdf
+
+    return run
+
+
 def detect_platform(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                    status_col: str | None = None, headers_col: str | None = None, out: str = "platform_raw") -> DataFrame:
+                    status_col: str | None = None, headers_col: str | None = None, out: str = "platform_raw",
+                    inline_max: int = INLINE_RULES) -> DataFrame:
     """``<categories> | <app>`` of the first matching app, ``Not Found`` when
-    none; an empty body or a status above 400 gives ``error : HTTP Status [n]``."""
+    none; an empty body or a status above 400 gives ``error : HTTP Status [n]``.
+
+    Up to ``inline_max`` patterns the tests are Spark expressions; above it
+    they run in one ``mapInPandas`` that compiles them once per task and
+    stops at the first hit (same priority, same patterns)."""
     _require(pages, id_col, html_col)
     rs = _collect_rules(rules)
+    if len(rs) > inline_max:
+        tests = _python_tests(rs)
+        schema = T.StructType(pages.schema.fields + [T.StructField(out, T.StringType())])
+        found = pages.mapInPandas(_detect_batches(tests, html_col, headers_col, out), schema)
+        status = F.col(status_col) if status_col else F.lit(None).cast("int")
+        err = (F.col(html_col).isNull() | (F.col(html_col) == "")) | F.coalesce(status > 400, F.lit(False))
+        return found.withColumn(out, F.when(err, F.concat(F.lit("error : HTTP Status ["), F.coalesce(status.cast("string"), F.lit("")), F.lit("]"))).otherwise(F.col(out)))
     html = F.coalesce(F.col(html_col), F.lit(""))
     headers = F.col(headers_col) if headers_col else None
     # one test per app (any kind), in priority order; a CASE chain stops at the first hit

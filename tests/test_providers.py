@@ -106,3 +106,22 @@ def test_platform_rules(spark):
                    6: "Not Found", 7: "error : HTTP Status [404]", 8: "error : HTTP Status [200]", 9: "CMS | Alpha"}
     hits = {(r.page_id, r.app) for r in PL.match_platform_rules(df, rules, headers_col="headers").collect()}
     assert (4, "Zebra") in hits and (4, "Aardvark") in hits
+
+
+def test_platform_inline_equals_batched(spark):
+    """The expression path and the mapInPandas path give the same labels."""
+    from pyspark.sql import functions as F
+
+    from sitesieve.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    pages = fx.html(extras=True).join(fx.crawl().select("page_id", F.col("http_status").cast("int")), "page_id")
+    rules = fx.platform_rules()
+    a = {r.page_id: r.platform_raw for r in PL.detect_platform(pages, rules, status_col="http_status").collect()}
+    b = {r.page_id: r.platform_raw for r in PL.detect_platform(pages, rules, status_col="http_status", inline_max=0).collect()}
+    assert a == b and len(a) == 50
+    rules2 = PL.rules_from_json(spark, json.dumps(RULES))
+    df = spark.createDataFrame([(9, "<html></html>", {"X-Powered-By": "Alpha 1"}), (1, '<meta name="generator" content="Beta 2">', {})],
+                               "page_id long, html string, headers map<string,string>")
+    c = {r.page_id: r.platform_raw for r in PL.detect_platform(df, rules2, headers_col="headers", inline_max=0).collect()}
+    assert c == {9: "CMS | Alpha", 1: "CMS | Beta"}
