@@ -14,9 +14,6 @@ from .catalog import q, register, sql_host
 from .fixtures import Fixtures, with_ctes
 from .loops import follow_pagination
 
-TAGS = ["a", "p", "li", "h1", "meta", "div"]
-
-
 def fx(spark, sf_dir):
     return Fixtures(spark, sf_dir)
 
@@ -27,12 +24,14 @@ N_A = EL.Rule("n_a", "a", output="count")
 NEXT = EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href")
 
 
-@register("extract_elements", "SELECT page_id, tag, n FROM (SELECT page_id, unnest(['" + "', '".join(TAGS) + "']) AS tag, "
-          "unnest([" + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[\\s>]')) AS BIGINT)" for t in TAGS) + "]) AS n FROM pages) t WHERE n > 0")
+@register("extract_elements", """
+SELECT page_id, tag, count(*) AS n FROM (
+  SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)[\\s/>]', 1))) AS tag FROM pages) t
+GROUP BY page_id, tag""")
 def q_extract_elements(spark, sf_dir):
-    """Elements per page and tag (for the tags compared)."""
+    """Elements per page and tag, for every tag of every page."""
     el = EL.extract_elements(fx(spark, sf_dir).pages())
-    return el.where(F.col("tag").isin(TAGS)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return el.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @register("extract_items", """

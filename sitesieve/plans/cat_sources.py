@@ -16,7 +16,7 @@ from ..sources import providers as PR
 from ..sources import sinks as SK
 from ..streaming import streams as ST
 from . import jobs, replies
-from .catalog import register, sql_ext
+from .catalog import ALL_LINKS_SQL, register, sql_ext
 from .fixtures import FX_SUFFIXES, Fixtures, with_ctes
 
 SUFFIX_LIST = "[" + ", ".join(f"'{s}'" for s in FX_SUFFIXES if s not in ("uk", "au")) + "]"
@@ -246,14 +246,13 @@ def _stage(df, spark, name, parts=4):
     return folder, spark.read.parquet(folder).schema
 
 
-@register("stream_links", with_ctes("SELECT page_id, page_url, href, rel FROM fx_links", "fx_links"))
+@register("stream_links", with_ctes(ALL_LINKS_SQL, "fx_links"))
 def q_stream_links(spark, sf_dir):
     """Pages arrive as files; links appended per micro-batch (= batch C1)."""
     src, schema = _stage(fx(spark, sf_dir).html(), spark, "pages-in")
     sink, ckpt = ST.shared_folder(spark, "links-out"), ST.shared_folder(spark, "links-ckpt")
     ST.run_append(ST.stream_links(ST.read_stream(spark, src, schema)), sink, ckpt)
-    out = spark.read.parquet(sink)
-    return out.where(out.href.rlike("^https?://")).select("page_id", "page_url", "href", "rel")
+    return spark.read.parquet(sink).select("page_id", "page_url", "pos", "href", "rel")
 
 
 @register("stream_dedup", with_ctes("SELECT DISTINCT url FROM fx_urls", "fx_urls"))

@@ -62,18 +62,21 @@ def sql_ext(href: str, page_url: str) -> str:
 
 # --- minimum slice: links, outbound links, dofollow % ------------------------
 
-@register(
-    "extract_links",
-    with_ctes(
-        "SELECT page_id, page_url, href, rel FROM fx_links",
-        "fx_links",
-    ),
-)
+# All anchors of fx_html: the pages' own ones (all of the form <a href="/...">
+# in the driver data) in order, then the five appended ones of fx_links.
+ALL_LINKS_SQL = """
+SELECT page_id, url AS page_url, CAST(generate_subscripts(own, 1) - 1 AS INTEGER) AS pos, unnest(own) AS href,
+       CAST(NULL AS VARCHAR) AS rel
+FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)">', 1) AS own FROM pages) b
+UNION ALL
+SELECT l.page_id, l.page_url, CAST(len(regexp_extract_all(p.html, '<a href="(/[^"]*)">', 1)) + l.k AS INTEGER) AS pos, l.href, l.rel
+FROM fx_links l JOIN pages p USING (page_id)"""
+
+
+@register("extract_links", with_ctes(ALL_LINKS_SQL, "fx_links"))
 def q_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 on ``fx_html``: every anchor is extracted; the rows compared are the
-    absolute ones (the driver pages only carry relative links)."""
-    links = C.extract_links(Fixtures(spark, sf_dir).html())
-    return links.where(links.href.rlike("^https?://")).select("page_id", "page_url", "href", "rel")
+    """C1 on ``fx_html``: every anchor of every page, with its position."""
+    return C.extract_links(Fixtures(spark, sf_dir).html())
 
 
 @register(
