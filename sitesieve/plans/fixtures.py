@@ -112,8 +112,8 @@ def anchor_for(x):
 class Fixtures:
     """Builds the fixture views over one scale-factor folder.
 
-    Views are registered as session temp views with a folder-specific prefix
-    so that two folders in one session never collide.
+    The fixture SQL texts run with their tables passed as DataFrames, so no
+    session view is created or replaced.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -124,13 +124,22 @@ class Fixtures:
         return table(self.spark, self.sf_dir, name)
 
     def _sql(self, name: str) -> DataFrame:
-        # Register the driver tables the SQL text reads, then the fixture.
-        spark = self.spark
-        spark.read.parquet(f"{self.sf_dir}/pages.parquet").createOrReplaceTempView("pages")
-        spark.read.parquet(f"{self.sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-        for dep in _DEPENDS[name]:
-            self._sql(dep).createOrReplaceTempView(dep)
-        return spark.sql(FIXTURE_SQL[name])
+        """Run a fixture SQL text with its tables passed as DataFrames
+        (``spark.sql`` substitution), so no session view name is taken."""
+        import re
+
+        frames = {
+            "pages": self.base("pages"),
+            "lineitem": self.base("lineitem"),
+            **{dep: self._sql(dep) for dep in _DEPENDS[name]},
+        }
+        text = FIXTURE_SQL[name]
+        used = {}
+        for t, df in frames.items():
+            if re.search(rf"\b{t}\b", text):
+                text = re.sub(rf"\b{t}\b", "{" + t + "}", text)
+                used[t] = df
+        return self.spark.sql(text, **used)
 
     def crawl(self) -> DataFrame:
         return self._sql("fx_crawl")
