@@ -117,9 +117,9 @@ def link_alive(
 
     The target is one string for all rows, or each row's ``target_col``.  An
     empty page gives ``error : <status>``; a row without a fetched page stays
-    NULL (not checked).  Pages are joined on URL (equi-join); the substring
-    test is the join's extra condition, answered by a semi-join so a page
-    with many links still gives one answer per row.
+    NULL (not checked).  Links are joined to the rows' URLs (equi-join) with
+    the substring test as the join's extra condition; hits are made distinct
+    per (url, target), so a page with many links gives one answer per row.
     """
     _require(urls, url_col)
     if target is None:
@@ -132,8 +132,11 @@ def link_alive(
     links = extract_links(pages).select(F.col("page_url").alias("_lurl"), F.col("href").alias("_href"))
     keyed = urls.withColumn("_tgt", F.lit(target) if target is not None else F.col(target_col))
     keys = keyed.select(F.col(url_col).alias("_k"), "_tgt").distinct()
-    hits = keys.join(links, (F.col("_k") == F.col("_lurl")) & F.col("_href").contains(F.col("_tgt")), "left_semi")
-    hits = hits.select(F.col("_k").alias("_hk"), F.col("_tgt").alias("_ht"), F.lit(True).alias("_hit"))
+    # links on the left of an inner join: AQE may split a page with a large
+    # share of all links (it cannot split the right side of a semi join);
+    # the distinct after it is aggregated partially before its shuffle
+    hits = links.join(keys, (F.col("_lurl") == F.col("_k")) & F.col("_href").contains(F.col("_tgt")), "inner")
+    hits = hits.select(F.col("_k").alias("_hk"), F.col("_tgt").alias("_ht")).distinct().withColumn("_hit", F.lit(True))
     out_df = (
         keyed.join(page, F.col(url_col) == F.col("_purl"), "left")
         .join(hits, (F.col(url_col) == F.col("_hk")) & F.col("_tgt").eqNullSafe(F.col("_ht")), "left")
