@@ -15,6 +15,7 @@ possibly negated) and the output (text, an attribute, or a count).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -217,8 +218,88 @@ def substitute(c: Column, values: dict[str, Column] | None) -> Column:
     return out
 
 
+# Entities decoded in attribute values on the regex path (fixed values).
+ATTR_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
+
+def _attr_re(name: str) -> str:
+    n = re.escape(name)
+    return r"""(?is)\s""" + n + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _attr(tag: Column, name: str) -> Column:
+    """Value of attribute ``name`` in a start-tag string (first occurrence),
+    ``""`` for a valueless attribute, NULL when absent; common entities decoded."""
+    rx = _attr_re(name)
+    v = F.concat(F.regexp_extract(tag, rx, 1), F.regexp_extract(tag, rx, 2), F.regexp_extract(tag, rx, 3))
+    for ent, ch in ATTR_ENTITIES:
+        v = F.replace(v, F.lit(ent), F.lit(ch))
+    bare = r"(?is)\s" + re.escape(name) + r"(?:[\s/>]|$)"
+    return F.when(tag.rlike(rx), v).when(tag.rlike(bare), F.lit(""))
+
+
+def _regex_ok(rules: list[Rule]) -> bool:
+    return all((r.output == "count" or r.output.startswith("@")) and r.tag != "*" and re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", r.tag)
+               for r in rules)
+
+
+def _tag_test(r: Rule, ph: dict[str, Column]):
+    """One-argument predicate over a start-tag string (for ``filter``)."""
+
+    def cond(t: Column) -> Column:
+        c = F.lit(True)
+        for test in r.tests:
+            v = _attr(t, test.attr)
+            value = substitute(F.lit(test.value), ph) if ph else F.lit(test.value)
+            if test.op == "exists":
+                x = v.isNotNull()
+            elif test.op == "=":
+                x = v == value
+            elif test.op == "contains":
+                x = v.contains(value)
+            elif test.op == "starts-with":
+                x = v.startswith(value)
+            else:
+                raise ValueError(f"unsupported test {test.op!r}")
+            x = F.coalesce(x, F.lit(False))
+            c = c & (~x if test.negate else x)
+        if r.output.startswith("@"):
+            c = c & _attr(t, r.output[1:]).isNotNull()
+        return c
+
+    return cond
+
+
+def _tag_value(name: str):
+    def value(t: Column) -> Column:
+        return _attr(t, name)
+
+    return value
+
+
+def _regex_items(pages: DataFrame, rules: list[Rule], id_col: str, html_col: str, values: dict[str, str]) -> DataFrame:
+    """C3 without Python: start tags found by a regex, attribute tests and
+    outputs read from the tag text (JVM expressions, no shuffle)."""
+    ph = {k: F.col(c) for k, c in values.items()}
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    cols = []
+    for r in rules:
+        tags = F.regexp_extract_all(html, F.lit(r"(?is)<" + r.tag + r"(?:\s[^>]*)?/?>"), 0)
+        kept = F.filter(tags, _tag_test(r, ph))
+        if r.output == "count":
+            items = F.array(F.size(kept).cast("string"))
+        else:
+            items = F.transform(kept, _tag_value(r.output[1:]))
+        if not r.keep_html:
+            items = F.transform(items, lambda x: U.decode_if_absolute(html_to_text(x)))
+        cols.append(items.alias(r.name))
+    keep = [c for c in pages.columns if c not in (id_col, html_col)]
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), *keep, *cols)
+
+
 def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", html_col: str = "html",
-                  elements: DataFrame | None = None, placeholders: dict[str, str] | None = None) -> DataFrame:
+                  elements: DataFrame | None = None, placeholders: dict[str, str] | None = None,
+                  engine: str = "auto") -> DataFrame:
     """Evaluate rules per page → one ``ARRAY<STRING>`` column per rule
     (named after the rule; ``count`` rules give a one-item array).
 
@@ -226,12 +307,25 @@ def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
     ``custom2``, ``footprint``) to a column of ``pages``; rule test values
     have those placeholders filled per page row (plain and ``::encoded``).
 
+    ``engine``: ``parser`` evaluates rules over C2 elements (Python parser,
+    one aggregation); ``regex`` reads start tags with JVM regular
+    expressions (no Python, no shuffle) and serves rules whose output is an
+    attribute or a count; ``auto`` picks ``regex`` when every rule allows it.
+    The regex path sees tags inside comments or script text, which the
+    parser skips.
+
     One aggregation answers all rules; items keep document order (sorted
     ``(pos, value)`` structs, not ``collect_list`` order).  Pages without a
     match get an empty array.
     """
     _require(pages, id_col, html_col)
     values = dict(placeholders or {})
+    if engine not in ("auto", "regex", "parser"):
+        raise ValueError(f"unknown engine {engine!r}")
+    if elements is None and (engine == "regex" or (engine == "auto" and _regex_ok(rules))):
+        if not _regex_ok(rules):
+            raise ValueError("the regex engine serves attribute and count rules on a named tag only")
+        return _regex_items(pages, rules, id_col, html_col, values)
     if elements is not None:
         el = elements
     else:

@@ -187,3 +187,20 @@ def test_public_suffix_wildcards_and_exceptions(spark):
     # b.ck is a suffix by the wildcard; www.ck is excepted, so its suffix is ck,
     # and a host that is exactly www.<suffix> gives the bare suffix (P2 rule)
     assert out == ["http://a.b.ck", "ck", "http://www.ck", "http://a.co.uk", "http://y.com"]
+
+
+def test_item_engines_agree(spark):
+    """Attribute and count rules give the same items with the regex and parser engines."""
+    from sitesieve.operators import elements as EL
+    from sitesieve.plans.fixtures import Fixtures
+
+    pages = Fixtures(spark, "/root/testdata/sf0.01").html(extras=True)
+    rules = [EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href"),
+             EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"),
+             EL.Rule("nofollow", "a", (EL.Test("rel", "exists"), EL.Test("href", "contains", "example.org")), "@href"),
+             EL.Rule("plain", "a", (EL.Test("rel", "exists", negate=True),), "@href"),
+             EL.Rule("n_a", "a", output="count"), EL.Rule("metas", "meta", (EL.Test("name", "exists"),), "@content")]
+    names = [r.name for r in rules]
+    a = {r.page_id: tuple(tuple(r[n]) for n in names) for r in EL.extract_items(pages, rules, engine="regex").collect()}
+    b = {r.page_id: tuple(tuple(r[n]) for n in names) for r in EL.extract_items(pages, rules, engine="parser").collect()}
+    assert a == b and len(a) == 250
