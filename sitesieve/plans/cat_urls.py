@@ -300,7 +300,7 @@ def q_apply_content_guard(spark, sf_dir):
 
 
 @register("drop_empty_items", urls_sql(
-    "SELECT row_id, pos, item FROM (SELECT row_id, unnest(generate_series(1, len(string_split(url, '/')))) AS pos, "
+    "SELECT row_id, CAST(pos AS INTEGER) AS pos, item FROM (SELECT row_id, unnest(generate_series(1, len(string_split(url, '/')))) AS pos, "
     "unnest(string_split(url, '/')) AS item FROM fx_urls) t WHERE item <> ''"))
 def q_drop_empty_items(spark, sf_dir):
     items = fx(spark, sf_dir).urls().select("row_id", F.posexplode(F.split("url", "/")).alias("pos", "item"))
