@@ -33,17 +33,16 @@ def remove_bad_urls(df: DataFrame, status_col: str = "http_status") -> DataFrame
 
 
 def remove_subdomains(df: DataFrame, suffixes: SuffixTable | DataFrame, col: str = "url") -> DataFrame:
-    """keep URLs whose host, once the public suffix is removed, has no dot,
-    or exactly one dot and starts with ``www.``.  Empty URLs are dropped
+    """keep URLs whose host, once ``.<public suffix>`` is removed from it, has
+    no dot, or exactly one dot and starts with ``www.``.  Empty URLs are dropped
     (invalid); a relative URL has an empty host and is kept, as in the reference.
     """
     _require(df, col)
     h = U.url_host(col)
     cur = with_public_suffix(df, suffixes, h, "_sfx")
-    # host without ".<suffix>" at its end
-    rest = F.when(F.col("_sfx") == "", h).otherwise(
-        h.substr(F.lit(1), F.greatest(F.length(h) - F.length(F.col("_sfx")) - 1, F.lit(0)))
-    )
+    # every occurrence of ".<suffix>" removed from the host (so a host that is
+    # itself a suffix keeps its dot and is removed, as in the reference)
+    rest = F.when(F.col("_sfx") == "", h).otherwise(F.replace(h, F.concat(F.lit("."), F.col("_sfx")), F.lit("")))
     dots = F.length(rest) - F.length(F.replace(rest, F.lit("."), F.lit("")))
     keep = F.col(col).isNotNull() & (F.col(col) != "") & ((dots < 1) | ((dots == 1) & rest.startswith("www.")))
     return cur.where(keep).drop("_sfx")

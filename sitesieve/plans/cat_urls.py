@@ -267,7 +267,7 @@ _filter_query("redirect_candidates", f"http_status > 300 AND http_status < 400 A
 
 @register("remove_subdomains", with_domain_sql(
     """SELECT f.row_id, f.url, f.tf, f.cf, f.http_status FROM fx_urls f JOIN (
-         SELECT row_id, CASE WHEN sfx = '' THEN host ELSE pre END AS rest FROM rd_p) r USING (row_id)
+         SELECT row_id, CASE WHEN sfx = '' THEN host ELSE replace(host, '.' || sfx, '') END AS rest FROM rd_p) r USING (row_id)
        WHERE f.url IS NOT NULL AND f.url <> '' AND
              (length(rest) - length(replace(rest, '.', '')) < 1 OR
               (length(rest) - length(replace(rest, '.', '')) = 1 AND starts_with(rest, 'www.')))"""))

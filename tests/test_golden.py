@@ -204,3 +204,8 @@ def test_item_engines_agree(spark):
     a = {r.page_id: tuple(tuple(r[n]) for n in names) for r in EL.extract_items(pages, rules, engine="regex").collect()}
     b = {r.page_id: tuple(tuple(r[n]) for n in names) for r in EL.extract_items(pages, rules, engine="parser").collect()}
     assert a == b and len(a) == 250
+
+
+def test_remove_subdomains_bare_suffix_host(spark):
+    df = urls_df(spark, ["http://co.uk/", "http://a.co.uk/", "http://www.a.co.uk/"])
+    assert col(FL.remove_subdomains(df, suffixes(spark))) == ["http://a.co.uk/", "http://www.a.co.uk/"]
