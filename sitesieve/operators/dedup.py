@@ -40,17 +40,19 @@ def dedup_domains(df: DataFrame, metric: str | None = None, col: str = "url", or
                   provider: str | None = None) -> DataFrame:
     """A2: one URL per host after A1.
 
-    The greatest metric wins (empty metric = 0), ties go to the smallest URL;
-    without a metric the smallest URL wins.  Decision (SURVEY §2.5): grouped
+    The greatest metric wins, compared as a whole number (rounded; empty or
+    unparsable = 0), ties go to the smallest URL; without a metric the
+    smallest URL wins.  Decision (SURVEY §2.5): grouped
     globally by lower-case host, so ``http`` and ``https`` of a host give one
     row.  Rows without a host (relative URLs) pass through unchanged.
-    With ``provider`` the metric must be one that provider offers.
+    With ``provider``, a metric that provider does not offer is ignored
+    (dedup without metric), as in the reference.
     """
     _require(df, col, order_col)
     if metric is not None:
         _require(df, metric)
         if provider is not None and metric not in DEDUP_METRICS.get(provider, ()):
-            raise ValueError(f"{metric!r} is not a dedup metric of {provider!r}: {DEDUP_METRICS.get(provider)}")
+            metric = None  # a metric the provider does not offer: dedup without metric
     names = df.columns
     last = dedup_urls(df, col, order_col).withColumn("_host", U.url_host(col))
     keyed = last.where(F.col("_host") != "")
@@ -58,7 +60,9 @@ def dedup_domains(df: DataFrame, metric: str | None = None, col: str = "url", or
     if metric is None:
         rank = F.struct(F.col(col))
     else:
-        rank = F.struct((-F.coalesce(F.col(metric).cast("double"), F.lit(0.0))).alias("m"), F.col(col))
+        # the metric is compared as a whole number (rounded), empty or unparsable = 0
+        m = F.coalesce(F.round(F.col(metric).cast("string").try_cast("double")).cast("long"), F.lit(0).cast("long"))
+        rank = F.struct((-m).alias("m"), F.col(col))
     picked = keyed.groupBy("_host").agg(F.min_by(F.struct(*names), rank).alias("_r"))
     return _unpack(picked, "_r", names).unionByName(loose)
 

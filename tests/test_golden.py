@@ -209,3 +209,11 @@ def test_item_engines_agree(spark):
 def test_remove_subdomains_bare_suffix_host(spark):
     df = urls_df(spark, ["http://co.uk/", "http://a.co.uk/", "http://www.a.co.uk/"])
     assert col(FL.remove_subdomains(df, suffixes(spark))) == ["http://a.co.uk/", "http://www.a.co.uk/"]
+
+
+def test_dedup_domains_whole_number_metric(spark):
+    df = spark.createDataFrame([(1, "http://h/b", 4.4), (2, "http://h/a", 4.2), (3, "http://g/x", 1.0)], "row_id long, url string, moz_rank double")
+    assert sorted(r.url for r in D.dedup_domains(df, "moz_rank", provider="moz").collect()) == ["http://g/x", "http://h/a"]
+    # TF is not a Moz metric: dedup without metric (smallest URL per host)
+    df2 = spark.createDataFrame([(1, "http://h/b", 9), (2, "http://h/a", 1)], "row_id long, url string, trust_flow int")
+    assert [r.url for r in D.dedup_domains(df2, "trust_flow", provider="moz").collect()] == ["http://h/a"]
