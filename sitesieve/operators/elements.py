@@ -206,14 +206,16 @@ PLACEHOLDERS = ("{%scrapurl::encoded%}", "{%scrapurl%}", "{%custom1::encoded%}",
                 "{%custom2::encoded%}", "{%custom2%}", "{%footprint%}")
 
 
-def substitute(c: Column, values: dict[str, Column] | None) -> Column:
-    """Replace placeholders in ``c`` with per-row columns (``scrapurl``, ``custom1``, ``custom2``, ``footprint``)."""
+def substitute(c: Column, values: dict[str, Column] | None, encoded: bool = True) -> Column:
+    """Replace placeholders in ``c`` with per-row columns (``scrapurl``, ``custom1``,
+    ``custom2``, ``footprint``); with ``encoded`` also the ``::encoded`` forms."""
     if not values:
         return c
     out = c
     for key, col in values.items():
         raw = F.coalesce(col.cast("string"), F.lit(""))
-        out = F.replace(out, F.lit("{%" + key + "::encoded%}"), U.percent_encode(raw))
+        if encoded:
+            out = F.replace(out, F.lit("{%" + key + "::encoded%}"), U.percent_encode(raw))
         out = F.replace(out, F.lit("{%" + key + "%}"), raw)
     return out
 
@@ -367,13 +369,14 @@ def next_page(pages: DataFrame, rule: Rule, id_col: str = "page_id", url_col: st
 
 def decorate_items(df: DataFrame, items_col: str, prefix: str = "", suffix: str = "",
                    placeholders: dict[str, str] | None = None) -> DataFrame:
-    """Non-empty item → prefix + item + suffix, then placeholders replaced
-    from the row's columns (``{%custom1%}`` ← column ``custom1`` …)."""
+    """Non-empty item → prefix + item + suffix, then the plain placeholders
+    replaced from the row's columns (``{%custom1%}`` ← column ``custom1`` …).
+    ``::encoded`` forms are left as written, as in the reference."""
     _require(df, items_col)
     values = {k: F.col(c) for k, c in (placeholders or {}).items()}
 
     def deco(x: Column) -> Column:
-        v = substitute(F.concat(F.lit(prefix), x, F.lit(suffix)), values)
+        v = substitute(F.concat(F.lit(prefix), x, F.lit(suffix)), values, encoded=False)
         return F.when(x.isNull() | (x == ""), x).otherwise(v)
 
     if df.schema[items_col].dataType.simpleString().startswith("array"):

@@ -245,13 +245,14 @@ def q_suggest_wildcard(spark, sf_dir):
 
 
 @register("decorate_items", with_ctes(
-    "SELECT row_id, 'site:' || url || ' [' || CAST(cf AS VARCHAR) || '/' || url_encode(CAST(tf AS VARCHAR) || ' x') || ']' AS item FROM fx_urls",
+    "SELECT row_id, CASE WHEN url = '' THEN url ELSE 'site:' || url || ' [' || CAST(cf AS VARCHAR) || '/' || CAST(tf AS VARCHAR) || ' x/{%custom1::encoded%}]' END AS item FROM fx_urls",
     "fx_urls"))
 def q_decorate_items(spark, sf_dir):
-    """prefix/suffix with {%custom1%} and {%custom2::encoded%} from the row."""
+    """prefix/suffix with {%custom1%} and {%custom2%} from the row (the
+    ``::encoded`` form stays as written)."""
     u = fx(spark, sf_dir).urls().select("row_id", F.col("url").alias("item"), F.col("cf").alias("c1"),
                                         F.concat(F.col("tf").cast("string"), F.lit(" x")).alias("c2"))
-    d = EL.decorate_items(u, "item", "site:", " [{%custom1%}/{%custom2::encoded%}]", {"custom1": "c1", "custom2": "c2"})
+    d = EL.decorate_items(u, "item", "site:", " [{%custom1%}/{%custom2%}/{%custom1::encoded%}]", {"custom1": "c1", "custom2": "c2"})
     return d.select("row_id", "item")
 
 
