@@ -255,6 +255,34 @@ def q_stream_links(spark, sf_dir):
     return spark.read.parquet(sink).select("page_id", "page_url", "pos", "href", "rel")
 
 
+@register("stream_items", """
+SELECT page_id, 'nav' AS rule, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS idx, unnest(xs) AS item
+FROM (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS xs FROM pages) t""")
+def q_stream_items(spark, sf_dir):
+    """T1 with S10: pages arrive as files; link-rule items are appended per
+    micro-batch to a sink and to the session folder."""
+    from ..operators import elements as EL
+
+    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-items-in")
+    sink, session, ckpt = ST.shared_folder(spark, "items-out"), ST.shared_folder(spark, "items-session"), ST.shared_folder(spark, "items-ckpt")
+    rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href")
+    ST.run_append_with_session(ST.stream_items(ST.read_stream(spark, src, schema), [rule]), sink, session, ckpt)
+    out = spark.read.parquet(sink)
+    return out.select("page_id", "rule", "idx", "item")
+
+
+@register("stream_session_items", """SELECT unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS value FROM pages""")
+def q_stream_session_items(spark, sf_dir):
+    """S10 fed by T1: the session folder holds every non-empty item once."""
+    from ..operators import elements as EL
+
+    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-sess-in")
+    sink, session, ckpt = ST.shared_folder(spark, "sess-out"), ST.shared_folder(spark, "sess-session"), ST.shared_folder(spark, "sess-ckpt")
+    rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href")
+    ST.run_append_with_session(ST.stream_items(ST.read_stream(spark, src, schema), [rule]), sink, session, ckpt)
+    return spark.read.text(session).select("value")
+
+
 @register("stream_dedup", with_ctes("SELECT DISTINCT url FROM fx_urls", "fx_urls"))
 def q_stream_dedup(spark, sf_dir):
     """URL key set after streaming de-duplication (= key set of A1)."""

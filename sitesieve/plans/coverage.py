@@ -111,6 +111,7 @@ COVERAGE = {
     "G5": ("sitesieve.operators.frontier.first_of_macro", "first_of_macro"),
     "G6": ("sitesieve.operators.frontier.suggest_wildcard", "suggest_wildcard"),
     "T1": ("sitesieve.streaming.streams.stream_links", "stream_append"),
+    "T1 items": ("sitesieve.streaming.streams.stream_items", "stream_items"),
     "T2": ("sitesieve.streaming.streams.stream_dedup", "stream_dedup"),
     "T3": ("sitesieve.streaming.streams.stream_counts", "stream_counts"),
     "L1": ("sitesieve.plans.jobs.clean_and_enrich", "clean_and_enrich"),

@@ -60,7 +60,7 @@ def write_status_log(df: DataFrame, path: str, rules: list[tuple[str, int, str]]
     status_log_lines(df, rules, **kw).write.mode("append").text(path)
 
 
-def append_session_results(df: DataFrame, path: str, items_col: str = "item") -> None:
+def append_session_results(df: DataFrame, path: str, items_col: str = "item", mode: str = "append") -> None:
     """Non-empty items of a run appended to the session folder (one per line)."""
     items = df.where(F.col(items_col).isNotNull() & (F.col(items_col) != "")).select(F.col(items_col).cast("string").alias("value"))
-    items.write.mode("append").text(path)
+    items.write.mode(mode).text(path)

@@ -9,6 +9,8 @@
   watermark; emitted in update mode through ``foreachBatch`` into a Parquet
   folder, so windows still open when an ``availableNow`` run ends are not
   lost; :func:`latest_counts` reads the last value per window back.
+  ``foreachBatch`` writes overwrite a ``batch=<id>`` folder, so a batch that
+  is replayed after a failure does not write twice.
 
 Sinks and checkpoints live under the session's checkpoint folder (the shared
 folder the cluster names), so a restarted query resumes from its offsets.
@@ -41,6 +43,34 @@ def stream_links(pages_stream: DataFrame) -> DataFrame:
     return extract_links(pages_stream)
 
 
+def stream_items(pages_stream: DataFrame, rules: list) -> DataFrame:
+    """T1 for extracted items: attribute/count rules (C3 regex engine, a pure
+    projection) evaluated on each micro-batch of pages, one row per item."""
+    from ..operators.elements import extract_items
+
+    items = extract_items(pages_stream, rules, engine="regex")
+    rows = None
+    for r in rules:
+        part = items.select("page_id", F.lit(r.name).alias("rule"), F.posexplode(r.name).alias("idx", "item"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def run_append_with_session(sdf: DataFrame, sink: str, session: str, checkpoint: str, item_col: str = "item") -> None:
+    """T1 + S10: each micro-batch goes to the Parquet sink and its non-empty items
+    to the session text folder, as each batch of pages finishes.  Both writes
+    go to ``batch=<id>`` folders overwritten on replay (exactly-once)."""
+    from ..sources.sinks import append_session_results
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        append_session_results(batch, f"{session}/batch={batch_id}", item_col, mode="overwrite")
+
+    q = (sdf.writeStream.outputMode("append").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def stream_dedup(url_stream: DataFrame, col: str = "url", ts_col: str = "ts", delay: str = "36500 days") -> DataFrame:
     """Drop URLs already seen within the watermark delay of their first arrival."""
     if url_stream.schema[ts_col].dataType.typeName() != "timestamp":
@@ -64,11 +94,12 @@ def run_append(sdf: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def run_updates(sdf: DataFrame, sink: str, checkpoint: str) -> None:
-    """Run an aggregating stream in update mode; each batch's changed rows are
-    appended to ``sink`` with their batch id."""
+    """Run an aggregating stream in update mode; each batch's changed rows go to
+    ``sink/batch=<id>``.  A replayed batch overwrites its own folder, so the
+    sink is exactly-once even when a batch is re-run after a failure."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     q = (sdf.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -78,6 +109,6 @@ def run_updates(sdf: DataFrame, sink: str, checkpoint: str) -> None:
 def latest_counts(spark: SparkSession, sink: str, key: str = "window_start") -> DataFrame:
     """Last emitted row per window of a :func:`run_updates` sink."""
     df = spark.read.parquet(sink)
-    cols = [c for c in df.columns if c not in (key, "_batch")]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
+    cols = [c for c in df.columns if c not in (key, "batch")]
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
     return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
