@@ -157,14 +157,27 @@ def robots_nofollow(pages: DataFrame, html_col: str = "html", out: str = "robots
     return pages.withColumn(out, F.coalesce(F.col(html_col).rlike(ROBOTS_RE), F.lit(False)))
 
 
+# Charset names a decoder is known for (fixed values, common IANA names and aliases).
+KNOWN_CHARSETS = [
+    "UTF-8", "UTF8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ASCII",
+    "ISO-8859-1", "ISO-8859-2", "ISO-8859-3", "ISO-8859-4", "ISO-8859-5", "ISO-8859-6", "ISO-8859-7",
+    "ISO-8859-8", "ISO-8859-9", "ISO-8859-10", "ISO-8859-13", "ISO-8859-14", "ISO-8859-15", "ISO-8859-16",
+    "LATIN1", "LATIN-1", "WINDOWS-1250", "WINDOWS-1251", "WINDOWS-1252", "WINDOWS-1253", "WINDOWS-1254",
+    "WINDOWS-1255", "WINDOWS-1256", "WINDOWS-1257", "WINDOWS-1258", "CP1250", "CP1251", "CP1252",
+    "KOI8-R", "KOI8-U", "SHIFT_JIS", "SJIS", "EUC-JP", "ISO-2022-JP", "EUC-KR", "GB2312", "GBK", "GB18030",
+    "BIG5", "BIG5-HKSCS", "TIS-620", "MACINTOSH",
+]
+
+
 def with_charset(pages: DataFrame, html_col: str = "html", out: str = "charset", force_latin1: bool = False) -> DataFrame:
-    """Charset declared in a ``<meta ...charset=...>``; none → ``UTF-8``; the
-    ``latin1`` override gives ``ISO-8859-15``.  Names are upper-cased."""
+    """Charset declared in a ``<meta ...charset=...>``, upper-cased; none, or
+    a name no decoder is known for, → ``UTF-8``; the ``latin1`` override gives
+    ``ISO-8859-15``."""
     _require(pages, html_col)
     if force_latin1:
         return pages.withColumn(out, F.lit("ISO-8859-15"))
     raw = F.upper(F.trim(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), CHARSET_RE, 1)))
-    return pages.withColumn(out, F.when(raw == "", F.lit("UTF-8")).otherwise(raw))
+    return pages.withColumn(out, F.when(raw.isin(*KNOWN_CHARSETS), raw).otherwise(F.lit("UTF-8")))
 
 
 def detect_charset(pages: DataFrame, html_col: str = "html") -> DataFrame:

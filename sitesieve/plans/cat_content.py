@@ -77,7 +77,7 @@ def q_robots_nofollow(spark, sf_dir):
 
 
 @register("detect_charset", f"""
-SELECT CASE WHEN c = '' THEN 'UTF-8' ELSE c END AS charset, count(*) AS pages FROM (
+SELECT CASE WHEN c IN ({", ".join("'" + x + "'" for x in C.KNOWN_CHARSETS)}) THEN c ELSE 'UTF-8' END AS charset, count(*) AS pages FROM (
   SELECT upper(trim(regexp_extract(html, {q(C.CHARSET_RE)}, 1))) AS c FROM pages) t GROUP BY 1""")
 def q_detect_charset(spark, sf_dir):
     return C.detect_charset(fx(spark, sf_dir).pages())

@@ -217,3 +217,11 @@ def test_dedup_domains_whole_number_metric(spark):
     # TF is not a Moz metric: dedup without metric (smallest URL per host)
     df2 = spark.createDataFrame([(1, "http://h/b", 9), (2, "http://h/a", 1)], "row_id long, url string, trust_flow int")
     assert [r.url for r in D.dedup_domains(df2, "trust_flow", provider="moz").collect()] == ["http://h/a"]
+
+
+def test_charset(spark):
+    from sitesieve.operators import content as C
+
+    df = spark.createDataFrame([('<meta charset="iso-8859-1">',), ("<meta http-equiv='x' content='text/html; charset=windows-1252'>",),
+                                ('<meta charset="foo">',), ("<p>none</p>",)], "html string")
+    assert [r.charset for r in C.with_charset(df).collect()] == ["ISO-8859-1", "WINDOWS-1252", "UTF-8", "UTF-8"]
