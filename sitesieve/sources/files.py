@@ -22,7 +22,6 @@ from ..operators.urls import coerce_metric_types
 # Marker lines of provider reports (fixed values).
 PROVIDER_MARKERS = {"Ahrefs": "# API : Ahrefs", "Majestic": "# API : Majestic", "Moz": "# API : Moz"}
 DEFAULT_TXT_HEADER = ["URL", "PR"]
-MAX_FILES_SUMMARY = 100_000
 
 
 def _paths(paths) -> list[str]:
@@ -59,19 +58,6 @@ def read_url_list(spark: SparkSession, paths) -> DataFrame:
     return keep.select(F.col("_ord").alias("row_id"), v.alias("url"))
 
 
-def _summary(lines: DataFrame, sep_regex: str) -> list:
-    """Per file: first line, and whether all non-comment lines have one column count."""
-    body = lines.where(F.col("value") != "")
-    stats = body.groupBy("_file").agg(
-        F.min_by("value", _line_order()).alias("first"),
-        F.count_distinct(F.when(~_is_comment(F.col("value")), F.size(F.split("value", sep_regex)))).alias("n_sizes"),
-    )
-    rows = stats.orderBy("_file").limit(MAX_FILES_SUMMARY + 1).collect()
-    if len(rows) > MAX_FILES_SUMMARY:
-        raise ValueError("too many files in one read")
-    return rows
-
-
 def _named_columns(parts, names: list[str]):
     return [F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
 
@@ -79,34 +65,28 @@ def _named_columns(parts, names: list[str]):
 def read_result_txt(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
     """Delimited text.
 
-    The header is line 1 without ``#``; a file whose line 1 has no ``#`` gets
-    the default header ``URL|PR`` and all its lines are data.  Header names
-    become logical names (``HTTP Status`` → ``http_status``).  A file whose
-    lines do not all have the same number of columns is read as a URL list
-    (S1).  Rows with one value fill only the first column.
+    The header is line 1 of the first file without ``#``; when that line has
+    no ``#`` the default header ``URL|PR`` is used and all lines are data.
+    Header names become logical names (``HTTP Status`` → ``http_status``).
+    A file whose lines do not all have the same number of columns is read as
+    a URL list (S1); that test is per file: a per-file table of column-count
+    census is joined back to the lines, so no file list reaches the driver.
+    Rows with one value fill only the first column.
     """
     sep_re = "\\" + sep if not sep.isalnum() else sep
     lines = read_lines(spark, paths)
-    summary = _summary(lines, sep_re)
-    header = None
-    ragged = []
-    for r in summary:
-        if r["n_sizes"] > 1:
-            ragged.append(r["_file"])
-            continue
-        if header is None:
-            first = (r["first"] or "").strip()
-            header = first.replace("#", "").split(sep) if first.startswith("#") else DEFAULT_TXT_HEADER
-    names = [S.logical_name(h) for h in (header or DEFAULT_TXT_HEADER)]
     v = F.col("value")
     data = lines.where((F.trim(v) != "") & ~_is_comment(v))
-    table = data.where(~F.col("_file").isin(ragged)) if ragged else data
+    per_file = data.groupBy("_path").agg(F.count_distinct(F.size(F.split("value", sep_re))).alias("_n_sizes"))
+    first = lines.where(F.trim(v) != "").orderBy(_line_order()).select("value").first()
+    line1 = (first["value"] if first else "").strip()
+    header = line1.replace("#", "").split(sep) if line1.startswith("#") else DEFAULT_TXT_HEADER
+    names = [S.logical_name(h) for h in header]
+    tagged = data.join(per_file, "_path")
     parts = F.split(v, sep_re)
-    out = table.select(F.col("_ord").alias("row_id"), *_named_columns(parts, names))
-    if ragged:
-        urls = data.where(F.col("_file").isin(ragged)).select(F.col("_ord").alias("row_id"), v.alias(names[0]))
-        out = out.unionByName(urls, allowMissingColumns=True)
-    return coerce_metric_types(out)
+    table = tagged.where(F.col("_n_sizes") <= 1).select(F.col("_ord").alias("row_id"), *_named_columns(parts, names))
+    urls = tagged.where(F.col("_n_sizes") > 1).select(F.col("_ord").alias("row_id"), v.alias(names[0]))
+    return coerce_metric_types(table.unionByName(urls, allowMissingColumns=True))
 
 
 def read_result_csv(spark: SparkSession, paths, sep: str = ",", quote: str = '"') -> DataFrame:

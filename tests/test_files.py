@@ -48,3 +48,12 @@ def test_csv_round_trip_with_quotes_and_nulls(spark):
     SK.write_result_csv(df, folder)
     back = sorted((r.anchor, r.http_status) for r in SF.read_result_csv(spark, folder).collect())
     assert back == [("plain", 404), ('say "hi"', None)]
+
+
+def test_ragged_file_demoted_alone(spark):
+    folder = shared_folder(spark, "mixed")
+    spark.createDataFrame([("#URL|HTTP Status",), ("http://a.com/|200",)], "value string").coalesce(1).write.text(folder + "/f1")
+    spark.createDataFrame([("http://b.com/|200",), ("http://c.com/|200|x",)], "value string").coalesce(1).write.text(folder + "/f2")
+    rows = SF.read_result_txt(spark, [folder + "/f1", folder + "/f2"]).collect()
+    got = sorted((r.url, r.http_status) for r in rows)
+    assert got == [("http://a.com/", 200), ("http://b.com/|200", None), ("http://c.com/|200|x", None)]
