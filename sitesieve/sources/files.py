@@ -24,6 +24,16 @@ PROVIDER_MARKERS = {"Ahrefs": "# API : Ahrefs", "Majestic": "# API : Majestic",
 DEFAULT_TXT_HEADER = ["URL", "PR"]
 
 
+def stable_ids(df: DataFrame) -> DataFrame:
+    """Fix the ``row_id`` values of a read: the table is checkpointed into the
+    session's shared checkpoint folder, so every later use (and every retry)
+    sees the same ids (SURVEY §7.4: build the order column at ingest)."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _paths(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -50,12 +60,14 @@ def _is_comment(c):
     return c.startswith("#") | c.startswith('"#')
 
 
-def read_url_list(spark: SparkSession, paths) -> DataFrame:
-    """One URL per line; blank lines and lines starting ``#`` or ``"#`` skipped."""
+def read_url_list(spark: SparkSession, paths, stable: bool = False) -> DataFrame:
+    """One URL per line; blank lines and lines starting ``#`` or ``"#`` skipped.
+    ``stable`` fixes the row ids at ingest (:func:`stable_ids`)."""
     lines = read_lines(spark, paths)
     v = F.col("value")
     keep = lines.where((F.trim(v) != "") & ~_is_comment(v))
-    return keep.select(F.col("_ord").alias("row_id"), v.alias("url"))
+    out = keep.select(F.col("_ord").alias("row_id"), v.alias("url"))
+    return stable_ids(out) if stable else out
 
 
 def _named_columns(parts, names: list[str]):
@@ -120,14 +132,16 @@ def detect_format(spark: SparkSession, paths, sep: str = "|", csv_sep: str = ","
     return "urls"
 
 
-def read_results(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
-    """One reader for S1-S3 by detected format."""
+def read_results(spark: SparkSession, paths, sep: str = "|", stable: bool = False) -> DataFrame:
+    """One reader for S1-S3 by detected format; ``stable`` fixes the row ids."""
     fmt = detect_format(spark, paths, sep)
     if fmt == "csv":
-        return read_result_csv(spark, paths)
-    if fmt == "txt":
-        return read_result_txt(spark, paths, sep)
-    return read_url_list(spark, paths)
+        out = read_result_csv(spark, paths)
+    elif fmt == "txt":
+        out = read_result_txt(spark, paths, sep)
+    else:
+        out = read_url_list(spark, paths)
+    return stable_ids(out) if stable else out
 
 
 def read_provider_report(spark: SparkSession, paths, sep: str = "|") -> DataFrame:

@@ -57,3 +57,10 @@ def test_ragged_file_demoted_alone(spark):
     rows = SF.read_result_txt(spark, [folder + "/f1", folder + "/f2"]).collect()
     got = sorted((r.url, r.http_status) for r in rows)
     assert got == [("http://a.com/", 200), ("http://b.com/|200", None), ("http://c.com/|200|x", None)]
+
+
+def test_stable_ids(spark):
+    p = lines_file(spark, ["http://a.com/1", "http://a.com/2"], "stable")
+    df = SF.read_results(spark, p, stable=True)
+    assert [r.url for r in df.orderBy("row_id").collect()] == ["http://a.com/1", "http://a.com/2"]
+    assert df.select("row_id").collect() == df.select("row_id").collect()
