@@ -1,6 +1,6 @@
 """Platform detection (C6) and rule hits.
 
-The rule file (our own, same shape as the reference's external ``apps.json``:
+The rule file (our own, in the shape of a common open platform-fingerprint format:
 ``apps`` → ``cats``, ``headers``, ``meta``, ``script``, ``html``; and
 ``categories`` → ``name``) is a configuration input.  It is flattened into a
 ``platform_rules`` table with one row per pattern.
