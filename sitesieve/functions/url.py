@@ -154,14 +154,41 @@ def decode_if_absolute(c: ColumnOrName) -> Column:
     return F.when(is_absolute(x), percent_decode(x)).otherwise(x)
 
 
+def remove_dot_segments(path: ColumnOrName) -> Column:
+    """RFC 3986 dot-segment removal of a path starting with ``/``: ``.``
+    segments dropped, ``..`` removes the previous segment (a stack built with
+    ``aggregate`` over the segments, exact for any depth)."""
+    segs = F.split(_c(path), "/")
+    rest = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(1)))
+    stack = F.aggregate(
+        rest,
+        F.array().cast("array<string>"),
+        lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(seg == ".", acc)
+        .otherwise(F.array_append(acc, seg)),
+    )
+    last = F.element_at(segs, -1)
+    stack = F.when(last.isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
+    return F.concat(F.lit("/"), F.array_join(stack, "/"))
+
+
+def _normalized(root: Column, merged: Column) -> Column:
+    """``root`` + ``merged`` with dot segments removed from the path part only."""
+    path = F.regexp_extract(merged, r"^[^?#]*", 0)
+    tail = F.substring(merged, F.length(path) + 1, 2147483647)
+    return F.concat(root, remove_dot_segments(path), tail)
+
+
 def resolve_url(base: ColumnOrName, ref: ColumnOrName) -> Column:
     """Resolve ``ref`` against ``base``.
 
     ``&amp;`` becomes ``&`` first.  An absolute ``ref`` is returned as is; one
     starting with ``?`` or ``#`` is appended to the whole base string; one
+    starting with ``//`` is a network-path reference (base scheme + ref); one
     starting with ``/`` goes after ``scheme://host``; anything else goes after
-    the base's directory.  Port and user info of the base are dropped, as in
-    the reference.
+    the base's directory.  ``.`` and ``..`` path segments of the last two
+    forms are removed (RFC 3986).  Port and user info of the base are
+    dropped, as in the reference.
     """
     b = _c(base)
     r = F.replace(_c(ref), F.lit("&amp;"), F.lit("&"))
@@ -171,8 +198,9 @@ def resolve_url(base: ColumnOrName, ref: ColumnOrName) -> Column:
         F.when(r.isNull(), F.lit(None).cast("string"))
         .when(r.rlike(SCHEME_RE), r)
         .when(r.startswith("?") | r.startswith("#"), F.concat(b, r))
-        .when(r.startswith("/"), F.concat(root, r))
-        .otherwise(F.concat(root, directory, r))
+        .when(r.startswith("//"), F.concat(url_scheme(b), F.lit(":"), r))
+        .when(r.startswith("/"), _normalized(root, r))
+        .otherwise(_normalized(root, F.concat(directory, r)))
     )
 
 

@@ -81,7 +81,9 @@ def test_replace_text_keep_scheme(spark):
 def test_resolve_url(spark):
     base = "http://a.com/d/p?x=1"
     cases = {"/q": "http://a.com/q", "q": "http://a.com/d/q", "?page=2": "http://a.com/d/p?x=1?page=2",
-             "https://b.com/": "https://b.com/", "a&amp;b": "http://a.com/d/a&b"}
+             "https://b.com/": "https://b.com/", "a&amp;b": "http://a.com/d/a&b",
+             "../up?x=/a/../b": "http://a.com/up?x=/a/../b", "./here/": "http://a.com/d/here/", "/a/b/../../c": "http://a.com/c",
+             "x/..": "http://a.com/d/", "//cdn.example.com/j.js": "http://cdn.example.com/j.js", "../../..": "http://a.com/"}
     df = spark.createDataFrame([(base, r) for r in cases], "base string, ref string")
     got = {r.ref: r.res for r in df.select("ref", U.resolve_url("base", "ref").alias("res")).collect()}
     assert got == cases
