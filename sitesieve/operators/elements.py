@@ -216,7 +216,8 @@ def substitute(c: Column, values: dict[str, Column] | None, encoded: bool = True
         raw = F.coalesce(col.cast("string"), F.lit(""))
         if encoded:
             out = F.replace(out, F.lit("{%" + key + "::encoded%}"), U.percent_encode(raw))
-        out = F.replace(out, F.lit("{%" + key + "%}"), raw)
+        # the footprint is kept percent-encoded everywhere it is used (G1)
+        out = F.replace(out, F.lit("{%" + key + "%}"), U.percent_encode(raw) if key == "footprint" else raw)
     return out
 
 

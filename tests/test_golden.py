@@ -227,3 +227,11 @@ def test_charset(spark):
     df = spark.createDataFrame([('<meta charset="iso-8859-1">',), ("<meta http-equiv='x' content='text/html; charset=windows-1252'>",),
                                 ('<meta charset="foo">',), ("<p>none</p>",)], "html string")
     assert [r.charset for r in C.with_charset(df).collect()] == ["ISO-8859-1", "WINDOWS-1252", "UTF-8", "UTF-8"]
+
+
+def test_decorate_items_footprint_encoded(spark):
+    from sitesieve.operators import elements as EL
+
+    df = spark.createDataFrame([("x", "a b", "u"), ("", "a b", "u")], "item string, fp string, c1 string")
+    out = [r.item for r in EL.decorate_items(df, "item", "[{%footprint%}] ", " {%custom1%}{%custom1::encoded%}", {"footprint": "fp", "custom1": "c1"}).collect()]
+    assert out == ["[a%20b] x u{%custom1::encoded%}", ""]
