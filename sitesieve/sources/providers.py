@@ -190,10 +190,11 @@ def parse_moz_metrics(api_raw: DataFrame) -> DataFrame:
 
 
 def parse_ahrefs_metrics(api_raw: DataFrame) -> DataFrame:
-    """``metrics.backlinks`` for the one URL asked about."""
+    """``metrics.backlinks`` for the one URL asked about (a fraction is cut
+    off, not rounded, as the reference's integer cast does)."""
     _require(api_raw, "target", "body")
     b = F.get_json_object(F.col("body"), "$.metrics.backlinks")
-    return api_raw.select(F.col("target").alias("url"), _long(b).alias("backlinks"))
+    return api_raw.select(F.col("target").alias("url"), b.try_cast("double").try_cast("long").alias("backlinks"))
 
 
 def parse_availability_json(api_raw: DataFrame) -> DataFrame:

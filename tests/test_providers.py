@@ -54,8 +54,9 @@ def test_ahrefs(spark):
     good = [r for r in out if r.error is None][0]
     assert (good.url, good.nofollow, good.url_rank, good.domain_rank, good.obl, good.ip) == ("http://a.com/1", True, 9, 40, 17, "10.0.0.1")
     assert sorted(r.error for r in out if r.error) == ["no refpages", "x"]
-    m = PR.parse_ahrefs_metrics(raw(spark, [("ahrefs", 10, "http://a/", 200, '{"metrics":{"backlinks":120}}', [])])).first()
-    assert m.backlinks == 120
+    m = PR.parse_ahrefs_metrics(raw(spark, [("ahrefs", 10, "http://a/", 200, '{"metrics":{"backlinks":120}}', []),
+                                            ("ahrefs", 10, "http://b/", 200, '{"metrics":{"backlinks":7.9}}', [])])).collect()
+    assert {r.url: r.backlinks for r in m} == {"http://a/": 120, "http://b/": 7}
 
 
 def test_availability_json(spark):
