@@ -47,10 +47,24 @@ def _custom_value(c: Column, encoded: bool) -> Column:
     return F.replace(out, F.lit("%7B%25custom2%25%7D"), F.lit("{%custom2%}"))
 
 
-def fill_template(template: Column, name: str, value: Column) -> Column:
-    """Replace ``{%name%}`` and ``{%name::encoded%}`` in ``template``."""
-    t = F.replace(template, F.lit("{%" + name + "::encoded%}"), _custom_value(value, True))
-    return F.replace(t, F.lit("{%" + name + "%}"), _custom_value(value, False))
+def first_form_encoded(template: str, name: str) -> bool:
+    """Whether the first ``{%name...%}`` placeholder of the template is the ``::encoded`` form."""
+    m = re.search(r"\{%" + name + r"(::encoded)?%\}", template or "")
+    return bool(m and m.group(1))
+
+
+def fill_template(template: Column, name: str, value: Column, encoded: bool | None = None) -> Column:
+    """Replace ``{%name%}`` and ``{%name::encoded%}`` in ``template``.
+
+    With ``encoded`` given, both forms get the same value, encoded or not (the
+    reference encodes every occurrence the way its first occurrence asks);
+    without it each form gets its own encoding."""
+    if encoded is None:
+        t = F.replace(template, F.lit("{%" + name + "::encoded%}"), _custom_value(value, True))
+        return F.replace(t, F.lit("{%" + name + "%}"), _custom_value(value, False))
+    v = _custom_value(value, encoded)
+    t = F.replace(template, F.lit("{%" + name + "::encoded%}"), v)
+    return F.replace(t, F.lit("{%" + name + "%}"), v)
 
 
 def frontier_footprint(footprints: DataFrame, template: str, col: str = "footprint") -> DataFrame:
@@ -85,12 +99,15 @@ def frontier_customs(
     Each list is a one-column DataFrame.  Unused lists are dropped first (G4).
     With both lists the smaller one (by a checked count) is gathered into an
     array and exploded next to each row of the larger one (J11).  A missing
-    list gives ``""`` in its column.  Decision (SURVEY §2.10): list 2 alone
-    fills ``{%custom2%}``.
+    list gives ``""`` in its column.  All occurrences of a list's placeholder
+    are encoded the way its first occurrence asks; the footprint is put in
+    percent-encoded.  Decision (SURVEY §2.10): list 2 alone fills
+    ``{%custom2%}``.
     """
     base = F.lit(template)
     if footprint:
-        base = F.replace(base, F.lit("{%footprint%}"), F.lit(footprint))
+        base = F.replace(base, F.lit("{%footprint%}"), U.percent_encode(F.lit(footprint)))
+    enc1, enc2 = first_form_encoded(template, "custom1"), first_form_encoded(template, "custom2")
     c1, c2 = drop_unused_lists(template, rule_texts or [], custom1, custom2)
 
     def one(df: DataFrame) -> DataFrame:
@@ -100,14 +117,14 @@ def frontier_customs(
         return spark.range(1).select(base.alias("url"), F.lit("").alias("custom1"), F.lit("").alias("custom2"))
     if c2 is None:
         l1 = one(c1)
-        return l1.select(fill_template(base, "custom1", F.col("v")).alias("url"), F.col("v").alias("custom1"), F.lit("").alias("custom2"))
+        return l1.select(fill_template(base, "custom1", F.col("v"), enc1).alias("url"), F.col("v").alias("custom1"), F.lit("").alias("custom2"))
     if c1 is None:
         l2 = one(c2)
-        return l2.select(fill_template(base, "custom2", F.col("v")).alias("url"), F.lit("").alias("custom1"), F.col("v").alias("custom2"))
-    return expand_customs(base, one(c1), one(c2))
+        return l2.select(fill_template(base, "custom2", F.col("v"), enc2).alias("url"), F.lit("").alias("custom1"), F.col("v").alias("custom2"))
+    return expand_customs(base, one(c1), one(c2), enc1, enc2)
 
 
-def expand_customs(template: Column, c1: DataFrame, c2: DataFrame) -> DataFrame:
+def expand_customs(template: Column, c1: DataFrame, c2: DataFrame, enc1: bool | None = None, enc2: bool | None = None) -> DataFrame:
     """Product of two lists (column ``v`` each), the larger one kept partitioned."""
     n1 = c1.count()
     n2 = c2.count()
@@ -117,7 +134,7 @@ def expand_customs(template: Column, c1: DataFrame, c2: DataFrame) -> DataFrame:
     arr = small.select(F.array_sort(F.collect_list(F.col("v"))).alias("a")).scalar()
     pairs = big.select(F.col("v").alias("_b"), F.explode(arr).alias("_s"))
     v1, v2 = (F.col("_b"), F.col("_s")) if small_is_2 else (F.col("_s"), F.col("_b"))
-    url = fill_template(fill_template(template, "custom1", v1), "custom2", v2)
+    url = fill_template(fill_template(template, "custom1", v1, enc1), "custom2", v2, enc2)
     return pairs.select(url.alias("url"), v1.alias("custom1"), v2.alias("custom2"))
 
 

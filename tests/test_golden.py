@@ -235,3 +235,11 @@ def test_decorate_items_footprint_encoded(spark):
     df = spark.createDataFrame([("x", "a b", "u"), ("", "a b", "u")], "item string, fp string, c1 string")
     out = [r.item for r in EL.decorate_items(df, "item", "[{%footprint%}] ", " {%custom1%}{%custom1::encoded%}", {"footprint": "fp", "custom1": "c1"}).collect()]
     assert out == ["[a%20b] x u{%custom1::encoded%}", ""]
+
+
+def test_frontier_customs_forms(spark):
+    c1 = spark.createDataFrame([("a b",)], "v string")
+    out = G.frontier_customs(spark, "http://s/?q={%custom1::encoded%}&r={%custom1%}&f={%footprint%}", c1, None, footprint="x y").first()
+    assert out.url == "http://s/?q=a%20b&r=a%20b&f=x%20y"
+    out2 = G.frontier_customs(spark, "http://s/?r={%custom1%}&q={%custom1::encoded%}", c1, None).first()
+    assert out2.url == "http://s/?r=a b&q=a b"
