@@ -124,5 +124,11 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
     rows = frontier.join(items, "url").select("page_id", "url", "custom1", "custom2", F.explode("_items").alias("item"))
     rows = decorate_items(rows, "item", rule.prefix, rule.suffix, {"custom1": "custom1", "custom2": "custom2", "scrapurl": "url"})
     if headers:
-        rows = coerce_metric_types(split_custom_columns(rows, "item", headers))
+        from .. import schemas as S
+
+        names = S.custom_scrap_columns(headers)
+        split = split_custom_columns(rows, "item", names[: min(len(headers), S.MAX_CUSTOM_HEADERS)])
+        for c in names[min(len(headers), S.MAX_CUSTOM_HEADERS):]:
+            split = split.withColumn(c, F.lit(None).cast(S.TYPES.get(c, "string")))
+        rows = coerce_metric_types(split)
     return dedup_urls(rows, "item", "page_id")

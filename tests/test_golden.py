@@ -243,3 +243,12 @@ def test_frontier_customs_forms(spark):
     assert out.url == "http://s/?q=a%20b&r=a%20b&f=x%20y"
     out2 = G.frontier_customs(spark, "http://s/?r={%custom1%}&q={%custom1::encoded%}", c1, None).first()
     assert out2.url == "http://s/?r=a b&q=a b"
+
+
+def test_custom_scrap_columns():
+    from sitesieve import schemas as S
+
+    assert S.custom_scrap_columns(["Title", "Price"]) == ["title", "price"]
+    cols = S.custom_scrap_columns(["URL", "Title"])
+    assert cols[:2] == ["url", "title"] and "http_status" in cols and "domain_available" in cols
+    assert len(S.custom_scrap_columns([f"h{i}" for i in range(50)])) == 35
