@@ -25,6 +25,18 @@ def removed_count(before: DataFrame, after: DataFrame) -> int:
     return before.count() - after.count()
 
 
+def removed_counts(before: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
+    """The reference's "N rows removed" report as a lazy DataFrame: one row per
+    named filter result with ``removed = count(before) - count(result)``."""
+    total = before.select(F.count("*").cast("long")).scalar()
+    parts = [df.agg(F.count("*").cast("long").alias("_n")).select(F.lit(name).alias("filter"), (total - F.col("_n")).alias("removed"))
+             for name, df in results.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def remove_bad_urls(df: DataFrame, status_col: str = "http_status") -> DataFrame:
     """keep 200 <= status < 400, or an empty status."""
     _require(df, status_col)

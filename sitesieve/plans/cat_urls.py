@@ -428,3 +428,14 @@ def q_append_rows(spark, sf_dir):
 def q_replace_or_append(spark, sf_dir):
     f = fx(spark, sf_dir)
     return S.replace_or_append(f.urls(), f.crawl().select("url", F.col("http_status").cast("int")), "append")
+
+
+@register("removed_counts", urls_sql("""
+SELECT 'remove_bad_urls' AS filter, count(*) FILTER (WHERE NOT (http_status IS NULL OR (http_status >= 200 AND http_status < 400))) AS removed FROM fx_urls
+UNION ALL SELECT 'drop_containing', count(*) FILTER (WHERE contains(url, 'blog.')) FROM fx_urls
+UNION ALL SELECT 'drop_lower', count(*) FILTER (WHERE tf < 25) FROM fx_urls"""))
+def q_removed_counts(spark, sf_dir):
+    """§2.3: the number of rows each filter removes, as one lazy report."""
+    u = fx(spark, sf_dir).urls()
+    return FL.removed_counts(u, {"remove_bad_urls": FL.remove_bad_urls(u), "drop_containing": FL.drop_containing(u, "url", "blog."),
+                                 "drop_lower": FL.drop_lower(u, "tf", 25)})
