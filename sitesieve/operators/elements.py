@@ -1,8 +1,9 @@
 """HTML elements and rule-based extraction.
 
-C2 is the only operator that needs Python on the rows: the standard-library
-``html.parser`` runs inside ``mapInPandas`` (Arrow batches, one parser per
-page), because Spark's ``xpath`` rejects real-world HTML.  Everything after
+C2 needs Python on the rows: the standard-library ``html.parser`` runs
+inside ``mapInPandas`` (Arrow batches, one parser per page), because
+Spark's ``xpath`` rejects real-world HTML.  Rules that only read attributes
+or count elements avoid it altogether (the regex engine of C3).  Everything after
 it is Spark columns: rules compile to filters over the element rows, and all
 rules of a query are answered by *one* aggregation (conditional
 ``collect_list``), so the Python stage runs once per plan and only matched
