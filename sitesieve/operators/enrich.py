@@ -37,11 +37,24 @@ def latest_fetch(fetch_log: DataFrame, cols: list[str] | None = None, url_col: s
     return picked.select(url_col, *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
-def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], only_empty: bool) -> DataFrame:
-    """Left join ``df`` with ``upd`` (already one row per key) and set ``cols``."""
+def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], only_empty: bool, salt: int = 1) -> DataFrame:
+    """Left join ``df`` with ``upd`` (already one row per key) and set ``cols``.
+
+    With ``salt > 1`` the join is salted: each row of ``df`` gets a salt from
+    a hash of its own columns (deterministic, so a retried task sends rows to
+    the same place) and the answer side, one row per key, is repeated once per
+    salt value; a key holding a large share of ``df`` is spread over ``salt``
+    tasks instead of one.  Without it AQE's skew-join split does that at run
+    time when enabled.
+    """
+    base_cols = list(df.columns)
+    if salt > 1:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in base_cols]), F.lit(salt)))
+        upd = upd.withColumn("_usalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+        on = on & (df["_salt"] == upd["_usalt"])
     joined = df.join(upd, on, "left")
     out = []
-    for c in df.columns:
+    for c in base_cols:
         if c in cols:
             new = upd[f"_u_{c}"]
             if only_empty:
@@ -51,7 +64,7 @@ def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], onl
         else:
             out.append(df[c])
     for c in cols:
-        if c not in df.columns:
+        if c not in base_cols:
             out.append(upd[f"_u_{c}"].alias(c))
     return joined.select(*out)
 
@@ -66,16 +79,18 @@ def _one_per_key(updates: DataFrame, keys: list[str], cols: list[str], order_col
     return reduced.select(*[f"_k_{k}" for k in keys], *[F.col(f"_p._u_{c}").alias(f"_u_{c}") for c in cols], F.lit(True).alias("_u_hit"))
 
 
-def update_by_url(df: DataFrame, updates: DataFrame, cols: list[str], key: str = "url", order_col: str | None = None, only_empty: bool = False) -> DataFrame:
+def update_by_url(df: DataFrame, updates: DataFrame, cols: list[str], key: str = "url", order_col: str | None = None,
+                  only_empty: bool = False, salt: int = 1) -> DataFrame:
     """Set ``cols`` on every row whose URL has an update; unmatched rows unchanged.
 
     Several rows with the same URL are all updated.  Several updates for one
     URL: the one with the largest ``order_col`` wins (else the largest value).
+    ``salt`` spreads a hot URL over that many tasks (see ``_set_columns``).
     """
     _require(df, key)
     _require(updates, key, *cols)
     upd = _one_per_key(updates, [key], cols, order_col)
-    return _set_columns(df, upd, df[key] == upd[f"_k_{key}"], cols, only_empty)
+    return _set_columns(df, upd, df[key] == upd[f"_k_{key}"], cols, only_empty, salt)
 
 
 def update_by_domain(
@@ -87,9 +102,10 @@ def update_by_domain(
     col: str = "url",
     key: str = "domain",
     only_empty: bool = False,
+    salt: int = 1,
 ) -> DataFrame:
     """Like J1, matched on the URL's host (``domain_only=False``) or its
-    registered domain without scheme (P2)."""
+    registered domain without scheme (P2); ``salt`` as in J1."""
     _require(df, col)
     _require(updates, key, *cols)
     if domain_only:
@@ -99,17 +115,18 @@ def update_by_domain(
     else:
         keyed = df.withColumn("_dkey", U.url_host(col))
     upd = _one_per_key(updates, [key], cols, None)
-    out = _set_columns(keyed, upd, keyed["_dkey"] == upd[f"_k_{key}"], cols, only_empty)
+    out = _set_columns(keyed, upd, keyed["_dkey"] == upd[f"_k_{key}"], cols, only_empty, salt)
     return out.drop("_dkey")
 
 
-def update_by_pair(df: DataFrame, updates: DataFrame, cols: list[str], keys: tuple[str, str] = ("url", "backlink_for"), only_empty: bool = False) -> DataFrame:
-    """Like J1, matched on (url, backlink_for)."""
+def update_by_pair(df: DataFrame, updates: DataFrame, cols: list[str], keys: tuple[str, str] = ("url", "backlink_for"),
+                   only_empty: bool = False, salt: int = 1) -> DataFrame:
+    """Like J1, matched on (url, backlink_for); ``salt`` as in J1."""
     _require(df, *keys)
     _require(updates, *keys, *cols)
     upd = _one_per_key(updates, list(keys), cols, None)
     cond = (df[keys[0]] == upd[f"_k_{keys[0]}"]) & (df[keys[1]] == upd[f"_k_{keys[1]}"])
-    return _set_columns(df, upd, cond, cols, only_empty)
+    return _set_columns(df, upd, cond, cols, only_empty, salt)
 
 
 def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status") -> DataFrame:
@@ -220,15 +237,16 @@ def enrich_backlinks(
     suffixes: SuffixTable | DataFrame | None = None,
     col: str = "url",
     key: str = "target",
+    salt: int = 1,
 ) -> DataFrame:
     """Provider metrics joined by URL (level 0), host (1) or registered domain (2)."""
     _require(metrics, key, *cols)
     if level == 0:
         m = metrics.withColumnRenamed(key, col)
-        return update_by_url(urls, m, cols, col, only_empty=True)
+        return update_by_url(urls, m, cols, col, only_empty=True, salt=salt)
     if level in (1, 2):
         m = metrics.withColumnRenamed(key, "domain")
-        return update_by_domain(urls, m, cols, suffixes, level == 2, col, "domain", only_empty=True)
+        return update_by_domain(urls, m, cols, suffixes, level == 2, col, "domain", only_empty=True, salt=salt)
     raise ValueError("level must be 0 (URL), 1 (host) or 2 (registered domain)")
 
 

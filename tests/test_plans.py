@@ -66,3 +66,13 @@ def test_filters_reach_the_parquet_scan(spark):
     assert "PushedFilters: [Or(IsNull(http_status),And(GreaterThanOrEqual(http_status,200)" in p.replace(" ", "").replace("PushedFilters:[", "PushedFilters: ["), p
     read_schema = p.split("ReadSchema:")[1].split("\n")[0]
     assert "payload" not in read_schema and "row_id" not in read_schema, p
+
+
+def test_salted_update_equals_plain(spark):
+    df = skewed(spark)
+    upd = spark.createDataFrame([("http://hot.com/", 7), ("http://h1.com/p1", 3)], "url string, obl int")
+    plain = sorted(tuple(r) for r in E.update_by_url(df, upd, ["obl"]).collect())
+    salted_df = E.update_by_url(df, upd, ["obl"], salt=8)
+    assert sorted(tuple(r) for r in salted_df.collect()) == plain
+    assert salted_df.columns == ["row_id", "url", "tf", "obl"]
+    assert "xxhash64" in plan(salted_df)
