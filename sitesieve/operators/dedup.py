@@ -85,13 +85,35 @@ def sort_by(df: DataFrame, col: str, ascending: bool = True, order_col: str = "r
     return df.orderBy(key, F.col(order_col).asc())
 
 
-def page_of(df: DataFrame, offset: int = 0, n: int = 100, order_col: str = "row_id") -> DataFrame:
-    """O2: the visible window of rows ``offset .. offset+n`` in row order (the limit is the feature)."""
+# Up to this many rows a window is a top-k (each task keeps offset+n rows);
+# deeper windows use global row positions instead.
+TOPK_MAX = 100_000
+
+
+def _window_by_position(df: DataFrame, start: int, n: int, order_col: str) -> DataFrame:
+    from .enrich import with_global_position
+
+    pos = with_global_position(df, order_col, "_pos")
+    return pos.where((F.col("_pos") >= start) & (F.col("_pos") < start + n)).drop("_pos")
+
+
+def page_of(df: DataFrame, offset: int = 0, n: int = 100, order_col: str = "row_id", topk_max: int | None = None) -> DataFrame:
+    """O2: the visible window of rows ``offset .. offset+n`` in row order (the limit is the feature).
+
+    A shallow window is a top-k; past ``TOPK_MAX`` rows the window is a filter
+    on global row positions (A10's partition offsets), so a deep page does
+    not make every task keep ``offset + n`` rows.
+    """
     _require(df, order_col)
-    return df.orderBy(order_col).offset(offset).limit(n)
+    if offset + n <= (TOPK_MAX if topk_max is None else topk_max):
+        return df.orderBy(order_col).offset(offset).limit(n)
+    return _window_by_position(df, offset, n, order_col)
 
 
-def frontier_slice(df: DataFrame, n: int = 10000, order_col: str = "row_id") -> DataFrame:
-    """O3: the first ``n`` frontier items (a top-n by order column)."""
+def frontier_slice(df: DataFrame, n: int = 10000, order_col: str = "row_id", topk_max: int | None = None) -> DataFrame:
+    """O3: the first ``n`` frontier items (a top-n by order column; by global
+    row positions when ``n`` exceeds ``TOPK_MAX``)."""
     _require(df, order_col)
-    return df.orderBy(order_col).limit(n)
+    if n <= (TOPK_MAX if topk_max is None else topk_max):
+        return df.orderBy(order_col).limit(n)
+    return _window_by_position(df, 0, n, order_col)

@@ -439,3 +439,16 @@ def q_removed_counts(spark, sf_dir):
     u = fx(spark, sf_dir).urls()
     return FL.removed_counts(u, {"remove_bad_urls": FL.remove_bad_urls(u), "drop_containing": FL.drop_containing(u, "url", "blog."),
                                  "drop_lower": FL.drop_lower(u, "tf", 25)})
+
+
+@register("page_of_deep", urls_sql(f"SELECT {COLS} FROM fx_urls ORDER BY row_id LIMIT 100 OFFSET 40000"))
+def q_page_of_deep(spark, sf_dir):
+    """O2 for a deep window, served by global row positions (the top-k bound
+    is lowered so that path runs at the test scale)."""
+    return D.page_of(fx(spark, sf_dir).urls(), offset=40000, n=100, topk_max=1000)
+
+
+@register("frontier_slice_large", urls_sql(f"SELECT {COLS} FROM fx_urls ORDER BY row_id LIMIT 20000"))
+def q_frontier_slice_large(spark, sf_dir):
+    """O3 for a slice larger than the top-k bound (global row positions)."""
+    return D.frontier_slice(fx(spark, sf_dir).urls(), 20000, topk_max=1000)
