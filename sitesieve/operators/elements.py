@@ -138,9 +138,11 @@ def extract_elements(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """
     _require(pages, id_col, html_col)
     carry = list(carry or [])
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"),
+    src = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"),
                        *[F.col(c).cast("string").alias(c) for c in carry])
-    schema = T.StructType(ELEMENT_SCHEMA.fields + [T.StructField(c, T.StringType()) for c in carry])
+    # the page key keeps its own type (a number, or e.g. the URL itself)
+    fields = [T.StructField("page_id", pages.schema[id_col].dataType)] + ELEMENT_SCHEMA.fields[1:]
+    schema = T.StructType(fields + [T.StructField(c, T.StringType()) for c in carry])
     wanted = frozenset(t.lower() for t in tags) if tags is not None else None
     return src.mapInPandas(_elements_fn(wanted, carry), schema)
 
@@ -298,7 +300,7 @@ def _regex_items(pages: DataFrame, rules: list[Rule], id_col: str, html_col: str
             items = F.transform(items, lambda x: U.decode_if_absolute(html_to_text(x)))
         cols.append(items.alias(r.name))
     keep = [c for c in pages.columns if c not in (id_col, html_col)]
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), *keep, *cols)
+    return pages.select(F.col(id_col).alias("page_id"), *keep, *cols)
 
 
 def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", html_col: str = "html",
@@ -316,7 +318,8 @@ def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
     expressions (no Python, no shuffle) and serves rules whose output is an
     attribute or a count; ``auto`` picks ``regex`` when every rule allows it.
     The regex path sees tags inside comments or script text, which the
-    parser skips.
+    parser skips.  ``id_col`` may be of any type (a page number, or the URL);
+    it is returned as ``page_id``.
 
     One aggregation answers all rules; items keep document order (sorted
     ``(pos, value)`` structs, not ``collect_list`` order).  Pages without a
@@ -344,7 +347,7 @@ def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
         else:
             aggs.append(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("pos"), r.value().alias("v"))))).alias(r.name))
     per_page = el.groupBy("page_id").agg(*aggs)
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), *[c for c in pages.columns if c not in (id_col, html_col)])
+    base = pages.select(F.col(id_col).alias("page_id"), *[c for c in pages.columns if c not in (id_col, html_col)])
     out = base.join(per_page, "page_id", "left")
     cols = []
     for r in rules:

@@ -111,23 +111,72 @@ def follow_pagination(
 ) -> DataFrame:
     """From each seed URL, extract items and follow the next-page link.
 
-    Each round joins the frontier to ``pages`` on URL (pages never fetched end
-    the chain), evaluates the content rules and the pagination rule in one
-    element pass (C3/C4), and keeps next URLs that this seed has not visited
-    (left-anti join against the visited set).  The visited set makes the loop
-    terminate on cycles; ``max_pages`` is an optional extra bound.  Result:
-    one row per fetched page: seed, hop, page URL and one items column per
+    Chains end at a page never fetched (not in ``pages``), at a page without
+    a next link, or at a URL this seed already visited (so cycles end);
+    ``max_pages`` is an optional extra bound on hops.  Result: one row per
+    fetched page of a chain: seed, hop, page URL and one items column per
     content rule.
+
+    When the pagination rule reads an attribute (the usual next-link rule),
+    the page table is read twice in all: once to build a compact edge table
+    (page URL → next URL, JVM regex engine), which the rounds then walk
+    (checkpointed each round), and once to extract the content items of the
+    visited pages only.  Otherwise each round joins the frontier to the pages
+    and evaluates content and pagination rules in one element pass.
     """
-    from ..operators.elements import Rule, extract_items
+    from ..operators.elements import Rule, _regex_ok
+
+    nxt_rule = Rule("_next", pagination.tag, pagination.tests, pagination.output)
+    if _regex_ok([nxt_rule]):
+        return _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages)
+    return _follow_by_rounds(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages)
+
+
+def _walk_start(seeds: DataFrame, seed_col: str, url_col: str) -> DataFrame:
+    return seeds.select(F.col(seed_col).alias("seed_id"), F.col(url_col).alias("url"), F.lit(0).alias("hop"))
+
+
+def _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
+    from ..operators.elements import extract_items
+
+    spark = seeds.sparkSession
+    ensure_checkpoint_dir(spark)
+    body = pages.select(F.col("url"), F.col("html"))
+    # 1. one pass over the pages: page URL -> next URL (JVM only, compact)
+    nx = extract_items(body, [nxt_rule], id_col="url", html_col="html", engine="regex")
+    first = F.when(F.size("_next") > 0, F.element_at("_next", 1))
+    edges = nx.select(F.col("page_id").alias("url"), U.resolve_url(F.col("page_id"), first).alias("_to"))
+    edges = edges.groupBy("url").agg(F.min("_to").alias("_to"), F.lit(True).alias("_fetched")).checkpoint(eager=True)
+    # 2. walk the chains over the edge table
+    frontier = _walk_start(seeds, seed_col, url_col).join(edges.select("url"), "url", "left_semi").checkpoint(eager=True)
+    visited_parts = [frontier]
+    visited = frontier.select("seed_id", "url")
+    while not frontier.isEmpty():
+        nxt = frontier.join(edges, "url").where(F.col("_to").isNotNull() & (F.col("_to") != ""))
+        nxt = nxt.select("seed_id", F.col("_to").alias("url"), (F.col("hop") + 1).alias("hop"))
+        if max_pages is not None:
+            nxt = nxt.where(F.col("hop") < max_pages)
+        nxt = nxt.join(edges.select("url"), "url", "left_semi")  # only pages that were fetched
+        nxt = nxt.join(visited, ["seed_id", "url"], "left_anti").dropDuplicates(["seed_id", "url"])
+        frontier = nxt.checkpoint(eager=True)
+        visited_parts.append(frontier)
+        visited = visited.unionByName(frontier.select("seed_id", "url")).checkpoint(eager=True)
+    walked = reduce(lambda l, r: l.unionByName(r), visited_parts)
+    # 3. content items of the visited pages only, joined back by URL
+    needed = body.join(walked.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    items = extract_items(needed, list(content), id_col="url", html_col="html")
+    items = items.select(F.col("page_id").alias("url"), *[r.name for r in content])
+    out = walked.join(items, "url")
+    return out.select("seed_id", "hop", F.col("url").alias("page_url"), *[r.name for r in content])
+
+
+def _follow_by_rounds(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
+    from ..operators.elements import extract_items
 
-    _require(seeds, seed_col, url_col)
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    nxt_rule = Rule("_next", pagination.tag, pagination.tests, pagination.output)
     body = pages.select(F.col("url").alias("_purl"), F.col("html")).dropDuplicates(["_purl"])
-    frontier = seeds.select(F.col(seed_col).alias("seed_id"), F.col(url_col).alias("url"), F.lit(0).alias("hop"))
-    frontier = frontier.checkpoint(eager=True)
+    frontier = _walk_start(seeds, seed_col, url_col).checkpoint(eager=True)
     visited = frontier.select("seed_id", "url")
     parts: list[DataFrame] = []
     while not frontier.isEmpty():
