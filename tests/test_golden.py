@@ -252,3 +252,21 @@ def test_custom_scrap_columns():
     cols = S.custom_scrap_columns(["URL", "Title"])
     assert cols[:2] == ["url", "title"] and "http_status" in cols and "domain_available" in cols
     assert len(S.custom_scrap_columns([f"h{i}" for i in range(50)])) == 35
+
+
+def test_pagination_paths_agree(spark):
+    from pyspark.sql import functions as F
+
+    from sitesieve.operators import elements as EL
+    from sitesieve.plans import loops as L
+    from sitesieve.plans.fixtures import Fixtures
+
+    paged = Fixtures(spark, "/root/testdata/sf0.001").paged_html()
+    seeds = paged.where(F.col("page_id") % 4 == 0).select(F.col("page_id").alias("seed_id"), "url")
+    h1 = EL.Rule("h1", "h1")
+    nxt = EL.Rule("_next", "a", (EL.Test("class", "=", "next"),), "@href")
+    a = sorted((r.seed_id, r.hop, r.page_url, tuple(r.h1)) for r in L._follow_by_edges(seeds, paged, [h1], nxt, "seed_id", "url", None).collect())
+    b = sorted((r.seed_id, r.hop, r.page_url, tuple(r.h1)) for r in L._follow_by_rounds(seeds, paged, [h1], nxt, "seed_id", "url", None).collect())
+    assert a == b and len(a) == 50
+    capped = L.follow_pagination(seeds, paged, [h1], EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"), max_pages=2)
+    assert max(r.hop for r in capped.collect()) == 1
