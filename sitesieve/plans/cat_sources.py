@@ -271,6 +271,20 @@ def q_stream_items(spark, sf_dir):
     return out.select("page_id", "rule", "idx", "item")
 
 
+@register("stream_items_text", """
+SELECT page_id, 'h1' AS rule, 0 AS idx,
+       replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'),
+               '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&') AS item FROM pages""")
+def q_stream_items_text(spark, sf_dir):
+    """T1 with a text rule: each micro-batch runs C3's parser engine inside foreachBatch."""
+    from ..operators import elements as EL
+
+    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-text-in")
+    sink, session, ckpt = ST.shared_folder(spark, "text-out"), ST.shared_folder(spark, "text-session"), ST.shared_folder(spark, "text-ckpt")
+    ST.run_items_per_batch(ST.read_stream(spark, src, schema), [EL.Rule("h1", "h1")], sink, session, ckpt)
+    return spark.read.parquet(sink).select("page_id", "rule", "idx", "item")
+
+
 @register("stream_session_items", """SELECT unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS value FROM pages""")
 def q_stream_session_items(spark, sf_dir):
     """S10 fed by T1: the session folder holds every non-empty item once."""

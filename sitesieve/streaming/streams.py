@@ -71,6 +71,31 @@ def run_append_with_session(sdf: DataFrame, sink: str, session: str, checkpoint:
     q.awaitTermination()
 
 
+def run_items_per_batch(pages_stream: DataFrame, rules: list, sink: str, session: str, checkpoint: str) -> None:
+    """T1 for any rule (text rules included): each micro-batch of pages is an
+    ordinary DataFrame inside ``foreachBatch``, so C3 runs with its parser
+    engine and one aggregation per batch; items go to ``sink/batch=<id>`` and
+    the session folder (exactly-once on replay).  The session lines are read
+    back from the written items, so the parser runs once per batch."""
+    from ..operators.elements import extract_items
+    from ..sources.sinks import append_session_results
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        items = extract_items(batch, rules)
+        rows = None
+        for r in rules:
+            part = items.select("page_id", F.lit(r.name).alias("rule"), F.posexplode(r.name).alias("idx", "item"))
+            rows = part if rows is None else rows.unionByName(part)
+        out = f"{sink}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(out)
+        written = batch.sparkSession.read.parquet(out)
+        append_session_results(written, f"{session}/batch={batch_id}", "item", mode="overwrite")
+
+    q = (pages_stream.writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def stream_dedup(url_stream: DataFrame, col: str = "url", ts_col: str = "ts", delay: str = "36500 days") -> DataFrame:
     """Drop URLs already seen within the watermark delay of their first arrival."""
     if url_stream.schema[ts_col].dataType.typeName() != "timestamp":
