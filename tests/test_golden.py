@@ -270,3 +270,12 @@ def test_pagination_paths_agree(spark):
     assert a == b and len(a) == 50
     capped = L.follow_pagination(seeds, paged, [h1], EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"), max_pages=2)
     assert max(r.hop for r in capped.collect()) == 1
+
+
+def test_fill_timeouts_sentinels(spark):
+    df = spark.createDataFrame([("timeout",), ("ok",)], "outcome string")
+    expect = {"status": ("http_status", 503), "redirect": ("http_status", 503), "dofollow": ("dofollow_pct", -2.0),
+              "obl": ("obl", -1), "availability": ("domain_available", "API timeout"), "platform": ("platform", "Server timeout")}
+    for op, (col_name, value) in expect.items():
+        got = [r[col_name] for r in P.fill_timeouts(df, op).collect()]
+        assert got == [value, None], op
