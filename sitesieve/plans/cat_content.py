@@ -306,3 +306,19 @@ def q_extract_items_placeholders(spark, sf_dir):
     rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "{%custom1%}"),), "@href")
     it = EL.extract_items(p, [rule], placeholders={"custom1": "c1"})
     return it.select("page_id", F.posexplode("nav").alias("idx", "item"))
+
+
+@register("detect_platform_headers", with_ctes(
+    "SELECT page_id, CASE WHEN page_id % 6 = 0 AND NOT (http_status > 400) IS TRUE THEN 'CMS | Drupal' ELSE platform_raw END AS platform_raw FROM ("
+    + PLATFORM_ORACLE.replace("SELECT page_id, url, CASE", "SELECT page_id, url, http_status, CASE") + ") d",
+    "fx_crawl", "fx_links"))
+def q_detect_platform_headers(spark, sf_dir):
+    """C6 with response headers (a fetch-log ``headers`` map): ``X-Generator:
+    Drupal`` on every sixth page; Drupal (category 1) is tried before the
+    other apps, so the header rule wins where it hits."""
+    f = fx(spark, sf_dir)
+    hdr = F.when(F.col("page_id") % 6 == 0, F.create_map(F.lit("X-Generator"), F.lit("Drupal 9 (https://www.drupal.org)"))) \
+        .otherwise(F.create_map(F.lit("Server"), F.lit("nginx")))
+    pages = f.html(extras=True).join(f.crawl().select("page_id", F.col("http_status").cast("int")), "page_id").withColumn("headers", hdr)
+    d = PL.detect_platform(pages, f.platform_rules(), status_col="http_status", headers_col="headers")
+    return d.select("page_id", "platform_raw")
