@@ -64,3 +64,13 @@ def test_stable_ids(spark):
     df = SF.read_results(spark, p, stable=True)
     assert [r.url for r in df.orderBy("row_id").collect()] == ["http://a.com/1", "http://a.com/2"]
     assert df.select("row_id").collect() == df.select("row_id").collect()
+
+
+def test_provider_report_csv(spark):
+    lines = ["# API : Ahrefs", '"Backlinks for","URL","Anchor","Nofollow","URL Rank"',
+             '"http://t.com/","http://a.com/1","say \\"x\\"","true","12"', '"http://t.com/","http://b.com/2","y","false","3"']
+    folder = shared_folder(spark, "csvreport")
+    spark.createDataFrame(list(enumerate(lines)), "o long, value string").orderBy("o").coalesce(1).select("value").write.text(folder)
+    rows = sorted((r.url, r.anchor, r.nofollow, r.url_rank) for r in SF.read_provider_report(spark, folder).collect())
+    assert rows == [("http://a.com/1", 'say "x"', True, 12), ("http://b.com/2", "y", False, 3)]
+    assert "target_url" in SF.read_provider_report(spark, folder).columns
