@@ -373,3 +373,36 @@ def q_scrape_snapshot(spark, sf_dir):
         EL.Rule("h1", "h1", keep_html=False, suffix=" ({%custom1%})"),
         http_rules=[("higher", 399, "skip")], content_rules=[("contains", "cheap-pills", "skip")])
     return out.select("item", "url")
+
+
+_L3_STATS = f"""(SELECT c2.url, CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')}) AS DOUBLE) AS ext,
+             CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')} AND x.rel = 'nofollow') AS DOUBLE) AS nof
+      FROM fx_crawl c2 LEFT JOIN fx_links x ON x.page_id = c2.page_id GROUP BY c2.url)"""
+
+
+@register("ingest_backlinks_ahrefs", with_ctes(f"""
+SELECT l.page_url AS backlink_for, l.href AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor, c.http_status,
+       CASE WHEN s.ext = 0 THEN 0.0 ELSE round((s.ext - s.nof) * 100.0 / s.ext, 2) END AS dofollow_pct
+FROM fx_links l JOIN fx_crawl c ON c.url = l.href JOIN {_L3_STATS} s ON s.url = l.href
+WHERE l.page_id % 13 <> 0""", "fx_crawl", "fx_links"))
+def q_ingest_backlinks_ahrefs(spark, sf_dir):
+    """L3 over Ahrefs link lists (error replies give no rows)."""
+    f = fx(spark, sf_dir)
+    out = jobs.ingest_backlinks(replies.ahrefs_links(f), "ahrefs", fetch_log=f.fetch_log(), pages=f.html())
+    return out.select("backlink_for", "url", "anchor", "http_status", "dofollow_pct")
+
+
+@register("ingest_backlinks_moz", with_ctes(f"""
+SELECT l.page_url AS backlink_for, 'http://' || regexp_replace(l.href, '^[a-z]+://', '') AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor,
+       200 AS http_status,
+       CASE WHEN s.url IS NULL THEN NULL WHEN s.ext = 0 THEN 0.0 ELSE round((s.ext - s.nof) * 100.0 / s.ext, 2) END AS dofollow_pct
+FROM fx_links l
+LEFT JOIN {_L3_STATS} s ON s.url = 'http://' || regexp_replace(l.href, '^[a-z]+://', '')
+WHERE l.page_id % 19 <> 0""", "fx_crawl", "fx_links"))
+def q_ingest_backlinks_moz(spark, sf_dir):
+    """L3 over Moz link lists: the reply carries each link's status (kept, as the
+    status step fills empty cells only); URLs come back as http://..., so
+    https sources find no page for dofollow."""
+    f = fx(spark, sf_dir)
+    out = jobs.ingest_backlinks(replies.moz_links(f), "moz", fetch_log=f.fetch_log(), pages=f.html())
+    return out.select("backlink_for", "url", "anchor", "http_status", "dofollow_pct")
