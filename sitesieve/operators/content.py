@@ -57,8 +57,8 @@ def _outbound(href: Column, page_url: Column) -> Column:
 def page_link_stats(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: external link count and external nofollow count, plus an empty-body flag.
 
-    One pass over ``html`` per page; the counts are aggregated inside the row
-    (``aggregate`` over the anchor array), so there is no shuffle at all.
+    One pass over ``html`` per page; the counts are taken inside the row
+    (``filter`` + ``size`` over the anchor array), so there is no shuffle at all.
     """
     _require(pages, id_col, url_col, html_col)
     html = F.col(html_col)
