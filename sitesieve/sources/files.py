@@ -1,9 +1,10 @@
 """File readers.
 
-All readers are Spark file scans (``spark.read.text`` / ``spark.read.csv``);
-only a per-file summary (first line, column-count census: one row per file)
-reaches the driver to decide headers and formats, the way
-``spark.read.csv(header=True)`` reads a header.  Row order is carried by a
+All readers are Spark file scans (``spark.read.text`` / ``spark.read.csv``).
+Only the first line of the first file (the header) and two format flags
+reach the driver, the way ``spark.read.csv(header=True)`` reads a header;
+the per-file column-count census of S2 is a small table joined back to the
+lines.  Row order is carried by a
 ``row_id`` that increases with (file position in ``paths``, position in the
 file): each path is read on its own and the reads are concatenated, and
 ``monotonically_increasing_id`` numbers rows in that order.
