@@ -176,19 +176,19 @@ def _hop(urls: DataFrame, latest: DataFrame, col: str, status_col: str) -> DataF
     )
 
 
-def enrich_ip(urls: DataFrame, dns: DataFrame, col: str = "url", out: str = "ip") -> DataFrame:
+def enrich_ip(urls: DataFrame, dns: DataFrame, col: str = "url", out: str = "ip", salt: int = 1) -> DataFrame:
     """First address (smallest ``ord``) of the URL's host, else ``Unknow``.
 
-    Only absolute URLs with an empty ``ip`` are filled.
+    Only absolute URLs with an empty ``ip`` are filled; ``salt`` as in J1.
     """
     _require(urls, col)
     _require(dns, "host", "ip", "ord")
-    first = dns.groupBy(F.lower("host").alias("_h")).agg(F.min_by("ip", "ord").alias("_ip"))
+    first = dns.groupBy(F.lower("host").alias("_k_host")).agg(F.min_by("ip", "ord").alias(f"_u_{out}")).withColumn("_u_hit", F.lit(True))
     base = urls if out in urls.columns else urls.withColumn(out, F.lit(None).cast("string"))
-    x = base.withColumn("_h0", F.when(U.is_absolute(col), U.url_host(col)))
-    x = x.join(first, x["_h0"] == first["_h"], "left")
-    value = F.when(F.col(out).isNotNull() | F.col("_h0").isNull(), F.col(out)).otherwise(F.coalesce(F.col("_ip"), F.lit(UNKNOWN_IP)))
-    return x.select(*[value.alias(c) if c == out else F.col(c) for c in base.columns])
+    keyed = base.withColumn("_h0", F.when(U.is_absolute(col), U.url_host(col)))
+    filled = _set_columns(keyed, first, keyed["_h0"] == first["_k_host"], [out], only_empty=True, salt=salt)
+    value = F.when(F.col(out).isNull() & F.col("_h0").isNotNull(), F.lit(UNKNOWN_IP)).otherwise(F.col(out))
+    return filled.withColumn(out, value).drop("_h0")
 
 
 def enrich_availability(
