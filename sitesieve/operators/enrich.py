@@ -129,15 +129,15 @@ def update_by_pair(df: DataFrame, updates: DataFrame, cols: list[str], keys: tup
     return _set_columns(df, upd, cond, cols, only_empty, salt)
 
 
-def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status") -> DataFrame:
+def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status", salt: int = 1) -> DataFrame:
     """HTTP status of each pending row (empty status, absolute URL) from the
-    latest fetch of its URL."""
+    latest fetch of its URL; ``salt`` as in J1."""
     _require(urls, col, status_col)
     latest = latest_fetch(fetch_log, ["http_status"])  # already one row per URL
     upd = latest.select(F.col("url").alias(f"_k_{col}"), F.col("http_status").alias(f"_u_{status_col}"), F.lit(True).alias("_u_hit"))
     pend = urls.withColumn("_abs", U.is_absolute(col))
     cond = (pend[col] == upd[f"_k_{col}"]) & pend["_abs"]
-    return _set_columns(pend, upd, cond, [status_col], only_empty=True).drop("_abs")
+    return _set_columns(pend, upd, cond, [status_col], only_empty=True, salt=salt).drop("_abs")
 
 
 def resolve_redirect_once(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status") -> DataFrame:
