@@ -128,17 +128,13 @@ class Fixtures:
         (``spark.sql`` substitution), so no session view name is taken."""
         import re
 
-        frames = {
-            "pages": self.base("pages"),
-            "lineitem": self.base("lineitem"),
-            **{dep: self._sql(dep) for dep in _DEPENDS[name]},
-        }
         text = FIXTURE_SQL[name]
         used = {}
-        for t, df in frames.items():
+        # only the tables the text reads are built (each once)
+        for t in ["pages", "lineitem", *_DEPENDS[name]]:
             if re.search(rf"\b{t}\b", text):
                 text = re.sub(rf"\b{t}\b", "{" + t + "}", text)
-                used[t] = df
+                used[t] = self._sql(t) if t in _DEPENDS[name] else self.base(t)
         return self.spark.sql(text, **used)
 
     def crawl(self) -> DataFrame:
