@@ -279,3 +279,36 @@ def test_fill_timeouts_sentinels(spark):
     for op, (col_name, value) in expect.items():
         got = [r[col_name] for r in P.fill_timeouts(df, op).collect()]
         assert got == [value, None], op
+
+
+def test_remove_regex_mask_invalid_and_count(spark):
+    df = urls_df(spark, ["http://a.com/x?q=1", "http://b.com/"])
+    same = P.remove_regex_mask(df, "([unclosed", changed_col="changed")
+    assert col(same) == ["http://a.com/x?q=1", "http://b.com/"]
+    masked = P.remove_regex_mask(df, r"\?q=1$", changed_col="changed")
+    assert col(masked) == ["http://a.com/x", "http://b.com/"] and P.changed_rows(masked, "changed") == 1
+
+
+def test_replace_or_append_modes(spark):
+    import pytest
+
+    base = spark.createDataFrame([(0, "http://a.com/")], "row_id long, url string")
+    new = spark.createDataFrame([(0, "http://b.com/", 200)], "row_id long, url string, http_status int")
+    assert [r.url for r in S.replace_or_append(base, new, "replace").collect()] == ["http://b.com/"]
+    appended = sorted((r.row_id, r.url, r.http_status) for r in S.replace_or_append(base, new, "append").collect())
+    assert appended == [(0, "http://a.com/", None), (1, "http://b.com/", 200)]
+    with pytest.raises(ValueError):
+        S.replace_or_append(base, new, "merge")
+
+
+def test_coerce_metric_types(spark):
+    df = spark.createDataFrame([(" 12 ", "31.6", "4.25", "n/a", ""), ("x", "45.2", "", "900", None)],
+                               "tf string, page_authority string, moz_rank string, backlinks string, obl string")
+    rows = [tuple(r) for r in P.coerce_metric_types(df).collect()]
+    assert rows == [(12, 32, 4.25, None, None), (None, 45, None, 900, None)]
+
+
+def test_diff_with_empty_list(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "c string")
+    empty = spark.createDataFrame([], "v string")
+    assert [r.value for r in S.diff_with_list(df, "c", empty).collect()] == ["a"]
