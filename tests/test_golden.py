@@ -312,3 +312,28 @@ def test_diff_with_empty_list(spark):
     df = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "c string")
     empty = spark.createDataFrame([], "v string")
     assert [r.value for r in S.diff_with_list(df, "c", empty).collect()] == ["a"]
+
+
+def test_json_pick_values(spark):
+    from sitesieve.functions import jsonpick as J
+
+    body = '{"a": {"b": [10, 2.5, true, "x", {"c": 1}], "0": "key0"}, "n": 3.0}'
+    df = spark.createDataFrame([(body,), ("not json",), ('[["p", "q"], 7]',)], "body string")
+    got = [r.v for r in df.select(J.json_pick(F.col("body"), "a,b,0 a,b,1 a,b,2 a,b,3 a,b,4 n a,0 zz").alias("v")).collect()]
+    assert got[0] == '10","2.50","true","x","","3","key0","'
+    assert got[1] == '","","","","","","","'
+    arr = df.select(J.json_pick(F.col("body"), "0,1 1").alias("v")).collect()[2].v
+    assert arr == 'q","7'
+
+
+def test_split_custom_columns_pad_and_drop(spark):
+    from sitesieve.operators import elements as EL
+
+    df = spark.createDataFrame([('"a","b","c"',), ('"only"',)], "item string")
+    rows = [(r.h1, r.h2) for r in EL.split_custom_columns(df, "item", ["h1", "h2"]).collect()]
+    assert rows == [("a", "b"), ("only", None)]
+
+
+def test_render_line_escapes_pipes(spark):
+    df = spark.createDataFrame([("http://a.com/x|y", None, 3)], "url string, tf int, cf int")
+    assert P.with_rendered_line(df, ["url", "tf", "cf"]).first().line == "http://a.com/x%7Cy||3"
