@@ -76,3 +76,16 @@ def test_salted_update_equals_plain(spark):
     assert sorted(tuple(r) for r in salted_df.collect()) == plain
     assert salted_df.columns == ["row_id", "url", "tf", "obl"]
     assert "xxhash64" in plan(salted_df)
+
+
+def test_link_and_attribute_rules_stay_in_the_jvm(spark):
+    from sitesieve.operators import content as C
+    from sitesieve.operators import elements as EL
+    from sitesieve.plans.fixtures import Fixtures
+
+    pages = Fixtures(spark, "/root/testdata/sf0.001").pages()
+    rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href")
+    for df in (C.extract_links(pages), C.outbound_links(pages), C.dofollow_pct(pages), EL.extract_items(pages, [rule])):
+        p = plan(df)
+        assert "MapInPandas" not in p and "PythonUDF" not in p and "ArrowEvalPython" not in p, p
+    assert "MapInPandas" in plan(EL.extract_items(pages, [EL.Rule("h1", "h1")]))
