@@ -66,3 +66,18 @@ def test_value_filters_complement(spark, rows, v):
     df = frame(spark, rows)
     both = rows_of(FL.drop_equal(df, "http_status", v)) + rows_of(FL.drop_not_equal(df, "http_status", v))
     assert sorted(both) == rows_of(df)
+
+
+@SETTINGS
+@given(table)
+def test_domain_ops_partition_independent(spark, rows):
+    from sitesieve.operators import filters as FLT
+    from sitesieve.plans.fixtures import FX_SUFFIXES
+
+    sfx = spark.createDataFrame([(s,) for s in FX_SUFFIXES], "suffix string")
+    one, many = frame(spark, rows, 1), frame(spark, rows, 5)
+    dom = lambda d: sorted((r.row_id, r.domain) for r in P.registered_domain(d, sfx).collect())
+    assert dom(one) == dom(many)
+    for op in (P.trim_to_root, P.trim_to_last_folder):
+        assert rows_of(op(one), ("url",)) == rows_of(op(many), ("url",))
+    assert rows_of(FLT.remove_subdomains(one, sfx)) == rows_of(FLT.remove_subdomains(many, sfx))
