@@ -75,7 +75,7 @@ def _named_columns(parts, names: list[str]):
     return [F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
 
 
-def read_result_txt(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
+def read_result_txt(spark: SparkSession, paths, sep: str = "|", stable: bool = False) -> DataFrame:
     """Delimited text.
 
     The header is line 1 of the first file without ``#``; when that line has
@@ -99,10 +99,11 @@ def read_result_txt(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
     parts = F.split(v, sep_re)
     table = tagged.where(F.col("_n_sizes") <= 1).select(F.col("_ord").alias("row_id"), *_named_columns(parts, names))
     urls = tagged.where(F.col("_n_sizes") > 1).select(F.col("_ord").alias("row_id"), v.alias(names[0]))
-    return coerce_metric_types(table.unionByName(urls, allowMissingColumns=True))
+    out = coerce_metric_types(table.unionByName(urls, allowMissingColumns=True))
+    return stable_ids(out) if stable else out
 
 
-def read_result_csv(spark: SparkSession, paths, sep: str = ",", quote: str = '"') -> DataFrame:
+def read_result_csv(spark: SparkSession, paths, sep: str = ",", quote: str = '"', stable: bool = False) -> DataFrame:
     """S3: CSV with a header line; every cell quoted, ``\\`` escapes quotes.
 
     Lines starting ``"#`` are skipped; header names become logical names.
@@ -117,7 +118,8 @@ def read_result_csv(spark: SparkSession, paths, sep: str = ",", quote: str = '"'
     df = df.where(~F.coalesce(F.col(first).startswith("#"), F.lit(False)))
     df = df.withColumn("row_id", F.monotonically_increasing_id()).drop("_file")
     renamed = df.select("row_id", *[F.col(f"`{c}`").alias(S.logical_name(c)) for c in df.columns if c != "row_id"])
-    return coerce_metric_types(renamed)
+    out = coerce_metric_types(renamed)
+    return stable_ids(out) if stable else out
 
 
 def detect_format(spark: SparkSession, paths, sep: str = "|", csv_sep: str = ",", quote: str = '"') -> str:

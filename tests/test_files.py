@@ -74,3 +74,12 @@ def test_provider_report_csv(spark):
     rows = sorted((r.url, r.anchor, r.nofollow, r.url_rank) for r in SF.read_provider_report(spark, folder).collect())
     assert rows == [("http://a.com/1", 'say "x"', True, 12), ("http://b.com/2", "y", False, 3)]
     assert "target_url" in SF.read_provider_report(spark, folder).columns
+
+
+def test_stable_ids_csv_txt(spark):
+    txt = lines_file(spark, ["#URL|HTTP Status", "http://a.com/|200", "http://b.com/|404"], "stxt")
+    csv = lines_file(spark, ['"URL","HTTP Status"', '"http://a.com/","200"'], "scsv")
+    t = SF.read_result_txt(spark, txt, stable=True)
+    c = SF.read_result_csv(spark, csv, stable=True)
+    assert [r.url for r in t.orderBy("row_id").collect()] == ["http://a.com/", "http://b.com/"]
+    assert [(r.url, r.http_status) for r in c.collect()] == [("http://a.com/", 200)]
