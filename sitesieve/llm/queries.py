@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import embed_dup, near_dup, packing
 from .common import table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -22,6 +24,19 @@ def register(fn):
     return fn
 
 
+@register
+def op1_embedding_dup(spark, sf_dir: str) -> DataFrame:
+    """Near-dedup of all embeddings whatever their labels: cosine >= 0.95."""
+    return embed_dup.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@register
+def op2_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens, with a digest of each piece's ids."""
+    pieces = packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 @register
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
     """MinHash near-dedup of all documents: 3-word shingles, Jaccard >= 0.85."""
