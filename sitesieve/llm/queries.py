@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, near_dup, packing
+from . import embed_dup, near_dup, packing, quality_classifier, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -41,3 +41,16 @@ def op2_packing(spark, sf_dir: str) -> DataFrame:
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
     """MinHash near-dedup of all documents: 3-word shingles, Jaccard >= 0.85."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
+@register
+def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that may be learned from."""
+    out = quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("key")
+
+
+@register
+def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Base limits and robust outlier verdicts of every document."""
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("key")
