@@ -110,11 +110,10 @@ def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float =
     # the group of a row: its language and source, or the pool of small ones
     own, pool, rest = (F.to_json(F.struct(F.lit(level).alias("level"), *c)) for level, c in ((0, ("lang", "source")), (1, ("lang",)), (2, ())))
     counts = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = counts.where(F.col("n") < min_rows).groupBy("lang").agg(F.sum("n").alias("pool_n"))
-    same = counts["lang"].eqNullSafe(pooled["lang"])
-    large = F.col("n") >= min_rows
-    groups = counts.join(pooled, same, "left").select(counts["lang"].alias("_lang"), "source", "n", "pool_n").withColumnRenamed("_lang", "lang").select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(large, own).when(F.col("pool_n") >= min_rows, pool).otherwise(rest).alias("g"))
+    pooled = counts.where(F.col("n") < min_rows).groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n").alias("pool_n"))
+    groups = counts.join(pooled, F.col("lang").eqNullSafe(F.col("pool_lang")), "left").select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"),
+        F.when(F.col("n") >= min_rows, own).when(F.col("pool_n") >= min_rows, pool).otherwise(rest).alias("g"))
     groups = saved(groups, "groups")
     rows = rows.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     # estimates need the statistics and the group only
