@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, near_dup, packing, quality_classifier, quality_rules
-from .common import table
+from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,14 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return out.drop("key")
 
 
+@register
+def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that may be learned from."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 @register
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base limits and robust outlier verdicts of every document."""
