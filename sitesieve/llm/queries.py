@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules
-from .common import held_out, table
+from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules, url_filter, warc
+from .common import held_out, table, work_path
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,36 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return out.drop("key")
 
 
+#: (host, path, verdict), fixed by the query's contract
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@register
+def op6_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE["op6_url_filter"] = f"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+       arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+       coalesce(arg_max(verdict, length(rule_host || rule_path)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id"""
+
+
 @register
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that may be learned from."""
@@ -62,3 +92,22 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base limits and robust outlier verdicts of every document."""
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("key")
+
+
+@register
+def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"), work_path(spark, "archives"))
+    found = warc.read_records(index, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: 20 bits of the digest at a time are five hexadecimal and four base-32 digits
+ORACLE["op9_warc"] = """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+top AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS response FROM hashed)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM top"""
