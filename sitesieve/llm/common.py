@@ -33,3 +33,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The rows no model learns from: crc32(doc_id as text) mod 4 = 2."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
+
+
+def per_process(key, make):
+    """``make()``, once per Python process and ``key``: tasks of one worker share tables and caches.
+
+    Code is shipped with each task, so its module variables do not outlive a task; this entry in ``sys.modules`` does.
+    """
+    import sys
+    from types import ModuleType
+
+    held = vars(sys.modules.setdefault("_sitesieve_worker", ModuleType("_sitesieve_worker")))
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules, url_filter, warc
+from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules, sentencepiece_fst, url_filter, warc
 from .common import held_out, table, work_path
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -111,3 +111,12 @@ SELECT page_id, n::BIGINT AS payload_bytes,
        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> response THEN response END AS refers_to
 FROM top"""
+
+
+@register
+def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Every document's text encoded, and decoded again: number and digest of its ids, and whether the text came back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join("ids", ",").cast("binary")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(ids).alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
