@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, language_id, near_dup, packing, quality_classifier, quality_rules, sentencepiece_fst, url_filter, warc
+from . import embed_dup, language_id, license_scan, near_dup, packing, quality_classifier, quality_rules, sentencepiece_fst, url_filter, warc
 from .common import held_out, table, work_path
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -50,6 +50,12 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return out.drop("key")
 
 
+@register
+def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    """License phrases, labels and score of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 #: (host, path, verdict), fixed by the query's contract
 URL_RULES = [
     ("org", "/", "allow"),
