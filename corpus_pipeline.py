@@ -1,26 +1,53 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All stages but the
+last return the columns of ``docs`` and drop whole rows only.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sitesieve.llm import packing
 from sitesieve.llm.common import saved, table
 from sitesieve.llm.near_dup import near_duplicates
+from sitesieve.llm.quality_classifier import quality_scores
+from sitesieve.llm.quality_rules import keep_rows, quality_verdicts
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base limits and are no robust outliers of their language and source."""
+    return keep_rows(docs, quality_verdicts(docs).where("kept"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, predicts to be good."""
+    return keep_rows(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8 or more)."""
     keep = near_duplicates(docs, k=5, threshold=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' ids, packed into sequences of at most 1024."""
+    pieces = packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-STAGES = [("minhash_dedup", minhash_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("minhash_dedup", minhash_dedup),
+    ("packing", pack_sequences),
+]
 
-#: The stages hold trained models and a probabilistic search: not SQL.
+#: The stages hold fitted models, a randomised search and a tokenizer: not SQL.  Tests compare them with brute force.
 ORACLE_SQL = None
 
 
