@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import per_process
 from .shingles import mix
@@ -271,4 +272,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to])
 
     rows = rows.drop(to)
-    return rows.mapInArrow(run, rows.schema.add(to, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))
