@@ -24,14 +24,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, predicts to be good."""
-    return keep_rows(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the quality classifier predicts to be good.
+
+    It is fitted on the whole documents table: what the rules before rejected is what it has to know.
+    """
+    found = quality_scores(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
+    return keep_rows(docs, found.where("predicted = 1"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8 or more).
+
+    Rows that repeat a doc_id are one document.  Decisions go by doc_id, so rows without one stay.
+    """
     keep = near_duplicates(docs, k=5, threshold=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return one.unionAll(docs.where("doc_id is null"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

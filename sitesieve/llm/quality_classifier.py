@@ -83,17 +83,17 @@ def fit(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
     return Discriminant(moments) if moments else None
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, held_out, score, predicted.
 
-    Rows with crc32(doc_id as text) mod 4 = 2 (held_out) teach nothing, and only
+    ``train`` holds the documents that ``labels`` speaks of (``docs`` by default).  Rows with crc32(doc_id as text) mod 4 = 2 (held_out) teach nothing, and only
     the text enters a score.  Null texts score as empty ones.  A document
     with contradicting labels teaches both; if the labels hold one class
     only, every score is 0 or 1 accordingly, and 0.5 if there is none.  Repeated rows
     score alike; a null doc_id matches no label; other columns are ignored.
     """
     rows = saved(features(docs), "features")
-    model = fit(rows, labels)
+    model = fit(rows if train is None else saved(features(train), "train"), labels)
     score = model.score() if model else F.lit(0.5)
     out = rows.select("doc_id", "key", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
