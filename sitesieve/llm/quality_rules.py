@@ -129,5 +129,5 @@ def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float =
 
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose row_key is in ``keys`` (key, doc_id)."""
-    k = keys.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-    return docs.withColumn("_row", row_key(docs)).join(k, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_row")
+    k = keys.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    return docs.withColumn("__row", row_key(docs)).join(k, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").drop("__row")

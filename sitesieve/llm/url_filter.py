@@ -101,6 +101,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """
     host, path = host_and_path(F.col(url))
     pages = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
-    best = longest_rules(pages, rules).withColumnsRenamed({"host": "_host", "path": "_path"})
-    out = pages.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
+    best = longest_rules(pages, rules).withColumnsRenamed({"host": "__host", "path": "__path"})
+    out = pages.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").drop("__host", "__path")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
