@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,22 +64,20 @@ class Transducer:
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.piece))
-        # what an id is in a decoded text; bytes from 128 on are joined first
-        self.surface = [t.replace(SPACE, " ") for t in self.text]
+        # what an id is in a decoded text
+        self.surface = [t.replace(SPACE, " ").encode() for t in self.text]
         for i in special:
-            self.surface[i] = ""
-        self.surface[self.unknown] = spec.trainer_spec.unk_surface
+            self.surface[i] = b""
+        self.surface[self.unknown] = spec.trainer_spec.unk_surface.encode()
         for b, i in self.byte.items():
-            self.surface[i] = chr(b) if b < 128 else ""
-        self.high = {i: b for b, i in self.byte.items() if b >= 128}
+            self.surface[i] = bytes([b])
+        self.surface_bytes = pa.array(self.surface, pa.binary())
         # characters inside longer pieces; all others stand alone
         inner = {c for p in self.piece if len(p) > 1 for c in p}
         for c in inner - self.piece.keys():  # merged like any other; alone it becomes bytes
             self.piece[c] = len(self.text)
             self.text.append(c)
-        alone = "".join(re.escape(chr(b)) for b in range(128) if chr(b) not in inner)
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.piece)
-        self.segments = re.compile("(?s).+" if crossing else f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+").findall
+        self.segments = self._cuts()
         self.paths: dict[str, tuple[int, ...]] = {}
         self.width = len(self.text) + 1
         # a direct-mapped table of weights: a pair that another one displaced is worked out again
@@ -95,6 +94,23 @@ class Transducer:
             self.by_length[k] = h[order], np.array([self.piece[p] for p in own], dtype=np.int64)[order], np.uint64(pow(int(_BASE), k, 1 << 64))
         self.inner = inner
 
+    def _cuts(self):
+        """A function that cuts a normalised text where no piece crosses.
+
+        These places are before a run of spaces, and between a letter and anything else; letters that
+        some piece joins with others count as the latter.
+        """
+        if any(SPACE in p.lstrip(SPACE) for p in self.piece):
+            return re.compile("(?s).+").findall
+        joined: set[str] = set()
+        while True:
+            letter = f"[^\\W\\d_{re.escape(''.join(sorted(joined)))}]"
+            is_letter = re.compile(letter).match
+            more = {c for p in self.piece for a, b in zip(p, p[1:]) if a != SPACE and bool(is_letter(a)) != bool(is_letter(b)) for c in (a, b) if is_letter(c)}
+            if not more:
+                return re.compile(f"{SPACE}*{letter}+|{SPACE}*(?:(?!{SPACE}|{letter})[\\s\\S])+|{SPACE}+").findall
+            joined |= more
+
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge neighbours, best score first and leftmost among equals."""
         symbols = list(symbols)
@@ -167,23 +183,27 @@ class Transducer:
     def solve(self, segments: list[str]) -> None:
         """Put the paths of ``segments`` into the cache."""
         # characters that no longer piece holds are lattices of one arc
-        parts = [list(_runs(s, self.inner)) for s in segments]
-        runs = list({r for p in parts for known, r in p if known})
+        inner = self.inner.issuperset
+        whole = [s for s in segments if inner(s)]
+        parts = {s: list(_runs(s, self.inner)) for s in segments if not inner(s)}
+        runs = whole + list({r for p in parts.values() for known, r in p if known} - set(whole))
         # lattices of about equal length go together
         runs.sort(key=len)
         paths, i = {}, 0
         while i < len(runs):
             j = i + 1
-            while j < len(runs) and len(runs[j]) <= max(16, 2 * len(runs[i])):
+            while j < len(runs) and len(runs[j]) <= max(8, 2 * len(runs[i])):
                 j += 1
             paths.update(zip(runs[i:j], self.shortest(runs[i:j])))
             i = j
-        for s, p in zip(segments, parts):
+        if len(self.text) > len(self.surface):  # characters that only occur inside pieces become bytes
+            paths = {r: tuple(i for t in path for i in ((t,) if t < len(self.surface) else self.fallback(self.text[t]))) for r, path in paths.items()}
+        self.paths.update((s, paths[s]) for s in whole)
+        for s, p in parts.items():
             out: list[int] = []
             for known, run in p:
                 if known:
-                    for t in paths[run]:
-                        out.extend((t,) if t < len(self.surface) else self.fallback(self.text[t]))
+                    out.extend(paths[run])
                 else:
                     for c in run:
                         t = self.piece.get(c)
@@ -206,23 +226,17 @@ class Transducer:
         paths = self.paths
         return [[i for s in c for i in paths[s]] for c in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        surface, high = self.surface, self.high
-        if not high.keys() & set(ids):
-            text = "".join([surface[i] for i in ids])
-        else:
-            parts, held = [], bytearray()
-            for i in ids:
-                if i in high:
-                    held.append(high[i])
-                    continue
-                if held:
-                    parts.append(held.decode(errors="replace"))
-                    held.clear()
-                parts.append(surface[i])
-            parts.append(held.decode(errors="replace"))
-            text = "".join(parts)
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids; null lists are null, bytes that are no UTF-8 become U+FFFD."""
+        flat = pa.ListArray.from_arrays(ids.offsets, self.surface_bytes.take(ids.values), mask=ids.is_null()) if len(ids) else pa.array([], pa.list_(pa.binary()))
+        joined = pc.binary_join(flat, b"")
+        try:
+            texts = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([None if x is None else x.decode(errors="replace") for x in joined.to_pylist()], pa.string())
+        if self.prefix:
+            texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+        return texts
 
 
 def _runs(s: str, inside: set) -> Iterator[tuple[bool, str]]:
@@ -266,10 +280,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = per_process(("sentencepiece", path), lambda: Transducer(path))
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                texts = [None if x is None else fst.decode(x) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to])
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                column = pa.concat_arrays([part.column(ids)])  # offsets from 0 on
+                yield pa.RecordBatch.from_arrays([*part.columns, fst.decode(column)], names=[*part.schema.names, to])
 
     rows = rows.drop(to)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))

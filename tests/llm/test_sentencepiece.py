@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,7 +44,7 @@ def test_random_runs_equal_the_library():
     t += [" " * n + "x" * m for n in range(40) for m in (0, 1, 17, 40)]
     ids = FST.encode(t)
     assert ids == LIBRARY.encode(t)
-    assert [FST.decode(x) for x in ids] == LIBRARY.decode(ids)
+    assert FST.decode(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == LIBRARY.decode(ids)
 
 
 def test_full_caches_start_anew(monkeypatch):
