@@ -21,10 +21,15 @@ def _unpack(df: DataFrame, packed: str, names: list[str]) -> DataFrame:
 
 
 def dedup_urls(df: DataFrame, col: str = "url", order_col: str = "row_id") -> DataFrame:
-    """A1: one row per exact URL (case-sensitive); the last row (largest row id) wins."""
+    """A1: one row per exact URL (case-sensitive); the last row (largest row id) wins.
+
+    A row without an order value is an error: no pick would be the last.
+    """
     _require(df, col, order_col)
     names = df.columns
-    picked = df.groupBy(col).agg(F.max_by(F.struct(*names), F.col(order_col)).alias("_r"))
+    kind = df.schema[order_col].dataType
+    order = F.coalesce(F.col(order_col), F.raise_error(F.lit(f"{order_col} must not be null")).cast(kind))
+    picked = df.groupBy(col).agg(F.max_by(F.struct(*names), order).alias("_r"))
     return _unpack(picked, "_r", names)
 
 
@@ -85,35 +90,16 @@ def sort_by(df: DataFrame, col: str, ascending: bool = True, order_col: str = "r
     return df.orderBy(key, F.col(order_col).asc())
 
 
-# Up to this many rows a window is a top-k (each task keeps offset+n rows);
-# deeper windows use global row positions instead.
-TOPK_MAX = 100_000
-
-
-def _window_by_position(df: DataFrame, start: int, n: int, order_col: str) -> DataFrame:
-    from .enrich import with_global_position
-
-    pos = with_global_position(df, order_col, "_pos")
-    return pos.where((F.col("_pos") >= start) & (F.col("_pos") < start + n)).drop("_pos")
-
-
-def page_of(df: DataFrame, offset: int = 0, n: int = 100, order_col: str = "row_id", topk_max: int | None = None) -> DataFrame:
+def page_of(df: DataFrame, offset: int = 0, n: int = 100, order_col: str = "row_id") -> DataFrame:
     """O2: the visible window of rows ``offset .. offset+n`` in row order (the limit is the feature).
 
-    A shallow window is a top-k; past ``TOPK_MAX`` rows the window is a filter
-    on global row positions (A10's partition offsets), so a deep page does
-    not make every task keep ``offset + n`` rows.
+    Spark's ordered offset and limit: a top-k for a shallow window, a global sort past its own threshold.
     """
     _require(df, order_col)
-    if offset + n <= (TOPK_MAX if topk_max is None else topk_max):
-        return df.orderBy(order_col).offset(offset).limit(n)
-    return _window_by_position(df, offset, n, order_col)
+    return df.orderBy(order_col).offset(offset).limit(n)
 
 
-def frontier_slice(df: DataFrame, n: int = 10000, order_col: str = "row_id", topk_max: int | None = None) -> DataFrame:
-    """O3: the first ``n`` frontier items (a top-n by order column; by global
-    row positions when ``n`` exceeds ``TOPK_MAX``)."""
+def frontier_slice(df: DataFrame, n: int = 10000, order_col: str = "row_id") -> DataFrame:
+    """O3: the first ``n`` frontier items by order column."""
     _require(df, order_col)
-    if n <= (TOPK_MAX if topk_max is None else topk_max):
-        return df.orderBy(order_col).limit(n)
-    return _window_by_position(df, 0, n, order_col)
+    return df.orderBy(order_col).limit(n)

@@ -25,8 +25,6 @@ from .urls import SuffixTable, _require, registered_domain, with_public_suffix
 TLD_NOT_SUPPORTED = "tld not supported by API"
 # Value for a host without any address (fixed value, spelling as in the reference).
 UNKNOWN_IP = "Unknow"
-# Bound on the supported-TLD list broadcast by J8.
-MAX_BROADCAST_TLDS = 100_000
 
 
 def latest_fetch(fetch_log: DataFrame, cols: list[str] | None = None, url_col: str = "url", ts_col: str = "fetched_at") -> DataFrame:
@@ -214,9 +212,6 @@ def enrich_availability(
     domains = keyed.where(F.col("_dom") != "").select("_dom").distinct()
     domains = with_public_suffix(domains, st, F.col("_dom"), "_tld")
     supported = tld_support.where(F.col("api") == api).select(F.lower("tld").alias("_stld")).distinct()
-    # a list of TLDs: broadcast only when its checked size allows
-    if supported.count() <= MAX_BROADCAST_TLDS:
-        supported = F.broadcast(supported)
     domains = domains.join(supported, domains["_tld"] == supported["_stld"], "left")
     answers = avail.groupBy(F.lower("domain").alias("_adom")).agg(F.max("value").alias("_aval"))
     domains = domains.join(answers, domains["_dom"] == answers["_adom"], "left")

@@ -3,10 +3,9 @@
 A frontier row is ``(url, custom1, custom2)``.  Templates carry placeholders
 (``{%footprint%}``, ``{%custom1%}``, ``{%custom1::encoded%}``, ``{%custom2%}`` …)
 that are replaced by Spark string functions.  The two parameter lists are
-combined as a product (that is the feature); the smaller list must fit a
-checked bound and is attached to every row of the larger one as an array
-(scalar subquery) that is exploded, so there is no cartesian-product operator
-and the larger list stays partitioned as it is read.
+combined as a product (that is the feature) by an equi-join on blocks of the
+shorter list, so there is no cartesian-product operator, no bound on either
+list and no task that holds a whole list.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import url as U
 from .urls import _require
 
-# Bound on the list attached to every row of the other list.
-MAX_SMALL_LIST = 1_000_000
+# Values of one list that are joined to a row of the other one at a time.
+PRODUCT_BLOCK = 1000
 INTLOOP_RE = r"\{%intloop:(-?[0-9]+):(-?[0-9]+):(-?[0-9]+)%\}"
 GET_FIRST_RE = r"get_first\(([^)]+)\)"
 
@@ -97,8 +96,7 @@ def frontier_customs(
     """G2 (with J11 and G4): one URL per (c1, c2) of the two lists.
 
     Each list is a one-column DataFrame.  Unused lists are dropped first (G4).
-    With both lists the smaller one (by a checked count) is gathered into an
-    array and exploded next to each row of the larger one (J11).  A missing
+    With both lists the product is built block by block (J11).  A missing
     list gives ``""`` in its column.  All occurrences of a list's placeholder
     are encoded the way its first occurrence asks; the footprint is put in
     percent-encoded.  Decision (SURVEY §2.10): list 2 alone fills
@@ -125,14 +123,26 @@ def frontier_customs(
 
 
 def expand_customs(template: Column, c1: DataFrame, c2: DataFrame, enc1: bool | None = None, enc2: bool | None = None) -> DataFrame:
-    """Product of two lists (column ``v`` each), the larger one kept partitioned."""
+    """Product of two lists (column ``v`` each) of any length.
+
+    The shorter list is dealt into blocks of about ``PRODUCT_BLOCK`` values, one
+    row per block and salt; every value of the longer list is repeated per block
+    and finds it by an equi-join on (block, salt).  No task holds more than a
+    block of values, and the salts spread a block over the cluster.
+    """
     n1 = c1.count()
     n2 = c2.count()
     big, small, small_is_2 = (c1, c2, True) if n1 >= n2 else (c2, c1, False)
-    if min(n1, n2) > MAX_SMALL_LIST:
-        raise ValueError(f"both parameter lists exceed {MAX_SMALL_LIST} values; the product would not fit a task")
-    arr = small.select(F.array_sort(F.collect_list(F.col("v"))).alias("a")).scalar()
-    pairs = big.select(F.col("v").alias("_b"), F.explode(arr).alias("_s"))
+    blocks = max(1, -(-min(n1, n2) // PRODUCT_BLOCK))
+    salts = max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    # a repeated value is held once, with its count
+    small = small.groupBy("v").agg(F.count("*").alias("n"))
+    small = small.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("v", "n")).alias("_vs"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    big = big.select(F.col("v").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    big = big.withColumn("_salt", F.pmod(F.xxhash64("_b"), F.lit(salts)).cast("int"))
+    pairs = big.join(small, ["_block", "_salt"]).select("_b", F.explode("_vs").alias("_s"))
+    pairs = pairs.select("_b", F.col("_s.v").alias("_s"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_s.n")))).drop("col")
     v1, v2 = (F.col("_b"), F.col("_s")) if small_is_2 else (F.col("_s"), F.col("_b"))
     url = fill_template(fill_template(template, "custom1", v1, enc1), "custom2", v2, enc2)
     return pairs.select(url.alias("url"), v1.alias("custom1"), v2.alias("custom2"))

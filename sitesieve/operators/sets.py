@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .enrich import with_global_position
 from .urls import _require
 
 
@@ -32,16 +34,26 @@ def diff_with_list(df: DataFrame, col: str, existing: DataFrame, out: str = "val
     return a.join(b, out, "left_anti")
 
 
+def numbered(df: DataFrame, order_col: str = "row_id") -> DataFrame:
+    """``df`` with ``order_col`` 0, 1, .. in its present order (persisted, so a
+    retried task sees the same numbers)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.withColumn("_place", F.monotonically_increasing_id()).checkpoint(eager=True)
+    return with_global_position(placed, "_place", order_col).drop("_place")
+
+
 def append_rows(df: DataFrame, new: DataFrame, order_col: str = "row_id") -> DataFrame:
     """Append ``new`` by column name; missing columns are empty.
 
     Appended rows get row ids after the table's largest one (a scalar
-    subquery, no join): ``new.row_id`` (or 0.. when absent) + max + 1.
+    subquery, no join): ``new.row_id`` + max + 1.  Without row ids the new rows
+    are numbered 0.. by position first (:func:`numbered`).
     """
     if order_col in df.columns:
+        if order_col not in new.columns:
+            new = numbered(new, order_col)
         top = df.select(F.coalesce(F.max(order_col), F.lit(-1)).alias("m")).scalar()
-        if order_col in new.columns:
-            new = new.withColumn(order_col, F.col(order_col) + top + 1)
+        new = new.withColumn(order_col, F.col(order_col) + top + 1)
     return df.unionByName(new, allowMissingColumns=True)
 
 

@@ -16,12 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas as S
 from ..functions import url as U
 
-# Upper bound on the public-suffix table we are willing to broadcast.  The
-# real public suffix list has ~10k entries; the bound is checked on every use.
-MAX_BROADCAST_SUFFIXES = 500_000
-
 
 def _require(df: DataFrame, *cols: str) -> None:
     """Decision: an absent column raises instead of aliasing column 0."""
@@ -37,16 +34,14 @@ class SuffixTable:
     Rows may be exact suffixes (``co.uk``), wildcards (``*.ck``: every label
     under ``ck`` is a suffix) or exceptions (``!www.ck``: not a suffix despite
     a wildcard), as in the public suffix list.  ``depth`` is the largest
-    number of labels in a rule and ``rows`` the table size; both, and whether
-    wildcards/exceptions occur, come from one small aggregate over the table.
-    The table is broadcast only when ``rows`` is within
-    ``MAX_BROADCAST_SUFFIXES``; beyond it the lookups become ordinary
-    equi-joins that AQE may split when a suffix is hot.
+    number of labels in a rule; it, and whether wildcards/exceptions occur,
+    come from one small aggregate over the table.  Lookups are ordinary
+    equi-joins: Spark broadcasts the table when its measured size allows and
+    otherwise splits a hot suffix.
     """
 
     df: DataFrame
     depth: int
-    rows: int
     wildcards: bool = False
     exceptions: bool = False
 
@@ -54,22 +49,21 @@ class SuffixTable:
     def of(cls, suffixes: DataFrame) -> "SuffixTable":
         clean = suffixes.select(F.lower(F.regexp_replace(F.trim(F.col("suffix")), r"^\.", "")).alias("suffix")).distinct()
         stats = clean.agg(
-            F.count("*").alias("n"),
             F.max(F.size(F.split(F.regexp_replace("suffix", "^!", ""), r"\."))).alias("d"),
             F.max(F.col("suffix").startswith("*.")).alias("w"),
             F.max(F.col("suffix").startswith("!")).alias("e"),
         ).first()
-        return cls(clean, int(stats["d"] or 0), int(stats["n"] or 0), bool(stats["w"]), bool(stats["e"]))
+        return cls(clean, int(stats["d"] or 0), bool(stats["w"]), bool(stats["e"]))
 
     def side(self, name: str, kind: str = "exact") -> DataFrame:
         s = F.col("suffix")
         if kind == "exact":
             d = self.df.where(~s.startswith("*.") & ~s.startswith("!")).select(s.alias(name))
         elif kind == "wild":
-            d = self.df.where(s.startswith("*.")).select(s.substr(3, 10_000).alias(name))
+            d = self.df.where(s.startswith("*.")).select(F.expr("substring(suffix, 3)").alias(name))
         else:
-            d = self.df.where(s.startswith("!")).select(s.substr(2, 10_000).alias(name))
-        return F.broadcast(d) if self.rows <= MAX_BROADCAST_SUFFIXES else d
+            d = self.df.where(s.startswith("!")).select(F.expr("substring(suffix, 2)").alias(name))
+        return d
 
 
 def with_public_suffix(df: DataFrame, suffixes: SuffixTable | DataFrame, host_col: Column, out: str = "_suffix") -> DataFrame:
@@ -78,8 +72,8 @@ def with_public_suffix(df: DataFrame, suffixes: SuffixTable | DataFrame, host_co
     Candidates are the last k labels of the host for k = 1..depth (the whole
     host included, as in Qt).  A candidate is a suffix when it is listed, or
     when its parent (last k-1 labels) has a wildcard rule and the candidate
-    has no exception rule.  Each lookup is one left hash join against the
-    broadcast suffix table, so rows never leave their partition; wildcard
+    has no exception rule.  Each lookup is one left equi-join with the suffix
+    table, which Spark broadcasts when it is small; wildcard
     and exception lookups are only planned when the table has such rules.
     """
     st = suffixes if isinstance(suffixes, SuffixTable) else SuffixTable.of(suffixes)
@@ -265,15 +259,12 @@ def clear_column(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.lit(None).cast(dtype))
 
 
-# Types of the metric columns (fixed values, SURVEY §1.2).
-INT_METRICS = ("tf", "cf", "obl", "http_status", "ttf_value")
+# Metric columns that are rounded to a whole number (fixed values, SURVEY §1.2).
 ROUNDED_METRICS = ("page_authority", "domain_authority")
-DOUBLE_METRICS = ("dofollow_pct", "moz_rank")
-LONG_METRICS = ("backlinks", "ref_domains")
 
 
 def coerce_metric_types(df: DataFrame) -> DataFrame:
-    """Cast metric columns to their types.
+    """Cast metric columns to the types the schema registry gives them.
 
     Decision: an unparsable value becomes NULL (the reference's ``toInt``
     gives 0); an empty value stays NULL.
@@ -282,13 +273,14 @@ def coerce_metric_types(df: DataFrame) -> DataFrame:
     for name in df.columns:
         c = F.trim(F.col(name).cast("string"))
         c = F.when(c == "", F.lit(None)).otherwise(c)
-        if name in INT_METRICS:
-            out = out.withColumn(name, c.try_cast("int"))
-        elif name in ROUNDED_METRICS:
+        kind = S.TYPES.get(name)
+        if name in ROUNDED_METRICS:
             out = out.withColumn(name, F.round(c.try_cast("double")).try_cast("int"))
-        elif name in DOUBLE_METRICS:
+        elif isinstance(kind, T.IntegerType):
+            out = out.withColumn(name, c.try_cast("int"))
+        elif isinstance(kind, T.DoubleType):
             out = out.withColumn(name, c.try_cast("double"))
-        elif name in LONG_METRICS:
+        elif isinstance(kind, T.LongType) and name != "row_id":
             out = out.withColumn(name, F.round(c.try_cast("double")).try_cast("long"))
     return out
 

@@ -12,6 +12,7 @@ from ..operators import frontier as G
 from ..operators import platform as PL
 from .catalog import q, register, sql_host
 from .fixtures import Fixtures, with_ctes
+from ..streaming.streams import item_rows
 from .loops import follow_pagination
 
 def fx(spark, sf_dir):
@@ -43,12 +44,8 @@ UNION ALL
 SELECT page_id, 'n_a', 0, CAST(len(regexp_extract_all(html, '<a[\\s>]')) AS VARCHAR) FROM pages""")
 def q_extract_items(spark, sf_dir):
     """Three rules (h1 text, site-relative link hrefs, anchor count), one row per item."""
-    it = EL.extract_items(fx(spark, sf_dir).pages(), [H1, NAV, N_A])
-    rows = None
-    for r in ("h1", "nav", "n_a"):
-        part = it.select("page_id", F.lit(r).alias("rule"), F.posexplode(r).alias("idx", "item"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    rules = [H1, NAV, N_A]
+    return item_rows(EL.extract_items(fx(spark, sf_dir).pages(), rules), rules)
 
 
 @register("next_page", "SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN url || '?page=2' END AS next_url FROM pages")

@@ -141,62 +141,105 @@ def q_read_url_list(spark, sf_dir):
     return SF.read_url_list(spark, [folder]).select("url")
 
 
-@register("write_read_result_txt", with_ctes("SELECT url, http_status, tf, CAST(cf AS INTEGER) AS cf FROM fx_urls", "fx_urls"))
+def _metric_table(spark, sf_dir):
+    """``fx_urls`` under the schema's metric names."""
+    return fx(spark, sf_dir).urls().withColumnsRenamed({"tf": "trust_flow", "cf": "citation_flow"})
+
+
+@register("write_read_result_txt", with_ctes("SELECT url, http_status, tf AS trust_flow, CAST(cf AS INTEGER) AS citation_flow FROM fx_urls", "fx_urls"))
 def q_write_read_result_txt(spark, sf_dir):
     """S8 then S2: ``#`` header + ``|`` rows, read back into typed columns."""
     folder = ST.shared_folder(spark, "resulttxt")
-    SK.write_result_txt(fx(spark, sf_dir).urls().repartition(3), folder, columns=["url", "http_status", "tf", "cf"])
-    return SF.read_result_txt(spark, folder).select("url", "http_status", "tf", "cf")
+    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow", "citation_flow"])
+    return SF.read_result_txt(spark, folder).select("url", "http_status", "trust_flow", "citation_flow")
 
 
 @register("read_result_txt_ragged", with_ctes(
-    "SELECT url || '|' || coalesce(CAST(http_status AS VARCHAR), '') || CASE WHEN row_id % 7 = 3 THEN '|extra' ELSE '' END AS url FROM fx_urls",
+    "SELECT url, CASE WHEN row_id % 5 <> 0 THEN coalesce(CAST(http_status AS VARCHAR), '') END AS pr FROM fx_urls",
     "fx_urls"))
 def q_read_result_txt_ragged(spark, sf_dir):
-    """A file whose rows differ in column count is read as a URL list."""
+    """S2 under the default header: short rows are padded, long ones cut."""
     u = fx(spark, sf_dir).urls()
-    line = F.concat(F.col("url"), F.lit("|"), F.coalesce(F.col("http_status").cast("string"), F.lit("")),
+    more = F.concat(F.lit("|"), F.coalesce(F.col("http_status").cast("string"), F.lit("")),
                     F.when(F.col("row_id") % 7 == 3, F.lit("|extra")).otherwise(F.lit("")))
+    line = F.concat(F.col("url"), F.when(F.col("row_id") % 5 != 0, more).otherwise(F.lit("")))
     folder = ST.shared_folder(spark, "ragged")
     u.select(line.alias("value")).repartition(2).write.text(folder)
-    return SF.read_result_txt(spark, folder).select("url")
+    return SF.read_result_txt(spark, folder).select("url", "pr")
 
 
-CSV_ORACLE = with_ctes("SELECT url, http_status, tf, 'a\"' || CAST(row_id % 10 AS VARCHAR) || '\"b' AS anchor FROM fx_urls", "fx_urls")
+CSV_ORACLE = with_ctes("SELECT url, http_status, tf AS trust_flow, 'a\"' || CAST(row_id % 10 AS VARCHAR) || '\"b' AS anchor FROM fx_urls", "fx_urls")
 
 
 def _write_csv(spark, sf_dir):
-    u = fx(spark, sf_dir).urls().withColumn("anchor", F.concat(F.lit('a"'), (F.col("row_id") % 10).cast("string"), F.lit('"b')))
+    u = _metric_table(spark, sf_dir).withColumn("anchor", F.concat(F.lit('a"'), (F.col("row_id") % 10).cast("string"), F.lit('"b')))
     folder = ST.shared_folder(spark, "resultcsv")
-    SK.write_result_csv(u.repartition(3), folder, columns=["url", "http_status", "tf", "anchor"])
+    SK.write_result_csv(u.repartition(3), folder, columns=["url", "http_status", "trust_flow", "anchor"])
     return folder
 
 
 @register("write_read_result_csv", CSV_ORACLE)
 def q_write_read_result_csv(spark, sf_dir):
     """S7 then S3: all cells quoted, quotes escaped with a backslash."""
-    return SF.read_result_csv(spark, _write_csv(spark, sf_dir)).select("url", "http_status", "tf", "anchor")
+    return SF.read_result_csv(spark, _write_csv(spark, sf_dir)).select("url", "http_status", "trust_flow", "anchor")
 
 
 @register("read_results", CSV_ORACLE)
 def q_read_results(spark, sf_dir):
     """Format detected (CSV here) and read with the matching reader."""
-    return SF.read_results(spark, _write_csv(spark, sf_dir)).select("url", "http_status", "tf", "anchor")
+    return SF.read_results(spark, _write_csv(spark, sf_dir)).select("url", "http_status", "trust_flow", "anchor")
+
+
+@register("read_results_urls", with_ctes("SELECT url FROM fx_urls WHERE row_id % 2 = 0 UNION ALL SELECT url FROM fx_urls WHERE row_id % 2 = 1", "fx_urls"))
+def q_read_results_urls(spark, sf_dir):
+    """S4 on files without any separator: URL lists."""
+    u = fx(spark, sf_dir).urls()
+    folders = []
+    for k in (0, 1):
+        folders.append(ST.shared_folder(spark, f"plain{k}"))
+        u.where(F.col("row_id") % 2 == k).select("url").repartition(2).write.text(folders[-1])
+    return SF.read_results(spark, folders).select("url")
+
 
+@register("read_results_txt", with_ctes("SELECT url, http_status, tf AS trust_flow FROM fx_urls", "fx_urls"))
+def q_read_results_txt(spark, sf_dir):
+    """S4 on delimited text."""
+    folder = ST.shared_folder(spark, "resulttxt4")
+    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow"])
+    return SF.read_results(spark, folder).select("url", "http_status", "trust_flow")
 
-@register("read_provider_report", with_ctes(
+
+REPORT_ORACLE = with_ctes(
     "SELECT page_url AS backlink_for, href AS url, 'anchor ' || CAST(k AS VARCHAR) AS anchor, 'TextLink' AS link_type, page_url AS target_url FROM fx_links",
-    "fx_links"))
-def q_read_provider_report(spark, sf_dir):
-    """``# API : Majestic`` marker, header line, ``|`` rows → backlinks/majestic schema."""
+    "fx_links")
+
+
+def _reports(spark, sf_dir):
+    """Two Majestic reports, each a marker and header file followed by files of rows."""
     links = fx(spark, sf_dir).links()
     row = F.concat_ws("|", F.col("page_url"), F.col("href"), F.concat(F.lit("anchor "), F.col("k").cast("string")),
                       F.lit("TextLink"), F.col("page_url"))
-    lines = (spark.createDataFrame([(0, "# API : Majestic"), (1, "#Backlinks for|URL|Anchor|Link type|Target URL")], "o long, value string")
-             .unionByName(links.select((F.col("page_id") * 10 + F.col("k") + 10).alias("o"), row.alias("value"))))
-    folder = ST.shared_folder(spark, "report")
-    lines.orderBy("o").coalesce(1).select("value").write.text(folder)
-    rep = SF.read_provider_report(spark, folder)
+    folders = []
+    for k in (0, 1):
+        head = ST.shared_folder(spark, f"report-head{k}")
+        spark.createDataFrame([("# API : Majestic\n#Backlinks for|URL|Anchor|Link type|Target URL",)], "value string").coalesce(1).write.text(head)
+        body = ST.shared_folder(spark, f"report{k}")
+        links.where(F.col("page_id") % 2 == k).select(row.alias("value")).write.text(body)
+        folders += [head, body]
+    return folders
+
+
+@register("read_provider_report", REPORT_ORACLE)
+def q_read_provider_report(spark, sf_dir):
+    """Two reports (``# API : Majestic``, header line, ``|`` rows) → backlinks/majestic schema."""
+    rep = SF.read_provider_report(spark, _reports(spark, sf_dir))
+    return rep.select("backlink_for", "url", "anchor", "link_type", "target_url")
+
+
+@register("read_results_provider", REPORT_ORACLE)
+def q_read_results_provider(spark, sf_dir):
+    """S4 on provider reports: the marker decides."""
+    rep = SF.read_results(spark, _reports(spark, sf_dir))
     return rep.select("backlink_for", "url", "anchor", "link_type", "target_url")
 
 
@@ -303,7 +346,9 @@ def q_stream_dedup(spark, sf_dir):
     u = fx(spark, sf_dir).urls().withColumn("ts", F.timestamp_seconds(F.col("row_id")))
     src, schema = _stage(u, spark, "urls-in")
     sink, ckpt = ST.shared_folder(spark, "dedup-out"), ST.shared_folder(spark, "dedup-ckpt")
-    ST.run_append(ST.stream_dedup(ST.read_stream(spark, src, schema)), sink, ckpt)
+    # one file holds any time of the table: a URL may come again after the whole span
+    span = u.agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("s")).first()
+    ST.run_append(ST.stream_dedup(ST.read_stream(spark, src, schema), delay=f"{(span.s or 0) + 1} seconds"), sink, ckpt)
     return spark.read.parquet(sink).select("url")
 
 
@@ -314,16 +359,11 @@ FROM events GROUP BY 1, 2""")
 def q_stream_counts(spark, sf_dir):
     """Events per day window with a watermark, update mode, last value per window."""
     ev = fx(spark, sf_dir).base("events").select("event_id", "ts")
-    # events arrive in time order: one file per week, written one after the other
-    src = ST.shared_folder(spark, "events-in")
-    week = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / (7 * 86400))
-    ev = ev.withColumn("_w", week)
-    for w in range(-1, 6):
-        part = ev.where(F.col("_w") == w) if w >= 0 else ev.where(F.col("_w").isNull() | (F.col("_w") < 0) | (F.col("_w") > 4))
-        part.drop("_w").coalesce(1).write.mode("append").parquet(src)
-    schema = spark.read.parquet(src).schema
+    # the files arrive in any order, so events may be later than the newest one by the table's whole span
+    src, schema = _stage(ev, spark, "events-in")
+    span = ev.agg(F.datediff(F.max("ts"), F.min("ts")).alias("d")).first()
     sink, ckpt = ST.shared_folder(spark, "counts-out"), ST.shared_folder(spark, "counts-ckpt")
-    ST.run_updates(ST.stream_counts(ST.read_stream(spark, src, schema)), sink, ckpt)
+    ST.run_updates(ST.stream_counts(ST.read_stream(spark, src, schema), delay=f"{(span.d or 0) + 1} days"), sink, ckpt)
     c = ST.latest_counts(spark, sink)
     fmt = "yyyy-MM-dd HH:mm:ss"
     return c.select(F.date_format("window_start", fmt).alias("window_start"), F.date_format("window_end", fmt).alias("window_end"), "events")

@@ -138,7 +138,8 @@ def _raw_metrics(df: DataFrame) -> DataFrame:
     """Metric cells as text, the way an imported file carries them."""
     return df.select(
         "row_id", "url",
-        F.when(F.col("row_id") % 13 == 0, F.lit("n/a")).otherwise(F.col("tf").cast("string")).alias("tf"),
+        F.when(F.col("row_id") % 13 == 0, F.lit("n/a")).otherwise(F.col("tf").cast("string")).alias("trust_flow"),
+        F.concat(F.lit(" "), F.col("cf").cast("string")).alias("domain_rank"),
         F.when(F.col("row_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.col("cf").cast("string"), F.lit(".6"))).alias("page_authority"),
         F.concat(F.col("cf").cast("string"), F.lit(".25")).alias("moz_rank"),
     )
@@ -146,7 +147,7 @@ def _raw_metrics(df: DataFrame) -> DataFrame:
 
 @register("coerce_metric_types", urls_sql(
     """SELECT row_id, url,
-              CASE WHEN row_id % 13 = 0 THEN NULL ELSE tf END AS tf,
+              CASE WHEN row_id % 13 = 0 THEN NULL ELSE tf END AS trust_flow, CAST(cf AS INTEGER) AS domain_rank,
               CASE WHEN row_id % 11 = 0 THEN NULL ELSE CAST(round(cf + 0.6) AS INTEGER) END AS page_authority,
               CAST(cf AS DOUBLE) + 0.25 AS moz_rank
        FROM fx_urls"""))
@@ -424,10 +425,12 @@ def q_append_rows(spark, sf_dir):
 
 @register("replace_or_append", urls_sql(
     """SELECT row_id, url, tf, cf, http_status FROM fx_urls
-       UNION ALL SELECT NULL, url, NULL, NULL, http_status FROM fx_crawl""", "fx_crawl"))
+       UNION ALL SELECT (SELECT max(row_id) FROM fx_urls) + row_number() OVER (ORDER BY page_id), url, NULL, NULL, http_status FROM fx_crawl""", "fx_crawl"))
 def q_replace_or_append(spark, sf_dir):
+    """U4: rows without ids are appended in their order, numbered after the table's last row."""
     f = fx(spark, sf_dir)
-    return S.replace_or_append(f.urls(), f.crawl().select("url", F.col("http_status").cast("int")), "append")
+    new = f.crawl().orderBy("page_id").select("url", F.col("http_status").cast("int"))
+    return S.replace_or_append(f.urls(), new, "append")
 
 
 @register("removed_counts", urls_sql("""
@@ -443,12 +446,11 @@ def q_removed_counts(spark, sf_dir):
 
 @register("page_of_deep", urls_sql(f"SELECT {COLS} FROM fx_urls ORDER BY row_id LIMIT 100 OFFSET 40000"))
 def q_page_of_deep(spark, sf_dir):
-    """O2 for a deep window, served by global row positions (the top-k bound
-    is lowered so that path runs at the test scale)."""
-    return D.page_of(fx(spark, sf_dir).urls(), offset=40000, n=100, topk_max=1000)
+    """O2 for a deep window."""
+    return D.page_of(fx(spark, sf_dir).urls(), offset=40000, n=100)
 
 
 @register("frontier_slice_large", urls_sql(f"SELECT {COLS} FROM fx_urls ORDER BY row_id LIMIT 20000"))
 def q_frontier_slice_large(spark, sf_dir):
     """O3 for a slice larger than the top-k bound (global row positions)."""
-    return D.frontier_slice(fx(spark, sf_dir).urls(), 20000, topk_max=1000)
+    return D.frontier_slice(fx(spark, sf_dir).urls(), 20000)

@@ -31,11 +31,11 @@ WHERE a.http_status IN (301, 302)
 """
 
 FX_LINKS = """
-SELECT a.page_id, a.url AS page_url, k.k, b.url AS href,
-  CASE WHEN (a.page_id + k.k) % 3 = 0 THEN 'nofollow' END AS rel
-FROM fx_crawl a
-CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k
-JOIN fx_crawl b ON b.page_id = (a.page_id * 7 + k.k * 13 + 1) % (SELECT count(*) FROM pages)
+SELECT a.page_id, a.url AS page_url, a.k, b.url AS href,
+  CASE WHEN (a.page_id + a.k) % 3 = 0 THEN 'nofollow' END AS rel
+FROM (SELECT page_id, url, 0 AS k FROM fx_crawl UNION ALL SELECT page_id, url, 1 FROM fx_crawl UNION ALL SELECT page_id, url, 2 FROM fx_crawl
+      UNION ALL SELECT page_id, url, 3 FROM fx_crawl UNION ALL SELECT page_id, url, 4 FROM fx_crawl) a
+JOIN fx_crawl b ON b.page_id = (a.page_id * 7 + a.k * 13 + 1) % (SELECT count(*) FROM pages)
 """
 
 FX_URLS = """

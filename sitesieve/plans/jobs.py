@@ -127,8 +127,8 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
         from .. import schemas as S
 
         names = S.custom_scrap_columns(headers)
-        split = split_custom_columns(rows, "item", names[: min(len(headers), S.MAX_CUSTOM_HEADERS)])
-        for c in names[min(len(headers), S.MAX_CUSTOM_HEADERS):]:
+        split = split_custom_columns(rows, "item", names[: len(headers)])
+        for c in names[len(headers):]:
             split = split.withColumn(c, F.lit(None).cast(S.TYPES.get(c, "string")))
         rows = coerce_metric_types(split)
     return dedup_urls(rows, "item", "page_id")

@@ -100,17 +100,15 @@ SCHEMAS: dict[str, list[str]] = {
 }
 
 
-# Custom-scrape schema: at most this many user headers (fixed value).
-MAX_CUSTOM_HEADERS = 35
 STD_BLOCK = ["http_status", "dofollow_pct", *STD_TAIL]
 
 
 def custom_scrap_columns(headers: list[str]) -> list[str]:
-    """§1.3 ``customScrap``: the user headers (at most 35, as logical names),
+    """§1.3 ``customScrap``: the user headers (as logical names, however many),
     then the standard enrichment columns only when one header is ``url``
     (case-insensitive)."""
-    names = [logical_name(h) for h in headers[:MAX_CUSTOM_HEADERS]]
-    if any(h.strip().lower() == "url" for h in headers[:MAX_CUSTOM_HEADERS]):
+    names = [logical_name(h) for h in headers]
+    if any(h.strip().lower() == "url" for h in headers):
         names += [c for c in STD_BLOCK if c not in names]
     return names
 

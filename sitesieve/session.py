@@ -2,8 +2,8 @@
 
 Library code never creates a session; it takes the caller's.  ``local_session``
 is for tests, the benchmark and the smoke entry point only.  On a cluster the
-checkpoint folder comes from ``spark.checkpoint.dir`` set by the cluster; we set
-our own (a fresh ``mktemp`` folder) only when that setting is absent.
+checkpoint folder comes from ``spark.checkpoint.dir`` set by the cluster; where it
+is absent a cluster run fails and a ``local[..]`` run gets a fresh folder.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value
-    is used as is.  Only when nothing is configured (tests, local runs) is a
-    fresh temporary folder created.  Works with a classic session (the
+    is used as is.  Without one a cluster run is an error; only a session with a
+    ``local[..]`` master, which is one process, gets a fresh temporary folder.  Works with a classic session (the
     SparkContext's folder) and with Spark Connect (the configuration only).
     """
     try:
@@ -56,9 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
             return sc.getCheckpointDir() or conf_dir
         return conf_dir
-    path = tempfile.mkdtemp(prefix="sitesieve-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    else:
-        spark.conf.set("spark.checkpoint.dir", path)
+    if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="sitesieve-ckpt-")  # one machine: driver and executors are one process
+    sc.setCheckpointDir(path)
     return path

@@ -1,10 +1,9 @@
 """File readers.
 
 All readers are Spark file scans (``spark.read.text`` / ``spark.read.csv``).
-Only the first line of the first file (the header) and two format flags
-reach the driver, the way ``spark.read.csv(header=True)`` reads a header;
-the per-file column-count census of S2 is a small table joined back to the
-lines.  Row order is carried by a
+Only the first lines of the first file (marker and header) and two format
+flags reach the driver, the way ``spark.read.csv(header=True)`` reads a
+header.  Row order is carried by a
 ``row_id`` that increases with (file position in ``paths``, position in the
 file): each path is read on its own and the reads are concatenated, and
 ``monotonically_increasing_id`` numbers rows in that order.
@@ -81,25 +80,18 @@ def read_result_txt(spark: SparkSession, paths, sep: str = "|", stable: bool = F
     The header is line 1 of the first file without ``#``; when that line has
     no ``#`` the default header ``URL|PR`` is used and all lines are data.
     Header names become logical names (``HTTP Status`` → ``http_status``).
-    A file whose lines do not all have the same number of columns is read as
-    a URL list (S1); that test is per file: a per-file table of column-count
-    census is joined back to the lines, so no file list reaches the driver.
-    Rows with one value fill only the first column.
+    Short rows are padded with NULL, extra values are cut.
     """
     sep_re = "\\" + sep if not sep.isalnum() else sep
     lines = read_lines(spark, paths)
     v = F.col("value")
     data = lines.where((F.trim(v) != "") & ~_is_comment(v))
-    per_file = data.groupBy("_path").agg(F.count_distinct(F.size(F.split("value", sep_re))).alias("_n_sizes"))
     first = lines.where(F.trim(v) != "").orderBy(_line_order()).select("value").first()
     line1 = (first["value"] if first else "").strip()
     header = line1.replace("#", "").split(sep) if line1.startswith("#") else DEFAULT_TXT_HEADER
     names = [S.logical_name(h) for h in header]
-    tagged = data.join(per_file, "_path")
-    parts = F.split(v, sep_re)
-    table = tagged.where(F.col("_n_sizes") <= 1).select(F.col("_ord").alias("row_id"), *_named_columns(parts, names))
-    urls = tagged.where(F.col("_n_sizes") > 1).select(F.col("_ord").alias("row_id"), v.alias(names[0]))
-    out = coerce_metric_types(table.unionByName(urls, allowMissingColumns=True))
+    table = data.select(F.col("_ord").alias("row_id"), *_named_columns(F.split(v, sep_re), names))
+    out = coerce_metric_types(table)
     return stable_ids(out) if stable else out
 
 
@@ -136,9 +128,14 @@ def detect_format(spark: SparkSession, paths, sep: str = "|", csv_sep: str = ","
 
 
 def read_results(spark: SparkSession, paths, sep: str = "|", stable: bool = False) -> DataFrame:
-    """One reader for S1-S3 by detected format; ``stable`` fixes the row ids."""
+    """One reader for S1-S3 and S5 by detected format; ``stable`` fixes the row ids.
+
+    Files whose first line is a provider marker are a provider's report, whatever their separator.
+    """
     fmt = detect_format(spark, paths, sep)
-    if fmt == "csv":
+    if _provider(read_lines(spark, paths)) is not None:
+        out = read_provider_report(spark, paths, sep)
+    elif fmt == "csv":
         out = read_result_csv(spark, paths)
     elif fmt == "txt":
         out = read_result_txt(spark, paths, sep)
@@ -147,19 +144,30 @@ def read_results(spark: SparkSession, paths, sep: str = "|", stable: bool = Fals
     return stable_ids(out) if stable else out
 
 
+def _provider(lines: DataFrame) -> str | None:
+    """The provider that the first line's marker names."""
+    first = lines.orderBy(_line_order()).select("value").first()
+    return next((name for name, marker in PROVIDER_MARKERS.items() if first is not None and marker in first["value"]), None)
+
+
 def read_provider_report(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
-    """A report whose line 1 is ``# API : Ahrefs`` / ``Majestic`` / ``Moz`` and
-    line 2 the header; rows land in that provider's backlinks schema (S6)."""
-    lines = read_lines(spark, paths).withColumn("_key", _line_order())
-    first = lines.orderBy("_key").select("value").first()
-    provider = None
-    for name, marker in PROVIDER_MARKERS.items():
-        if first is not None and marker in first["value"]:
-            provider = name
+    """Reports whose line 1 is ``# API : Ahrefs`` / ``Majestic`` / ``Moz`` and
+    line 2 the header; rows land in that provider's backlinks schema (S6).
+
+    The first file names the provider and the header; the marker, header and
+    comment lines of every further file are skipped.
+    """
+    lines = read_lines(spark, paths)
+    provider = _provider(lines)
     if provider is None:
         raise ValueError("not a provider report: line 1 carries no '# API : <provider>' marker")
-    body = lines.where(F.col("_key") != lines.agg(F.min("_key")).scalar())
-    header_row = body.orderBy("_key").select("value").first()["value"]
+    v = F.col("value")
+    marked = F.lit(False)
+    for marker in PROVIDER_MARKERS.values():
+        marked = marked | v.contains(marker)
+    body = lines.where(~marked & (F.trim(v) != ""))
+    first = body.orderBy(_line_order()).select("value").first()
+    header_row = first["value"] if first is not None else sep.join(S.display_name(c) for c in S.SCHEMAS[f"backlinks/{provider.lower()}"])
     is_csv = header_row.startswith('"')
     if is_csv:
         header = [h.strip('"') for h in header_row.split('","')]
@@ -168,7 +176,7 @@ def read_provider_report(spark: SparkSession, paths, sep: str = "|") -> DataFram
         header = header_row.lstrip("#").split(sep)
         split_re = "\\" + sep
     names = [S.logical_name(h) for h in header]
-    data = body.where(F.col("_key") != body.agg(F.min("_key")).scalar()).where(F.trim("value") != "")
+    data = body.where((v != F.lit(header_row)) & ~_is_comment(v))
     value = F.regexp_replace(F.col("value"), '^"|"$', "") if is_csv else F.col("value")
     parts = F.split(value, split_re)
     cols = []

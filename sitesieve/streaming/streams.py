@@ -48,12 +48,14 @@ def stream_items(pages_stream: DataFrame, rules: list) -> DataFrame:
     projection) evaluated on each micro-batch of pages, one row per item."""
     from ..operators.elements import extract_items
 
-    items = extract_items(pages_stream, rules, engine="regex")
-    rows = None
-    for r in rules:
-        part = items.select("page_id", F.lit(r.name).alias("rule"), F.posexplode(r.name).alias("idx", "item"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return item_rows(extract_items(pages_stream, rules, engine="regex"), rules)
+
+
+def item_rows(items: DataFrame, rules: list) -> DataFrame:
+    """(page_id, rule, idx, item) of :func:`extract_items`' array columns; the input is read once for all rules."""
+    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("items")) for r in rules])
+    rows = items.select("page_id", F.explode(each).alias("_r"))
+    return rows.select("page_id", "_r.rule", F.posexplode("_r.items").alias("idx", "item"))
 
 
 def run_append_with_session(sdf: DataFrame, sink: str, session: str, checkpoint: str, item_col: str = "item") -> None:
@@ -81,11 +83,7 @@ def run_items_per_batch(pages_stream: DataFrame, rules: list, sink: str, session
     from ..sources.sinks import append_session_results
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        items = extract_items(batch, rules)
-        rows = None
-        for r in rules:
-            part = items.select("page_id", F.lit(r.name).alias("rule"), F.posexplode(r.name).alias("idx", "item"))
-            rows = part if rows is None else rows.unionByName(part)
+        rows = item_rows(extract_items(batch, rules), rules)
         out = f"{sink}/batch={batch_id}"
         rows.write.mode("overwrite").parquet(out)
         written = batch.sparkSession.read.parquet(out)
@@ -96,8 +94,8 @@ def run_items_per_batch(pages_stream: DataFrame, rules: list, sink: str, session
     q.awaitTermination()
 
 
-def stream_dedup(url_stream: DataFrame, col: str = "url", ts_col: str = "ts", delay: str = "36500 days") -> DataFrame:
-    """Drop URLs already seen within the watermark delay of their first arrival."""
+def stream_dedup(url_stream: DataFrame, col: str = "url", ts_col: str = "ts", delay: str = "7 days") -> DataFrame:
+    """Drop URLs already seen within ``delay`` (the caller's bound on the state) of their first arrival."""
     if url_stream.schema[ts_col].dataType.typeName() != "timestamp":
         url_stream = url_stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     return url_stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([col])

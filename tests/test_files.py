@@ -50,13 +50,51 @@ def test_csv_round_trip_with_quotes_and_nulls(spark):
     assert back == [("plain", 404), ('say "hi"', None)]
 
 
-def test_ragged_file_demoted_alone(spark):
+def test_short_rows_are_padded_and_long_ones_cut(spark):
     folder = shared_folder(spark, "mixed")
     spark.createDataFrame([("#URL|HTTP Status",), ("http://a.com/|200",)], "value string").coalesce(1).write.text(folder + "/f1")
     spark.createDataFrame([("http://b.com/|200",), ("http://c.com/|200|x",)], "value string").coalesce(1).write.text(folder + "/f2")
     rows = SF.read_result_txt(spark, [folder + "/f1", folder + "/f2"]).collect()
     got = sorted((r.url, r.http_status) for r in rows)
-    assert got == [("http://a.com/", 200), ("http://b.com/|200", None), ("http://c.com/|200|x", None)]
+    assert got == [("http://a.com/", 200), ("http://b.com/", 200), ("http://c.com/", 200)]
+    short = lines_file(spark, ["#URL|CF|TF", "http://a/|10|n/a", "http://b/", "http://c/|3"], "short")
+    rows = SF.read_result_txt(spark, short).orderBy("row_id").collect()
+    assert [(r.url, r.citation_flow, r.trust_flow) for r in rows] == [("http://a/", 10, None), ("http://b/", None, None), ("http://c/", 3, None)]
+    from sitesieve.operators.filters import drop_lower
+
+    assert [r.url for r in drop_lower(SF.read_result_txt(spark, short), "citation_flow", 5).where("citation_flow is not null").collect()] == ["http://a/"]
+
+
+@pytest.mark.parametrize("provider", ["Ahrefs", "Majestic", "Moz"])
+def test_two_reports_and_reports_through_the_ordinary_import(spark, provider):
+    txt = [lines_file(spark, [f"# API : {provider}", "#Backlinks for|URL|Anchor", f"http://t/|http://a/{i}|x"], f"two{i}") for i in range(2)]
+    csv = [lines_file(spark, [f"# API : {provider}", '"Backlinks for","URL","Anchor"', f'"http://t/","http://a/{i}","x"'], f"csv{i}") for i in range(2)]
+    for paths in (txt, csv):
+        for read in (SF.read_provider_report, SF.read_results):
+            got = read(spark, paths)
+            assert [(r.backlink_for, r.url, r.anchor) for r in got.orderBy("row_id").collect()] == [("http://t/", f"http://a/{i}", "x") for i in range(2)]
+            assert got.columns[1:] == SF.S.SCHEMAS[f"backlinks/{provider.lower()}"]
+
+
+def test_appended_rows_get_ids_and_survive_dedup(spark):
+    from sitesieve.operators.dedup import dedup_urls
+    from sitesieve.operators.sets import append_rows
+
+    table = spark.createDataFrame([(0, "http://a/"), (1, "http://b/")], "row_id long, url string")
+    both = append_rows(table, spark.createDataFrame([("http://c/",), ("http://a/",)], "url string").coalesce(1))
+    assert sorted((r.url, r.row_id) for r in dedup_urls(both).collect()) == [("http://a/", 3), ("http://b/", 1), ("http://c/", 2)]
+    with pytest.raises(Exception, match="row_id must not be null"):
+        dedup_urls(table.unionByName(spark.createDataFrame([(None, "http://x/")], "row_id long, url string"))).collect()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sitesieve.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
 
 
 def test_stable_ids(spark):
