@@ -8,25 +8,66 @@ ever carries page bodies.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from .urls import _require
 
-# Fixed patterns (Java regex; also valid RE2 for the oracle).
-ANCHOR_RE = r"(?is)<a\s[^>]*>"
-# quoted or unquoted attribute value
-HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-REL_RE = r"""(?is)\srel\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-ROBOTS_RE = r"""(?is)<meta[^>]*name\s*=\s*["']?robots["']?[^>]*content\s*=\s*["'][^"']*nofollow"""
+# Attributes between the name of a start tag and its ``>``: a ``>`` inside a quoted value does not end the tag.
+# All repetitions are possessive, so every pattern runs in linear time without recursion.
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+_REST_OF_TAG = rf"(?=[\s/>])(?:[^>=]++|=\s*+{_QUOTED}?+)*+>"
+# Comments, and what stands inside scripts and styles, hold no elements.
+HIDDEN_RE = rf"(?is)<!--.*?-->|(<(script|style){_REST_OF_TAG}).*?(?=</\2[\s/>])"
+
+
+def tag_re(name: str) -> str:
+    """Pattern of a start tag."""
+    return rf"(?is)<{name}{_REST_OF_TAG}"
+
+
+def attr_re(name: str) -> str:
+    """Pattern over a start tag whose group 1 is the raw value of its first attribute ``name``.
+
+    The attributes before it are walked one by one, so a look-alike inside another value is no hit.
+    """
+    n = re.escape(name)
+    value = rf"\s*+=\s*+({_QUOTED}|[^\s>]*+)"
+    other = rf"(?!{n}[\s=/>])[^\s=>/]++(?:{value.replace('(' + _QUOTED, '(?:' + _QUOTED, 1)})?+"
+    return rf"(?is)^<[a-z][a-z0-9]*+(?:[\s/=]++|{other})*+{n}(?:{value})?+"
+
+
+# Fixed pattern, in the form the reference uses.
 CHARSET_RE = r"""(?i)<meta.*?charset=["']?([^"']+)["']?"""
 
 
-def attr_value(tag: Column, pattern: str) -> Column:
-    """Value of one attribute inside a tag string, NULL when absent."""
-    v = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2), F.regexp_extract(tag, pattern, 3))
-    return F.when(tag.rlike(pattern), v)
+# Entities decoded in attribute values (fixed values).
+ATTR_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#38;", "&"), ("&amp;", "&")]
+
+
+def start_tags(html: Column, name: str) -> Column:
+    """The start tags ``name`` of a page in order, outside comments, scripts and styles."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), F.lit(HIDDEN_RE), F.lit("$1"))
+    return F.regexp_extract_all(shown, F.lit(tag_re(name)), 0)
+
+
+def attr_value(tag: Column, name: str) -> Column:
+    """Value of one attribute of a start tag, entities decoded; ``""`` without a value, NULL when absent."""
+    raw = F.get(F.regexp_extract_all(tag, F.lit(attr_re(name)), F.lit(1)), F.lit(0))
+    quoted = raw.startswith('"') | raw.startswith("'")
+    v = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    decoded = v
+    for ent, ch in ATTR_ENTITIES:
+        decoded = F.replace(decoded, F.lit(ent), F.lit(ch))
+    return F.when(v.contains("&"), decoded).otherwise(v)
+
+
+def _links(html: Column) -> Column:
+    """(href, rel) of every anchor."""
+    return F.transform(start_tags(html, "a"), lambda t: F.struct(attr_value(t, "href").alias("href"), attr_value(t, "rel").alias("rel")))
 
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -36,50 +77,29 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     per-page totals, which keeps them).
     """
     _require(pages, id_col, url_col, html_col)
-    tags = pages.select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).alias("page_url"),
-        F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_RE), 0)).alias("pos", "tag"),
-    )
-    return tags.select(
-        "page_id", "page_url", "pos",
-        attr_value(F.col("tag"), HREF_RE).alias("href"),
-        attr_value(F.col("tag"), REL_RE).alias("rel"),
-    )
-
-
-def _outbound(href: Column, page_url: Column) -> Column:
-    """href starts with http:// or https:// and not with the page's ``scheme://host``."""
-    site = U.site_root(page_url)
-    return (href.startswith("http://") | href.startswith("https://")) & ~href.startswith(site)
+    links = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"), F.posexplode(_links(F.col(html_col))).alias("pos", "l"))
+    return links.select("page_id", "page_url", "pos", "l.href", "l.rel")
 
 
 def page_link_stats(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: external link count and external nofollow count, plus an empty-body flag.
 
-    One pass over ``html`` per page; the counts are taken inside the row
-    (``filter`` + ``size`` over the anchor array), so there is no shuffle at all.
+    One pass over ``html`` per page: the links and the page's ``scheme://host`` are
+    columns of their own, and the counts are taken inside the row, so there is no shuffle at all.
     """
     _require(pages, id_col, url_col, html_col)
     html = F.col(html_col)
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR_RE), 0)
-    page_url = F.col(url_col)
-
-    def is_ext(t: Column) -> Column:
-        return F.coalesce(_outbound(attr_value(t, HREF_RE), page_url), F.lit(False))
-
-    def is_nofollow(t: Column) -> Column:
-        return F.coalesce(attr_value(t, REL_RE) == "nofollow", F.lit(False))
-
-    ext = F.size(F.filter(tags, is_ext))
-    nof = F.size(F.filter(tags, lambda t: is_ext(t) & is_nofollow(t)))
-    return pages.select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).alias("url"),
-        (html.isNull() | (html == "")).alias("empty_page"),
-        ext.cast("long").alias("external"),
-        nof.cast("long").alias("external_nofollow"),
-    )
+    out = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), (html.isNull() | (html == "")).alias("empty_page"),
+        U.site_root(F.col(url_col)).alias("_site"), _links(html).alias("_links"))
+
+    def outbound(link: Column) -> Column:
+        href = link["href"]
+        return F.coalesce((href.startswith("http://") | href.startswith("https://")) & ~href.startswith(F.col("_site")), F.lit(False))
+
+    out = out.withColumn("_ext", F.filter("_links", outbound))
+    nof = F.size(F.filter("_ext", lambda x: F.coalesce(x["rel"] == "nofollow", F.lit(False))))
+    return out.select("page_id", "url", "empty_page", F.size("_ext").cast("long").alias("external"), nof.cast("long").alias("external_nofollow"))
 
 
 def outbound_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -101,7 +121,7 @@ def dofollow_pct(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         .when(ext == 0, F.lit(0.0))
         .otherwise((ext - nof) * 100.0 / ext)
     )
-    return s.select("page_id", "url", F.round(pct, 2).alias("dofollow_pct"))
+    return s.select("page_id", "url", pct.alias("dofollow_pct"))
 
 
 def link_alive(
@@ -154,7 +174,8 @@ def link_alive(
 def robots_nofollow(pages: DataFrame, html_col: str = "html", out: str = "robots_nofollow") -> DataFrame:
     """The page carries a robots meta whose content contains ``nofollow``."""
     _require(pages, html_col)
-    return pages.withColumn(out, F.coalesce(F.col(html_col).rlike(ROBOTS_RE), F.lit(False)))
+    robots = lambda t: (F.lower(attr_value(t, "name")) == "robots") & F.lower(attr_value(t, "content")).contains("nofollow")
+    return pages.withColumn(out, F.coalesce(F.exists(start_tags(F.col(html_col), "meta"), robots), F.lit(False)))
 
 
 # Charset names a decoder is known for (fixed values, common IANA names and aliases).

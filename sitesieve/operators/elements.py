@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import url as U
-from .content import html_to_text
+from .content import attr_value, html_to_text, start_tags
 from .urls import _require
 
 ELEMENT_SCHEMA = T.StructType([
@@ -224,26 +224,6 @@ def substitute(c: Column, values: dict[str, Column] | None, encoded: bool = True
     return out
 
 
-# Entities decoded in attribute values on the regex path (fixed values).
-ATTR_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
-
-
-def _attr_re(name: str) -> str:
-    n = re.escape(name)
-    return r"""(?is)\s""" + n + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-
-def _attr(tag: Column, name: str) -> Column:
-    """Value of attribute ``name`` in a start-tag string (first occurrence),
-    ``""`` for a valueless attribute, NULL when absent; common entities decoded."""
-    rx = _attr_re(name)
-    v = F.concat(F.regexp_extract(tag, rx, 1), F.regexp_extract(tag, rx, 2), F.regexp_extract(tag, rx, 3))
-    for ent, ch in ATTR_ENTITIES:
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    bare = r"(?is)\s" + re.escape(name) + r"(?:[\s/>]|$)"
-    return F.when(tag.rlike(rx), v).when(tag.rlike(bare), F.lit(""))
-
-
 def _regex_ok(rules: list[Rule]) -> bool:
     return all((r.output == "count" or r.output.startswith("@")) and r.tag != "*" and re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", r.tag)
                for r in rules)
@@ -255,7 +235,7 @@ def _tag_test(r: Rule, ph: dict[str, Column]):
     def cond(t: Column) -> Column:
         c = F.lit(True)
         for test in r.tests:
-            v = _attr(t, test.attr)
+            v = attr_value(t, test.attr)
             value = substitute(F.lit(test.value), ph) if ph else F.lit(test.value)
             if test.op == "exists":
                 x = v.isNotNull()
@@ -270,7 +250,7 @@ def _tag_test(r: Rule, ph: dict[str, Column]):
             x = F.coalesce(x, F.lit(False))
             c = c & (~x if test.negate else x)
         if r.output.startswith("@"):
-            c = c & _attr(t, r.output[1:]).isNotNull()
+            c = c & attr_value(t, r.output[1:]).isNotNull()
         return c
 
     return cond
@@ -278,7 +258,7 @@ def _tag_test(r: Rule, ph: dict[str, Column]):
 
 def _tag_value(name: str):
     def value(t: Column) -> Column:
-        return _attr(t, name)
+        return attr_value(t, name)
 
     return value
 
@@ -290,7 +270,7 @@ def _regex_items(pages: DataFrame, rules: list[Rule], id_col: str, html_col: str
     html = F.coalesce(F.col(html_col), F.lit(""))
     cols = []
     for r in rules:
-        tags = F.regexp_extract_all(html, F.lit(r"(?is)<" + r.tag + r"(?:\s[^>]*)?/?>"), 0)
+        tags = start_tags(html, r.tag)
         kept = F.filter(tags, _tag_test(r, ph))
         if r.output == "count":
             items = F.array(F.size(kept).cast("string"))
@@ -317,8 +297,8 @@ def extract_items(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
     one aggregation); ``regex`` reads start tags with JVM regular
     expressions (no Python, no shuffle) and serves rules whose output is an
     attribute or a count; ``auto`` picks ``regex`` when every rule allows it.
-    The regex path sees tags inside comments or script text, which the
-    parser skips.  ``id_col`` may be of any type (a page number, or the URL);
+    Both skip comments and script text and read attributes alike, so the
+    answer does not depend on the engine.  ``id_col`` may be of any type (a page number, or the URL);
     it is returned as ``page_id``.
 
     One aggregation answers all rules; items keep document order (sorted

@@ -73,6 +73,65 @@ def q_robots_nofollow(spark, sf_dir):
     return C.robots_nofollow(fx(spark, sf_dir).html(extras=True)).select("page_id", "robots_nofollow")
 
 
+def _markup(spark, sf_dir):
+    """``pages`` with anchors that only careful reading gets right appended to every page."""
+    p = fx(spark, sf_dir).pages()
+    pid = F.col("page_id").cast("string")
+    more = F.concat(
+        F.lit('<!-- <a href="http://z.com/"> --><a title="a > b" href="http://y.com/?a=1&amp;b='), pid,
+        F.lit("""" rel="nofollow">t</a><a data-x="1 href=q" HREF='http://x.com/'>u</a><script>var s='<a href="http://s.com/">';</script><a\nname=n>v</a>"""),
+        F.when(F.col("page_id") % 5 == 0, F.lit('<META content="NoIndex,nofollow" name="robots">')).otherwise(F.lit('<meta content="nofollow" name="author">')))
+    return p.select("page_id", "url", F.concat("html", more).alias("html"))
+
+
+@register("extract_links_markup", """
+SELECT page_id, url AS page_url, CAST(generate_subscripts(own, 1) - 1 AS INTEGER) AS pos, unnest(own) AS href, CAST(NULL AS VARCHAR) AS rel
+FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)">', 1) AS own FROM pages) b
+UNION ALL
+SELECT page_id, url, CAST(len(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)) + k AS INTEGER),
+       CASE k WHEN 0 THEN 'http://y.com/?a=1&b=' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'http://x.com/' END, CASE k WHEN 0 THEN 'nofollow' END
+FROM pages, (VALUES (0), (1), (2)) v(k)""")
+def q_extract_links_markup(spark, sf_dir):
+    """C1 past comments, scripts, quoted ``>``, entities, look-alikes in other attributes and anchors without href."""
+    return C.extract_links(_markup(spark, sf_dir))
+
+
+@register("outbound_links_markup", "SELECT page_id, url, 2 AS obl FROM pages")
+def q_outbound_links_markup(spark, sf_dir):
+    return C.outbound_links(_markup(spark, sf_dir))
+
+
+@register("dofollow_pct_markup", "SELECT page_id, url, CAST(50 AS DOUBLE) AS dofollow_pct FROM pages")
+def q_dofollow_pct_markup(spark, sf_dir):
+    return C.dofollow_pct(_markup(spark, sf_dir))
+
+
+@register("link_alive_markup", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'yes' ELSE 'no' END AS link_alive FROM pages")
+def q_link_alive_markup(spark, sf_dir):
+    """J10 with a target whose ``&`` is written as an entity; the other target only stands in a comment."""
+    m = _markup(spark, sf_dir)
+    target = F.when(F.col("page_id") % 2 == 0, F.lit("y.com/?a=1&b=")).otherwise(F.lit("z.com"))
+    return C.link_alive(m.select("page_id", "url", target.alias("backlink_for")), m).select("page_id", "link_alive")
+
+
+@register("robots_nofollow_markup", "SELECT page_id, page_id % 5 = 0 AS robots_nofollow FROM pages")
+def q_robots_nofollow_markup(spark, sf_dir):
+    """C5 with ``content`` before ``name``."""
+    return C.robots_nofollow(_markup(spark, sf_dir)).select("page_id", "robots_nofollow")
+
+
+@register("extract_items_engines", """
+SELECT page_id, engine, 'y' AS rule, 0 AS idx, 'http://y.com/?a=1&b=' || CAST(page_id AS VARCHAR) AS item FROM pages, (VALUES ('regex'), ('parser')) e(engine)
+UNION ALL
+SELECT page_id, engine, 'n', 0, CAST(len(regexp_extract_all(html, '<a[\s>]')) + 3 AS VARCHAR) FROM pages, (VALUES ('regex'), ('parser')) e(engine)""")
+def q_extract_items_engines(spark, sf_dir):
+    """One answer from either engine."""
+    m = _markup(spark, sf_dir)
+    rules = [EL.Rule("y", "a", (EL.Test("href", "starts-with", "http://y"),), "@href"), EL.Rule("n", "a", output="count")]
+    both = [item_rows(EL.extract_items(m, rules, engine=e), rules).withColumn("engine", F.lit(e)) for e in ("regex", "parser")]
+    return both[0].unionByName(both[1])
+
+
 @register("detect_charset", f"""
 SELECT CASE WHEN c IN ({", ".join("'" + x + "'" for x in C.KNOWN_CHARSETS)}) THEN c ELSE 'UTF-8' END AS charset, count(*) AS pages FROM (
   SELECT upper(trim(regexp_extract(html, {q(C.CHARSET_RE)}, 1))) AS c FROM pages) t GROUP BY 1""")

@@ -373,7 +373,7 @@ def q_stream_counts(spark, sf_dir):
 
 @register("ingest_backlinks", with_ctes(f"""
 SELECT l.page_url AS backlink_for, l.href AS url, 'anchor ' || CAST(l.k AS VARCHAR) AS anchor, c.http_status,
-       CASE WHEN s.ext = 0 THEN 0.0 ELSE round((s.ext - s.nof) * 100.0 / s.ext, 2) END AS dofollow_pct
+       CASE WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
 FROM fx_links l JOIN fx_crawl c ON c.url = l.href
 JOIN (SELECT c2.url, CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')}) AS DOUBLE) AS ext,
              CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')} AND x.rel = 'nofollow') AS DOUBLE) AS nof
@@ -422,7 +422,7 @@ _L3_STATS = f"""(SELECT c2.url, CAST(count(x.href) FILTER (WHERE {sql_ext('x.hre
 
 @register("ingest_backlinks_ahrefs", with_ctes(f"""
 SELECT l.page_url AS backlink_for, l.href AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor, c.http_status,
-       CASE WHEN s.ext = 0 THEN 0.0 ELSE round((s.ext - s.nof) * 100.0 / s.ext, 2) END AS dofollow_pct
+       CASE WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
 FROM fx_links l JOIN fx_crawl c ON c.url = l.href JOIN {_L3_STATS} s ON s.url = l.href
 WHERE l.page_id % 13 <> 0""", "fx_crawl", "fx_links"))
 def q_ingest_backlinks_ahrefs(spark, sf_dir):
@@ -435,7 +435,7 @@ def q_ingest_backlinks_ahrefs(spark, sf_dir):
 @register("ingest_backlinks_moz", with_ctes(f"""
 SELECT l.page_url AS backlink_for, 'http://' || regexp_replace(l.href, '^[a-z]+://', '') AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor,
        200 AS http_status,
-       CASE WHEN s.url IS NULL THEN NULL WHEN s.ext = 0 THEN 0.0 ELSE round((s.ext - s.nof) * 100.0 / s.ext, 2) END AS dofollow_pct
+       CASE WHEN s.url IS NULL THEN NULL WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
 FROM fx_links l
 LEFT JOIN {_L3_STATS} s ON s.url = 'http://' || regexp_replace(l.href, '^[a-z]+://', '')
 WHERE l.page_id % 19 <> 0""", "fx_crawl", "fx_links"))

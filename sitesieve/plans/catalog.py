@@ -98,7 +98,7 @@ def q_outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     "dofollow_pct",
     with_ctes(
         f"""SELECT page_id, url,
-                   CAST(CASE WHEN ext = 0 THEN 0.0 ELSE round((ext - nof) * 100.0 / ext, 2) END AS DOUBLE) AS dofollow_pct
+                   CAST(CASE WHEN ext = 0 THEN 0.0 ELSE (ext - nof) * 100.0 / ext END AS DOUBLE) AS dofollow_pct
             FROM (SELECT c.page_id, c.url,
                          CAST(count(l.href) FILTER (WHERE {sql_ext('l.href', 'c.url')}) AS DOUBLE) AS ext,
                          CAST(count(l.href) FILTER (WHERE {sql_ext('l.href', 'c.url')} AND l.rel = 'nofollow') AS DOUBLE) AS nof

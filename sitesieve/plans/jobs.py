@@ -64,7 +64,7 @@ def clean_and_enrich(
         nof = F.col("external_nofollow").cast("double")
         answers = stats.select(
             F.col("url").alias(col),
-            F.round(F.when(F.col("empty_page"), F.lit(-2.0)).when(ext == 0, F.lit(0.0)).otherwise((ext - nof) * 100.0 / ext), 2).alias("dofollow_pct"),
+            F.when(F.col("empty_page"), F.lit(-2.0)).when(ext == 0, F.lit(0.0)).otherwise((ext - nof) * 100.0 / ext).alias("dofollow_pct"),
             F.when(F.col("empty_page"), F.lit(-1)).otherwise(F.col("external")).cast("int").alias("obl"),
         ).select(col, *page_cols)
         for c, dtype in (("dofollow_pct", "double"), ("obl", "int")):
