@@ -123,7 +123,7 @@ def q_robots_nofollow_markup(spark, sf_dir):
 @register("extract_items_engines", """
 SELECT page_id, engine, 'y' AS rule, 0 AS idx, 'http://y.com/?a=1&b=' || CAST(page_id AS VARCHAR) AS item FROM pages, (VALUES ('regex'), ('parser')) e(engine)
 UNION ALL
-SELECT page_id, engine, 'n', 0, CAST(len(regexp_extract_all(html, '<a[\s>]')) + 3 AS VARCHAR) FROM pages, (VALUES ('regex'), ('parser')) e(engine)""")
+SELECT page_id, engine, 'n', 0, CAST(len(regexp_extract_all(html, '<a[\\s>]')) + 3 AS VARCHAR) FROM pages, (VALUES ('regex'), ('parser')) e(engine)""")
 def q_extract_items_engines(spark, sf_dir):
     """One answer from either engine."""
     m = _markup(spark, sf_dir)

@@ -446,3 +446,83 @@ def q_ingest_backlinks_moz(spark, sf_dir):
     f = fx(spark, sf_dir)
     out = jobs.ingest_backlinks(replies.moz_links(f), "moz", fetch_log=f.fetch_log(), pages=f.html())
     return out.select("backlink_for", "url", "anchor", "http_status", "dofollow_pct")
+
+
+@register("ingest_backlinks_ref_domains", f"""
+SELECT 'block' || CAST(s_suppkey // 10 AS VARCHAR) AS backlink_for, 'http://site' || CAST(s_suppkey AS VARCHAR) || '.' || sx AS url,
+       CAST(s_nationkey AS INTEGER) AS citation_flow, CAST(s_suppkey % 50 AS INTEGER) AS trust_flow,
+       'T' || CAST(s_nationkey AS VARCHAR) AS ttf_topic, CAST(s_nationkey AS INTEGER) AS ttf_value,
+       '10.9.' || CAST(s_suppkey % 256 AS VARCHAR) || '.1' AS ip, CAST(NULL AS INTEGER) AS http_status
+FROM {SUPPLIER_DOMAINS} d""")
+def q_ingest_backlinks_ref_domains(spark, sf_dir):
+    """L3 over Majestic referring domains (S12): the same table as link lists."""
+    f = fx(spark, sf_dir)
+    out = jobs.ingest_backlinks(replies.majestic_ref_domains(f), "majestic_ref_domains", fetch_log=f.fetch_log(), pages=f.html())
+    return out.select("backlink_for", "url", "citation_flow", "trust_flow", "ttf_topic", "ttf_value", "ip", "http_status")
+
+
+@register("ingest_errors", with_ctes("""
+SELECT DISTINCT 'majestic' AS provider, page_url AS backlink_for, 'quota exceeded' AS error FROM fx_links WHERE page_id % 17 = 0
+UNION ALL SELECT DISTINCT 'ahrefs', page_url, 'quota' FROM fx_links WHERE page_id % 13 = 0
+UNION ALL SELECT DISTINCT 'moz', page_url, 'too many requests' FROM fx_links WHERE page_id % 19 = 0""", "fx_links"))
+def q_ingest_errors(spark, sf_dir):
+    """L3: the replies of each provider that gave no rows."""
+    f = fx(spark, sf_dir)
+    parts = [jobs.ingest_errors(raw(f), p).select(F.lit(p).alias("provider"), "backlink_for", "error").distinct()
+             for p, raw in (("majestic", replies.majestic_links), ("ahrefs", replies.ahrefs_links), ("moz", replies.moz_links))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("scrape_snapshot_placeholders", """
+SELECT url || '#me' AS item, url, url AS custom1, max(page_id) AS page_id FROM pages GROUP BY url""")
+def q_scrape_snapshot_placeholders(spark, sf_dir):
+    """L2 with ``{%custom1%}`` in the rule: of all anchors the one that begins with the row's own URL."""
+    f = fx(spark, sf_dir)
+    pages = f.pages().withColumn("html", F.concat("html", F.lit('<a href="http://other/#me">o</a><a class="s" href="'), F.col("url"), F.lit('#me">s</a>')))
+    rule = EL.Rule("me", "a", (EL.Test("href", "starts-with", "{%custom1%}"),), "@href")
+    out = jobs.scrape_snapshot(spark, "{%custom1%}", pages.select("url").distinct(), None, pages, rule)
+    return out.select("item", "url", "custom1", "page_id")
+
+
+H1_TEXT = """replace(replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'),
+                   '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&')"""
+
+
+@register("scrape_snapshot_paged", f"""
+SELECT {H1_TEXT} || ' (' || s.url || ' ' || p.url || ')' AS item, s.url, p.url AS page_url
+FROM pages s JOIN pages p ON p.page_id BETWEEN s.page_id AND s.page_id + 3 WHERE s.page_id % 4 = 0""")
+def q_scrape_snapshot_paged(spark, sf_dir):
+    """L2 with pagination: every page of the chain behind each frontier URL, guards and decoration included."""
+    f = fx(spark, sf_dir)
+    paged = f.paged_html()
+    rule = EL.Rule("h1", "h1", suffix=" ({%custom1%} {%scrapurl%})")
+    out = jobs.scrape_snapshot(spark, "{%custom1%}", paged.where(F.col("page_id") % 4 == 0).select("url"), None, paged, rule,
+                               content_rules=[("contains", "cheap-pills", "skip")], pagination=EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"))
+    return out.select("item", "url", "page_url")
+
+
+@register("scrape_snapshot_json", """
+SELECT v || ' (http://o/' || CAST(o_orderkey AS VARCHAR) || ')' AS item, 'http://o/' || CAST(o_orderkey AS VARCHAR) AS url, o_orderkey AS page_id FROM (
+  SELECT o_orderkey, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders
+  UNION ALL SELECT o_orderkey, 'c' || CAST(o_custkey AS VARCHAR) FROM orders) t""")
+def q_scrape_snapshot_json(spark, sf_dir):
+    """L2 over JSON bodies: the items of one path."""
+    o = fx(spark, sf_dir).base("orders")
+    body = F.to_json(F.struct(F.array(F.col("o_orderstatus"), F.col("o_orderpriority"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("arr")))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("http://o/"), F.col("o_orderkey").cast("string")).alias("url"), body.alias("html"))
+    out = jobs.scrape_snapshot(spark, "{%custom1%}", pages.select("url"), None, pages, EL.Rule("v", "*", suffix=" ({%custom1%})"), json_path="arr")
+    return out.select("item", "url", "page_id")
+
+
+N_HEADERS = 40
+
+
+@register("scrape_snapshot_headers", "SELECT page_id, " + ", ".join(f"'{k}-' || CAST(page_id AS VARCHAR) AS h{k}" for k in range(N_HEADERS)) + " FROM pages")
+def q_scrape_snapshot_headers(spark, sf_dir):
+    """L2 split into 40 header columns."""
+    f = fx(spark, sf_dir)
+    cells = F.concat_ws('","', *[F.concat(F.lit(f"{k}-"), F.col("page_id").cast("string")) for k in range(N_HEADERS)])
+    pages = f.pages().withColumn("html", F.concat("html", F.lit("<b data-row='\""), cells, F.lit("\"'>r</b>")))
+    out = jobs.scrape_snapshot(spark, "{%custom1%}", pages.select("url").distinct(), None, pages, EL.Rule("row", "b", (EL.Test("data-row", "exists"),), "@data-row"),
+                               headers=[f"H{k}" for k in range(N_HEADERS)])
+    return out.select(F.col("h0").substr(3, 20).cast("long").alias("page_id"), *[f"h{k}" for k in range(N_HEADERS)])

@@ -92,7 +92,7 @@ def with_ctes(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({FIXTURE_SQL[n]})" for n in order)
     return f"WITH {ctes}\n{sql}"
 
 

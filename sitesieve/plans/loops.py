@@ -55,10 +55,10 @@ def resolve_redirect_chain(
 
     s = F.col(status_col)
     cand = F.coalesce((s > 300) & (s < 400) & U.is_absolute(col), F.lit(False))
-    state = urls.withColumn("redirect_state", F.when(cand, F.lit("pending")))
+    # one checkpoint, so the plan above runs once for the finished and the pending rows
+    state = urls.withColumn("redirect_state", F.when(cand, F.lit("pending"))).checkpoint(eager=True)
     done_parts = [state.where(F.col("redirect_state").isNull())]
     pend = state.where(F.col("redirect_state") == "pending").withColumn("_seen", F.array(_key(F.col(col), s)))
-    pend = pend.checkpoint(eager=True)
     rounds = 0
     while True:
         if pend.isEmpty():
@@ -120,8 +120,7 @@ def follow_pagination(
     When the pagination rule reads an attribute (the usual next-link rule),
     the page table is read twice in all: once to build a compact edge table
     (page URL → next URL, JVM regex engine), which the rounds then walk
-    (checkpointed each round), and once to extract the content items of the
-    visited pages only.  Otherwise each round joins the frontier to the pages
+    (:func:`walk_pages`), and once to extract the content items.  Otherwise each round joins the frontier to the pages
     and evaluates content and pagination rules in one element pass.
     """
     from ..operators.elements import Rule, _regex_ok
@@ -136,37 +135,48 @@ def _walk_start(seeds: DataFrame, seed_col: str, url_col: str) -> DataFrame:
     return seeds.select(F.col(seed_col).alias("seed_id"), F.col(url_col).alias("url"), F.lit(0).alias("hop"))
 
 
-def _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
+def walk_pages(seeds: DataFrame, pages: DataFrame, nxt_rule, seed_col: str = "seed_id", url_col: str = "url", max_pages: int | None = None) -> DataFrame:
+    """The pages (seed_id, url, hop, _copy) that the next-page rule (attribute rules) reaches from each seed.
+
+    One pass over the pages gives a compact edge table; the rounds only walk
+    that.  Of several copies of a page one is chosen by ``_copy`` (its smallest page_id, or
+    a hash of its body), for its link and, by the caller, for its items.  Every hop is
+    written once.
+    """
     from ..operators.elements import extract_items
 
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    body = pages.select(F.col("url"), F.col("html"))
-    # 1. one pass over the pages: page URL -> next URL (JVM only, compact)
+    ensure_checkpoint_dir(seeds.sparkSession)
+    body = pages.select("url", _copy(pages).alias("_copy"), "html")
     nx = extract_items(body, [nxt_rule], id_col="url", html_col="html", engine="regex")
     first = F.when(F.size("_next") > 0, F.element_at("_next", 1))
-    edges = nx.select(F.col("page_id").alias("url"), U.resolve_url(F.col("page_id"), first).alias("_to"))
-    edges = edges.groupBy("url").agg(F.min("_to").alias("_to"), F.lit(True).alias("_fetched")).checkpoint(eager=True)
-    # 2. walk the chains over the edge table
-    frontier = _walk_start(seeds, seed_col, url_col).join(edges.select("url"), "url", "left_semi").checkpoint(eager=True)
-    visited_parts = [frontier]
-    visited = frontier.select("seed_id", "url")
+    edges = nx.select(F.col("page_id").alias("url"), F.struct("_copy", U.resolve_url(F.col("page_id"), first).alias("_to")).alias("_e"))
+    edges = edges.groupBy("url").agg(F.min("_e").alias("_e")).select("url", "_e._copy", "_e._to").checkpoint(eager=True)
+    frontier = _walk_start(seeds, seed_col, url_col).distinct().join(edges, "url").checkpoint(eager=True)
+    visited = [frontier]
     while not frontier.isEmpty():
-        nxt = frontier.join(edges, "url").where(F.col("_to").isNotNull() & (F.col("_to") != ""))
-        nxt = nxt.select("seed_id", F.col("_to").alias("url"), (F.col("hop") + 1).alias("hop"))
+        nxt = frontier.where(F.col("_to").isNotNull() & (F.col("_to") != "")).select("seed_id", F.col("_to").alias("url"), (F.col("hop") + 1).alias("hop"))
         if max_pages is not None:
             nxt = nxt.where(F.col("hop") < max_pages)
-        nxt = nxt.join(edges.select("url"), "url", "left_semi")  # only pages that were fetched
-        nxt = nxt.join(visited, ["seed_id", "url"], "left_anti").dropDuplicates(["seed_id", "url"])
-        frontier = nxt.checkpoint(eager=True)
-        visited_parts.append(frontier)
-        visited = visited.unionByName(frontier.select("seed_id", "url")).checkpoint(eager=True)
-    walked = reduce(lambda l, r: l.unionByName(r), visited_parts)
-    # 3. content items of the visited pages only, joined back by URL
-    needed = body.join(walked.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
-    items = extract_items(needed, list(content), id_col="url", html_col="html")
-    items = items.select(F.col("page_id").alias("url"), *[r.name for r in content])
-    out = walked.join(items, "url")
+        seen = reduce(lambda l, r: l.unionByName(r), visited).select("seed_id", "url")
+        nxt = nxt.join(seen, ["seed_id", "url"], "left_anti").dropDuplicates(["seed_id", "url"])
+        frontier = nxt.join(edges, "url").checkpoint(eager=True)  # only pages that were fetched
+        visited.append(frontier)
+    return reduce(lambda l, r: l.unionByName(r), visited).drop("_to")
+
+
+def _copy(pages: DataFrame):
+    return F.col("page_id").cast("long") if "page_id" in pages.columns else F.xxhash64("html")
+
+
+def _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
+    from ..operators.elements import extract_items
+
+    walked = walk_pages(seeds, pages, nxt_rule, seed_col, url_col, max_pages)
+    # items are taken where the bodies lie; only they travel to the join
+    body = pages.select(F.struct("url", _copy(pages).alias("_copy")).alias("_page"), "html")
+    items = extract_items(body, list(content), id_col="_page", html_col="html").dropDuplicates(["page_id"])
+    items = items.select(F.col("page_id.url").alias("url"), F.col("page_id._copy").alias("_copy"), *[r.name for r in content])
+    out = walked.join(items, ["url", "_copy"])
     return out.select("seed_id", "hop", F.col("url").alias("page_url"), *[r.name for r in content])
 
 

@@ -224,7 +224,7 @@ def parse_availability_lines(api_raw: DataFrame) -> DataFrame:
     ok = (F.col("http_status") == 200) & (F.element_at("lines", 1) == "ok,")
     good = x.where(ok).select(F.posexplode("lines").alias("pos", "line")).where((F.col("pos") > 0) & (F.col("line") != ""))
     fields = F.split(F.col("line"), ",")
-    rest = F.array_join(F.slice(fields, 4, 1_000_000), ",")
+    rest = F.array_join(F.slice(fields, F.lit(4), F.greatest(F.size(fields), F.lit(0))), ",")
     value = F.when(rest.endswith(","), F.try_element_at(fields, F.lit(4))).otherwise(rest)
     good = good.select(F.try_element_at(fields, F.lit(2)).alias("domain"), value.alias("domain_available"), F.lit(None).cast("string").alias("error"))
     bad = x.where(~ok).select(
