@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 SEP = '","'
 
 
-def _step(v: Column, step: str) -> Column:
-    """One path step: an index into an array, or a key of an object.
+def _at(root: Column, steps: list[str]) -> Column:
+    """The value at a path: each step an index into an array, or a key of an object.
 
-    An index path on an object, or a key path on an array, gives NULL, so
-    the two lookups coalesced pick the right one without testing the type."""
-    key = step.replace("\\", "\\\\").replace("'", "\\'")
-    by_key = F.try_variant_get(v, f"$['{key}']", "variant")
-    if step.isdigit():
-        return F.coalesce(F.try_variant_get(v, f"$[{int(step)}]", "variant"), by_key)
-    return by_key
+    An index on an object, or a key on an array, gives NULL, so the
+    readings of a path, one extraction each, coalesced pick the right one
+    without testing any type."""
+    readings = [""]
+    for step in steps:
+        key = step.replace("\\", "\\\\").replace("'", "\\'")
+        forms = [f"[{int(step)}]", f"['{key}']"] if step.isdigit() else [f"['{key}']"]
+        readings = [r + form for r in readings for form in forms]
+    return F.coalesce(*[F.try_variant_get(root, f"${r}", "variant") for r in readings])
 
 
 def variant_text(v: Column) -> Column:
@@ -46,7 +48,10 @@ def with_json_pick(df: DataFrame, body_col: str, spec: str, out: str = "picked")
     which Catalyst keeps separate because the parse is not cheap), then every
     path reads the parsed value."""
     parsed = df.withColumn("_jv", F.try_parse_json(F.col(body_col)))
-    return parsed.withColumn(out, _pick(F.col("_jv"), spec)).drop("_jv")
+    paths = spec.split(" ")
+    values = parsed.select(*df.columns, *[_at(F.col("_jv"), p.split(",")).alias(f"_v{i}") for i, p in enumerate(paths)])
+    texts = [F.coalesce(variant_text(F.col(f"_v{i}")), F.lit("")) for i in range(len(paths))]
+    return values.withColumn(out, F.concat_ws(SEP, *texts)).drop(*[f"_v{i}" for i in range(len(paths))])
 
 
 def json_pick(body: Column, spec: str) -> Column:
@@ -56,22 +61,15 @@ def json_pick(body: Column, spec: str) -> Column:
 
 
 def _pick(root: Column, spec: str) -> Column:
-    parts = []
-    for path in spec.split(" "):
-        v = root
-        for step in path.split(","):
-            v = _step(v, step)
-        parts.append(F.coalesce(variant_text(v), F.lit("")))
-    return F.concat_ws(SEP, *parts)
+    return F.concat_ws(SEP, *[F.coalesce(variant_text(_at(root, path.split(","))), F.lit("")) for path in spec.split(" ")])
 
 
 def json_items(df: DataFrame, body_col: str, path: str, keep: list[str] | None = None) -> DataFrame:
     """One row per element of the array at ``path`` (steps as in C7), with
     its position and text; a scalar at the path is one item."""
+    steps = [s for s in path.split(",") if s]
     v = F.try_parse_json(F.col(body_col))
-    for step in path.split(","):
-        if step:
-            v = _step(v, step)
+    v = _at(v, steps) if steps else v
     keep = keep or [c for c in df.columns if c != body_col]
     arr = F.try_variant_get(v, "$", "array<variant>")
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"), arr).when(v.isNotNull(), F.array(v))

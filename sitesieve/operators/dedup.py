@@ -60,16 +60,16 @@ def dedup_domains(df: DataFrame, metric: str | None = None, col: str = "url", or
             metric = None  # a metric the provider does not offer: dedup without metric
     names = df.columns
     last = dedup_urls(df, col, order_col).withColumn("_host", U.url_host(col))
-    keyed = last.where(F.col("_host") != "")
-    loose = last.where(F.col("_host") == "").select(*names)
+    # a row without a host is a group of its own
+    key = [F.col("_host"), F.when(F.coalesce(F.col("_host"), F.lit("")) == "", F.col(col)).alias("_loose")]
     if metric is None:
         rank = F.struct(F.col(col))
     else:
         # the metric is compared as a whole number (rounded), empty or unparsable = 0
         m = F.coalesce(F.round(F.col(metric).cast("string").try_cast("double")).cast("long"), F.lit(0).cast("long"))
         rank = F.struct((-m).alias("m"), F.col(col))
-    picked = keyed.groupBy("_host").agg(F.min_by(F.struct(*names), rank).alias("_r"))
-    return _unpack(picked, "_r", names).unionByName(loose)
+    picked = last.groupBy(*key).agg(F.min_by(F.struct(*names), rank).alias("_r"))
+    return _unpack(picked, "_r", names)
 
 
 def distinct_first(df: DataFrame, col: str, order_col: str = "row_id") -> DataFrame:

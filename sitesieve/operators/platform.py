@@ -5,10 +5,10 @@ The rule file (our own, in the shape of a common open platform-fingerprint forma
 ``categories`` → ``name``) is a configuration input.  It is flattened into a
 ``platform_rules`` table with one row per pattern.
 
-Detection is a single projection over the pages: the rule table is bounded
-(checked against ``MAX_RULES``), collected once, and turned into literal
-``rlike`` tests, so each pattern is compiled once per task and the page body
-is scanned in place: no join, no shuffle.  Apps are tried in the
+Detection is a chain of projections over the pages: the rule table, a
+configuration file, becomes literal ``rlike`` tests, so each pattern is compiled
+once per task and the page body is scanned in place: no join, no shuffle, and
+one regex dialect however many rules there are.  Apps are tried in the
 reference's priority (category order 1, 2, 6, 7, 8, 11, 18; then app name;
 then headers → meta → script → html) and the first hit wins.
 """
@@ -29,10 +29,8 @@ from .urls import _require
 CATEGORY_ORDER = [1, 2, 6, 7, 8, 11, 18]
 KIND_ORDER = ["headers", "meta", "script", "html"]
 NOT_FOUND = "Not Found"
-MAX_RULES = 20_000
-# Up to this many patterns the tests are Spark expressions (one CASE chain);
-# above it one mapInPandas compiles them once per task (SURVEY §7.4 (b)).
-INLINE_RULES = 200
+# Patterns that one projection tests (a matter of code size, not of results).
+TESTS_PER_STEP = 100
 
 RULE_SCHEMA = T.StructType([
     T.StructField("app", T.StringType()),
@@ -85,7 +83,8 @@ def rules_from_json(spark: SparkSession, text: str) -> DataFrame:
 
 
 def _hit(kind: str, key: str, pattern: str, html: Column, headers: Column | None) -> Column:
-    ci = "(?i)"
+    ci = "(?iu)"  # any letter regardless of case; \\s is ASCII white space
+    # The script, meta and content patterns are fixed: they are the reference's.
     if kind == "html":
         return F.coalesce(html.rlike(ci + pattern), F.lit(False))
     if kind == "script":
@@ -105,109 +104,60 @@ def _hit(kind: str, key: str, pattern: str, html: Column, headers: Column | None
 
 
 def _collect_rules(rules: DataFrame) -> list:
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} platform patterns exceed the bound of {MAX_RULES}")
+    """The rule file's patterns in the order they are tried: configuration, which becomes literals of the plan."""
     return rules.orderBy("cat_rank", "app", F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), "key", "pattern").collect()
 
 
 def match_platform_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", html_col: str = "html",
                          headers_col: str | None = None) -> DataFrame:
-    """Every (page, app, kind) hit."""
+    """Every (page, app, kind) hit.  The tests of ``TESTS_PER_STEP`` patterns make one projection."""
     _require(pages, id_col, html_col)
     rs = _collect_rules(rules)
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    headers = F.col(headers_col) if headers_col else None
-    hits = [F.when(_hit(r["kind"], r["key"], r["pattern"], html, headers), F.struct(F.lit(r["app"]).alias("app"), F.lit(r["kind"]).alias("kind")))
-            for r in rs]
-    arr = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())) if hits else F.array()
-    return pages.select(F.col(id_col).alias("page_id"), F.explode(arr).alias("h")).select("page_id", "h.app", "h.kind")
-
-
-def _python_tests(rs: list):
-    """Compiled tests per app in priority order, for the mapInPandas path."""
-    import re as _re
-
-    flags = _re.IGNORECASE
-    apps: dict[str, list] = {}
-    order: list[tuple[int, str, str]] = []
-    for r in rs:
-        if r["app"] not in apps:
-            apps[r["app"]] = []
-            order.append((r["cat_rank"], r["app"], r["category_names"]))
-        kind, key, pat = r["kind"], r["key"], r["pattern"]
-        if kind == "html":
-            apps[r["app"]].append(("html", None, _re.compile(pat, flags)))
-        elif kind == "script":
-            apps[r["app"]].append(("html", None, _re.compile("<script.+\\s+src=[\"']([^\"]*" + pat + "[^\"]*)[\"']", flags)))
-        elif kind == "meta":
-            tag = _re.compile("<meta.+name=[\"']" + _re.escape(key) + "[\"'][^>]+>", flags)
-            apps[r["app"]].append(("meta", tag, _re.compile("[^\\n]\\s+content=[\"']([^\"]*" + pat + "[^\"]*)[\"']", flags)))
-        elif kind == "headers":
-            apps[r["app"]].append(("headers", key, _re.compile(pat, flags)))
-    return [(f"{names} | {app}", apps[app]) for _, app, names in sorted(order)]
-
-
-def _detect_batches(tests, html_col: str, headers_col: str | None, out: str):
-    def label(html, headers):
-        for name, checks in tests:
-            for kind, key, rx in checks:
-                if kind == "html" and rx.search(html):
-                    return name
-                if kind == "meta":
-                    m = key.search(html)
-                    if m and rx.search(m.group(0)):
-                        return name
-                if kind == "headers" and headers:
-                    v = dict(headers).get(key)
-                    if v is not None and rx.search(v):
-                        return name
-        return NOT_FOUND
-
-    def run(batches):
-        for pdf in batches:
-            hs = pdf[headers_col].tolist() if headers_col else [None] * len(pdf)
-            pdf[out] = [label(h or "", hd) for h, hd in zip(pdf[html_col].tolist(), hs)]
-            yield pdf
-
-    return run
+    keep = [F.col(html_col).alias("_html")] + ([F.col(headers_col).alias("_headers")] if headers_col else [])
+    out = pages.select(F.col(id_col).alias("page_id"), *keep)
+    html = F.coalesce(F.col("_html"), F.lit(""))
+    headers = F.col("_headers") if headers_col else None
+    hits = F.array().cast("array<struct<app:string,kind:string>>")
+    out = out.withColumn("_hits", hits)
+    for i in range(0, len(rs), TESTS_PER_STEP):
+        step = [F.when(_hit(r["kind"], r["key"], r["pattern"], html, headers), F.struct(F.lit(r["app"]).alias("app"), F.lit(r["kind"]).alias("kind")))
+                for r in rs[i : i + TESTS_PER_STEP]]
+        out = out.withColumn("_hits", F.concat("_hits", F.filter(F.array(*step), lambda x: x.isNotNull())))
+    return out.select("page_id", F.explode(F.array_distinct("_hits")).alias("h")).select("page_id", "h.app", "h.kind")
 
 
 def detect_platform(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                    status_col: str | None = None, headers_col: str | None = None, out: str = "platform_raw",
-                    inline_max: int = INLINE_RULES) -> DataFrame:
+                    status_col: str | None = None, headers_col: str | None = None, out: str = "platform_raw") -> DataFrame:
     """``<categories> | <app>`` of the first matching app, ``Not Found`` when
     none; an empty body or a status above 400 gives ``error : HTTP Status [n]``.
 
-    Up to ``inline_max`` patterns the tests are Spark expressions; above it
-    they run in one ``mapInPandas`` that compiles them once per task and
-    stops at the first hit (same priority, same patterns)."""
+    Apps are tried in priority order, about ``TESTS_PER_STEP`` patterns per projection; a page that has its
+    answer runs no further test.  Any number of rules takes the same path.
+    """
     _require(pages, id_col, html_col)
-    rs = _collect_rules(rules)
-    if len(rs) > inline_max:
-        tests = _python_tests(rs)
-        schema = T.StructType(pages.schema.fields + [T.StructField(out, T.StringType())])
-        found = pages.mapInPandas(_detect_batches(tests, html_col, headers_col, out), schema)
-        status = F.col(status_col) if status_col else F.lit(None).cast("int")
-        err = (F.col(html_col).isNull() | (F.col(html_col) == "")) | F.coalesce(status > 400, F.lit(False))
-        return found.withColumn(out, F.when(err, F.concat(F.lit("error : HTTP Status ["), F.coalesce(status.cast("string"), F.lit("")), F.lit("]"))).otherwise(F.col(out)))
     html = F.coalesce(F.col(html_col), F.lit(""))
     headers = F.col(headers_col) if headers_col else None
     # one test per app (any kind), in priority order; a CASE chain stops at the first hit
     apps: dict[str, list] = {}
     order: list[tuple[int, str, str]] = []
-    for r in rs:
+    for r in _collect_rules(rules):
         if r["app"] not in apps:
             apps[r["app"]] = []
             order.append((r["cat_rank"], r["app"], r["category_names"]))
-        apps[r["app"]].append(_hit(r["kind"], r["key"], r["pattern"], html, headers))
-    expr = None
+        apps[r["app"]].append(r)
+    steps: list[list] = [[]]
     for _, app, names in sorted(order):
-        cond = reduce(lambda a, b: a | b, apps[app])
-        label = F.lit(f"{names} | {app}")
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    value = F.lit(NOT_FOUND) if expr is None else expr.otherwise(F.lit(NOT_FOUND))
+        if sum(len(rs) for _, rs in steps[-1]) >= TESTS_PER_STEP:
+            steps.append([])
+        steps[-1].append((f"{names} | {app}", apps[app]))
+    found = pages.withColumn("_found", F.lit(None).cast("string"))
+    for step in steps:
+        # pages with an answer keep it; the others go on
+        chain = F.when(F.col("_found").isNotNull(), F.col("_found"))
+        for label, rs in step:
+            chain = chain.when(reduce(lambda a, b: a | b, [_hit(r["kind"], r["key"], r["pattern"], html, headers) for r in rs]), F.lit(label))
+        found = found.withColumn("_found", chain)
     status = F.col(status_col) if status_col else F.lit(None).cast("int")
     err = (F.col(html_col).isNull() | (F.col(html_col) == "")) | F.coalesce(status > 400, F.lit(False))
-    label = F.when(err, F.concat(F.lit("error : HTTP Status ["), F.coalesce(status.cast("string"), F.lit("")), F.lit("]"))).otherwise(value)
-    return pages.withColumn(out, label)
+    label = F.when(err, F.concat(F.lit("error : HTTP Status ["), F.coalesce(status.cast("string"), F.lit("")), F.lit("]"))).otherwise(F.coalesce("_found", F.lit(NOT_FOUND)))
+    return found.withColumn(out, label).drop("_found")

@@ -35,13 +35,15 @@ class SuffixTable:
     under ``ck`` is a suffix) or exceptions (``!www.ck``: not a suffix despite
     a wildcard), as in the public suffix list.  ``depth`` is the largest
     number of labels in a rule; it, and whether wildcards/exceptions occur,
-    come from one small aggregate over the table.  Lookups are ordinary
-    equi-joins: Spark broadcasts the table when its measured size allows and
-    otherwise splits a hot suffix.
+    come from one small aggregate over the table, and so does its size in
+    bytes: within the session's own broadcast threshold the table is broadcast
+    (Spark cannot see the size of every source before it runs), beyond it the
+    lookups stay ordinary equi-joins, whose hot suffixes AQE splits.
     """
 
     df: DataFrame
     depth: int
+    small: bool = False
     wildcards: bool = False
     exceptions: bool = False
 
@@ -49,11 +51,13 @@ class SuffixTable:
     def of(cls, suffixes: DataFrame) -> "SuffixTable":
         clean = suffixes.select(F.lower(F.regexp_replace(F.trim(F.col("suffix")), r"^\.", "")).alias("suffix")).distinct()
         stats = clean.agg(
+            F.sum(F.octet_length("suffix") + 32).alias("b"),
             F.max(F.size(F.split(F.regexp_replace("suffix", "^!", ""), r"\."))).alias("d"),
             F.max(F.col("suffix").startswith("*.")).alias("w"),
             F.max(F.col("suffix").startswith("!")).alias("e"),
         ).first()
-        return cls(clean, int(stats["d"] or 0), bool(stats["w"]), bool(stats["e"]))
+        small = int(stats["b"] or 0) <= _broadcast_threshold(suffixes.sparkSession)
+        return cls(clean, int(stats["d"] or 0), small, bool(stats["w"]), bool(stats["e"]))
 
     def side(self, name: str, kind: str = "exact") -> DataFrame:
         s = F.col("suffix")
@@ -63,7 +67,13 @@ class SuffixTable:
             d = self.df.where(s.startswith("*.")).select(F.expr("substring(suffix, 3)").alias(name))
         else:
             d = self.df.where(s.startswith("!")).select(F.expr("substring(suffix, 2)").alias(name))
-        return d
+        return F.broadcast(d) if self.small else d
+
+
+def _broadcast_threshold(spark) -> int:
+    """Spark's setting in bytes (-1: never broadcast)."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower())
+    return int(m[1]) * 1024 ** " kmgt".index(m[2] or " ") if m else -1
 
 
 def with_public_suffix(df: DataFrame, suffixes: SuffixTable | DataFrame, host_col: Column, out: str = "_suffix") -> DataFrame:
@@ -151,8 +161,9 @@ def registered_domain(
 def _distinct_first(df: DataFrame, value: Column, col: str, order_col: str) -> DataFrame:
     """One row per value with the smallest ``order_col``; other columns blanked."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    reduced = df.select(F.col(order_col), value.alias(col)).where(F.col(col).isNotNull())
-    reduced = reduced.groupBy(col).agg(F.min(order_col).alias(order_col))
+    reduced = df.select(F.col(order_col), value.alias(col))
+    # rows without a value go after the aggregation: a filter on the value itself would be pushed below it and evaluate it twice
+    reduced = reduced.groupBy(col).agg(F.min(order_col).alias(order_col), F.count(col).alias("_n")).where("_n > 0")
     out = []
     for name, dtype in fields.items():
         if name in (col, order_col):
@@ -181,16 +192,20 @@ def trim_to_last_folder(df: DataFrame, col: str = "url", order_col: str = "row_i
     the host or when nothing matches.  De-duplicated, other columns blanked.
     """
     _require(df, col, order_col)
-    x = U.simplified(col)
-    seg = F.regexp_extract(x, U.LAST_SEGMENT_RE, 0)
-    seg_bare = F.regexp_replace(seg, "/$", "")
-    cut = F.regexp_replace(x, U.LAST_SEGMENT_RE, "")
+    fields = df.schema
+    # each part is a column of its own, evaluated once
+    x, body, seg = F.col("_x"), F.col("_body"), F.col("_seg")
+    cur = df.select(F.col(order_col), U.simplified(col).alias("_x"))
+    cur = cur.withColumn("_body", F.when(x.endswith("/"), F.expr("substring(_x, 1, length(_x) - 1)")).otherwise(x))
+    cur = cur.withColumn("_seg", F.substring_index(body, "/", -1))
     value = (
         F.when(U.is_root(x), x)
-        .when((seg == "") | (seg_bare == U.url_host(x)), F.lit(None).cast("string"))
-        .otherwise(cut)
+        .when((seg == "") | (seg == U.url_host(x)), F.lit(None).cast("string"))
+        .otherwise(F.expr("substring(_body, 1, length(_body) - length(_seg))"))
     )
-    return _distinct_first(df, value, col, order_col)
+    cur = cur.select(F.col(order_col), value.alias(col)).select(
+        *[F.col(f.name) if f.name in (col, order_col) else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return _distinct_first(cur, F.col(col), col, order_col)
 
 
 def keep_only_domain(df: DataFrame, suffixes: SuffixTable | DataFrame, col: str = "url", order_col: str = "row_id") -> DataFrame:
@@ -221,11 +236,14 @@ def replace_text_keep_scheme(df: DataFrame, search: str, repl: str, col: str = "
     return df.withColumn(col, U.replace_literal_keep_scheme(col, search, repl))
 
 
-def _valid_pattern(pattern: str) -> bool:
+def _valid_pattern(spark, pattern: str) -> bool:
+    """Whether the engine that runs the pattern accepts it."""
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
+        spark.range(1).select(F.concat(F.col("id").cast("string")).rlike(pattern)).collect()
+    except Exception as e:  # the JVM's syntax error, wrapped by whichever stage meets it first
+        if "regex" in str(e).lower() or "pattern" in str(e).lower():
+            return False
+        raise
     return True
 
 
@@ -236,7 +254,7 @@ def remove_regex_mask(df: DataFrame, pattern: str, col: str = "url", changed_col
     flags the rows that changed (count them with :func:`changed_rows`).
     """
     _require(df, col)
-    if not pattern or not _valid_pattern(pattern):
+    if not pattern or not _valid_pattern(df.sparkSession, pattern):
         out = df
         new = F.col(col)
     else:

@@ -11,7 +11,7 @@ from ..operators import elements as EL
 from ..operators import frontier as G
 from ..operators import platform as PL
 from .catalog import q, register, sql_host
-from .fixtures import Fixtures, with_ctes
+from .fixtures import MANY_RULES, Fixtures, with_ctes
 from ..streaming.streams import item_rows
 from .loops import follow_pagination
 
@@ -202,6 +202,24 @@ def q_match_platform_rules(spark, sf_dir):
     return PL.match_platform_rules(f.html(extras=True), f.platform_rules())
 
 
+@register("detect_platform_many", f"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'CMS | Gen' || lpad(CAST(page_id % {MANY_RULES} AS VARCHAR), 4, '0')
+                     WHEN regexp_matches(html, '(?i)<footer>&copy; blog[.]') THEN 'Blogs | BlogHost' ELSE 'Not Found' END AS platform_raw FROM pages""")
+def q_detect_platform_many(spark, sf_dir):
+    """C6 with 1 200 more rules: letters beyond ASCII match whatever their case, a no-break space is no ``\\s``."""
+    f = fx(spark, sf_dir)
+    return PL.detect_platform(f.many_rules_html(), f.many_rules()).select("page_id", "platform_raw")
+
+
+@register("match_platform_rules_many", f"""
+SELECT page_id, 'Gen' || lpad(CAST(page_id % {MANY_RULES} AS VARCHAR), 4, '0') AS app, 'html' AS kind FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'BlogHost', 'html' FROM pages WHERE regexp_matches(html, '(?i)<footer>&copy; blog[.]')""")
+def q_match_platform_rules_many(spark, sf_dir):
+    """J12 with 1 200 more rules."""
+    f = fx(spark, sf_dir)
+    return PL.match_platform_rules(f.many_rules_html(), f.many_rules())
+
+
 def _order_bodies(f):
     o = f.base("orders")
     body = F.to_json(F.struct(

@@ -9,6 +9,8 @@ volume of each query grows with the scale factor.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,6 +252,17 @@ class Fixtures:
 
         return rules_from_json(self.spark, PLATFORM_RULES_JSON)
 
+    def many_rules(self) -> DataFrame:
+        from ..operators.platform import rules_from_json
+
+        return rules_from_json(self.spark, many_rules_json())
+
+    def many_rules_html(self) -> DataFrame:
+        """``pages`` whose body ends with the text of one generated rule, after a space (even page_id) or a no-break space."""
+        n = F.lpad((F.col("page_id") % MANY_RULES).cast("string"), 4, "0")
+        space = F.when(F.col("page_id") % 2 == 0, F.lit(" ")).otherwise(F.lit("\u00a0"))
+        return self.pages().select("page_id", "url", F.concat(F.regexp_replace("html", "(?i)<!-- ad 1", "<!-- "), F.lit("GEN"), space, n, F.lit(" Été")).alias("html"))
+
 
 # Our own small platform rule file (shape of FIXTURES.md §5; fixed test values).
 PLATFORM_RULES_JSON = r"""
@@ -267,5 +280,15 @@ PLATFORM_RULES_JSON = r"""
                 "7": {"name": "Advertising"}, "11": {"name": "Blogs"}, "12": {"name": "JavaScript Libraries"}}}
 """
 
+# A rule file of this many generated patterns (with named groups and letters beyond ASCII) besides our own.
+MANY_RULES = 1200
+
+
+def many_rules_json() -> str:
+    doc = json.loads(PLATFORM_RULES_JSON)
+    for i in range(MANY_RULES):
+        doc["apps"][f"Gen{i:04d}"] = {"cats": [1], "html": f"gen {i:04d} (?<v>[eé]t)É"}
+    return json.dumps(doc)
+
 
 Inputs = Fixtures

@@ -45,6 +45,39 @@ def test_suffix_lookup_is_broadcast_and_keeps_rows_in_place(spark):
     assert "BroadcastHashJoin" in p or "broadcast" in p.lower()
     # the URL table itself is never shuffled for the lookup
     assert "Exchange hashpartitioning(url" not in p
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = P.registered_domain(skewed(spark), sfx)
+        assert "Broadcast" not in plan(joined)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [P._broadcast_threshold(type("S", (), {"conf": {"spark.sql.autoBroadcastJoinThreshold": v}})()) for v in ("10485760b", "256k", "-1", "10MB")] == [10485760, 262144, -1, 10485760]
+
+
+def test_trims_and_domains_run_once(spark):
+    """One scan and two exchanges for A2 (URL, then host); P4's value is not evaluated again by a filter."""
+    from sitesieve.operators.dedup import dedup_domains
+    from sitesieve.streaming.streams import shared_folder
+
+    folder = shared_folder(spark, "once")
+    skewed(spark).write.parquet(folder)
+    p = plan(dedup_domains(spark.read.parquet(folder)))
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 2
+    p = plan(P.trim_to_last_folder(spark.read.parquet(folder)))
+    assert p.count("FileScan") == 1 and p.count("regexp_replace") == 3  # two to simplify, one for the root test
+
+
+def test_rules_of_one_query_parse_a_page_once(spark):
+    from sitesieve.operators import elements as EL
+    from sitesieve.streaming.streams import item_rows
+
+    pages = spark.createDataFrame([(1, "<h1>a</h1><h2>b</h2>")], "page_id long, html string")
+    rules = [EL.Rule("x", "h1"), EL.Rule("y", "h2"), EL.Rule("z", "h3")]
+    out = item_rows(EL.extract_items(pages, rules), rules)
+    assert plan(out).count("MapInPandas") == 1
+    assert sorted((r.rule, r.item) for r in out.collect()) == [("x", "a"), ("y", "b")]
 
 
 def test_session_has_aqe_skew_join(spark):

@@ -109,8 +109,8 @@ def test_platform_rules(spark):
     assert (4, "Zebra") in hits and (4, "Aardvark") in hits
 
 
-def test_platform_inline_equals_batched(spark):
-    """The expression path and the mapInPandas path give the same labels."""
+def test_platform_answers_do_not_depend_on_the_number_of_rules(spark, monkeypatch):
+    """One pattern per projection, or all in one: the same labels and hits; one dialect for every rule."""
     from pyspark.sql import functions as F
 
     from sitesieve.plans.fixtures import Fixtures
@@ -118,11 +118,14 @@ def test_platform_inline_equals_batched(spark):
     fx = Fixtures(spark, "/root/testdata/sf0.001")
     pages = fx.html(extras=True).join(fx.crawl().select("page_id", F.col("http_status").cast("int")), "page_id")
     rules = fx.platform_rules()
-    a = {r.page_id: r.platform_raw for r in PL.detect_platform(pages, rules, status_col="http_status").collect()}
-    b = {r.page_id: r.platform_raw for r in PL.detect_platform(pages, rules, status_col="http_status", inline_max=0).collect()}
-    assert a == b and len(a) == 50
-    rules2 = PL.rules_from_json(spark, json.dumps(RULES))
-    df = spark.createDataFrame([(9, "<html></html>", {"X-Powered-By": "Alpha 1"}), (1, '<meta name="generator" content="Beta 2">', {})],
-                               "page_id long, html string, headers map<string,string>")
-    c = {r.page_id: r.platform_raw for r in PL.detect_platform(df, rules2, headers_col="headers", inline_max=0).collect()}
-    assert c == {9: "CMS | Alpha", 1: "CMS | Beta"}
+    found = []
+    for n in (100, 1):
+        monkeypatch.setattr(PL, "TESTS_PER_STEP", n)
+        labels = {r.page_id: r.platform_raw for r in PL.detect_platform(pages, rules, status_col="http_status").collect()}
+        hits = sorted((r.page_id, r.app, r.kind) for r in PL.match_platform_rules(pages, rules).collect())
+        found.append((labels, hits))
+    assert found[0] == found[1] and len(found[0][0]) == 50
+    odd = {"apps": {"X": {"cats": [1], "html": "foo bar"}, "Y": {"cats": [1], "html": "Été"}, "Z": {"cats": [1], "html": "(?<v>ab)c"}}, "categories": {"1": {"name": "CMS"}}}
+    df = spark.createDataFrame([(1, "foo\u00a0bar"), (2, "éTÉ"), (3, "ABC"), (4, "foo bar")], "page_id long, html string")
+    got = {r.page_id: r.platform_raw for r in PL.detect_platform(df, PL.rules_from_json(spark, json.dumps(odd))).collect()}
+    assert got == {1: "Not Found", 2: "CMS | Y", 3: "CMS | Z", 4: "CMS | X"}
