@@ -78,7 +78,7 @@ class Transducer:
             self.piece[c] = len(self.text)
             self.text.append(c)
         self.segments = self._cuts()
-        self.paths: dict[str, tuple[int, ...]] = {}
+        self.paths: dict[str, bytes] = {}  # ids as 32-bit integers
         self.width = len(self.text) + 1
         # a direct-mapped table of weights: a pair that another one displaced is worked out again
         self.fit_key, self.fit_value = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
@@ -139,10 +139,14 @@ class Transducer:
             self.fit_key[slot[new]], self.fit_value[slot[new]] = keys[new], fit[new]
         return fit
 
-    def shortest(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The paths through the lattices of runs of characters that have pieces, all lattices one position at a time."""
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        n, width = len(words), len(words[order[0]])
+    def shortest(self, words: list[str]) -> list[bytes]:
+        """The paths (32-bit ids) through the lattices of runs of characters that have pieces, all lattices one position at a time.
+
+        The state at a position only depends on the characters before it, so in sorted order
+        each different beginning is worked out once.
+        """
+        n, width = len(words), max(map(len, words))
+        order = sorted(range(n), key=words.__getitem__)
         size = np.array([len(words[i]) for i in order])
         codes = np.array([words[i] for i in order], dtype=f"<U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
         # polynomial prefix hashes name the substrings
@@ -151,7 +155,10 @@ class Transducer:
             prefix[:, i + 1] = prefix[:, i] * _BASE + mix(codes[:, i])
         last, start = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
         for i in range(1, width + 1):
-            left = np.arange(np.searchsorted(-size, -i, "right"))  # lattices that reach position i
+            reach = np.flatnonzero(size >= i)
+            first = np.ones(len(reach), dtype=bool)
+            first[1:] = prefix[reach[1:], i] != prefix[reach[:-1], i]
+            left = each = reach[first]
             for k in range(min(i, self.longest), 0, -1):
                 hashes, pieces, power = self.by_length[k]
                 if not len(left):
@@ -168,13 +175,20 @@ class Transducer:
                 left = np.delete(left, hit[good])
             if len(left):
                 raise AssertionError(f"no path to position {i} of {words[order[left[0]]]!r}")
-        out: list[tuple[int, ...]] = [()] * n
-        for i, a, b, m in zip(order, last.tolist(), start.tolist(), size.tolist()):
-            path = []
-            while m:
-                path.append(a[m] - 1)
-                m = b[m]
-            out[i] = tuple(path[::-1])
+            group = np.cumsum(first) - 1
+            last[reach, i], start[reach, i] = last[each, i][group], start[each, i][group]
+        # all paths at once, from their ends; ``steps`` has the last pieces first
+        rows, at, steps = np.arange(n), size.copy(), []
+        while at.any():
+            steps.append(np.where(at > 0, last[rows, at] - 1, -1))
+            at = start[rows, at]
+        pieces = np.array(steps[::-1], dtype="<i4").T
+        count = (pieces >= 0).sum(axis=1).tolist()
+        data, wide = pieces.tobytes(), 4 * len(steps)
+        out = [b""] * n
+        for row, (i, m) in enumerate(zip(order, count)):
+            end = (row + 1) * wide
+            out[i] = data[end - 4 * m : end]
         return out
 
     def fallback(self, c: str) -> tuple[int, ...]:
@@ -197,20 +211,15 @@ class Transducer:
             paths.update(zip(runs[i:j], self.shortest(runs[i:j])))
             i = j
         if len(self.text) > len(self.surface):  # characters that only occur inside pieces become bytes
-            paths = {r: tuple(i for t in path for i in ((t,) if t < len(self.surface) else self.fallback(self.text[t]))) for r, path in paths.items()}
+            own = lambda t: (t,) if t < len(self.surface) else self.fallback(self.text[t])
+            paths = {r: _ids(i for t in np.frombuffer(path, "<i4").tolist() for i in own(t)) for r, path in paths.items()}
         self.paths.update((s, paths[s]) for s in whole)
         for s, p in parts.items():
-            out: list[int] = []
-            for known, run in p:
-                if known:
-                    out.extend(paths[run])
-                else:
-                    for c in run:
-                        t = self.piece.get(c)
-                        out.extend((t,) if t is not None else self.fallback(c))
-            self.paths[s] = tuple(out)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            alone = lambda c: (self.piece[c],) if c in self.piece else self.fallback(c)
+            self.paths[s] = b"".join(paths[run] if known else _ids(i for c in run for i in alone(c)) for known, run in p)
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
         if self.identity:
             texts = [self.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
         else:
@@ -223,8 +232,9 @@ class Transducer:
             new = wanted
         if new:
             self.solve(list(new))
-        paths = self.paths
-        return [[i for s in c for i in paths[s]] for c in cut]
+        ids = [b"".join(map(self.paths.__getitem__, c)) for c in cut]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids; null lists are null, bytes that are no UTF-8 become U+FFFD."""
@@ -239,6 +249,10 @@ class Transducer:
         return texts
 
 
+def _ids(ids) -> bytes:
+    return np.fromiter(ids, dtype="<i4").tobytes()
+
+
 def _runs(s: str, inside: set) -> Iterator[tuple[bool, str]]:
     """Runs of characters that are in ``inside`` or not."""
     if inside.issuperset(s):
@@ -268,8 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     chars += len(texts[-1])
                 part = batch.slice(i, len(texts))
                 i += len(texts)
-                ids = [np.array(x, dtype=np.int32) for x in fst.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", text, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fst.encode(texts)], names=["doc_id", text, "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id long, {text} string, ids array<int>")
 
