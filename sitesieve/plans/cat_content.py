@@ -132,13 +132,24 @@ def q_extract_items_engines(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
-@register("detect_charset", f"""
-SELECT CASE WHEN c IN ({", ".join("'" + x + "'" for x in C.KNOWN_CHARSETS)}) THEN c ELSE 'UTF-8' END AS charset, count(*) AS pages FROM (
-  SELECT upper(trim(regexp_extract(html, {q(C.CHARSET_RE)}, 1))) AS c FROM pages) t GROUP BY 1""")
+@register("detect_charset", """
+SELECT upper(c) AS charset, count(*) AS pages FROM (
+  SELECT regexp_extract(html, '<meta charset="([^"]+)"', 1) AS c FROM pages) t GROUP BY 1""")
 def q_detect_charset(spark, sf_dir):
     return C.detect_charset(fx(spark, sf_dir).pages())
 
 
+@register("detect_charset_mixed", """
+SELECT CASE page_id % 4 WHEN 0 THEN 'ISO-8859-1' WHEN 1 THEN 'WINDOWS-1252' ELSE 'UTF-8' END AS charset, count(*) AS pages FROM pages GROUP BY 1""")
+def q_detect_charset_mixed(spark, sf_dir):
+    """C9 over known names in several spellings, an unknown name, and none."""
+    k = F.col("page_id") % 4
+    meta = (F.when(k == 0, F.lit("<META http-equiv='Content-Type' content='text/html; charset=iso-8859-1'>"))
+            .when(k == 1, F.lit('<meta charset="windows-1252">')).when(k == 2, F.lit("<meta charset='no-such-set'>")).otherwise(F.lit("")))
+    pages = fx(spark, sf_dir).pages()
+    return C.detect_charset(pages.select(F.regexp_replace("html", '<meta charset="[^"]+">', "").alias("html"), "page_id").select(F.concat(meta, "html").alias("html")))
+
+
 @register("strip_item_html", """
 SELECT page_id, replace(replace(replace(regexp_replace(regexp_extract(html, '<footer>(.*?)</footer>', 1), '<[^>]*>', '', 'g'),
        '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS item FROM pages""")

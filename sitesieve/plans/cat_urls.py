@@ -90,7 +90,7 @@ def q_trim_to_root(spark, sf_dir):
 @register("trim_to_last_folder", urls_sql(
     f"""SELECT min(row_id) AS row_id, v AS url FROM (
           SELECT row_id,
-                 CASE WHEN regexp_matches(regexp_replace(url, '/$', ''), {q(U.ROOT_RE)}) THEN url
+                 CASE WHEN NOT contains(split_part(regexp_replace(url, '/$', ''), '://', 2), '/') THEN url
                       WHEN regexp_extract(url, '[^/]+/?$') = '' THEN NULL
                       WHEN regexp_replace(regexp_extract(url, '[^/]+/?$'), '/$', '') = {sql_host('url')} THEN NULL
                       ELSE regexp_replace(url, '[^/]+/?$', '') END AS v

@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import url as U
 from ..operators import content as C
 from .fixtures import Fixtures, with_ctes
 
@@ -34,22 +33,24 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# --- SQL helpers for the oracle (same fixed patterns as the library) --------
+# --- SQL helpers for the oracle: plain string functions, none of the library's patterns --------
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def sql_host(u: str) -> str:
-    return f"lower(regexp_extract({u}, {q(U.URL_RE)}, 3))"
+    authority = f"split_part(split_part(split_part(split_part({u}, '://', 2), '/', 1), '?', 1), '#', 1)"
+    after_user = f"list_extract(string_split({authority}, '@'), -1)"
+    return f"lower(split_part({after_user}, ':', 1))"
 
 
 def sql_scheme(u: str) -> str:
-    return f"lower(regexp_extract({u}, {q(U.URL_RE)}, 1))"
+    return f"(CASE WHEN contains({u}, '://') THEN lower(split_part({u}, '://', 1)) ELSE '' END)"
 
 
 def sql_abs(u: str) -> str:
-    return f"coalesce(regexp_matches({u}, {q(U.ABSOLUTE_RE)}), false)"
+    return f"coalesce(strpos({u}, '://') > 1 AND split_part({u}, '://', 2) <> '', false)"
 
 
 def sql_site(u: str) -> str:

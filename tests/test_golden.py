@@ -337,3 +337,36 @@ def test_split_custom_columns_pad_and_drop(spark):
 def test_render_line_escapes_pipes(spark):
     df = spark.createDataFrame([("http://a.com/x|y", None, 3)], "url string, tf int, cf int")
     assert P.with_rendered_line(df, ["url", "tf", "cf"]).first().line == "http://a.com/x%7Cy||3"
+
+
+def test_sort_and_windows_keep_order(spark):
+    """O1 sorts by value with row_id as tie-break and NULLs at the low end; O2 and O3 follow row order."""
+    from sitesieve.operators.dedup import frontier_slice, page_of, sort_by
+
+    rows = [(i, None if i % 7 == 0 else f"http://h/{(i * 37) % 11}") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, url string").repartition(5)
+    up = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    down = sorted(sorted(rows), key=lambda r: (r[1] is not None, r[1] or ""), reverse=True)
+    assert [tuple(r) for r in sort_by(df, "url").collect()] == up
+    got = [tuple(r) for r in sort_by(df, "url", ascending=False).collect()]
+    assert [u for _, u in got] == [u for _, u in down] and all(a[1] != b[1] or a[0] < b[0] for a, b in zip(got, got[1:]))
+    assert [r.row_id for r in page_of(df, 10, 20).collect()] == list(range(10, 30))
+    assert [r.row_id for r in frontier_slice(df, 7).collect()] == list(range(7))
+
+
+def test_product_of_long_lists(spark, monkeypatch):
+    """J11 in many blocks, with repeated and missing values: each pair as often as its values occur."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from sitesieve.operators import frontier as G
+
+    monkeypatch.setattr(G, "PRODUCT_BLOCK", 3)
+    a, b = [f"a{i % 9}" for i in range(20)], [f"b{i}" for i in range(13)] + ["b0"]
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "v string")
+    for x, y in ((a, b), (b, a)):
+        got = Counter((r.custom1, r.custom2) for r in G.expand_customs(F.lit("{%custom1%}|{%custom2%}"), one(x), one(y)).collect())
+        assert got == Counter((p, q) for p in x for q in y)
+    plan = G.expand_customs(F.lit("u"), one(a), one(b))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
