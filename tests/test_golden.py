@@ -251,7 +251,7 @@ def test_custom_scrap_columns():
     assert S.custom_scrap_columns(["Title", "Price"]) == ["title", "price"]
     cols = S.custom_scrap_columns(["URL", "Title"])
     assert cols[:2] == ["url", "title"] and "http_status" in cols and "domain_available" in cols
-    assert len(S.custom_scrap_columns([f"h{i}" for i in range(50)])) == 35
+    assert len(S.custom_scrap_columns([f"h{i}" for i in range(50)])) == 50  # no header is cut
 
 
 def test_pagination_paths_agree(spark):
@@ -303,7 +303,7 @@ def test_replace_or_append_modes(spark):
 
 def test_coerce_metric_types(spark):
     df = spark.createDataFrame([(" 12 ", "31.6", "4.25", "n/a", ""), ("x", "45.2", "", "900", None)],
-                               "tf string, page_authority string, moz_rank string, backlinks string, obl string")
+                               "trust_flow string, page_authority string, moz_rank string, backlinks string, obl string")
     rows = [tuple(r) for r in P.coerce_metric_types(df).collect()]
     assert rows == [(12, 32, 4.25, None, None), (None, 45, None, 900, None)]
 
