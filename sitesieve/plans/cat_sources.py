@@ -489,10 +489,14 @@ H1_TEXT = """replace(replace(replace(replace(replace(replace(regexp_extract(p.ht
 
 
 @register("scrape_snapshot_paged", f"""
+WITH skipped AS (
+  SELECT a.page_id FROM pages a LEFT JOIN pages n ON n.page_id = a.page_id + 1
+  WHERE contains(a.html, 'cheap-pills') OR (a.page_id % 4 <> 3 AND contains(n.url, 'cheap-pills')))
 SELECT {H1_TEXT} || ' (' || s.url || ' ' || p.url || ')' AS item, s.url, p.url AS page_url
-FROM pages s JOIN pages p ON p.page_id BETWEEN s.page_id AND s.page_id + 3 WHERE s.page_id % 4 = 0""")
+FROM pages s JOIN pages p ON p.page_id BETWEEN s.page_id AND s.page_id + 3
+WHERE s.page_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM skipped k WHERE k.page_id BETWEEN s.page_id AND p.page_id)""")
 def q_scrape_snapshot_paged(spark, sf_dir):
-    """L2 with pagination: every page of the chain behind each frontier URL, guards and decoration included."""
+    """L2 with pagination: every page of the chain behind each frontier URL; a page that the guard skips ends its chain."""
     f = fx(spark, sf_dir)
     paged = f.paged_html()
     rule = EL.Rule("h1", "h1", suffix=" ({%custom1%} {%scrapurl%})")
