@@ -163,11 +163,15 @@ def _detections(rows: DataFrame) -> DataFrame:
 
 def detections(docs: DataFrame) -> DataFrame:
     """(doc_id, label, start, end, confidence): spans in the lower-cased text with single spaces for white space."""
-    low = F.regexp_replace(F.lower("text"), r"\s+", " ")
+    low = _flat_spaces(F.lower("text"))
     rows = saved(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", low.alias("_low")).where(_gate("_low")), "gated")
     return _detections(rows).join(rows.select("_row", "doc_id"), "_row").drop("_row")
 
 
+def _flat_spaces(lower: Column) -> Column:
+    return F.regexp_replace(lower, r"\s+", " ")
+
+
 def _gate(column: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col(column).contains(a) for a in ANCHORS])
 
@@ -185,7 +189,9 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), F.lower(text).alias("_lower"))
     rows = rows.withColumns(_base(F.col("_text"), F.col("_lower")))
-    rows = rows.withColumn("_low", F.when(_gate("_lower"), F.regexp_replace("_lower", r"\s+", " ")))
+    # anchors hold spaces, so the gate sees the text as the rules do
+    rows = rows.withColumn("_low", _flat_spaces(F.col("_lower")))
+    rows = rows.withColumn("_low", F.when(_gate("_low"), F.col("_low")))
     names = []
     for i, (phrase, _) in enumerate(PHRASES):
         for name, value in zip(("n", "first", "last"), _places(phrase)):

@@ -62,6 +62,20 @@ def test_suppression(spark):
     assert got == [("gpl-3.0", "distributed under the terms of the gnu general public license, version 3"), ("mit", "mit license")]
 
 
+WRAPPED = ["released into the public\ndomain", "Creative\nCommons Zero", "CC  BY 4.0", "CC\tBY-SA\n4.0", "Creative  Commons Attribution\n4.0", "dedicated to  the\r\npublic  domain"]
+
+
+def test_names_with_line_breaks_and_double_spaces(spark):
+    rows = list(enumerate(WRAPPED))
+    got = {r.doc_id: r for r in L.scan(docs(spark, rows)).collect()}
+    spans = sorted((r.doc_id, r.label, r.start, r.end) for r in L.detections(docs(spark, rows)).collect())
+    for i, t in rows:
+        kept = detected(t)
+        assert kept and got[i].labels == ",".join(sorted({d[4] for d in kept})), t
+        assert got[i].n_detections == len(kept) and got[i].score == max(d[5] for d in kept)
+    assert spans == sorted((i, d[4], d[0], d[1]) for i, t in rows for d in detected(t))
+
+
 def test_empty_table(spark):
     assert L.scan(empty(spark)).collect() == []
 
