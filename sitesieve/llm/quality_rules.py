@@ -6,7 +6,7 @@ start of medians and median absolute deviations, concentration steps take the
 mean and covariance of the ``SHARE`` of rows with the smallest Mahalanobis
 distance, again and again.  A text further than ``CUTOFF`` (a squared
 distance, scaled so that its median is at most that of a chi-squared variable) is
-rejected.
+rejected: the quantile that such a variable exceeds with probability ``TAIL``.
 
 Everything is DataFrame expressions: each step is an aggregation with map-side
 combine over the narrow table of statistics, and the Cholesky factors are columns, so any
@@ -15,6 +15,8 @@ number of groups and a group of any size work alike.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,27 @@ from .text_stats import with_statistics
 
 SHARE = 0.6  #: of a group's rows that a concentration step keeps
 STEPS = 4
-CUTOFF = 52.0  #: between the good and the bad labelled rows of the test tables (44 and 60)
 MIN_ROWS = 50  #: a smaller group is pooled by language, then with all small groups
 FLOOR = 0.2  #: standard deviation that every statistic has at least
 CHI2_MEDIAN = 4.351460191  #: of five degrees of freedom
 D = 5
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+#: Probability of a larger distance in a normal group.  Real groups have longer tails than normal ones; of 1e-3, 1e-4, ... this
+#: is the largest that rejects at most one in 1000 good rows of check_s that are not held out.
+TAIL = 1e-6
+
+
+def chi2_cutoff(tail: float) -> float:
+    """What a chi-squared variable of five degrees of freedom exceeds with probability ``tail``."""
+    above = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 1500.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > tail else (low, middle)
+    return high
+
+
+CUTOFF = chi2_cutoff(TAIL)
 
 
 def row_key(docs: DataFrame) -> Column:

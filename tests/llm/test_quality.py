@@ -79,6 +79,22 @@ def test_outliers_equal_a_plain_estimate(spark):
         assert np.allclose([got[i].distance for i in ids], d2 / max(1, low(d2, 0.5) / R.CHI2_MEDIAN), rtol=1e-6)
 
 
+def test_cutoff_is_a_chi_squared_quantile(spark):
+    for tail, quantile in ((0.5, R.CHI2_MEDIAN), (0.05, 11.0705), (0.01, 15.0863), (0.001, 20.5150)):
+        assert R.chi2_cutoff(tail) == pytest.approx(quantile, abs=1e-4)
+    draws = np.random.default_rng(1).chisquare(R.D, 10**6)
+    assert R.CUTOFF == R.chi2_cutoff(R.TAIL) and (draws > R.chi2_cutoff(1e-3)).mean() == pytest.approx(1e-3, rel=0.2)
+    # an outlier between this quantile and the former limit of 52 is rejected
+    rng = random.Random(6)
+    rows = [(i, ". ".join(" ".join(words(rng, rng.randrange(6, 14))).capitalize() for _ in range(rng.randrange(8, 40))) + ".\nEnd.") for i in range(200)]
+    for n in range(1, 60):  # ever more symbols, from usual texts to far outliers
+        rows.append((1000 + n, ". ".join(" ".join(words(rng, 10)).capitalize() for _ in range(20)) + ".\nEnd. " + "#" * n))
+    frame = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = R.quality_verdicts(frame).collect()
+    assert any(R.CUTOFF < r.distance <= 52 for r in got)
+    assert all(r.kept == (r.distance <= R.CUTOFF) for r in got if not r.base_failed)
+
+
 def test_small_groups_are_pooled(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, 100)), "en", f"s{i}") for i in range(60)] + [(100 + i, " ".join(words(rng, 100)), "fr", f"s{i}") for i in range(5)]
