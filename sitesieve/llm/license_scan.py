@@ -1,7 +1,8 @@
 """License scan: ordered signature rules, as DataFrame expressions only.
 
 Every license gives a rule per form (machine-readable tag, grant sentence, address, bare
-name); a rule is a regular expression with a keyword that each of its matches holds, a priority and a confidence.
+name); the characteristic sentences of the licenses' own notices and the usual short forms are rules
+written one by one. A rule is a regular expression with a keyword that each of its matches holds, a priority and a confidence.
 A text is searched with the rules whose keyword it contains, and only if it contains one of a few
 ``ANCHORS`` at all.  A detection whose interval lies inside that of a detection of the same or
 a higher priority is suppressed, so the sentence "under the terms of the GNU General Public License,
@@ -92,8 +93,126 @@ LICENSES = [
     ("zpl-2.1", r"zope public licen[cs]e(?:,? (?:version |v\.? ?)?2(?:\.\d)?)?", "zope", "zpl-2.1", "opensource.org/licenses/zpl"),
 ]
 
+#: Beginnings that several notices share
+_GRANT = r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+_FORMS = r"redistribution and use in source and binary forms"
+_UMD = r"permission to use, copy, modify,? (?:and|and/or|and /or) distribute this software"
+_GNU = r"(?:redistribute (?:it|them) and ?/ ?or modify (?:it|them) )?under the terms of (?:version {0} of )?the gnu {1}general public licen[cs]e"
+_PUBLISHED = r",? (?:version {0}(?:\.0)?,? )?as published by the free software foundation(?:[,;:]? (?:either )?version {0}(?:\.0)?(?: of the licen[cs]e)?(?:,? or \(at your option\) any later version)?)"
+
+#: label, regular expression, keyword that every match holds: sentences that the licenses' own notices hold, without naming them
+NOTICES = [
+    ("mit", _GRANT + r"(?: and associated documentation files)?(?: \(the .{1,2}software.{1,2}\))?,? to deal in the software without restriction[\s\S]{20,400}?subject to the following conditions", "permission is hereby granted"),
+    ("mit-0", _GRANT + r"(?: and associated documentation files)?(?: \(the .{1,2}software.{1,2}\))?,? to deal in the software without restriction[\s\S]{20,300}?furnished to do so\. the software is provided", "permission is hereby granted"),
+    ("x11", _GRANT + r"[\s\S]{200,1300}?except as contained in this notice, the names? of", "except as contained in this notice"),
+    ("ncsa", _GRANT + r"[\s\S]{10,120}?to deal with the software without restriction", "permission is hereby granted"),
+    ("mit", _GRANT, "permission is hereby granted"),
+    ("mit", r"the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions of the software", "substantial portions of the software"),
+    ("json", r"the software shall be used for good, not evil", "good, not evil"),
+    ("bsl-1.0", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "permission is hereby granted"),
+    ("upl-1.0", r"permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data", "permission is hereby granted"),
+    ("unicode-dfs", r"permission is hereby granted, free of charge, to any person obtaining a copy of (?:the unicode )?data files", "permission is hereby granted"),
+    ("isc", _UMD + r" for any purpose with or without fee is hereby granted,? provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    ("0bsd", _UMD + r" for any purpose with or without fee is hereby granted\. the software is provided", "with or without fee is hereby granted"),
+    ("hpnd", _UMD + r" and its documentation for any purpose(?: and)? without fee is hereby granted", "without fee is hereby granted"),
+    ("postgresql", _UMD + r" and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "agreement is hereby granted"),
+    ("libtiff", r"permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted without fee", "is hereby granted without fee"),
+    ("openssl", _FORMS + r"[\s\S]{100,2000}?redistributions of any form whatsoever must retain the following acknowledge?ment", "of any form whatsoever"),
+    ("apache-1.1", _FORMS + r"[\s\S]{100,1400}?the end-user documentation included with the redistribution", "end-user documentation included"),
+    ("php-3.01", _FORMS + r"[\s\S]{100,1400}?products derived from this software may not be called .{1,2}php", "may not be called"),
+    ("bsd-4-clause", _FORMS + r"[\s\S]{100,1400}?all advertising materials mentioning features or use of this software must display(?:[\s\S]{0,600}?neither the names? of)?", "all advertising materials"),
+    ("clear-bsd", _FORMS + r"(?:, with or without modification,)? are permitted \(subject to the limitations in the disclaimer below\)(?:[\s\S]{100,1200}?neither the names? of)?", "subject to the limitations in the disclaimer below"),
+    ("bsd-3-clause", _FORMS + r"[\s\S]{100,1200}?neither the names? of", "neither the name"),
+    ("bsd-3-clause", _FORMS + r"[\s\S]{100,1200}?the names? of [\s\S]{1,120}? may not be used to endorse", "may not be used to endorse"),
+    ("bsd-2-clause", _FORMS + r"[\s\S]{100,1000}?materials provided with the distribution\W{1,4}this software is provided", "materials provided with the distribution"),
+    ("bsd", _FORMS + r", with or without modification, are permitted", "redistribution and use in source"),
+    ("zlib", r"this software is provided .{1,2}as-is.{1,2},? without any express or implied warranty\. in no event will the authors? be held liable", "without any express or implied warranty"),
+    ("zlib", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software", "must not be misrepresented"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("blessing", r"the authors? disclaims? copyright to this source code", "copyright to this source code"),
+    ("public-domain", r"(?:this (?:file|work|software|code|document) is|has been (?:placed|put|released) (?:in|into)) (?:in )?the public domain", "public domain"),
+    ("cc0-1.0", r"to the extent possible under law,[\s\S]{1,160}? ha(?:s|ve) waived all copyright and related or neighbou?ring rights", "waived all copyright"),
+    ("cc0-1.0", r"the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights", "automatically confer exclusive copyright"),
+    ("beerware", r"as long as you retain this notice,? you can do whatever you want with this stuff", "retain this notice"),
+    ("wtfpl", r"you just do what the f\S{2,4} you want to", "you just do what the"),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e is distributed on an .{1,2}as is.{1,2} basis", "unless required by applicable law"),
+    ("apache-2.0", r"subject to the terms and conditions of this licen[cs]e, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable", "each contributor hereby grants"),
+    *[(f"{key}-{v}.0", _GNU.format(v, prefix) + _PUBLISHED.format(v), "published by the free software foundation") for key, prefix, v in (("gpl", "", 1), ("gpl", "", 2), ("gpl", "", 3), ("lgpl", "lesser ", 3), ("agpl", "affero ", 3))],
+    ("lgpl-2.1", _GNU.format(r"2(?:\.1)?", "(?:lesser|library) ") + _PUBLISHED.format(r"2(?:\.1)?"), "published by the free software foundation"),
+    ("gpl-3.0", r"the gnu general public licen[cs]e is a free, copyleft licen[cs]e for software and other kinds of works", "other kinds of works"),
+    ("agpl-3.0", r"the gnu affero general public licen[cs]e is a free, copyleft licen[cs]e for software and other kinds of works", "other kinds of works"),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", "you should have received a copy"),
+    ("gfdl-1.3", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e", "permission is granted to copy"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file,? you can obtain one at", "copy of the mpl"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1", "mozilla public"),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:version |v\.? ?)?2(?:\.0)?", "eclipse public"),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:version |v\.? ?)?1(?:\.0)?", "eclipse public"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "common development"),
+    ("ofl-1.1", r"the goals of the open font licen[cs]e \(ofl\) are to stimulate worldwide development", "open font"),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", "conditions under which a package may be copied"),
+    ("artistic-2.0", r"this licen[cs]e establishes the terms under which a given free software package may be copied", "free software package may be copied"),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work", "non-production use of the licensed work"),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("psf-2.0", r"this licen[cs]e agreement is between the python software foundation", "python software foundation"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim", "copies of vim"),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("cecill-2.1", r"this software is governed by the cecill licen[cs]e under french law", "cecill"),
+    ("ms-pl", r"this licen[cs]e governs use of the accompanying software\. if you use the software, you accept this licen[cs]e", "governs use of the accompanying software"),
+    ("odbl-1.0", r"the open database licen[cs]e \(odbl\) is a licen[cs]e agreement intended to allow users to freely share, modify, and use this database", "open database"),
+    ("blueoak-1.0.0", r"each contributor licenses you to do everything with this software that would otherwise infringe", "each contributor licenses you"),
+]
+
+_THEN = r"(?:\+|[- ]only|[- ]or[- ]later)?(?!\.?\d)"
+_V = r"(?:,? version |,? ?v\.? ?|[- ]v?)"
+
+#: label, regular expression, keyword: what people write for a license's name
+SHORT_FORMS = [
+    ("gpl-1.0", r"(?:gnu )?gpl" + _V + r"1(?:\.0)?" + _THEN, "gpl"),
+    ("gpl-2.0", r"(?:gnu )?gpl" + _V + r"2(?:\.0)?" + _THEN, "gpl"),
+    ("gpl-3.0", r"(?:gnu )?gpl" + _V + r"3(?:\.0)?" + _THEN, "gpl"),
+    ("lgpl-2.1", r"(?:gnu )?lgpl" + _V + r"2(?:\.[01])?" + _THEN, "lgpl"),
+    ("lgpl-3.0", r"(?:gnu )?lgpl" + _V + r"3(?:\.0)?" + _THEN, "lgpl"),
+    ("agpl-3.0", r"(?:gnu )?agpl" + _V + r"3(?:\.0)?" + _THEN, "agpl"),
+    ("gpl", r"gnu gpl", "gnu gpl"),
+    ("gpl", r"(?:under|by) the gpl", "the gpl"),
+    ("gpl", r"gpl[- ]licen[cs]ed", "gpl"),
+    ("lgpl", r"gnu lgpl", "gnu lgpl"),
+    ("agpl-3.0", r"gnu agpl", "gnu agpl"),
+    ("apache-2.0", r"apache" + _V + r"2\.0", "apache"),
+    ("apache-2.0", r"asl[- ]2\.0", "asl"),
+    ("bsd-2-clause", r"bsd[- ]2[- ]clause", "bsd"),
+    ("bsd-2-clause", r"2[- ]clause bsd", "clause bsd"),
+    ("bsd-3-clause", r"bsd[- ]3[- ]clause", "bsd"),
+    ("bsd-3-clause", r"3[- ]clause bsd", "clause bsd"),
+    ("bsd-4-clause", r"bsd[- ]4[- ]clause", "bsd"),
+    ("bsd", r"bsd(?:[- ]style)? licen[cs]ed?", "bsd"),
+    ("0bsd", r"0bsd", "0bsd"),
+    ("mit", r"mit[- ]licen[cs]ed", "mit"),
+    ("mit", r"mit/x11", "mit/x11"),
+    ("isc", r"isc[- ]licen[cs]ed", "isc"),
+    ("mpl-1.1", r"mpl[- ](?:v\.? ?)?1\.1", "mpl"),
+    ("mpl-2.0", r"mpl[- ](?:v\.? ?)?2\.0", "mpl"),
+    ("epl-1.0", r"epl[- ](?:v\.? ?)?1\.0", "epl"),
+    ("epl-2.0", r"epl[- ](?:v\.? ?)?2\.0", "epl"),
+    ("cddl-1.0", r"cddl[- ](?:v\.? ?)?1\.0", "cddl"),
+    ("ofl-1.1", r"(?:sil )?ofl[- ](?:v\.? ?)?1\.1", "ofl"),
+    ("eupl-1.2", r"eupl[- ](?:v\.? ?)?1\.2", "eupl"),
+    ("odbl-1.0", r"odbl[- ](?:v\.? ?)?1\.0", "odbl"),
+    ("sspl-1.0", r"sspl[- ](?:v\.? ?)?1(?:\.0)?", "sspl"),
+    ("busl-1.1", r"busl[- ]1\.1", "busl"),
+    ("artistic-2.0", r"artistic[- ]2\.0", "artistic"),
+    ("wtfpl", r"wtfpl", "wtfpl"),
+    ("bsl-1.0", r"bsl-1\.0", "bsl-1.0"),
+    ("gfdl-1.3", r"(?:gnu )?gfdl", "gfdl"),
+]
+
 #: Every match of every rule holds one of these.
-ANCHORS = ("licen", "spdx", "gplv", "cc by", "cc-by", "cc0", "creative commons", "creativecommons", "public domain", ".org/", ".com/", ".net/", ".co/", ".cn/", ".eu/", "wtfpl.net", "unlicense.org", "cecill.info")
+ANCHORS = ("licen", "spdx", "gpl", "cc by", "cc-by", "cc0", "creative commons", "creativecommons", "public domain", ".org/", ".com/", ".net/", ".co/", ".cn/", ".eu/", "wtfpl", "unlicense.org", "cecill.info",
+           # of notices
+           "hereby granted", "redistribution and use in source", "substantial portions of the software", "without any express or implied warranty", "must not be misrepresented", "good, not evil", "copyright to this source code", "waived all copyright",
+           "automatically confer exclusive copyright", "retain this notice", "you just do what the f", "copy of the mpl", "conditions under which a package may be copied", "hosted or managed service", "copies of vim", "independent jpeg group",
+           # of short forms
+           "apache", "bsd", "asl-2", "asl 2", "mit/x11", "mpl-", "mpl ", "epl-", "epl ", "cddl", "ofl-", "ofl ", "eupl", "odbl", "sspl", "busl", "artistic", "bsl-1", "gfdl")
 
 #: form, pattern around a license's field, field of LICENSES, priority, confidence; matches lie between non-word characters
 FORMS = [
@@ -106,13 +225,15 @@ LEVELS = 4
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, regular expression, keyword, priority, confidence) of every license and form."""
+    """(label, regular expression, keyword, priority, confidence): every license in every form, then the notices and the short forms."""
     out = []
     for license in LICENSES:
         for form, around, field, priority, confidence in FORMS:
             body = license[field].replace(".", r"\.") if field == 4 else license[field]
             keyword = {"tag": "spdx-license-identifier", "address": license[4]}.get(form, license[2])
             out.append((license[0], r"(?<![\w-])" + around.format(body) + r"(?![\w])", keyword, priority, confidence))
+    for written, priority, confidence in ((NOTICES, 3, 0.9), (SHORT_FORMS, 1, 0.6)):
+        out += [(label, r"(?<![\w-])" + regex + r"(?![\w])", keyword, priority, confidence) for label, regex, keyword in written]
     return out
 
 

@@ -76,6 +76,43 @@ def test_names_with_line_breaks_and_double_spaces(spark):
     assert spans == sorted((i, d[4], d[0], d[1]) for i, t in rows for d in detected(t))
 
 
+GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+MIT = GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+UNTITLED = [
+    ("mit", MIT), ("mit-0", GRANT + ". THE SOFTWARE IS PROVIDED"), ("x11", MIT + " Except as contained in this notice, the name of the X Consortium shall not be used"),
+    ("ncsa", GRANT.replace("deal in", "deal with")), ("isc", ISC + ", provided that the above copyright notice and this permission notice appear in all copies."), ("0bsd", ISC + ". THE SOFTWARE IS PROVIDED"),
+    ("bsd-2-clause", BSD + TWO + "THIS SOFTWARE IS PROVIDED"), ("bsd-3-clause", BSD + TWO + "3. " + NEITHER), ("bsd", BSD),
+    ("bsd-4-clause", BSD + TWO + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: by X. 4. " + NEITHER),
+    ("clear-bsd", BSD.replace("permitted", "permitted (subject to the limitations in the disclaimer below)") + TWO + "* " + NEITHER),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"), ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("gpl-2.0", GNU.format("", 2)), ("gpl-3.0", GNU.format("", 3)), ("lgpl-2.1", GNU.format("Lesser ", 2.1)), ("agpl-3.0", GNU.format("Affero ", 3)),
+    ("gpl-2.0", "GPL v2"), ("gpl-2.0", "GPL-2.0+"), ("gpl", "GNU GPL"), ("gpl-3.0", "GPL-3.0-or-later"), ("gpl-3.0", "the GNU GPL, version 3"), ("lgpl-2.1", "LGPL-2.1-only"), ("agpl-3.0", "AGPLv3"),
+    ("apache-2.0", "Apache-2.0"), ("apache-2.0", "Apache v2.0"), ("bsd-3-clause", "BSD-3-Clause"), ("bsd-2-clause", "2-clause BSD"), ("mpl-2.0", "MPL 2.0"), ("epl-1.0", "EPL-1.0"), ("mit", "MIT-licensed"),
+]
+
+
+def test_untitled_notices_and_short_forms(spark):
+    rows = [(i, t.replace(" ", "\n" if i % 2 else "  ", 9)) for i, (_, t) in enumerate(UNTITLED)]
+    rows += [(100, "example 2.0, simple 2.0, the gplus 2, GPL 2.5 and Apache 1.3")]
+    got = {r.doc_id: r for r in L.scan(docs(spark, rows)).collect()}
+    for i, t in rows:
+        expected = UNTITLED[i][0] if i < 100 else ""
+        kept = [] if i == 100 else [d[4] for d in detected(t)]
+        assert got[i].labels.split(",") == sorted({*kept, *filter(None, got[i].base_labels.split(","))}) or i == 100, t
+        assert set(got[i].labels.split(",")) - set(filter(None, got[i].base_labels.split(","))) <= {expected, ""} and expected in got[i].labels.split(","), (t, got[i].labels)
+
+
+def test_hand_written_rules_hold_their_keyword():
+    for label, regex, keyword in L.NOTICES + L.SHORT_FORMS:
+        plain = regex.replace("[- ]", " ").replace("[cs]", "s").replace("\\", "").replace("(?:", "").replace(")?", "").replace("?", "")
+        assert keyword in plain or keyword in regex.replace("\\", ""), (label, keyword)
+
+
 def test_empty_table(spark):
     assert L.scan(empty(spark)).collect() == []
 
