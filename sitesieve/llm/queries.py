@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed_dup, language_id, license_scan, near_dup, packing, quality_classifier, quality_rules, sentencepiece_fst, url_filter, warc
+from . import embed_dup, filter_audit, language_id, license_scan, near_dup, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_alignment, url_filter, warc
 from .common import held_out, table, work_path
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -126,3 +126,50 @@ def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     rows = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
     ids = F.array_join("ids", ",").cast("binary")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(ids).alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+
+
+@register
+def op11_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that also start elsewhere."""
+    out = substring_dedup.without_duplicates(table(spark, sf_dir, "documents"), size=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers aligned, with the corpus-wide counts of the linked pairs."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.alignment_scores(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+@register
+def op13_filter_audit(spark, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from every part, in all 120 orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: documents alike in part, filters failed and labels are counted together, then every order is looked up
+ORACLE["op13_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(first_id < w.doc_id, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+g AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+        || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM l p, l q, l r, l s, l t
+           WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT o, i AS step, substr(o, i, 1) AS f, substr(o, 1, i - 1) AS before FROM orders, range(1, 6) z(i)),
+hit AS (SELECT part, o, step, f, n, good, toxic, contains(fails, f) AS fails_f, fails = f AS only_f,
+          before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone FROM g, steps),
+counted AS (SELECT part, o, step, f, sum(CASE WHEN NOT gone AND NOT fails_f THEN n ELSE 0 END) AS kept,
+          sum(CASE WHEN fails_f AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails_f AND gone THEN n ELSE 0 END) AS redundant,
+          sum(CASE WHEN only_f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails_f AND NOT gone AND good THEN n ELSE 0 END) AS good_lost,
+          sum(CASE WHEN fails_f AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM hit GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted"""
