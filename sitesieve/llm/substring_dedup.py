@@ -11,8 +11,8 @@ holds, a factor extends word by word for as long as the rest holds the next wind
 the parse starts anew at its boundary.  Factors are spans of duplicate words.
 
 Anchors shared by very many phrases (``limits``) would be hot keys.  They are found by
-counts of ``BUCKETS`` hash buckets; their windows are counted one by one, with
-map-side combine, instead of meeting in one block.
+counts of ``BUCKETS`` hash buckets; each chunk of texts is parsed against itself for them, and the
+windows that it holds once are counted one by one, with map-side combine, instead of meeting in one block.
 
 A window's name is the 64-bit hash of its anchor with 48 bits of its own (64 bits
 for hot anchors), a text's its 64-bit hash with its doc_id.
@@ -110,8 +110,32 @@ def _count(size: int, buckets: int):
     return run
 
 
-def _phrases(size: int, buckets: int, hot: np.ndarray, want_hot: bool):
-    """Cold phrases with their windows packed, or the windows of hot phrases one by one."""
+def _cold(size: int, buckets: int, hot: np.ndarray):
+    """The phrases of buckets that are not hot, with their windows packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        cold = np.ones(buckets, dtype=bool)
+        cold[hot] = False
+        for batch in batches:
+            for row, data, offsets in chunks(batch.column("text")):
+                p = Phrases(words, data, offsets, size)
+                pick = cold[_bucket(p.anchor, buckets)]
+                hashes, n, text = p.hashes[np.repeat(pick, p.windows)], p.windows[pick], pa.array(row + p.text[pick])
+                packed = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+                ends = np.concatenate([[0], np.cumsum(n) * WIDTH]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(text), batch.column("key").take(text), pa.array(p.start[pick].astype(np.int32)), pa.array(p.anchor[pick].view(np.int64)),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(packed)])],
+                    names=["id", "key", "start", "anchor", "windows"])
+    return run
+
+
+def _hot(size: int, buckets: int, hot: np.ndarray):
+    """The windows of hot buckets, after a parse of each chunk of texts against itself.
+
+    Three kinds of rows: factors whose windows the chunk holds again, final (begin, end); one row for each such window
+    (hash, n of 2); and the windows that the chunk holds once (begin, end, hash, n of 1).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         is_hot = np.zeros(buckets, dtype=bool)
@@ -119,23 +143,39 @@ def _phrases(size: int, buckets: int, hot: np.ndarray, want_hot: bool):
         for batch in batches:
             for row, data, offsets in chunks(batch.column("text")):
                 p = Phrases(words, data, offsets, size)
-                pick = is_hot[_bucket(p.anchor, buckets)] == want_hot
-                hashes = p.hashes[np.repeat(pick, p.windows)]
-                n, text, start, anchor = p.windows[pick], p.text[pick], p.start[pick], p.anchor[pick].view(np.int64)
-                if want_hot:
-                    within = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-                    text, start, anchor = np.repeat(text, n), np.repeat(start, n) + within, np.repeat(anchor, n)
-                    last = pa.array(hashes.view(np.int64))
-                else:
-                    packed = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-                    ends = np.concatenate([[0], np.cumsum(n) * WIDTH]).astype(np.int32)
-                    last = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-                text = pa.array(row + text)
-                columns = [batch.column("id").take(text), batch.column("key").take(text), pa.array(start.astype(np.int32)), pa.array(anchor), last]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "start", "anchor", "windows"])
+                pick = is_hot[_bucket(p.anchor, buckets)]
+                hashes, n = p.hashes[np.repeat(pick, p.windows)], p.windows[pick]
+                _, group = np.unique(p.anchor[pick], return_inverse=True)
+                again, one = twins(np.repeat(group, n), hashes)
+                phrase, a, b = factors(again, np.cumsum(n))
+                single = np.flatnonzero(~again)
+                of = np.searchsorted(np.cumsum(n), np.arange(len(hashes)), "right")  # the phrase of each window
+                start = p.start[pick][of] + np.arange(len(hashes)) - (np.cumsum(n) - n)[of]
+                text, anchor = row + p.text[pick], p.anchor[pick].view(np.int64)
+                f, s, o = len(phrase), len(single), len(one)
+                owner = pa.array(np.concatenate([text[phrase], text[of[single]], np.zeros(o, np.int64)]), mask=np.arange(f + s + o) >= f + s)
+                begin = np.concatenate([p.start[pick][phrase] + a, start[single], np.zeros(o, np.int64)])
+                end = np.concatenate([p.start[pick][phrase] + b + size, start[single] + size, np.zeros(o, np.int64)])
+                final = np.arange(f + s + o) < f
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(owner), batch.column("key").take(owner), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)),
+                     pa.array(np.concatenate([np.zeros(f, np.int64), anchor[of[single]], anchor[of[one]]]), mask=final),
+                     pa.array(np.concatenate([np.zeros(f, np.int64), hashes[single].view(np.int64), hashes[one].view(np.int64)]), mask=final),
+                     pa.array(np.repeat(np.array([0, 1, 2], dtype=np.int32), [f, s, o]))],
+                    names=["id", "key", "begin", "end", "anchor", "window", "n"])
     return run
 
 
+def twins(group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which (group, hash) occur more than once, one place of each that does)."""
+    order = np.lexsort((hashes, group))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (group[order][1:] == group[order][:-1])
+    again = np.zeros(len(hashes), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return again, order[:-1][same & ~np.concatenate([[False], same[:-1]])] if len(same) else order[:0]
+
+
 def factors(again: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy factors of phrases, given which of their windows the rest of the block holds and where each phrase ends.
 
@@ -161,12 +201,7 @@ def _parse(size: int):
         hashes = wide.view("<u8").ravel()
         n = np.array([len(w) // WIDTH for w in rows["windows"].to_pylist()], dtype=np.int64)
         _, group = np.unique(rows["anchor"].to_numpy(), return_inverse=True)
-        group = np.repeat(group, n)
-        order = np.lexsort((hashes, group))
-        twin = (hashes[order][1:] == hashes[order][:-1]) & (group[order][1:] == group[order][:-1])
-        again = np.zeros(len(hashes), dtype=bool)
-        again[order[1:][twin]] = True
-        again[order[:-1][twin]] = True
+        again, _ = twins(np.repeat(group, n), hashes)
         phrase, a, b = factors(again, np.cumsum(n))
         at, start = pa.array(phrase), rows["start"].to_numpy()[phrase]
         return pa.RecordBatch.from_arrays(
@@ -206,15 +241,14 @@ def duplicate_spans(docs: DataFrame, size: int = 35, buckets: int = BUCKETS, lim
     if limit is None:
         limit = limits(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     hot = counts.where(F.col("n") > limit).select("bucket").toPandas()["bucket"].to_numpy(dtype=np.int64)
-    columns = "id long, key long, start int, anchor long"
-    cold = texts.mapInArrow(_phrases(size, buckets, hot, False), f"{columns}, windows binary")
+    cold = texts.mapInArrow(_cold(size, buckets, hot), "id long, key long, start int, anchor long, windows binary")
     spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(size), "id long, key long, begin int, end int")
     if not len(hot):
         return spans
-    windows = saved(texts.mapInArrow(_phrases(size, buckets, hot, True), f"{columns}, windows long"), "windows")
-    again = windows.groupBy("anchor", "windows").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "windows", F.lit(True).alias("again"))
-    found = attach(windows, saved(again, "again"), ["anchor", "windows"]).where("again")
-    return spans.unionAll(found.select("id", "key", F.col("start").alias("begin"), (F.col("start") + size).alias("end")))
+    windows = saved(texts.mapInArrow(_hot(size, buckets, hot), "id long, key long, begin int, end int, anchor long, window long, n int"), "windows")
+    again = windows.where("n > 0").groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window", F.lit(True).alias("again"))
+    found = attach(windows.where("n = 1").drop("n"), saved(again, "again"), ["anchor", "window"]).where("again")
+    return spans.unionAll(windows.where("n = 0").select(spans.columns)).unionAll(found.select(spans.columns))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
