@@ -29,7 +29,7 @@ from .packing import ByteBPE
 from .shingles import chunks
 
 SHARE = 1 << 18  #: at most this many pairs and their counts are sent to the tasks
-TEXT = 1 << 19  #: bytes of text aligned at a time
+TEXT = 1 << 17  #: bytes of text aligned at a time
 
 
 class Tokenizers:
