@@ -30,6 +30,7 @@ from .shingles import chunks
 
 SHARE = 1 << 18  #: at most this many pairs and their counts are sent to the tasks
 TEXT = 1 << 17  #: bytes of text aligned at a time
+LINKS = 1 << 17  #: links counted or looked up at a time
 
 
 class Tokenizers:
@@ -150,8 +151,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_align(a_path, b_path, digest), schema)
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``LINKS`` links at a time, at least one."""
     for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("link_a")).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < batch.num_rows:
+            before = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + LINKS, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         links = pa.table({"a": batch.column("link_a").flatten(), "b": batch.column("link_b").flatten()})
         found = links.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
         yield from found.select(["a", "b", "count_all"]).rename_columns(["a", "b", "n"]).combine_chunks().to_batches()
@@ -170,7 +183,7 @@ def _score(frequent: pa.Table):
         known = code(frequent["a"].to_numpy(), frequent["b"].to_numpy())
         order = np.argsort(known)
         known, n, best = known[order], frequent["n"].to_numpy()[order], frequent["best"].to_numpy()[order]
-        for batch in batches:
+        for batch in _slices(batches):
             doc = pc.list_parent_indices(batch.column("link_a")).to_numpy()
             a, b = (batch.column(c).flatten().to_numpy() for c in ("link_a", "link_b"))
             links = code(a, b)
