@@ -218,7 +218,9 @@ def substitute(c: Column, values: dict[str, Column] | None, encoded: bool = True
     for key, col in values.items():
         raw = F.coalesce(col.cast("string"), F.lit(""))
         if encoded:
-            out = F.replace(out, F.lit("{%" + key + "::encoded%}"), U.percent_encode(raw))
+            # the page's URL is written as in markup, the parameters percent-encoded
+            form = F.regexp_replace(raw, "&(?!amp;)", "&amp;") if key == "scrapurl" else U.percent_encode(raw)
+            out = F.replace(out, F.lit("{%" + key + "::encoded%}"), form)
         # the footprint is kept percent-encoded everywhere it is used (G1)
         out = F.replace(out, F.lit("{%" + key + "%}"), U.percent_encode(raw) if key == "footprint" else raw)
     return out

@@ -28,10 +28,10 @@ UNKNOWN_IP = "Unknow"
 
 
 def latest_fetch(fetch_log: DataFrame, cols: list[str] | None = None, url_col: str = "url", ts_col: str = "fetched_at") -> DataFrame:
-    """One row per URL: the columns of its latest fetch (``max_by`` on the timestamp)."""
+    """One row per URL: the columns of its latest fetch.  Of fetches at the same time the one with the largest values counts."""
     _require(fetch_log, url_col, ts_col)
     cols = cols or [c for c in fetch_log.columns if c not in (url_col, ts_col)]
-    picked = fetch_log.groupBy(url_col).agg(F.max_by(F.struct(*cols), F.col(ts_col)).alias("_f"))
+    picked = fetch_log.groupBy(url_col).agg(F.max(F.struct(F.col(ts_col).alias("_at"), *cols)).alias("_f"))
     return picked.select(url_col, *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
@@ -70,7 +70,7 @@ def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], onl
 def _one_per_key(updates: DataFrame, keys: list[str], cols: list[str], order_col: str | None) -> DataFrame:
     payload = F.struct(*[F.col(c).alias(f"_u_{c}") for c in cols])
     if order_col:
-        agg = F.max_by(payload, F.col(order_col))
+        agg = F.max_by(payload, F.struct(F.col(order_col), payload))
     else:
         agg = F.max(payload)
     reduced = updates.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(agg.alias("_p"))

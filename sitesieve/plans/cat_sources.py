@@ -371,14 +371,23 @@ def q_stream_counts(spark, sf_dir):
 
 # --- jobs ---------------------------------------------------------------------
 
-@register("ingest_backlinks", with_ctes(f"""
-SELECT l.page_url AS backlink_for, l.href AS url, 'anchor ' || CAST(l.k AS VARCHAR) AS anchor, c.http_status,
-       CASE WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
-FROM fx_links l JOIN fx_crawl c ON c.url = l.href
-JOIN (SELECT c2.url, CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')}) AS DOUBLE) AS ext,
-             CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')} AND x.rel = 'nofollow') AS DOUBLE) AS nof
-      FROM fx_crawl c2 LEFT JOIN fx_links x ON x.page_id = c2.page_id GROUP BY c2.url) s ON s.url = l.href
-WHERE l.page_id % 17 <> 0""", "fx_crawl", "fx_links"))
+# The links by page number: page a's k-th link is to page (7 a + 13 k + 1) mod n.  Hosts are compared once per link, every join
+# is by page number.
+_L3 = """WITH n AS (SELECT count(*) AS n FROM pages),
+site AS (SELECT page_id, url, split_part(url, '://', 1) || '://' || split_part(split_part(url, '://', 2), '/', 1) AS site, page_id % 10 AS r FROM pages),
+src AS (SELECT page_id, url, site, CASE r WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 500 WHEN 4 THEN NULL ELSE 200 END AS http_status FROM site),
+link AS (SELECT page_id, k, (page_id * 7 + k * 13 + 1) % n.n AS target, (page_id + k) % 3 = 0 AS nofollow FROM pages, n, range(5) z(k)),
+stat AS (SELECT l.page_id, CAST(count(*) FILTER (WHERE NOT starts_with(t.url, s.site)) AS DOUBLE) AS ext,
+                CAST(count(*) FILTER (WHERE NOT starts_with(t.url, s.site) AND l.nofollow) AS DOUBLE) AS nof
+         FROM link l JOIN src s ON s.page_id = l.page_id JOIN src t ON t.page_id = l.target GROUP BY l.page_id),
+pct AS (SELECT page_id, CASE WHEN ext = 0 THEN 0.0 ELSE (ext - nof) * 100.0 / ext END AS dofollow_pct FROM stat),
+row AS (SELECT l.page_id, l.k, a.url AS page_url, b.url AS href, b.http_status, p.dofollow_pct
+        FROM link l JOIN src a ON a.page_id = l.page_id JOIN src b ON b.page_id = l.target JOIN pct p ON p.page_id = l.target)
+"""
+
+
+@register("ingest_backlinks", _L3 + """SELECT page_url AS backlink_for, href AS url, 'anchor ' || CAST(k AS VARCHAR) AS anchor, http_status, dofollow_pct
+FROM row WHERE page_id % 17 <> 0""")
 def q_ingest_backlinks(spark, sf_dir):
     """L3: Majestic link lists → backlinks schema → status and dofollow of each linking page."""
     f = fx(spark, sf_dir)
@@ -415,16 +424,8 @@ def q_scrape_snapshot(spark, sf_dir):
     return out.select("item", "url")
 
 
-_L3_STATS = f"""(SELECT c2.url, CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')}) AS DOUBLE) AS ext,
-             CAST(count(x.href) FILTER (WHERE {sql_ext('x.href', 'c2.url')} AND x.rel = 'nofollow') AS DOUBLE) AS nof
-      FROM fx_crawl c2 LEFT JOIN fx_links x ON x.page_id = c2.page_id GROUP BY c2.url)"""
-
-
-@register("ingest_backlinks_ahrefs", with_ctes(f"""
-SELECT l.page_url AS backlink_for, l.href AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor, c.http_status,
-       CASE WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
-FROM fx_links l JOIN fx_crawl c ON c.url = l.href JOIN {_L3_STATS} s ON s.url = l.href
-WHERE l.page_id % 13 <> 0""", "fx_crawl", "fx_links"))
+@register("ingest_backlinks_ahrefs", _L3 + """SELECT page_url AS backlink_for, href AS url, 'a' || CAST(k AS VARCHAR) AS anchor, http_status, dofollow_pct
+FROM row WHERE page_id % 13 <> 0""")
 def q_ingest_backlinks_ahrefs(spark, sf_dir):
     """L3 over Ahrefs link lists (error replies give no rows)."""
     f = fx(spark, sf_dir)
@@ -432,13 +433,9 @@ def q_ingest_backlinks_ahrefs(spark, sf_dir):
     return out.select("backlink_for", "url", "anchor", "http_status", "dofollow_pct")
 
 
-@register("ingest_backlinks_moz", with_ctes(f"""
-SELECT l.page_url AS backlink_for, 'http://' || regexp_replace(l.href, '^[a-z]+://', '') AS url, 'a' || CAST(l.k AS VARCHAR) AS anchor,
-       200 AS http_status,
-       CASE WHEN s.url IS NULL THEN NULL WHEN s.ext = 0 THEN 0.0 ELSE (s.ext - s.nof) * 100.0 / s.ext END AS dofollow_pct
-FROM fx_links l
-LEFT JOIN {_L3_STATS} s ON s.url = 'http://' || regexp_replace(l.href, '^[a-z]+://', '')
-WHERE l.page_id % 19 <> 0""", "fx_crawl", "fx_links"))
+@register("ingest_backlinks_moz", _L3 + """SELECT page_url AS backlink_for, 'http://' || split_part(href, '://', 2) AS url, 'a' || CAST(k AS VARCHAR) AS anchor,
+       200 AS http_status, CASE WHEN starts_with(href, 'http://') THEN dofollow_pct END AS dofollow_pct
+FROM row WHERE page_id % 19 <> 0""")
 def q_ingest_backlinks_moz(spark, sf_dir):
     """L3 over Moz link lists: the reply carries each link's status (kept, as the
     status step fills empty cells only); URLs come back as http://..., so
@@ -484,6 +481,20 @@ def q_scrape_snapshot_placeholders(spark, sf_dir):
     return out.select("item", "url", "custom1", "page_id")
 
 
+@register("scrape_snapshot_encoded", """
+SELECT '#' || CAST(page_id AS VARCHAR) AS item, url || '?a=1&b=' || CAST(page_id AS VARCHAR) AS url FROM pages""")
+def q_scrape_snapshot_encoded(spark, sf_dir):
+    """L2 with ``{%scrapurl::encoded%}`` in the rule: the page's URL as markup writes it, ``&`` as ``&amp;``."""
+    f = fx(spark, sf_dir)
+    p = f.pages().select("page_id", F.concat("url", F.lit("?a=1&b="), F.col("page_id").cast("string")).alias("url"), F.col("page_id").cast("string").alias("n"))
+    link = lambda form: F.concat(F.lit('<a href="'), form, F.lit('">x</a>'))
+    own, other = F.regexp_replace("url", "&", "&amp;amp;"), F.regexp_replace(F.col("url"), "&", "%26")
+    pages = p.withColumn("html", F.concat(link(F.concat(other, F.lit("#no"))), link(F.concat(own, F.lit("#"), F.col("n")))))
+    rule = EL.Rule("own", "a", (EL.Test("href", "starts-with", "{%scrapurl::encoded%}"),), "@href")
+    out = jobs.scrape_snapshot(spark, "{%custom1%}", pages.select("url"), None, pages, rule)
+    return out.select(F.regexp_extract("item", "#[0-9]+$", 0).alias("item"), "url")
+
+
 H1_TEXT = """replace(replace(replace(replace(replace(replace(regexp_extract(p.html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'),
                    '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&')"""
 

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import content as C
+from ..operators.bloom import BloomFilter
 from ..operators.dedup import dedup_urls
 from ..operators.enrich import enrich_backlinks, enrich_ip, enrich_status, update_by_url
 from ..operators.filters import remove_bad_urls
+from ..session import written
 from .loops import resolve_redirect_chain
 
 STEP_ORDER = ("dedup", "status", "remove_bad", "redirects", "dofollow", "backlinks", "obl", "ip")
@@ -158,7 +160,8 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
     from each frontier URL (J14) and every page on the way is scraped.
     With ``json_path`` the bodies are JSON and the items those of that
     path (C8); the rule then only decorates.  Page bodies never
-    travel: items are extracted in place and joined to the frontier by URL.  A
+    travel: a Bloom filter of the frontier's URLs picks the pages in the scan, items are extracted in
+    place and joined to the frontier by URL.  A
     page fetched several times counts as its rows together, and ties are broken by
     page, frontier row and position.
     """
@@ -173,18 +176,24 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
     texts = [x for r in rules for x in (r.prefix, r.suffix, *[t.value for t in r.tests])]
     frontier = frontier_customs(spark, template, custom1, custom2, footprint=footprint, rule_texts=texts)
     frontier = frontier.withColumn("url", first_of_macro(F.col("url")))
-    fetched = pages
-    if http_rules:
-        fetched = apply_http_guard(fetched, http_rules).where(F.col("disposition") == "process").drop("disposition")
-    if content_rules:
-        fetched = apply_content_guard(fetched, content_rules).where(F.col("content_disposition") == "process").drop("content_disposition")
+
+    def guarded(df: DataFrame) -> DataFrame:
+        if http_rules:
+            df = apply_http_guard(df, http_rules).where(F.col("disposition") == "process").drop("disposition")
+        if content_rules:
+            df = apply_content_guard(df, content_rules).where(F.col("content_disposition") == "process").drop("content_disposition")
+        return df
+
     urls = frontier.select("url").distinct()
     if pagination is not None:
         nxt = Rule("_next", pagination.tag, pagination.tests, pagination.output)
-        walked = walk_pages(urls.withColumn("seed_id", F.col("url")), fetched, nxt, max_pages=max_pages)
+        walked = walk_pages(urls.withColumn("seed_id", F.col("url")), guarded(pages), nxt, max_pages=max_pages)
         targets = walked.select(F.col("seed_id").alias("url"), F.col("url").alias("page_url"))
     else:
         targets = urls.withColumn("page_url", F.col("url"))
+    targets = written(targets, "targets")
+    # only pages that the frontier may reach are guarded and parsed; the joins below are exact
+    fetched = guarded(BloomFilter(targets.select("page_url").distinct(), "page_url").keep(pages, "url"))
     values = {"custom1": F.col("custom1"), "custom2": F.col("custom2"), "scrapurl": F.col("page_url"), "footprint": F.lit(footprint or "")}
     parts = []
     for k, r in enumerate(rules):

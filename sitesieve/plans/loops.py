@@ -1,10 +1,9 @@
 """Bounded loops over plans (J6 redirect chains, J14 pagination).
 
-The driver iterates over *plans*, never over rows: each round is one set of
-equi-joins over the rows still pending, its output is checkpointed (reliable
-checkpoint in the session's checkpoint folder, so lineage stays short and a
-lost executor only recomputes one round), and the loop stops when an action
-finds nothing pending.
+The driver iterates over *plans*, never over rows.  Chains are resolved on
+compact edge tables by pointer doubling (``pointers.py``), in rounds that grow with the
+logarithm of the longest chain.  Every round's output is written to the shared
+checkpoint folder, so lineage stays short and a lost executor only recomputes one round.
 """
 
 from __future__ import annotations
@@ -15,14 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..operators.bloom import BloomFilter
 from ..operators.dedup import dedup_urls
 from ..operators.enrich import latest_fetch
 from ..operators.urls import _require
-from ..session import ensure_checkpoint_dir
+from ..session import written
+from .pointers import path_ends, walks
 
 
-def _key(url, status):
-    return F.concat(url, F.lit("|"), F.coalesce(status.cast("string"), F.lit("")))
+def redirect_ends(fetch_log: DataFrame) -> DataFrame:
+    """Where the redirects from each fetched URL lead, from the latest fetches.
+
+    Columns: url, status; to (null if the latest answer is no redirect), to_status and loop: the end of the chain,
+    its latest status, and whether the chain runs into a cycle (``to`` is then the last URL before one would come
+    twice); own and own_status, the same for a URL that is on the cycle and counts as visited itself.
+
+    The log is reduced to one row per URL, then to its redirects; chains are resolved on that edge table by
+    pointer doubling (:func:`path_ends`), in rounds that grow with the logarithm of the longest chain.
+    """
+    latest = written(latest_fetch(fetch_log, ["http_status", "location"]).where("url is not null"), "latest")
+    moves = F.col("http_status").between(300, 399) & (F.col("location") != "")
+    edges = latest.where(moves).select(F.col("url").alias("node"), F.col("http_status").alias("status"), U.resolve_url(F.col("url"), F.col("location")).alias("to"))
+    edges = written(edges.where("to is not null"), "redirects")
+    # a chain goes on from a URL that it has come to if that URL's status is above 300
+    ends = path_ends(edges.where("status > 300").select("node", "to"))
+    ends = written(ends, "ends")
+    ahead = ends.select(F.col("node").alias("to"), "end", F.col("last").alias("_last"))
+    own = ends.where("entry = node").select("node", F.col("last").alias("own"))
+    found = edges.select("node", "to").join(ahead, "to", "left").join(own, "node", "left")
+    found = found.select("node", F.coalesce("_last", "end", "to").alias("to"), F.col("_last").isNotNull().alias("loop"), "own")
+    status = latest.select("url", "http_status")
+    found = found.join(status.toDF("to", "to_status"), "to", "left").join(status.toDF("own", "own_status"), "own", "left")
+    return status.toDF("url", "status").join(found.withColumnRenamed("node", "url"), "url", "left")
 
 
 def resolve_redirect_chain(
@@ -36,37 +59,56 @@ def resolve_redirect_chain(
 ) -> DataFrame:
     """Follow redirects until no candidate (300 < status < 400, absolute URL) is left.
 
-    Per round and pending row, the URL's latest fetch decides: a 3xx answer
+    For a pending row, the URL's latest fetch decides: a 3xx answer
     with a location moves the row there with the location's status; a
     (url, status) pair the row has already visited is a loop and stops the
     row where it is (``loop``); any other answer ends the row with that
     status (``resolved``); a URL never fetched stops it (``unfetched``).
-    The visited list guarantees termination, so there is no hop cap unless
-    ``max_rounds`` is given (rows still pending then end as ``cap``).
+    Chains and cycles of any length end, so there is no hop cap unless
+    ``max_rounds`` is given (rows still pending after that many hops end as ``cap``).
     Afterwards duplicate URLs are removed (A1, last row wins).
     Adds ``redirect_state`` (NULL for rows that never were candidates).
+
+    The chains are resolved once on the log's redirects (:func:`redirect_ends`); the URL table takes
+    part in one equi-join.  A hop cap is walked hop by hop.
     """
     _require(urls, col, status_col, order_col)
-    ensure_checkpoint_dir(urls.sparkSession)
+    if max_rounds is not None:
+        result = _capped_chain(urls, fetch_log, col, status_col, max_rounds)
+        return dedup_urls(result, col, order_col) if dedup else result
     dtype = urls.schema[status_col].dataType
-    latest = latest_fetch(fetch_log, ["http_status", "location"]).checkpoint(eager=True)
-    a = latest.select(F.col("url").alias("_a_url"), F.col("http_status").alias("_a_status"), F.col("location").alias("_a_loc"))
-    b = latest.select(F.col("url").alias("_b_url"), F.col("http_status").alias("_b_status"))
+    s = F.col(status_col)
+    cand = F.coalesce((s > 300) & (s < 400) & U.is_absolute(col), F.lit(False))
+    names = ("url", "status", "to", "to_status", "loop", "own", "own_status")
+    ends = redirect_ends(fetch_log).select(*[F.col(c).alias(f"_a_{c}") for c in names])
+    x = urls.withColumn("_cand", cand)
+    x = x.join(ends, x["_cand"] & (x[col] == ends["_a_url"]), "left")
+    # the row's own (url, status) is visited as well, if its URL is on the cycle with that status
+    own = F.col("_a_own").isNotNull() & s.eqNullSafe(F.col("_a_status"))
+    fetched, moved = F.col("_a_url").isNotNull(), F.col("_a_to").isNotNull()
+    new_url = F.when(own, F.col("_a_own")).when(moved, F.col("_a_to")).otherwise(F.col(col))
+    new_status = F.when(own, F.col("_a_own_status")).when(moved, F.col("_a_to_status")).when(fetched, F.col("_a_status")).otherwise(s).cast(dtype)
+    state = F.when(~F.col("_cand"), F.lit(None)).when(~fetched, F.lit("unfetched")).when(F.coalesce("_a_loop", F.lit(False)), F.lit("loop")).otherwise(F.lit("resolved"))
+    result = x.select(*[new_url.alias(c) if c == col else new_status.alias(c) if c == status_col else F.col(c) for c in urls.columns], state.alias("redirect_state"))
+    return dedup_urls(result, col, order_col) if dedup else result
 
+
+def _key(url, status):
+    return F.concat(url, F.lit("|"), F.coalesce(status.cast("string"), F.lit("")))
+
+
+def _capped_chain(urls: DataFrame, fetch_log: DataFrame, col: str, status_col: str, max_rounds: int) -> DataFrame:
+    """At most ``max_rounds`` hops, one round of joins each."""
+    dtype = urls.schema[status_col].dataType
     s = F.col(status_col)
+    latest = written(latest_fetch(fetch_log, ["http_status", "location"]), "latest")
+    a = latest.select(F.col("url").alias("_a_url"), F.col("http_status").alias("_a_status"), F.col("location").alias("_a_loc"))
+    b = latest.select(F.col("url").alias("_b_url"), F.col("http_status").alias("_b_status"))
     cand = F.coalesce((s > 300) & (s < 400) & U.is_absolute(col), F.lit(False))
-    # one checkpoint, so the plan above runs once for the finished and the pending rows
-    state = urls.withColumn("redirect_state", F.when(cand, F.lit("pending"))).checkpoint(eager=True)
+    state = written(urls.withColumn("redirect_state", F.when(cand, F.lit("pending"))), "chain")
     done_parts = [state.where(F.col("redirect_state").isNull())]
     pend = state.where(F.col("redirect_state") == "pending").withColumn("_seen", F.array(_key(F.col(col), s)))
-    rounds = 0
-    while True:
-        if pend.isEmpty():
-            break
-        if max_rounds is not None and rounds >= max_rounds:
-            done_parts.append(pend.drop("_seen").withColumn("redirect_state", F.lit("cap")))
-            break
-        rounds += 1
+    for _ in range(max_rounds):
         x = pend.join(a, pend[col] == a["_a_url"], "left")
         moves = F.col("_a_status").between(300, 399) & F.col("_a_loc").isNotNull() & (F.col("_a_loc") != "")
         x = x.withColumn("_next", F.when(moves, U.resolve_url(F.col(col), F.col("_a_loc"))))
@@ -93,11 +135,11 @@ def resolve_redirect_chain(
             new_url.alias(c) if c == col else new_status.alias(c) if c == status_col else F.col(c)
             for c in urls.columns
         ]
-        step = x.select(*cols, new_state.alias("redirect_state"), new_seen.alias("_seen")).checkpoint(eager=True)
+        step = written(x.select(*cols, new_state.alias("redirect_state"), new_seen.alias("_seen")), "chain")
         done_parts.append(step.where(F.col("redirect_state") != "pending").drop("_seen"))
         pend = step.where(F.col("redirect_state") == "pending")
-    result = reduce(lambda l, r: l.unionByName(r), done_parts)
-    return dedup_urls(result, col, order_col) if dedup else result
+    done_parts.append(pend.drop("_seen").withColumn("redirect_state", F.lit("cap")))
+    return reduce(lambda l, r: l.unionByName(r), done_parts)
 
 
 def follow_pagination(
@@ -117,93 +159,45 @@ def follow_pagination(
     fetched page of a chain: seed, hop, page URL and one items column per
     content rule.
 
-    When the pagination rule reads an attribute (the usual next-link rule),
-    the page table is read twice in all: once to build a compact edge table
-    (page URL → next URL, JVM regex engine), which the rounds then walk
-    (:func:`walk_pages`), and once to extract the content items.  Otherwise each round joins the frontier to the pages
-    and evaluates content and pagination rules in one element pass.
+    One pass over the pages gives a compact edge table (page URL → next URL), on which the
+    chains are found (:func:`walk_pages`).  The content rules are evaluated on the pages that a
+    Bloom filter of the reached URLs lets through, and their items joined exactly.
     """
-    from ..operators.elements import Rule, _regex_ok
-
-    nxt_rule = Rule("_next", pagination.tag, pagination.tests, pagination.output)
-    if _regex_ok([nxt_rule]):
-        return _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages)
-    return _follow_by_rounds(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages)
+    from ..operators.elements import Rule, extract_items
 
-
-def _walk_start(seeds: DataFrame, seed_col: str, url_col: str) -> DataFrame:
-    return seeds.select(F.col(seed_col).alias("seed_id"), F.col(url_col).alias("url"), F.lit(0).alias("hop"))
+    walked = walk_pages(seeds, pages, Rule("_next", pagination.tag, pagination.tests, pagination.output), seed_col, url_col, max_pages)
+    walked = written(walked, "reached")
+    # items are taken where the bodies lie; only they travel to the join
+    body = BloomFilter(walked.select("url").distinct(), "url").keep(pages, "url")
+    body = body.select(F.struct("url", _copy(pages).alias("_copy")).alias("_page"), "html")
+    items = extract_items(body, list(content), id_col="_page", html_col="html").dropDuplicates(["page_id"])
+    items = items.select(F.col("page_id.url").alias("url"), F.col("page_id._copy").alias("_copy"), *[r.name for r in content])
+    out = walked.join(items, ["url", "_copy"])
+    return out.select("seed_id", "hop", F.col("url").alias("page_url"), *[r.name for r in content])
 
 
 def walk_pages(seeds: DataFrame, pages: DataFrame, nxt_rule, seed_col: str = "seed_id", url_col: str = "url", max_pages: int | None = None) -> DataFrame:
-    """The pages (seed_id, url, hop, _copy) that the next-page rule (attribute rules) reaches from each seed.
+    """The pages (seed_id, url, hop, _copy) that the next-page rule reaches from each seed.
 
-    One pass over the pages gives a compact edge table; the rounds only walk
-    that.  Of several copies of a page one is chosen by ``_copy`` (its smallest page_id, or
-    a hash of its body), for its link and, by the caller, for its items.  Every hop is
-    written once.
+    One pass over the pages gives a compact edge table (without Python for attribute rules); the rounds only
+    walk that, doubling the pointers (:func:`walks`).  Of several copies of a page one is chosen by ``_copy`` (its
+    smallest page_id, or a hash of its body), for its link and, by the caller, for its items.
     """
     from ..operators.elements import extract_items
 
-    ensure_checkpoint_dir(seeds.sparkSession)
-    body = pages.select("url", _copy(pages).alias("_copy"), "html")
-    nx = extract_items(body, [nxt_rule], id_col="url", html_col="html", engine="regex")
+    body = pages.select(F.struct("url", _copy(pages).alias("_copy")).alias("_page"), "html")
+    nx = extract_items(body, [nxt_rule], id_col="_page", html_col="html")
     first = F.when(F.size("_next") > 0, F.element_at("_next", 1))
-    edges = nx.select(F.col("page_id").alias("url"), F.struct("_copy", U.resolve_url(F.col("page_id"), first).alias("_to")).alias("_e"))
-    edges = edges.groupBy("url").agg(F.min("_e").alias("_e")).select("url", "_e._copy", "_e._to").checkpoint(eager=True)
-    frontier = _walk_start(seeds, seed_col, url_col).distinct().join(edges, "url").checkpoint(eager=True)
-    visited = [frontier]
-    while not frontier.isEmpty():
-        nxt = frontier.where(F.col("_to").isNotNull() & (F.col("_to") != "")).select("seed_id", F.col("_to").alias("url"), (F.col("hop") + 1).alias("hop"))
-        if max_pages is not None:
-            nxt = nxt.where(F.col("hop") < max_pages)
-        seen = reduce(lambda l, r: l.unionByName(r), visited).select("seed_id", "url")
-        nxt = nxt.join(seen, ["seed_id", "url"], "left_anti").dropDuplicates(["seed_id", "url"])
-        frontier = nxt.join(edges, "url").checkpoint(eager=True)  # only pages that were fetched
-        visited.append(frontier)
-    return reduce(lambda l, r: l.unionByName(r), visited).drop("_to")
+    url = F.col("page_id.url")
+    edges = nx.select(url.alias("url"), F.struct(F.col("page_id._copy").alias("_copy"), U.resolve_url(url, first).alias("_to")).alias("_e"))
+    edges = written(edges.where("url is not null").groupBy("url").agg(F.min("_e").alias("_e")).select("url", "_e._copy", "_e._to"), "edges")
+    fetched = edges.select("url")
+    starts = seeds.select(F.col(seed_col).alias("seed_id"), F.col(url_col).alias("url")).join(fetched, "url", "left_semi")
+    links = edges.where("_to <> ''").select(F.col("url").alias("node"), F.col("_to").alias("to"))
+    links = links.join(fetched.withColumnRenamed("url", "to"), "to", "left_semi")  # only pages that were fetched
+    found = walks(starts.withColumnRenamed("url", "node"), written(links, "links"), max_pages)
+    return found.join(edges.select(F.col("url").alias("node"), "_copy"), "node").select("seed_id", F.col("node").alias("url"), "hop", "_copy")
 
 
 def _copy(pages: DataFrame):
     return F.col("page_id").cast("long") if "page_id" in pages.columns else F.xxhash64("html")
-
-
-def _follow_by_edges(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
-    from ..operators.elements import extract_items
-
-    walked = walk_pages(seeds, pages, nxt_rule, seed_col, url_col, max_pages)
-    # items are taken where the bodies lie; only they travel to the join
-    body = pages.select(F.struct("url", _copy(pages).alias("_copy")).alias("_page"), "html")
-    items = extract_items(body, list(content), id_col="_page", html_col="html").dropDuplicates(["page_id"])
-    items = items.select(F.col("page_id.url").alias("url"), F.col("page_id._copy").alias("_copy"), *[r.name for r in content])
-    out = walked.join(items, ["url", "_copy"])
-    return out.select("seed_id", "hop", F.col("url").alias("page_url"), *[r.name for r in content])
-
-
-def _follow_by_rounds(seeds, pages, content, nxt_rule, seed_col, url_col, max_pages):
-    from ..operators.elements import extract_items
-
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    body = pages.select(F.col("url").alias("_purl"), F.col("html")).dropDuplicates(["_purl"])
-    frontier = _walk_start(seeds, seed_col, url_col).checkpoint(eager=True)
-    visited = frontier.select("seed_id", "url")
-    parts: list[DataFrame] = []
-    while not frontier.isEmpty():
-        fetched = frontier.join(body, frontier["url"] == body["_purl"]).drop("_purl")
-        fetched = fetched.withColumn("_pid", F.monotonically_increasing_id()).checkpoint(eager=True)
-        ex = extract_items(fetched, list(content) + [nxt_rule], id_col="_pid", html_col="html")
-        ex = ex.checkpoint(eager=True)
-        parts.append(ex.select("seed_id", "hop", F.col("url").alias("page_url"), *[r.name for r in content]))
-        first = F.when(F.size("_next") > 0, F.element_at("_next", 1))
-        nxt = ex.select("seed_id", (F.col("hop") + 1).alias("hop"), U.resolve_url(F.col("url"), first).alias("url"))
-        nxt = nxt.where(F.col("url").isNotNull() & (F.col("url") != ""))
-        if max_pages is not None:
-            nxt = nxt.where(F.col("hop") < max_pages)
-        nxt = nxt.join(visited, ["seed_id", "url"], "left_anti").dropDuplicates(["seed_id", "url"])
-        frontier = nxt.checkpoint(eager=True)
-        visited = visited.unionByName(frontier.select("seed_id", "url")).checkpoint(eager=True)
-    if not parts:
-        schema = "seed_id long, hop int, page_url string, " + ", ".join(f"`{r.name}` array<string>" for r in content)
-        return spark.createDataFrame([], schema)
-    return reduce(lambda l, r: l.unionByName(r), parts)

@@ -254,7 +254,8 @@ def test_custom_scrap_columns():
     assert len(S.custom_scrap_columns([f"h{i}" for i in range(50)])) == 50  # no header is cut
 
 
-def test_pagination_paths_agree(spark):
+def test_pagination_rules_agree(spark):
+    """A next-page rule that reads an attribute and one that reads text give the same chains."""
     from pyspark.sql import functions as F
 
     from sitesieve.operators import elements as EL
@@ -262,13 +263,14 @@ def test_pagination_paths_agree(spark):
     from sitesieve.plans.fixtures import Fixtures
 
     paged = Fixtures(spark, "/root/testdata/sf0.001").paged_html()
+    nxt = F.regexp_extract("html", 'class="next" href="([^"]*)"', 1)
+    paged = paged.withColumn("html", F.when(nxt != "", F.concat("html", F.lit("<i>"), nxt, F.lit("</i>"))).otherwise(F.col("html")))
     seeds = paged.where(F.col("page_id") % 4 == 0).select(F.col("page_id").alias("seed_id"), "url")
     h1 = EL.Rule("h1", "h1")
-    nxt = EL.Rule("_next", "a", (EL.Test("class", "=", "next"),), "@href")
-    a = sorted((r.seed_id, r.hop, r.page_url, tuple(r.h1)) for r in L._follow_by_edges(seeds, paged, [h1], nxt, "seed_id", "url", None).collect())
-    b = sorted((r.seed_id, r.hop, r.page_url, tuple(r.h1)) for r in L._follow_by_rounds(seeds, paged, [h1], nxt, "seed_id", "url", None).collect())
+    by = [EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"), EL.Rule("next", "i")]
+    a, b = (sorted((r.seed_id, r.hop, r.page_url, tuple(r.h1)) for r in L.follow_pagination(seeds, paged, [h1], rule).collect()) for rule in by)
     assert a == b and len(a) == 50
-    capped = L.follow_pagination(seeds, paged, [h1], EL.Rule("next", "a", (EL.Test("class", "=", "next"),), "@href"), max_pages=2)
+    capped = L.follow_pagination(seeds, paged, [h1], by[0], max_pages=2)
     assert max(r.hop for r in capped.collect()) == 1
 
 
