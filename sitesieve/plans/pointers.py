@@ -47,17 +47,20 @@ def path_ends(edges: DataFrame) -> DataFrame:
         return out
     p = t.where("goes").select("node", "to")
     size = p.select("to").distinct().count()
-    while True:
+    left = pending if size == pending else None  # every pending node is an image: all are on cycles
+    while left != size:
         p = written(_twice(p, p), "pointers")
-        left = p.select("to").distinct().count()
-        if left == size:
-            break
-        size = left
-    cycle = written(p.select(F.col("to").alias("node")).distinct(), "cycles")
+        size, left = p.select("to").distinct().count(), size
+    cycle = p.select(F.col("to").alias("node")).distinct()
     rest = edges.select("node", "to").join(p.select("node"), "node", "left_semi")
-    before = rest.join(cycle, "node", "left_semi").select(F.col("to").alias("entry"), F.col("node").alias("last"))
-    tails = path_ends(written(rest.join(cycle, "node", "left_anti"), "tails")).select("node", F.col("end").alias("entry"))
-    entries = tails.unionByName(cycle.select("node", F.col("node").alias("entry")))
+    if size == pending:
+        before, entries = rest, cycle.select("node", F.col("node").alias("entry"))
+    else:
+        cycle = written(cycle, "cycles")
+        before = rest.join(cycle, "node", "left_semi")
+        tails = path_ends(rest.join(cycle, "node", "left_anti")).select("node", F.col("end").alias("entry"))
+        entries = tails.unionByName(cycle.select("node", F.col("node").alias("entry")))
+    before = before.select(F.col("to").alias("entry"), F.col("node").alias("last"))
     return out.unionByName(entries.join(before, "entry").select("node", none.alias("end"), "entry", "last"))
 
 
