@@ -11,10 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import url as U
 from .urls import _require
 
+SKETCH = 10_000  #: accuracy of the quantile sketch: ranks are off by at most a 10 000th of the rows
+SLACK = 3 / SKETCH
+RANGE_ROWS = 100_000  #: rows that a window's range may hold besides it
+
 
 def _unpack(df: DataFrame, packed: str, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{packed}.{n}").alias(n) for n in names])
@@ -93,13 +98,50 @@ def sort_by(df: DataFrame, col: str, ascending: bool = True, order_col: str = "r
 def page_of(df: DataFrame, offset: int = 0, n: int = 100, order_col: str = "row_id") -> DataFrame:
     """O2: the visible window of rows ``offset .. offset+n`` in row order (the limit is the feature).
 
-    Spark's ordered offset and limit: a top-k for a shallow window, a global sort past its own threshold.
+    Rows whose order value is NULL come first.  See :func:`ranked` for how the window is found.
     """
     _require(df, order_col)
-    return df.orderBy(order_col).offset(offset).limit(n)
+    return ranked(df, offset, n, order_col)
 
 
 def frontier_slice(df: DataFrame, n: int = 10000, order_col: str = "row_id") -> DataFrame:
     """O3: the first ``n`` frontier items by order column."""
     _require(df, order_col)
-    return df.orderBy(order_col).limit(n)
+    return ranked(df, 0, n, order_col)
+
+
+def ranked(df: DataFrame, offset: int, n: int, order_col: str, most: int = RANGE_ROWS) -> DataFrame:
+    """Rows ``offset .. offset+n`` by ``order_col`` (whole numbers), by distributed rank selection.
+
+    A quantile sketch of the order column gives values a little below and above the window, one aggregation
+    counts the rows below and between them, and so on inside that range until it holds at most
+    ``most`` rows besides the window.  Only that range, a filter on the scan, is sorted: no task holds
+    the rows before the window, however deep it is.  Equal values are never cut apart, so a value of very many
+    rows stays one range.  A column that is not of whole numbers is left to Spark's ordered offset and limit.
+    """
+    if not isinstance(df.schema[order_col].dataType, T.IntegralType):
+        return df.orderBy(order_col).offset(offset).limit(n)
+    x = F.col(order_col)
+    first = df.agg(F.count(x).alias("rows"), F.count_if(x.isNull()).alias("nulls")).first()
+    rows, skipped = first["rows"], first["nulls"]
+    low = high = None
+    inside = F.lit(True)
+    while rows > n + most:
+        start, stop = max(0, offset - skipped), max(0, offset - skipped + n)  # the window among the range's rows
+        at = [min(1.0, max(0.0, start / rows - SLACK)), min(1.0, stop / rows + SLACK)]
+        values = df.where(inside).agg(F.percentile_approx(x, at, SKETCH).alias("q")).first()["q"]
+        new_low, new_high = values if start else (None, values[1])
+        tail = stop >= rows  # the window goes to the range's end or beyond
+        narrower = (x >= new_low if new_low is not None else F.lit(True)) & (F.lit(True) if tail else x <= new_high)
+        found = df.where(inside & x.isNotNull()).agg(F.count_if(x < new_low if new_low is not None else F.lit(False)).alias("below"), F.count_if(narrower).alias("rows")).first()
+        if found["rows"] == rows or start < found["below"] or (not tail and stop > found["below"] + found["rows"]):
+            break
+        rows = found["rows"]
+        if new_low is not None:
+            low, skipped = new_low, skipped + found["below"]
+        high = high if tail else new_high
+        inside = (x >= low if low is not None else F.lit(True)) & (x <= high if high is not None else F.lit(True))
+    if low is None:
+        part = df.where(x.isNull() | inside) if high is not None else df
+        return part.orderBy(order_col).offset(offset).limit(n)
+    return df.where(inside).orderBy(order_col).offset(max(0, offset - skipped)).limit(n)

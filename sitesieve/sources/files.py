@@ -1,9 +1,9 @@
 """File readers.
 
 All readers are Spark file scans (``spark.read.text`` / ``spark.read.csv``).
-Only the first lines of the first file (marker and header) and two format
-flags reach the driver, the way ``spark.read.csv(header=True)`` reads a
-header.  Row order is carried by a
+Marker and header are read from the first split of the first file alone, the way
+``spark.read.csv(header=True)`` reads a header; they and two format flags are all that
+reaches the driver.  Row order is carried by a
 ``row_id`` that increases with (file position in ``paths``, position in the
 file): each path is read on its own and the reads are concatenated, and
 ``monotonically_increasing_id`` numbers rows in that order.
@@ -12,6 +12,7 @@ file): each path is read on its own and the reads are concatenated, and
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from ..operators.urls import coerce_metric_types
 # Marker lines of provider reports (fixed values).
 PROVIDER_MARKERS = {"Ahrefs": "# API : Ahrefs", "Majestic": "# API : Majestic", "Moz": "# API : Moz"}
 DEFAULT_TXT_HEADER = ["URL", "PR"]
+# Files without a line to find that are tried one by one before all are read at once.
+HEAD_FILES = 8
+# Lines whose format is tried before the whole text is.
+HEAD_LINES = 100
 
 
 def stable_ids(df: DataFrame) -> DataFrame:
@@ -56,6 +61,34 @@ def _line_order():
     return F.struct("_file", "_path", "_start", "_ord")
 
 
+def _files(spark: SparkSession, paths) -> list[str] | None:
+    """The files below ``paths`` in line order, from the listing alone; None if a name cannot be read back on its own."""
+    found = []
+    for p in _paths(paths):
+        found += sorted(spark.read.text(p).inputFiles())
+    found = [unquote(f) for f in found]
+    return None if any(c in f for f in found for c in "*?[]{}\\") else found
+
+
+def first_lines(spark: SparkSession, paths, wanted=None, n: int = 1) -> list[str]:
+    """The first ``n`` lines that meet ``wanted`` (a condition on ``value``), or fewer, from one file.
+
+    The job reads the first split of the first file, and stops there when it has them; the rest of the file, and
+    then the files after it, are read only if no line has been found yet.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
+    files = _files(spark, paths)
+    for f in files[:HEAD_FILES] if files is not None else []:
+        lines = spark.read.text(f).select("value", F.col("_metadata.file_block_start").alias("_start"))
+        found = lines.where(F.col("_start") == 0).where(wanted).limit(n).collect()
+        found = found or lines.where(wanted).withColumn("_ord", F.monotonically_increasing_id()).orderBy("_start", "_ord").limit(n).collect()
+        if found:
+            return [r["value"] for r in found]
+    if files is not None and len(files) <= HEAD_FILES:
+        return []
+    return [r["value"] for r in read_lines(spark, paths).where(wanted).orderBy(_line_order()).limit(n).collect()]
+
+
 def _is_comment(c):
     return c.startswith("#") | c.startswith('"#')
 
@@ -86,8 +119,7 @@ def read_result_txt(spark: SparkSession, paths, sep: str = "|", stable: bool = F
     lines = read_lines(spark, paths)
     v = F.col("value")
     data = lines.where((F.trim(v) != "") & ~_is_comment(v))
-    first = lines.where(F.trim(v) != "").orderBy(_line_order()).select("value").first()
-    line1 = (first["value"] if first else "").strip()
+    line1 = "".join(first_lines(spark, paths, F.trim(v) != "")).strip()
     header = line1.replace("#", "").split(sep) if line1.startswith("#") else DEFAULT_TXT_HEADER
     names = [S.logical_name(h) for h in header]
     table = data.select(F.col("_ord").alias("row_id"), *_named_columns(F.split(v, sep_re), names))
@@ -116,9 +148,11 @@ def read_result_csv(spark: SparkSession, paths, sep: str = ",", quote: str = '"'
 
 def detect_format(spark: SparkSession, paths, sep: str = "|", csv_sep: str = ",", quote: str = '"') -> str:
     """S4 detection: ``csv`` if quote+sep+quote occurs, else ``txt`` if the text
-    separator occurs, else ``urls`` (one aggregate over the lines)."""
-    lines = read_lines(spark, paths)
+    separator occurs, else ``urls``: from the first lines if they are CSV, else one aggregate over all."""
     pattern = quote + csv_sep + quote
+    if any(pattern in line for line in first_lines(spark, paths, n=HEAD_LINES)):
+        return "csv"
+    lines = read_lines(spark, paths)
     r = lines.agg(F.max(F.col("value").contains(pattern)).alias("csv"), F.max(F.col("value").contains(sep)).alias("txt")).first()
     if r["csv"]:
         return "csv"
@@ -132,10 +166,11 @@ def read_results(spark: SparkSession, paths, sep: str = "|", stable: bool = Fals
 
     Files whose first line is a provider marker are a provider's report, whatever their separator.
     """
-    fmt = detect_format(spark, paths, sep)
-    if _provider(read_lines(spark, paths)) is not None:
+    if _provider(spark, paths) is not None:
         out = read_provider_report(spark, paths, sep)
-    elif fmt == "csv":
+        return stable_ids(out) if stable else out
+    fmt = detect_format(spark, paths, sep)
+    if fmt == "csv":
         out = read_result_csv(spark, paths)
     elif fmt == "txt":
         out = read_result_txt(spark, paths, sep)
@@ -144,10 +179,10 @@ def read_results(spark: SparkSession, paths, sep: str = "|", stable: bool = Fals
     return stable_ids(out) if stable else out
 
 
-def _provider(lines: DataFrame) -> str | None:
+def _provider(spark: SparkSession, paths) -> str | None:
     """The provider that the first line's marker names."""
-    first = lines.orderBy(_line_order()).select("value").first()
-    return next((name for name, marker in PROVIDER_MARKERS.items() if first is not None and marker in first["value"]), None)
+    first = "".join(first_lines(spark, paths))
+    return next((name for name, marker in PROVIDER_MARKERS.items() if marker in first), None)
 
 
 def read_provider_report(spark: SparkSession, paths, sep: str = "|") -> DataFrame:
@@ -158,16 +193,17 @@ def read_provider_report(spark: SparkSession, paths, sep: str = "|") -> DataFram
     comment lines of every further file are skipped.
     """
     lines = read_lines(spark, paths)
-    provider = _provider(lines)
+    provider = _provider(spark, paths)
     if provider is None:
         raise ValueError("not a provider report: line 1 carries no '# API : <provider>' marker")
     v = F.col("value")
     marked = F.lit(False)
     for marker in PROVIDER_MARKERS.values():
         marked = marked | v.contains(marker)
-    body = lines.where(~marked & (F.trim(v) != ""))
-    first = body.orderBy(_line_order()).select("value").first()
-    header_row = first["value"] if first is not None else sep.join(S.display_name(c) for c in S.SCHEMAS[f"backlinks/{provider.lower()}"])
+    wanted = ~marked & (F.trim(v) != "")
+    body = lines.where(wanted)
+    first = first_lines(spark, paths, wanted)
+    header_row = first[0] if first else sep.join(S.display_name(c) for c in S.SCHEMAS[f"backlinks/{provider.lower()}"])
     is_csv = header_row.startswith('"')
     if is_csv:
         header = [h.strip('"') for h in header_row.split('","')]
