@@ -35,7 +35,7 @@ def test_dedups_aggregate_before_shuffle(spark):
 
 def test_latest_fetch_is_partial(spark):
     log = skewed(spark).select("url", F.timestamp_seconds("row_id").alias("fetched_at"), F.col("tf").alias("http_status"))
-    assert "partial_max_by" in plan(E.latest_fetch(log, ["http_status"]))
+    assert "partial_max(struct(_at" in plan(E.latest_fetch(log, ["http_status"]))
 
 
 def test_suffix_lookup_is_broadcast_and_keeps_rows_in_place(spark):
