@@ -36,7 +36,7 @@ LICENSES = [
     ("hpnd", r"historical permission notice and disclaimer licen[cs]e", "historical permission", "hpnd", "opensource.org/licenses/hpnd"),
     ("ijg", r"independent jpeg group licen[cs]e", "independent jpeg", "ijg", "spdx.org/licenses/ijg"),
     ("isc", r"isc licen[cs]e", "isc", "isc", "opensource.org/licenses/isc"),
-    ("mit", r"(?:mit|expat)(?:/x11)? licen[cs]e", "t", "mit", "opensource.org/licenses/mit"),
+    ("mit", r"(?:mit|expat)(?:/x11)? licen[cs]e", " licen", "mit", "opensource.org/licenses/mit"),
     ("mit-0", r"mit no attribution licen[cs]e", "mit no attribution", "mit-0", "spdx.org/licenses/mit-0"),
     ("ms-pl", r"microsoft public licen[cs]e", "microsoft public", "ms-pl", "opensource.org/licenses/ms-pl"),
     ("ncsa", r"university of illinois/ncsa open source licen[cs]e", "ncsa", "ncsa", "opensource.org/licenses/ncsa"),
@@ -60,13 +60,13 @@ FAMILIES = [
     ("blueoak", r"blue oak model licen[cs]e", "blue oak", "blueoakcouncil.org/license", "1.0.0"),
     ("bsl", r"boost software licen[cs]e", "boost", "", "1.0"),
     ("busl", r"business source licen[cs]e", "business source", "", "1.1"),
-    ("cc-by", r"(?:creative commons attribution(?: (?:unported|international|generic))?|cc[- ]by)", "c", "creativecommons.org/licenses/by", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", r"(?:creative commons attribution[- ]non-?commercial(?: (?:unported|international|generic))?|cc[- ]by[- ]nc)", "c", "creativecommons.org/licenses/by-nc", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-nd", r"(?:creative commons attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s(?: (?:unported|international|generic))?|cc[- ]by[- ]nc[- ]nd)", "c", "creativecommons.org/licenses/by-nc-nd", "2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-sa", r"(?:creative commons attribution[- ]non-?commercial[- ]share ?alike(?: (?:unported|international|generic))?|cc[- ]by[- ]nc[- ]sa)", "c", "creativecommons.org/licenses/by-nc-sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", r"(?:creative commons attribution[- ]no ?deriv(?:ative)?s(?: (?:unported|international|generic))?|cc[- ]by[- ]nd)", "c", "creativecommons.org/licenses/by-nd", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", r"(?:creative commons attribution[- ]share ?alike(?: (?:unported|international|generic))?|cc[- ]by[- ]sa)", "c", "creativecommons.org/licenses/by-sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc0", r"(?:cc0|creative commons zero)(?: universal)?", "c", "creativecommons.org/publicdomain/zero", "1.0"),
+    ("cc-by", r"creative commons attribution(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc", r"creative commons attribution[- ]non-?commercial(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by-nc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-nd", r"creative commons attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by-nc-nd", "2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-sa", r"creative commons attribution[- ]non-?commercial[- ]share ?alike(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by-nc-sa", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nd", r"creative commons attribution[- ]no ?deriv(?:ative)?s(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by-nd", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-sa", r"creative commons attribution[- ]share ?alike(?: (?:unported|international|generic))?", "creative commons", "creativecommons.org/licenses/by-sa", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc0", r"cc0(?: universal)?", "cc0", "creativecommons.org/publicdomain/zero", "1.0"),
     ("cddl", r"common development and distribution licen[cs]e", "common development", "", "1.0 1.1"),
     ("cecill", r"cecill(?: free software)? licen[cs]e", "cecill", "cecill.info/licences", "1.0 2.0 2.1"),
     ("cpl", r"common public licen[cs]e", "common public", "", "1.0"),
@@ -91,6 +91,19 @@ FAMILIES = [
     ("zpl", r"zope public licen[cs]e", "zope", "", "1.1 2.0 2.1"),
 ]
 
+#: Other names of the same: label, name, keyword, versions
+ALIASES = [
+    ("cc-by", r"cc[- ]by", "cc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc", r"cc[- ]by[- ]nc", "cc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-nd", r"cc[- ]by[- ]nc[- ]nd", "cc", "2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-sa", r"cc[- ]by[- ]nc[- ]sa", "cc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nd", r"cc[- ]by[- ]nd", "cc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-sa", r"cc[- ]by[- ]sa", "cc", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc0", r"creative commons zero(?: universal)?", "creative commons", "1.0"),
+    ("gpl", r"gnu gpl", "gnu gpl", "2.0 3.0"),
+    ("gpl", r"gpl", "gpl", "2.0 3.0"),
+]
+
 #: label, address: pages of one version
 ADDRESSES = [
     *[(f"{key}-{v}", f"opensource.org/licenses/{key}-{v}") for key, v in (("afl", "3.0"), ("artistic", "2.0"), ("cddl", "1.0"), ("cpl", "1.0"), ("ecl", "2.0"), ("ipl", "1.0"), ("osl", "3.0"))],
@@ -218,7 +231,7 @@ ANCHORS = ("licen", "spdx", "gpl", "cc by", "cc-by", "cc0", "creative commons",
            "hereby granted", "redistribution and use in source", "substantial portions of the software", "without any express or implied warranty", "must not be misrepresented", "good, not evil", "copyright to this source code", "waived all copyright",
            "automatically confer exclusive copyright", "retain this notice", "you just do what the f", "copy of the mpl", "conditions under which a package may be copied", "hosted or managed service", "copies of vim", "independent jpeg group",
            # of short forms
-           "apache", "bsd", "asl-2", "asl 2", "mit/x11", "mpl-", "mpl ", "epl-", "epl ", "cddl", "ofl-", "ofl ", "eupl", "odbl", "sspl", "busl", "artistic", "bsl-1", "gfdl")
+           "apache", "bsd", "asl-", "asl ", "mit/x11", "mpl-", "mpl ", "epl-", "epl ", "cddl", "ofl-", "ofl ", "eupl", "odbl", "sspl", "busl", "artistic", "bsl-1", "gfdl")
 
 #: form, pattern around a license's field, field of LICENSES, priority, confidence; matches lie between non-word characters
 FORMS = [
@@ -238,13 +251,16 @@ def _entries() -> list[tuple[str, str, str, str, str]]:
     for label, name, keyword, address, versions in FAMILIES:
         out.append((label, name, keyword, label, address))
         for v in versions.split():
-            later = r"(?:-only|-or-later|\+)?" if label in gnu else ""
-            short = f"|{label}v" if label in gnu else ""
-            written = rf"(?:{name}(?:,? |-)(?:version |v\.? ?|- v )?{short}){_version(v)}(?: or later)?"
-            out.append((f"{label}-{v}", written, "g" if short else keyword, re.escape(f"{label}-{v}") + later, ""))
+            out.append((f"{label}-{v}", _written(name, v), keyword, re.escape(f"{label}-{v}") + r"(?:-only|-or-later|\+)?" * (label in gnu), ""))
+    for label, name, keyword, versions in ALIASES:
+        out += [(label, name, keyword, "", "")] * (name != "gpl") + [(f"{label}-{v}", _written(name, v), keyword, "", "") for v in versions.split()]
     return out + [(label, "", "", "", address) for label, address in ADDRESSES]
 
 
+def _written(name: str, v: str) -> str:
+    return rf"{name}(?:,? |-)?(?:version |v\.? ?|- v )?{_version(v)}(?: or later)?"
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, regular expression, keyword, priority, confidence): every license in every form, then the notices and the short forms."""
     out = []
@@ -253,7 +269,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             if not license[field]:
                 continue
             body = license[field].replace(".", r"\.") if field == 4 else license[field]
-            keyword = {"tag": "spdx-license-identifier", "field": "licen", "address": license[4]}.get(form, license[2])
+            keyword = {"tag": "spdx-license-identifier", "field": re.sub(r"\(.*|\\", "", license[3]), "address": license[4]}.get(form, license[2])
             out.append((license[0], r"(?<![\w-])" + around.format(body) + r"(?![\w])", keyword, priority, confidence))
     for written, priority, confidence in ((NOTICES, 3, 0.9), (SHORT_FORMS, 1, 0.6)):
         out += [(label, r"(?<![\w-])" + regex + r"(?![\w])", keyword, priority, confidence) for label, regex, keyword in written]
