@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_key, saved
 from .components import connected_components, forest
+from .hot_keys import attach
 from .shingles import Shingler, mix
 
 SIG = 64  #: minwise tokens (coordinates) of a document
@@ -60,14 +61,14 @@ def _shingle_table(k: int):
         shingler = Shingler(k)
         for batch in batches:
             n, key, sig = [], [], []
-            for s in shingler.sets(batch.column(1)):
+            for s in shingler.sets(batch.column(batch.num_columns - 1)):
                 n.append(len(s))
                 # two independent 64-bit sums name the set
                 key.append((mix(s).sum().tobytes() + mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "sig"])
+                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                names=[*batch.schema.names[:-1], "n_shingles", "set_key", "sig"])
     return run
 
 
@@ -207,8 +208,8 @@ def candidate_pairs(sigs: DataFrame, threshold: float, trees: int = TREES) -> Da
     """(a, b): pairs of ``sigs`` (id, sig) that the trees find, a forest for each node.
 
     A node of more than ``TASK_NODE`` documents branches again as a shuffle; at
-    ``MAX_DEPTH`` it is dealt out in parts, each compared with the documents of
-    the part that the node's chain of parts puts before it.
+    ``MAX_DEPTH`` it is dealt into parts of about half that size, and every two parts are finished
+    together, so that no pair of the node is left out.
     """
     least = threshold - 4 * (threshold * (1 - threshold) / SIG) ** 0.5
     second = 1 / threshold - 1
@@ -220,11 +221,11 @@ def candidate_pairs(sigs: DataFrame, threshold: float, trees: int = TREES) -> Da
         rows = saved(nodes.join(sizes, "node"), "sized")
         last = depth >= MAX_DEPTH
         if last:
-            # parts of a node that sketches cannot part: each is joined to the node's smallest document as well
-            parts = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / TASK_NODE)))
-            heads = rows.where(F.col("n") > TASK_NODE).groupBy("node").agg(F.min("id").alias("head"))
-            rows = rows.join(heads, "node", "left").select(F.xxhash64("node", parts).alias("node"), F.array_distinct(F.array("id", F.coalesce("head", "id"))).alias("ids"))
-            ready = rows.select("node", F.explode("ids").alias("id")).distinct()
+            parts = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / TASK_NODE)).cast("int")
+            rows = rows.select("node", "id", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+            # part p meets every part q: node (p, q) with p <= q
+            rows = rows.select("node", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+            ready = rows.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "id")
         else:
             ready = rows.where(F.col("n") <= TASK_NODE).select("node", "id")
         tagged = ready.join(sigs, "id").repartition("node").sortWithinPartitions("node")
@@ -329,32 +330,40 @@ def family_links(families: DataFrame, texts: DataFrame, k: int, num: int, den: i
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = TREES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, key, chosen.
 
     Texts whose ``k``-word shingle sets have a Jaccard similarity of
     ``threshold`` or more (tested on full sets) are linked; component_id is the
     smallest doc_id reachable, kept marks that document.  Rows with equal sets
     are linked.  A null, empty or blank text has no shingle and is linked with
-    nothing; a null doc_id takes part under the component of its set's
-    documents and is never kept.  Rows that repeat a doc_id stay rows of
-    their own.  Other columns of ``docs`` are ignored; an empty table gives an
-    empty result.
+    nothing.  Rows go by their contents: rows of different texts under one doc_id are linked each
+    on its own, and rows without doc_id are linked like any other; they are never kept, and their component_id is null
+    if no document reachable has an id.  key names a row by doc_id and text; chosen marks the rows of one key in each
+    group of linked rows (that of the smallest doc_id; without ids, of the smallest key), and every row that is linked with nothing.  Other
+    columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     num, den = round(threshold * 100), 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = saved(docs.mapInArrow(_shingle_table(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "shingled")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), "text")
+    table = saved(docs.mapInArrow(_shingle_table(k), "doc_id long, key long, n_shingles long, set_key binary, sig binary"), "shingled")
     filled = table.where("set_key is not null")
-    sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).where("id is not null")
-    sets = saved(sets, "sets")
+    # the row whose text stands for the set, and which stays if the set's group is represented by it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    sets = filled.groupBy("set_key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    sets = saved(sets.select(F.monotonically_increasing_id().alias("id"), "*"), "sets")  # numbers, fixed by being written
     pairs = candidate_pairs(sets.select("id", "sig"), threshold, trees)
     families = connected_components(pairs)
     families = saved(families.unionAll(families.select(F.col("component_id").alias("id"), "component_id").distinct()), "families")
-    members = families.join(sets, "id").select("id", F.col("component_id").alias("family"), "n_shingles")
-    # a document stands for its set; its own text is read, whole
-    texts = docs.join(members.select("id"), docs.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    links = family_links(members, texts, k, num, den)
+    members = families.join(sets, "id").select("id", F.col("component_id").alias("family"), "n_shingles", "first.key", "first.doc_id")
+    # a row stands for its set; its own text is read, whole
+    known = members.select("id", "key", F.coalesce("doc_id", F.lit(0)).alias("_id"))
+    texts = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(known, ["key", "_id"]).select("id", "text")
+    links = family_links(members.select("id", "family", "n_shingles"), texts, k, num, den)
     found = connected_components(links)
-    classes = sets.join(found, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
-    out = filled.join(classes, "set_key", "left").select("doc_id", "n_shingles", "component_id")
-    out = out.unionAll(table.where("set_key is null").select("doc_id", "n_shingles", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    found = found.unionAll(found.select(F.col("component_id").alias("id"), "component_id").distinct())
+    linked = saved(found.join(sets.select("id", "first"), "id"), "linked")
+    heads = saved(linked.groupBy("component_id").agg(F.min("first").alias("head")), "heads")
+    linked = attach(linked, heads, "component_id").select("id", "head")
+    classes = sets.join(linked, "id", "left").select("set_key", F.coalesce("head", "first").alias("head"))
+    out = filled.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), "key", (F.col("key") == F.col("head.key")).alias("chosen"))
+    out = out.unionAll(table.where("set_key is null").select("doc_id", "n_shingles", "doc_id", "key", F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "key", "chosen")

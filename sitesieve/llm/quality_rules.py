@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_key, saved
 from .text_stats import with_statistics
 
 SHARE = 0.6  #: of a group's rows that a concentration step keeps
@@ -48,11 +48,6 @@ def chi2_cutoff(tail: float) -> float:
 CUTOFF = chi2_cutoff(TAIL)
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Names a row by its contents, for rows whose doc_id is null or repeated."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
-
-
 def _transformed() -> list[Column]:
     s = {k: F.col(f"s.{k}").cast("double") for k in ("n_chars", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_distinct")}
     return [

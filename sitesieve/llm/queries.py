@@ -40,7 +40,7 @@ def op2_packing(spark, sf_dir: str) -> DataFrame:
 @register
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
     """MinHash near-dedup of all documents: 3-word shingles, Jaccard >= 0.85."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85).drop("key", "chosen")
 
 
 @register
