@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesieve.llm import packing
-from sitesieve.llm.common import saved, table
+from sitesieve.llm.common import row_key, saved, table
 from sitesieve.llm.near_dup import near_duplicates
 from sitesieve.llm.quality_classifier import quality_scores
 from sitesieve.llm.quality_rules import keep_rows, quality_verdicts
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and are no robust outliers of their language and source."""
+    """Documents that pass the base limits and are no robust outliers of their language and source.
+
+    A null text is empty and goes; very long ones are judged whole; repeated rows stay or go together; an empty
+    table gives an empty result.
+    """
     return keep_rows(docs, quality_verdicts(docs).where("kept"))
 
 
@@ -27,6 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the quality classifier predicts to be good.
 
     It is fitted on the whole documents table: what the rules before rejected is what it has to know.
+    Null and empty texts have statistics of zero; repeated rows have equal scores; an empty table gives an empty result.
     """
     found = quality_scores(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
     return keep_rows(docs, found.where("predicted = 1"))
@@ -35,15 +40,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8 or more).
 
-    Rows that repeat a doc_id are one document.  Decisions go by doc_id, so rows without one stay.
+    Rows go by doc_id and text: different texts under one doc_id, and rows without doc_id, are judged each on their own;
+    rows alike in both are one document, whatever their other columns say.  Empty texts are copies of nothing.
+    An empty table gives an empty result.
     """
-    keep = near_duplicates(docs, k=5, threshold=0.8).where("kept").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionAll(docs.where("doc_id is null"))
+    kept = keep_rows(docs, near_duplicates(docs, k=5, threshold=0.8).where("chosen"))
+    return kept.withColumn("__key", row_key(docs)).dropDuplicates(["__key", "doc_id"]).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' ids, packed into sequences of at most 1024."""
+    """The pieces of the documents' ids, packed into sequences of at most 1024.
+
+    A null text is empty: one piece, the end id alone.  Long texts are cut; repeated rows have pieces each; an empty
+    table gives an empty result.
+    """
     pieces = packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
