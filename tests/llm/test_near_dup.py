@@ -44,6 +44,47 @@ def test_classes_equal_brute_force(spark, k, threshold):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_go_by_their_contents(spark):
+    """Two texts under one doc_id, and near copies without ids, keep their links."""
+    rng = random.Random(8)
+    bases = [words(rng, 100) for _ in range(4)]
+    near = lambda w, n: " ".join([*w[:50], f"new{n}", *w[51:]])
+    rows = [(5, " ".join(bases[0])), (5, " ".join(bases[1])), (7, near(bases[0], 1)), (9, near(bases[1], 2)), (5, " ".join(bases[1])),
+            (None, " ".join(bases[2])), (None, near(bases[2], 3)), (None, " ".join(bases[3])), (4, near(bases[3], 4)), (None, ""), (None, None)]
+    got = N.near_duplicates(docs(spark, rows), 3, 0.85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == classes(rows, 3, 85)
+    assert sorted((r.doc_id, r.kept) for r in got if r.doc_id in (7, 9)) == [(7, False), (9, False)]
+    chosen = [(r.doc_id, r.n_shingles, r.component_id) for r in got if r.chosen]
+    assert sorted(chosen, key=str) == sorted([(5, 98, 5), (5, 98, 5), (5, 98, 5), (None, 98, None), (4, 98, 4), (None, 0, None), (None, 0, None)], key=str)
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base, other = words(rng, 100), words(rng, 100)
+    copy = " ".join([*base[:50], "new", *base[51:]])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, copy), (None, copy), (None, " ".join(other)), (5, " ".join(other)), (None, "z " * 99), (None, "z " * 99)]
+    kept = corpus_pipeline.minhash_dedup(spark, docs(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, " ".join(base)), (5, " ".join(other)), (None, "z " * 99)], key=str)
+
+
+def test_deep_nodes_are_compared_whole(spark, monkeypatch):
+    """Nodes that are still large at the last level: every two of their parts are compared."""
+    for name, value in (("TASK_NODE", 40), ("SMALL", 8), ("MAX_DEPTH", 2), ("BLOCK_DOCS", 16)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(6)
+    head = words(rng, 200)
+    rows = [(1, " ".join(head))]
+    for pair in range(90):  # pairs that resemble each other more than the head
+        w = list(head)
+        for i in rng.sample(range(200), 18):
+            w[i] = f"p{pair}x{i}"
+        rows += [(10 + 2 * pair, " ".join(w)), (11 + 2 * pair, " ".join([*w[:100], "last", *w[101:]]))]
+    got = N.near_duplicates(docs(spark, rows), 3, 0.85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == classes(rows, 3, 85)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(empty(spark)).collect() == []
 

@@ -64,7 +64,8 @@ def test_stages_survive_awkward_rows(spark):
             if name != "packing":
                 assert out.columns == d.columns and out.count() <= n
         kept = CP.STAGES[2][1](spark, d, SF).collect()
-        assert sum(r.doc_id is None for r in kept) == sum(r.doc_id is None for r in d.collect())
+        # of the rows without doc_id the one that is a copy goes
+        assert [r.text for r in kept if r.doc_id is None] == ["no id at all"] * (n > 0)
 
 
 def test_entry_without_the_optional_parts(tmp_path):
