@@ -15,14 +15,21 @@ from .common import saved
 SHARE = 1000
 
 
-def attach(rows: DataFrame, answers: DataFrame, on: str | list[str]) -> DataFrame:
-    """``rows`` with the other columns of ``answers`` (at most one row per ``on``), null where it has none.
+def hot_keys(rows: DataFrame, on: str | list[str]) -> DataFrame:
+    """The keys of more than 1 / ``SHARE`` of the rows: fewer than ``SHARE``."""
+    on = [on] if isinstance(on, str) else on
+    limit = rows.count() / SHARE
+    return saved(rows.dropna(subset=on).groupBy(*on).count().where(F.col("count") > limit).select(*on), "hot")
+
 
-    Rows with a null in ``on`` get nulls and are not shuffled.  ``rows`` is read three times.
+def attach(rows: DataFrame, answers: DataFrame, on: str | list[str], hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the other columns of ``answers`` (one row per ``on``, or a few), null where it has none.
+
+    Rows with a null in ``on`` get nulls and are not shuffled.  ``rows`` is read three times, or once with
+    the ``hot_keys`` of rows that are dealt alike.
     """
     on = [on] if isinstance(on, str) else on
-    limit = rows.count() / SHARE
-    hot = saved(rows.dropna(subset=on).groupBy(*on).count().where(F.col("count") > limit).select(*on), "hot")
+    hot = hot_keys(rows, on) if hot is None else hot
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
     null = F.lit(False)
     for c in on:

@@ -1,16 +1,17 @@
 """Quality rules: fixed limits, then robust multivariate outliers.
 
 For each language and source the location and scatter of five transformed text
-statistics are estimated by the minimum covariance determinant: from a
-start of medians and median absolute deviations, concentration steps take the
-mean and covariance of the ``SHARE`` of rows with the smallest Mahalanobis
-distance, again and again.  A text further than ``CUTOFF`` (a squared
+statistics are estimated by the minimum covariance determinant: from three
+starts, concentration steps take the mean and covariance of the ``SHARE`` of rows with the
+smallest Mahalanobis distance until the determinant stops falling, and the smallest
+determinant wins.  A text further than ``CUTOFF`` (a squared
 distance, scaled so that its median is at most that of a chi-squared variable) is
 rejected: the quantile that such a variable exceeds with probability ``TAIL``.
 
 Everything is DataFrame expressions: each step is an aggregation with map-side
 combine over the narrow table of statistics, and the Cholesky factors are columns, so any
-number of groups and a group of any size work alike.
+number of groups and a group of any size work alike.  A group's few parameters go to its rows, not its
+rows to one task (``hot_keys.attach``).
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, saved
+from .hot_keys import attach, hot_keys
 from .text_stats import with_statistics
 
 SHARE = 0.6  #: of a group's rows that a concentration step keeps
-STEPS = 4
-MIN_ROWS = 50  #: a smaller group is pooled by language, then with all small groups
+MOST_STEPS = 12  #: concentration steps; they stop when no determinant falls
+MIN_ROWS = 50  #: a smaller group is judged by the estimate of its language, then of all rows
 FLOOR = 0.2  #: standard deviation that every statistic has at least
 CHI2_MEDIAN = 4.351460191  #: of five degrees of freedom
 D = 5
@@ -60,7 +62,7 @@ def _transformed() -> list[Column]:
 
 
 def _factors(params: DataFrame) -> DataFrame:
-    """(g, m0.., c00, c10, ..) to (g, m0.., l00, l10, ..): Cholesky factors of the covariances."""
+    """(g, start, m0.., c00, c10, ..) to (g, start, m0.., l00, l10, .., logdet): Cholesky factors of the covariances."""
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -68,38 +70,76 @@ def _factors(params: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # the floor keeps the covariance positive definite; rounding must not undo it
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
+    det = 2 * sum(F.ln(f"l{i}{i}") for i in range(D))
+    return params.select("g", "start", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS], det.alias("logdet"))
 
 
-def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with d2, their squared Mahalanobis distance in their group."""
+def _with_distance(rows: DataFrame, params: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with d2, their squared Mahalanobis distance by the parameters of their group, and params' other columns."""
+    extra = [c for c in params.columns if c != "g" and c[0] not in "ml"]
     kept = rows.columns
-    out = rows.join(params, "g", how)
+    out = attach(rows, params, "g", hot)
     for i in range(D):
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
             z = z - F.col(f"l{i}{j}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return out.select(*kept, sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)).alias("d2"))
-
-
-def _estimates(rows: DataFrame) -> DataFrame:
-    """Location, factors and scale of every group of ``rows`` (g, x0..x4)."""
-    half = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    middle = rows.groupBy("g").agg(*[half(f"x{i}").alias(f"m{i}") for i in range(D)])
-    spread = rows.join(middle, "g").groupBy("g").agg(*[half(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"s{i}") for i in range(D)])
-    start = middle.join(spread, "g").select("g", *[f"m{i}" for i in range(D)], *[
-        (F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOOR**2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    params = saved(_factors(start), "mcd")
-    for _ in range(STEPS):
-        near = _with_distance(rows, params)
-        limit = near.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
-        core = near.join(limit, "g").where("d2 <= limit")
-        cov = lambda i, j: F.coalesce(F.covar_samp(f"x{i}", f"x{j}"), F.lit(0.0)) + (FLOOR**2 if i == j else 0.0)
-        moments = core.groupBy("g").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
-        params = saved(_factors(moments), "mcd")
-    scale = _with_distance(rows, params).groupBy("g").agg((half("d2") / CHI2_MEDIAN).alias("scale"), F.count("*").alias("n"))
-    return saved(params.join(scale, "g"), "mcd")
+    return out.select(*kept, *extra, sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)).alias("d2"))
+
+
+def _half(c) -> Column:
+    return F.percentile_approx(c, 0.5, 10_000)
+
+
+def _moments(*by: str):
+    """Aggregation of rows to the mean and covariance (with its floor) of each group."""
+    cov = lambda i, j: F.coalesce(F.covar_samp(f"x{i}", f"x{j}"), F.lit(0.0)) + (FLOOR**2 if i == j else 0.0)
+    return lambda rows: rows.groupBy(*by).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _starts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Three starts of every group (g, start, m.., c..): medians with median absolute deviations, medians with the
+    covariance of spatial signs, and the moments of the half of the rows that is closest to the medians."""
+    middle = saved(rows.groupBy("g").agg(*[_half(f"x{i}").alias(f"m{i}") for i in range(D)]), "medians")
+    near = attach(rows, middle, "g", hot)
+    spread = near.groupBy("g").agg(*[_half(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"s{i}") for i in range(D)])
+    spread = saved(middle.join(spread.select("g", *[F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOOR**2).alias(f"s{i}") for i in range(D)]), "g"), "spreads")
+    plain = spread.select("g", F.lit(0).alias("start"), *[f"m{i}" for i in range(D)], *[(F.pow(f"s{i}", 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    z = [((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(D)]
+    centred = attach(rows, spread, "g", hot).select("g", *[f"x{i}" for i in range(D)], *[f"s{i}" for i in range(D)], *z)
+    norm = sum(F.pow(f"z{i}", 2) for i in range(D))
+    centred = centred.withColumn("norm", norm)
+    sign = lambda i, j: F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.greatest("norm", F.lit(1e-9))) * D * F.first(f"s{i}") * F.first(f"s{j}")
+    signs = centred.groupBy("g").agg(_half("norm").alias("limit"), *[(sign(i, j) + (FLOOR**2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    signs = saved(signs, "signs")
+    spatial = middle.join(signs.drop("limit"), "g").select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(D)], *[f"c{i}{j}" for i, j in PAIRS])
+    inner = attach(centred.select("g", *[f"x{i}" for i in range(D)], "norm"), signs.select("g", "limit"), "g", hot).where("norm <= limit")
+    closest = _moments("g")(inner).select("g", F.lit(2).alias("start"), *[f"m{i}" for i in range(D)], *[f"c{i}{j}" for i, j in PAIRS])
+    return plain.unionAll(spatial).unionAll(closest)
+
+
+def _estimates(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(g, m.., l.., scale): the minimum covariance determinant of every group of ``rows`` (g, x0..x4).
+
+    From each start concentration steps go on until no group's determinant falls any more; the
+    smallest determinant of a group wins.  An action a step reads how many still fall.
+    """
+    params = saved(_factors(_starts(rows, hot)), "mcd")
+    for step in range(MOST_STEPS):
+        near = _with_distance(rows, params.drop("logdet"), hot)
+        limit = near.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
+        limits = saved(limit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")), "limits")  # three a group
+        core = attach(near, limits, "g", hot).where(F.col("d2") <= F.col("limits")[F.col("start")])
+        after = saved(_factors(_moments("g", "start")(core)), "mcd")
+        was = params.select("g", "start", F.col("logdet").alias("was"))
+        # a start's own determinant is no value of a core, so the first step always counts
+        falling = step == 0 or after.join(was, ["g", "start"]).where("logdet < was - 0.001").limit(1).count()
+        params = after
+        if not falling:
+            break
+    best = saved(params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c not in ("g", "logdet")]), F.struct("logdet", "start")).alias("b")).select("g", "b.*").drop("start"), "best")
+    scale = _with_distance(rows, best, hot).groupBy("g").agg((_half("d2") / CHI2_MEDIAN).alias("scale"))
+    return saved(best.join(scale, "g"), "mcd")
 
 
 def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
@@ -108,31 +148,35 @@ def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float =
     Columns: doc_id, key (names the row by its contents), n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words, or
     more than half of them in repeated 3-word windows), distance (null if
-    base_failed or no estimate), kept.  Estimates are made from the rows that did not fail; a null
-    lang or source is a value of its own.  A group without ``min_rows`` rows even after
-    pooling makes no estimate and rejects nothing.  A null text counts as
-    empty and fails.  Equal rows get equal verdicts; other columns are
+    base_failed), kept.  Estimates are made from the rows that did not fail; a null
+    lang or source is a value of its own.  A group of fewer than ``min_rows`` rows is judged by the estimate of
+    all rows of its language, and if these are fewer by that of all rows.  A null text counts as
+    empty and fails; very long texts are one row like any other.  Equal rows get equal verdicts; other columns are
     ignored; an empty table gives an empty result.
     """
     rows = with_statistics(docs.select("doc_id", "lang", "source", "text", row_key(docs).alias("key")))
     failed = (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
     rows = rows.select("doc_id", "key", "lang", "source", *[f"s.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                        failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(_transformed())])
-    rows = saved(rows, "statistics")
-    # the group of a row: its language and source, or the pool of small ones
-    own, pool, rest = (F.to_json(F.struct(F.lit(level).alias("level"), *c)) for level, c in ((0, ("lang", "source")), (1, ("lang",)), (2, ())))
-    counts = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = counts.where(F.col("n") < min_rows).groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n").alias("pool_n"))
-    groups = counts.join(pooled, F.col("lang").eqNullSafe(F.col("pool_lang")), "left").select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-        F.when(F.col("n") >= min_rows, own).when(F.col("pool_n") >= min_rows, pool).otherwise(rest).alias("g"))
+    # groups by level: language and source, language, all
+    levels = [F.to_json(F.struct(F.lit(level).alias("level"), *c)) for level, c in enumerate((("lang", "source"), ("lang",), ()))]
+    rows = saved(rows.withColumns({f"g{i}": g for i, g in enumerate(levels)}), "statistics")
+    sound = rows.where("not base_failed")
+    counts = saved(sound.groupBy("g0", "g1", "g2").agg(F.count("*").alias("n")), "counts")
+    languages = counts.groupBy("g1").agg(F.sum("n").alias("n1"))
+    groups = counts.join(languages, "g1").select("g0", F.when(F.col("n") >= min_rows, F.col("g0")).when(F.col("n1") >= min_rows, F.col("g1")).otherwise(F.col("g2")).alias("g"))
     groups = saved(groups, "groups")
-    rows = rows.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    # estimates need the statistics and the group only
-    sound = saved(rows.where("not base_failed").select("g", *[f"x{i}" for i in range(D)]), "sound")
-    params = _estimates(sound).where(F.col("n") >= min_rows)
-    out = _with_distance(rows.withColumn("g", F.when(~F.col("base_failed"), F.col("g"))), params.drop("scale", "n"), "left")
-    out = out.join(params.select("g", "scale"), "g", "left")
+    used = saved(groups.select("g").distinct(), "used")
+    rows = attach(rows, groups, "g0")
+    # a row takes part in the estimate of each of its levels that some group uses; estimates need the statistics only
+    x = [f"x{i}" for i in range(D)]
+    parts = sound.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *x)
+    first = attach(parts, used.withColumn("used", F.lit(True)), "g").where("used").select("g", *x)
+    parts = saved(first, "sound")
+    hot = hot_keys(parts, "g")
+    params = _estimates(parts, hot)
+    rows = saved(rows.withColumn("g", F.when(~F.col("base_failed"), F.col("g"))).drop("g0", "g1", "g2"), "grouped")
+    out = _with_distance(rows, params, hot_keys(rows, "g"))
     # the core underestimates the spread, so the factor is at least 1; where the floor decides it must not undo it
     distance = F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0))
     out = out.withColumn("distance", distance)

@@ -62,21 +62,56 @@ def test_outliers_equal_a_plain_estimate(spark):
     s = {r.doc_id: r for r in R.with_statistics(frame).select("doc_id", "lang", "source", "s.*").collect()}
     groups = defaultdict(list)
     for i, r in s.items():
-        groups[r.lang, r.source].append(i)
-    for ids in groups.values():
-        ids = [i for i in ids if not got[i].base_failed]
-        x = np.array([[
+        if not got[i].base_failed:
+            groups[r.lang, r.source].append(i)
+    low = lambda v, q, axis=None: np.quantile(v, q, axis=axis, method="inverted_cdf")
+    far = lambda x, m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    floor = R.FLOOR**2 * np.eye(5)
+    data, state = {}, {}
+    for g, ids in groups.items():
+        x = data[g] = np.array([[
             np.log((r.word_chars + 5) / (r.n_words + 1)), np.log((r.n_symbols + 1) / (r.n_chars + 50)), np.log((r.n_upper + 1) / (r.n_chars + 20)),
             np.log((r.n_distinct + 1) / (r.n_words + 1)) / np.log(r.n_words + 10), np.log((r.n_words + 5) / (r.n_lines + 0.5))] for r in (s[i] for i in ids)])
-        low = lambda v, q, axis=None: np.quantile(v, q, axis=axis, method="inverted_cdf")
         m = low(x, 0.5, 0)
-        c = np.diag((1.4826 * low(abs(x - m), 0.5, 0)) ** 2 + R.FLOOR**2)
-        for _ in range(R.STEPS):
-            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-            core = x[d2 <= low(d2, R.SHARE)]
-            m, c = core.mean(axis=0), np.cov(core.T) + R.FLOOR**2 * np.eye(5)
-        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        assert np.allclose([got[i].distance for i in ids], d2 / max(1, low(d2, 0.5) / R.CHI2_MEDIAN), rtol=1e-6)
+        scale = np.sqrt((1.4826 * low(abs(x - m), 0.5, 0)) ** 2 + R.FLOOR**2)
+        z = (x - m) / scale
+        norm = (z**2).sum(axis=1)
+        signs = z / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        inner = x[norm <= low(norm, 0.5)]
+        state[g, 0] = m, np.diag(scale**2)
+        state[g, 1] = m, signs.T @ signs / len(x) * 5 * np.outer(scale, scale) + floor
+        state[g, 2] = inner.mean(axis=0), np.cov(inner.T) + floor
+    det = lambda k: np.linalg.slogdet(state[k][1])[1]
+    for step in range(R.MOST_STEPS):
+        before = {k: det(k) for k in state}
+        for (g, start), (m, c) in list(state.items()):
+            d2 = far(data[g], m, c)
+            core = data[g][d2 <= low(d2, R.SHARE)]
+            state[g, start] = core.mean(axis=0), np.cov(core.T) + floor
+        if step and all(det(k) >= before[k] - 0.001 for k in state):
+            break
+    for g, ids in groups.items():
+        m, c = state[g, min(range(3), key=lambda k: (det((g, k)), k))]
+        d2 = far(data[g], m, c)
+        assert np.allclose([got[i].distance for i in ids], d2 / max(1, low(d2, 0.5) / R.CHI2_MEDIAN), rtol=1e-5)
+
+
+def test_a_bad_start_does_not_decide(spark):
+    """A group whose medians lie in neither of its two clusters: the smallest determinant of the starts wins."""
+    rng = np.random.default_rng(7)
+    tight = rng.normal(0, 0.05, (65, 5))
+    spread = rng.normal(4, 3.0, (35, 5))
+    x = np.concatenate([tight, spread])
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3)
+    found = {}
+    hot = R.hot_keys(R.saved(rows, "rows"), "g")
+    for r in R._factors(R._starts(rows, hot)).collect():
+        found[r.start] = r.logdet
+    assert len(found) == 3 and max(found.values()) - min(found.values()) > 1
+    best = R._estimates(rows, hot).first()
+    logdet = 2 * sum(np.log(best[f"l{i}{i}"]) for i in range(5))
+    assert abs(best.m0) < 0.05 and logdet < min(found.values()) + 1
+    assert logdet == pytest.approx(np.linalg.slogdet(np.cov(tight[:60].T) + R.FLOOR**2 * np.eye(5))[1], abs=0.3)
 
 
 def test_cutoff_is_a_chi_squared_quantile(spark):
@@ -95,11 +130,19 @@ def test_cutoff_is_a_chi_squared_quantile(spark):
     assert all(r.kept == (r.distance <= R.CUTOFF) for r in got if not r.base_failed)
 
 
-def test_small_groups_are_pooled(spark):
+def test_small_groups_are_judged_by_larger_ones(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, 100)), "en", f"s{i}") for i in range(60)] + [(100 + i, " ".join(words(rng, 100)), "fr", f"s{i}") for i in range(5)]
     out = R.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
-    assert all((r.distance is not None) == (r.doc_id < 100) and r.kept for r in out)
+    assert len(out) == 65 and all(r.distance is not None and r.kept for r in out)
+    # junk of a rare language, as much of one source of a large one, and a table of few rows
+    good = lambda: ". ".join(" ".join(words(rng, rng.randrange(6, 14))).capitalize() for _ in range(20)) + ".\nEnd."
+    junk = lambda: " ".join("#$%&" * rng.randrange(1, 4) for _ in range(rng.randrange(60, 90))) + " " + " ".join(words(rng, 30))
+    rows = [(i, good(), "en", "a") for i in range(300)] + [(1000 + i, junk(), "eo", "b") for i in range(20)] + [(2000 + i, junk(), "en", "c") for i in range(20)]
+    out = R.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in out if r.kept} == set(range(300))
+    few = R.quality_verdicts(spark.createDataFrame(rows[:3], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept and r.distance is not None for r in few)
 
 
 def test_keep_rows_names_rows_by_contents(spark):
