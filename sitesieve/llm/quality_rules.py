@@ -26,7 +26,8 @@ from .hot_keys import attach, hot_keys
 from .text_stats import with_statistics
 
 SHARE = 0.6  #: of a group's rows that a concentration step keeps
-MOST_STEPS = 12  #: concentration steps; they stop when no determinant falls
+TRIAL_STEPS = 2  #: concentration steps from every start; the one of the smallest determinant goes on
+MOST_STEPS = 6  #: concentration steps in all; they stop when no determinant falls
 MIN_ROWS = 50  #: a smaller group is judged by the estimate of its language, then of all rows
 FLOOR = 0.2  #: standard deviation that every statistic has at least
 CHI2_MEDIAN = 4.351460191  #: of five degrees of freedom
@@ -121,27 +122,34 @@ def _starts(rows: DataFrame, hot: DataFrame) -> DataFrame:
 def _estimates(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """(g, m.., l.., scale): the minimum covariance determinant of every group of ``rows`` (g, x0..x4).
 
-    From each start concentration steps go on until no group's determinant falls any more; the
-    smallest determinant of a group wins.  An action a step reads how many still fall.
+    After ``TRIAL_STEPS`` concentration steps from each start the smallest determinant of a group wins, and
+    steps go on from there until no group's determinant falls any more.  An action a step reads whether one still does.
     """
     params = saved(_factors(_starts(rows, hot)), "mcd")
     for step in range(MOST_STEPS):
+        if step == TRIAL_STEPS:
+            params = saved(_best(params), "best")
         near = _with_distance(rows, params.drop("logdet"), hot)
         limit = near.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
         limits = saved(limit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")), "limits")  # three a group
         core = attach(near, limits, "g", hot).where(F.col("d2") <= F.col("limits")[F.col("start")])
         after = saved(_factors(_moments("g", "start")(core)), "mcd")
         was = params.select("g", "start", F.col("logdet").alias("was"))
-        # a start's own determinant is no value of a core, so the first step always counts
-        falling = step == 0 or after.join(was, ["g", "start"]).where("logdet < was - 0.001").limit(1).count()
+        falling = step < TRIAL_STEPS or after.join(was, ["g", "start"]).where("logdet < was - 0.001").limit(1).count()
         params = after
         if not falling:
             break
-    best = saved(params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c not in ("g", "logdet")]), F.struct("logdet", "start")).alias("b")).select("g", "b.*").drop("start"), "best")
+    best = params.drop("start", "logdet")
     scale = _with_distance(rows, best, hot).groupBy("g").agg((_half("d2") / CHI2_MEDIAN).alias("scale"))
     return saved(best.join(scale, "g"), "mcd")
 
 
+def _best(params: DataFrame) -> DataFrame:
+    """The start of the smallest determinant of each group."""
+    rest = F.struct(*[c for c in params.columns if c != "g"])
+    return params.groupBy("g").agg(F.min_by(rest, F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+
+
 def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source): its statistics and verdicts.
 
