@@ -114,7 +114,9 @@ def _starts(rows: DataFrame, hot: DataFrame) -> DataFrame:
     signs = centred.groupBy("g").agg(_half("norm").alias("limit"), *[(sign(i, j) + (FLOOR**2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
     signs = saved(signs, "signs")
     spatial = middle.join(signs.drop("limit"), "g").select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(D)], *[f"c{i}{j}" for i, j in PAIRS])
-    inner = attach(centred.select("g", *[f"x{i}" for i in range(D)], "norm"), signs.select("g", "limit"), "g", hot).where("norm <= limit")
+    within = saved(spread.join(signs.select("g", "limit"), "g"), "within")
+    inner = attach(rows, within, "g", hot).where(sum(F.pow((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i in range(D)) <= F.col("limit"))
+    inner = inner.select("g", *[f"x{i}" for i in range(D)])
     closest = _moments("g")(inner).select("g", F.lit(2).alias("start"), *[f"m{i}" for i in range(D)], *[f"c{i}{j}" for i, j in PAIRS])
     return plain.unionAll(spatial).unionAll(closest)
 
@@ -129,10 +131,8 @@ def _estimates(rows: DataFrame, hot: DataFrame) -> DataFrame:
     for step in range(MOST_STEPS):
         if step == TRIAL_STEPS:
             params = saved(_best(params), "best")
-        near = _with_distance(rows, params.drop("logdet"), hot)
-        limit = near.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
-        limits = saved(limit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")), "limits")  # three a group
-        core = attach(near, limits, "g", hot).where(F.col("d2") <= F.col("limits")[F.col("start")])
+        limit = _with_distance(rows, params, hot).groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 10_000).alias("cut"))
+        core = _with_distance(rows, saved(params.join(limit, ["g", "start"]), "cut"), hot).where("d2 <= cut")
         after = saved(_factors(_moments("g", "start")(core)), "mcd")
         was = params.select("g", "start", F.col("logdet").alias("was"))
         falling = step < TRIAL_STEPS or after.join(was, ["g", "start"]).where("logdet < was - 0.001").limit(1).count()
