@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .urls import _require
 
@@ -56,3 +57,23 @@ class BloomFilter:
         probed = df.withColumns({"_word": _word(key, self.words), "_bits": _bits(key)}).join(F.broadcast(self.table), "_word", "left")
         may = F.coalesce(key.isNotNull() & (F.col("_held").bitwiseAND(F.col("_bits")) == F.col("_bits")), F.lit(False))
         return probed.where(may).select(df.columns), probed.where(~may).select(df.columns)
+
+
+def anti_join(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows of ``df`` whose ``col`` is not in ``keys`` (its distinct values, same column name); a null is in no list.
+
+    Rows that the filter of the keys surely does not hold stay where they are; only the
+    others are shuffled for the exact anti-join.  ``df`` is read twice.  Where the filter would let
+    every row through (four bits a key no longer fit), or the types of the two sides hash differently, it is
+    the plain anti-join of all rows.
+    """
+    _require(df, col)
+    _require(keys, col)
+    kind = df.schema[col].dataType
+    if keys.schema[col].dataType != kind or not isinstance(kind, (T.IntegralType, T.DateType)) and kind != T.StringType():
+        return df.join(keys, col, "left_anti")
+    held = BloomFilter(keys, col)
+    if held.n_keys * 4 > 64 * MAX_WORDS:
+        return df.join(keys, col, "left_anti")
+    may, never = held.split(df, col)
+    return never.unionAll(may.join(keys, col, "left_anti").select(df.columns))

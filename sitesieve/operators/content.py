@@ -140,6 +140,7 @@ def link_alive(
     NULL (not checked).  Links are joined to the rows' URLs (equi-join) with
     the substring test as the join's extra condition; hits are made distinct
     per (url, target), so a page with many links gives one answer per row.
+    A page fetched several times is empty only if all its copies are; links of all copies count.
     """
     _require(urls, url_col)
     if target is None:
@@ -148,7 +149,9 @@ def link_alive(
         F.col("url").alias("_purl"),
         (F.col("html").isNull() | (F.col("html") == "")).alias("_empty"),
         *([F.col(status_col).alias("_status")] if status_col else [F.lit(None).cast("int").alias("_status")]),
-    ).dropDuplicates(["_purl"])
+    )
+    # of copies of a page one with a body counts, then the one of smallest status: the same in any partitioning
+    page = page.groupBy("_purl").agg(F.min(F.struct("_empty", "_status")).alias("_p")).select("_purl", "_p.*")
     links = extract_links(pages).select(F.col("page_url").alias("_lurl"), F.col("href").alias("_href"))
     keyed = urls.withColumn("_tgt", F.lit(target) if target is not None else F.col(target_col))
     keys = keyed.select(F.col(url_col).alias("_k"), "_tgt").distinct()

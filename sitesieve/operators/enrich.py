@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
+from .bloom import anti_join
 from .urls import SuffixTable, _require, registered_domain, with_public_suffix
 
 # Message for a TLD the availability API does not support (fixed value).
@@ -26,6 +27,8 @@ TLD_NOT_SUPPORTED = "tld not supported by API"
 # Value for a host without any address (fixed value, spelling as in the reference).
 UNKNOWN_IP = "Unknow"
 
+MAX_SALT = 1 << 14  #: salts of a join: hot keys are fewer, so their table can be broadcast
+
 
 def latest_fetch(fetch_log: DataFrame, cols: list[str] | None = None, url_col: str = "url", ts_col: str = "fetched_at") -> DataFrame:
     """One row per URL: the columns of its latest fetch.  Of fetches at the same time the one with the largest values counts."""
@@ -35,22 +38,42 @@ def latest_fetch(fetch_log: DataFrame, cols: list[str] | None = None, url_col: s
     return picked.select(url_col, *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
-def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], only_empty: bool, salt: int = 1) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """The keys that hold more than a task's share of the rows, were they dealt to ``tasks`` tasks: (_hash, _salts).
+
+    A frequency sketch finds them in one pass with constant memory; fewer than ``tasks`` keys can be that
+    frequent, and a key with a share p of the rows gets about p * ``tasks`` salts, so all salts together are at most 2 * ``tasks``.
+    The counts are estimates: they decide how rows are spread, not what matches.  The table is written
+    once, so both sides of a join see the same keys.  Rows with a null in a key match nothing and are not counted.
+    """
+    if not 1 < tasks <= MAX_SALT:
+        raise ValueError(f"the number of salts must be from 2 to {MAX_SALT}, not {tasks}")
+    hashes = df.dropna(subset=keys).select(F.xxhash64(*keys).alias("_hash"))
+    found = hashes.agg(F.call_function("approx_top_k", F.col("_hash"), F.lit(tasks), F.lit(16 * tasks)).alias("_top"), F.count("*").alias("_n"))
+    each = found.select("_n", F.explode("_top").alias("_t")).select(F.col("_t.item").alias("_hash"), (F.col("_t.count") * tasks / F.col("_n")).alias("_share"))
+    return written(each.where("_share > 1").select("_hash", F.ceil("_share").cast("long").alias("_salts")), "hot-keys")
+
+
+def _set_columns(df: DataFrame, upd: DataFrame, on: Column, cols: list[str], only_empty: bool, salt: int = 1,
+                 keys: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Left join ``df`` with ``upd`` (already one row per key) and set ``cols``.
 
-    With ``salt > 1`` the join is salted: each row of ``df`` gets a salt from
-    a hash of its own columns (deterministic, so a retried task sends rows to
-    the same place) and the answer side, one row per key, is repeated once per
-    salt value; a key holding a large share of ``df`` is spread over ``salt``
-    tasks instead of one.  Without it AQE's skew-join split does that at run
-    time when enabled.
+    With ``salt > 1`` hot keys (:func:`hot_keys`; ``keys`` names the key columns of both
+    sides) are spread over up to ``salt`` tasks: their rows get a salt from a hash of
+    their own columns (deterministic, so a retried task sends rows to the same
+    place), and only their answers are repeated, once per salt.  All other rows
+    and answers take part once.  Without it AQE's skew-join split does
+    that at run time when enabled.
     """
     base_cols = list(df.columns)
     if salt > 1:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in base_cols]), F.lit(salt)))
-        upd = upd.withColumn("_usalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        on = on & (df["_salt"] == upd["_usalt"])
-    joined = df.join(upd, on, "left")
+        hot = F.broadcast(hot_keys(df, keys[0], salt))  # fewer than ``salt`` rows
+        salts = F.coalesce(F.col("_salts"), F.lit(1).cast("long"))
+        own = F.pmod(F.xxhash64(*[F.col(c) for c in base_cols]), salts)
+        df = df.withColumn("_hash", F.xxhash64(*keys[0])).join(hot, "_hash", "left").withColumn("_salt", own).drop("_hash", "_salts")
+        upd = upd.withColumn("_hash", F.xxhash64(*keys[1])).join(hot, "_hash", "left")
+        upd = upd.withColumn("_usalt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_hash", "_salts")
+    joined = df.join(upd, on & (df["_salt"] == upd["_usalt"]) if salt > 1 else on, "left")
     out = []
     for c in base_cols:
         if c in cols:
@@ -88,7 +111,7 @@ def update_by_url(df: DataFrame, updates: DataFrame, cols: list[str], key: str =
     _require(df, key)
     _require(updates, key, *cols)
     upd = _one_per_key(updates, [key], cols, order_col)
-    return _set_columns(df, upd, df[key] == upd[f"_k_{key}"], cols, only_empty, salt)
+    return _set_columns(df, upd, F.col(key) == F.col(f"_k_{key}"), cols, only_empty, salt, ([key], [f"_k_{key}"]))
 
 
 def update_by_domain(
@@ -113,7 +136,7 @@ def update_by_domain(
     else:
         keyed = df.withColumn("_dkey", U.url_host(col))
     upd = _one_per_key(updates, [key], cols, None)
-    out = _set_columns(keyed, upd, keyed["_dkey"] == upd[f"_k_{key}"], cols, only_empty, salt)
+    out = _set_columns(keyed, upd, F.col("_dkey") == F.col(f"_k_{key}"), cols, only_empty, salt, (["_dkey"], [f"_k_{key}"]))
     return out.drop("_dkey")
 
 
@@ -123,8 +146,8 @@ def update_by_pair(df: DataFrame, updates: DataFrame, cols: list[str], keys: tup
     _require(df, *keys)
     _require(updates, *keys, *cols)
     upd = _one_per_key(updates, list(keys), cols, None)
-    cond = (df[keys[0]] == upd[f"_k_{keys[0]}"]) & (df[keys[1]] == upd[f"_k_{keys[1]}"])
-    return _set_columns(df, upd, cond, cols, only_empty, salt)
+    cond = (F.col(keys[0]) == F.col(f"_k_{keys[0]}")) & (F.col(keys[1]) == F.col(f"_k_{keys[1]}"))
+    return _set_columns(df, upd, cond, cols, only_empty, salt, (list(keys), [f"_k_{k}" for k in keys]))
 
 
 def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status", salt: int = 1) -> DataFrame:
@@ -134,8 +157,8 @@ def enrich_status(urls: DataFrame, fetch_log: DataFrame, col: str = "url", statu
     latest = latest_fetch(fetch_log, ["http_status"])  # already one row per URL
     upd = latest.select(F.col("url").alias(f"_k_{col}"), F.col("http_status").alias(f"_u_{status_col}"), F.lit(True).alias("_u_hit"))
     pend = urls.withColumn("_abs", U.is_absolute(col))
-    cond = (pend[col] == upd[f"_k_{col}"]) & pend["_abs"]
-    return _set_columns(pend, upd, cond, [status_col], only_empty=True, salt=salt).drop("_abs")
+    cond = (F.col(col) == F.col(f"_k_{col}")) & F.col("_abs")
+    return _set_columns(pend, upd, cond, [status_col], only_empty=True, salt=salt, keys=([col], [f"_k_{col}"])).drop("_abs")
 
 
 def resolve_redirect_once(urls: DataFrame, fetch_log: DataFrame, col: str = "url", status_col: str = "http_status") -> DataFrame:
@@ -184,7 +207,7 @@ def enrich_ip(urls: DataFrame, dns: DataFrame, col: str = "url", out: str = "ip"
     first = dns.groupBy(F.lower("host").alias("_k_host")).agg(F.min_by("ip", "ord").alias(f"_u_{out}")).withColumn("_u_hit", F.lit(True))
     base = urls if out in urls.columns else urls.withColumn(out, F.lit(None).cast("string"))
     keyed = base.withColumn("_h0", F.when(U.is_absolute(col), U.url_host(col)))
-    filled = _set_columns(keyed, first, keyed["_h0"] == first["_k_host"], [out], only_empty=True, salt=salt)
+    filled = _set_columns(keyed, first, F.col("_h0") == F.col("_k_host"), [out], only_empty=True, salt=salt, keys=(["_h0"], ["_k_host"]))
     value = F.when(F.col(out).isNull() & F.col("_h0").isNotNull(), F.lit(UNKNOWN_IP)).otherwise(F.col(out))
     return filled.withColumn(out, value).drop("_h0")
 
@@ -348,9 +371,12 @@ def enrichment_progress(df: DataFrame, metric: str) -> DataFrame:
 
 
 def frontier_remaining(frontier: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
-    """(remaining, total) frontier items; done items removed by a left-anti join."""
+    """(remaining, total) frontier items; done items removed by a left-anti join.
+
+    Only items that a Bloom filter of the done list may hold are shuffled for it.
+    """
     _require(frontier, key)
-    left = frontier.join(done.select(key).distinct(), key, "left_anti")
+    left = anti_join(frontier.select(key), done.select(key).distinct(), key)
     remaining = left.select(F.count("*").cast("long")).scalar()
     total = frontier.select(F.count("*").cast("long")).scalar()
     return frontier.sparkSession.range(1).select(remaining.alias("remaining"), total.alias("total"))
