@@ -14,7 +14,7 @@ with the de-duplicated answers:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -273,15 +273,37 @@ def enrich_backlinks(
 def count_filled(df: DataFrame, col: str) -> DataFrame:
     """A4: number of non-empty cells of a column (one row)."""
     _require(df, col)
+    return df.agg(_filled(col).alias("filled"))
+
+
+def _filled(col: str) -> Column:
     c = F.col(col)
-    return df.agg(F.count_if(c.isNotNull() & (c.cast("string") != "")).cast("long").alias("filled"))
+    return F.count_if(c.isNotNull() & (c.cast("string") != "")).cast("long")
 
 
 def count_redirects(df: DataFrame, status_col: str = "http_status") -> DataFrame:
     """A5: rows with 300 < status < 400 (one row)."""
     _require(df, status_col)
+    return df.agg(_redirects(status_col).alias("redirects"))
+
+
+def _redirects(status_col: str) -> Column:
     s = F.col(status_col)
-    return df.agg(F.count_if((s > 300) & (s < 400)).cast("long").alias("redirects"))
+    return F.count_if((s > 300) & (s < 400)).cast("long")
+
+
+def observe_statistics(df: DataFrame, filled: list[str] = (), status_col: str | None = None, metrics: list[str] = ()) -> tuple[DataFrame, Observation]:
+    """A4, A5 and A12 of a table, taken while it is written instead of by a pass of their own.
+
+    Returns the table and an observation; after the first action on the table, ``observation.get``
+    holds ``total``, ``filled_<col>`` (A4), ``redirects`` (A5) and ``done_<metric>`` (A12).
+    """
+    _require(df, *filled, *metrics, *([status_col] if status_col else []))
+    counts = [F.count(F.lit(1)).alias("total"), *[_filled(c).alias(f"filled_{c}") for c in filled], *[F.count(m).alias(f"done_{m}") for m in metrics]]
+    if status_col:
+        counts.append(_redirects(status_col).alias("redirects"))
+    seen = Observation()
+    return df.observe(seen, *counts), seen
 
 
 def domain_histogram(df: DataFrame, suffixes: SuffixTable | DataFrame, col: str = "url") -> DataFrame:

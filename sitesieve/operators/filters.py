@@ -13,7 +13,9 @@ unknown filter name raises.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -37,6 +39,32 @@ def removed_counts(before: DataFrame, results: dict[str, DataFrame]) -> DataFram
     return out
 
 
+class FilterChain:
+    """Named filters one after the other; the rows each removes are counted while the result is written.
+
+    ``chain.result`` is the filtered frame.  Once an action has run on it, ``chain.report()`` gives
+    (step, filter, removed, kept) in the order of the steps, without reading the input again: each
+    frame between two filters is observed (``DataFrame.observe``).  Predicates are not pushed below
+    an observed frame, as the rows before them are counted; unused columns are still pruned.
+    """
+
+    def __init__(self, df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]):
+        self.names = [name for name, _ in steps]
+        self._seen: list[Observation] = []
+        self.result = self._observed(df)
+        for _, step in steps:
+            self.result = self._observed(step(self.result))
+
+    def _observed(self, df: DataFrame) -> DataFrame:
+        self._seen.append(Observation())
+        return df.observe(self._seen[-1], F.count(F.lit(1)).alias("rows"))
+
+    def report(self) -> list[tuple[int, str, int, int]]:
+        """Waits for the first action on ``result``; call it after one."""
+        rows = [seen.get["rows"] for seen in self._seen]
+        return [(i + 1, name, rows[i] - rows[i + 1], rows[i + 1]) for i, name in enumerate(self.names)]
+
+
 def remove_bad_urls(df: DataFrame, status_col: str = "http_status") -> DataFrame:
     """keep 200 <= status < 400, or an empty status."""
     _require(df, status_col)

@@ -11,6 +11,7 @@ from ..operators import enrich as E
 from ..operators import filters as FL
 from ..operators import sets as S
 from ..operators import urls as P
+from ..session import written
 from .catalog import q, register, sql_abs, sql_host, sql_scheme
 from .fixtures import Fixtures, with_ctes
 
@@ -444,6 +445,32 @@ def q_removed_counts(spark, sf_dir):
                                  "drop_lower": FL.drop_lower(u, "tf", 25)})
 
 
+@register("filter_chain", urls_sql("""
+SELECT s.step, s.filter,
+       count(*) FILTER (WHERE CASE s.step WHEN 1 THEN NOT a WHEN 2 THEN a AND NOT b ELSE a AND b AND NOT c END) AS removed,
+       count(*) FILTER (WHERE CASE s.step WHEN 1 THEN a WHEN 2 THEN a AND b ELSE a AND b AND c END) AS kept
+FROM (SELECT http_status IS NULL OR (http_status >= 200 AND http_status < 400) AS a, NOT contains(url, 'blog.') AS b, tf >= 25 AS c FROM fx_urls) u,
+     (VALUES (1, 'remove_bad_urls'), (2, 'drop_containing'), (3, 'drop_lower')) s(step, filter)
+GROUP BY s.step, s.filter"""))
+def q_filter_chain(spark, sf_dir):
+    """§2.3: rows removed by each filter of a chain, counted while its result is written."""
+    chain = FL.FilterChain(fx(spark, sf_dir).urls(), [
+        ("remove_bad_urls", FL.remove_bad_urls), ("drop_containing", lambda d: FL.drop_containing(d, "url", "blog.")),
+        ("drop_lower", lambda d: FL.drop_lower(d, "tf", 25))])
+    written(chain.result, "filtered")
+    return spark.createDataFrame(chain.report(), "step int, filter string, removed long, kept long")
+
+
+@register("observed_statistics", urls_sql(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE url <> '') AS filled_url, count(http_status) AS done_http_status,
+              count(*) FILTER (WHERE http_status > 300 AND http_status < 400) AS redirects FROM fx_urls"""))
+def q_observed_statistics(spark, sf_dir):
+    """A4, A5 and A12 in the pass that writes the table."""
+    table, seen = E.observe_statistics(fx(spark, sf_dir).urls(), ["url"], "http_status", ["http_status"])
+    written(table, "table")
+    return spark.createDataFrame([seen.get], "total long, filled_url long, done_http_status long, redirects long")
+
+
 @register("page_of_deep", urls_sql(f"SELECT {COLS} FROM fx_urls ORDER BY row_id LIMIT 100 OFFSET 40000"))
 def q_page_of_deep(spark, sf_dir):
     """O2 for a deep window."""
