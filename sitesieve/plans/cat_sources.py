@@ -184,6 +184,32 @@ def q_write_read_result_csv(spark, sf_dir):
     return SF.read_result_csv(spark, _write_csv(spark, sf_dir)).select("url", "http_status", "trust_flow", "anchor")
 
 
+def _lines(spark, folder: str, header_start: str):
+    """The text lines of a folder with their numbers; the header, which each part file carries, counts once."""
+    found = spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return found.withColumn("n", F.when(F.col("line").startswith(header_start), F.lit(1)).otherwise(F.col("n")).cast("long"))
+
+
+@register("write_result_csv", with_ctes("""
+SELECT line, count(*) AS n FROM (
+  SELECT concat('"', url, '","', CAST(http_status AS VARCHAR), '","', CAST(tf AS VARCHAR), '","a\\"', CAST(row_id % 10 AS VARCHAR), '\\"b"') AS line FROM fx_urls
+  UNION ALL SELECT '"URL","HTTP Status","TF","Anchor"') t GROUP BY line""", "fx_urls"))
+def q_write_result_csv(spark, sf_dir):
+    """The written lines themselves, read as plain text."""
+    return _lines(spark, _write_csv(spark, sf_dir), '"URL"')
+
+
+@register("write_result_txt", with_ctes("""
+SELECT line, count(*) AS n FROM (
+  SELECT concat(url, '|', CAST(http_status AS VARCHAR), '|', CAST(tf AS VARCHAR), '|', CAST(cf AS VARCHAR)) AS line FROM fx_urls
+  UNION ALL SELECT '#URL|HTTP Status|TF|CF') t GROUP BY line""", "fx_urls"))
+def q_write_result_txt(spark, sf_dir):
+    """The written lines themselves, read as plain text."""
+    folder = ST.shared_folder(spark, "resulttxt")
+    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow", "citation_flow"])
+    return _lines(spark, folder, "#URL")
+
+
 @register("read_results", CSV_ORACLE)
 def q_read_results(spark, sf_dir):
     """Format detected (CSV here) and read with the matching reader."""

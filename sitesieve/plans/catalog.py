@@ -121,9 +121,7 @@ from . import cat_sources  # noqa: E402,F401
 
 # SURVEY §2 operator names served by a query registered under a combined name.
 ALIASES = {
-    "write_result_txt": "write_read_result_txt",
     "read_result_txt": "write_read_result_txt",
-    "write_result_csv": "write_read_result_csv",
     "read_result_csv": "write_read_result_csv",
     "stream_append": "stream_links",
     "enrich_backlinks": "enrich_backlinks_url",
