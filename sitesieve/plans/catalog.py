@@ -124,7 +124,6 @@ ALIASES = {
     "read_result_txt": "write_read_result_txt",
     "read_result_csv": "write_read_result_csv",
     "stream_append": "stream_links",
-    "enrich_backlinks": "enrich_backlinks_url",
 }
 for _alias, _name in ALIASES.items():
     QUERIES[_alias] = QUERIES[_name]
