@@ -121,21 +121,21 @@ def _rule_items(pages: DataFrame, frontier: DataFrame, rule, targets: DataFrame,
     """(url, custom1, custom2, page_url, pos, item) of one rule for every frontier row and page of ``targets`` (url, page_url).
 
     Items or, for a rule whose tests hold placeholders, elements are taken where the bodies lie;
-    only they are joined to the frontier.
+    only they are joined to the frontier, by a sort-merge join (:func:`scrape_snapshot`).
     """
     from ..functions.url import decode_if_absolute
     from ..operators.content import html_to_text
     from ..operators.elements import Rule, extract_elements, extract_items
 
-    asked = frontier.join(targets, "url")
+    asked = frontier.join(targets.hint("merge"), "url")
     if not any("{%" in t.value for t in rule.tests):
         plain = Rule("_items", rule.tag, rule.tests, rule.output, keep_html=rule.keep_html)
         items = extract_items(pages.select("url", "html"), [plain], id_col="url")
         items = items.select(F.col("page_id").alias("page_url"), F.posexplode("_items").alias("pos", "item"))
-        return asked.join(items.join(_copies(pages), "page_url"), "page_url")
+        return asked.join(items.join(_copies(pages).hint("merge"), "page_url").hint("merge"), "page_url")
     tags = None if rule.tag == "*" else [rule.tag]
     el = extract_elements(pages.select("url", "html"), id_col="url", tags=tags).withColumnRenamed("page_id", "page_url")
-    rows = asked.join(el, "page_url").withColumn("_hit", rule.condition(values)).join(_copies(pages), "page_url")
+    rows = asked.join(el.hint("merge"), "page_url").withColumn("_hit", rule.condition(values)).join(_copies(pages).hint("merge"), "page_url")
     keys = [c for c in rows.columns if c in ("url", "custom1", "custom2", "page_url", "page_id", "_row")]
     if rule.output == "count":
         return rows.groupBy(*keys).agg(F.lit(0).alias("pos"), F.count_if("_hit").cast("string").alias("item"))
@@ -161,7 +161,8 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
     With ``json_path`` the bodies are JSON and the items those of that
     path (C8); the rule then only decorates.  Page bodies never
     travel: a Bloom filter of the frontier's URLs picks the pages in the scan, items are extracted in
-    place and joined to the frontier by URL.  A
+    place and joined to the frontier by URL.  These joins are sort-merge joins: all sides grow with the frontier, and the
+    planner's size of exploded items (a VARIANT counts 2 KB of a row) has it send millions of them through the driver.  A
     page fetched several times counts as its rows together, and ties are broken by
     page, frontier row and position.
     """
@@ -199,7 +200,7 @@ def scrape_snapshot(spark, template: str, custom1: DataFrame | None, custom2: Da
     for k, r in enumerate(rules):
         if json_path is not None:
             items = json_items(fetched.select("page_id", F.col("url").alias("page_url"), "html"), "html", json_path, keep=["page_id", "page_url"])
-            rows = frontier.join(targets, "url").join(items, "page_url")
+            rows = frontier.join(targets.hint("merge"), "url").join(items.hint("merge"), "page_url")
         else:
             rows = _rule_items(fetched, frontier, r, targets, values)
         rows = rows.withColumn("_footprint", F.lit(footprint or "")).withColumn("_rule", F.lit(k))
