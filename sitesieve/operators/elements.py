@@ -42,6 +42,10 @@ ELEMENT_SCHEMA = T.StructType([
 # Elements that never have content (fixed values, HTML void elements).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+# A batch of element rows leaves Python when it has this many rows, or characters of text and attributes.
+CHUNK_ROWS = 10_000
+CHUNK_CHARS = 4_000_000
+
 
 class _Collector(HTMLParser):
     """Element rows of one page: start order, tag, attributes, string value, depth."""
@@ -105,7 +109,7 @@ def _elements_fn(tags: frozenset | None, carry: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {c: [] for c in cols + carry}
+            out, chars = {c: [] for c in cols + carry}, 0
             extra = [pdf[c].tolist() for c in carry]
             for i, (pid, html) in enumerate(zip(pdf["page_id"].tolist(), pdf["html"].tolist())):
                 for pos, tag, attrs, text, depth in _parse(html):
@@ -119,7 +123,12 @@ def _elements_fn(tags: frozenset | None, carry: list[str]):
                     out["depth"].append(depth)
                     for c, vals in zip(carry, extra):
                         out[c].append(vals[i])
-            yield pd.DataFrame(out, columns=cols + carry)
+                    chars += len(text) + sum(len(k) + len(v) for k, v in attrs.items())
+                    if len(out["pos"]) >= CHUNK_ROWS or chars >= CHUNK_CHARS:
+                        yield pd.DataFrame(out, columns=cols + carry)
+                        out, chars = {c: [] for c in cols + carry}, 0
+            if out["pos"]:
+                yield pd.DataFrame(out, columns=cols + carry)
 
     return run
 
