@@ -7,6 +7,8 @@ cluster) and read it back with the library's readers.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import elements as EL
@@ -27,6 +29,24 @@ def fx(spark, sf_dir):
     return Fixtures(spark, sf_dir)
 
 
+def write_parts(write, df, folder, least):
+    """``write(df, folder)`` in part files of the size that Spark advises for a partition, whatever the table's size.
+
+    A table too small for ``least`` such files is written over as ``least`` files.
+    """
+    write(df.hint("rebalance"), folder)
+    if len(df.sparkSession.read.text(folder).inputFiles()) < least:
+        write(df.repartition(least), folder)
+
+
+def _as_text(df, folder):
+    df.write.mode("overwrite").text(folder)
+
+
+def _as_parquet(df, folder):
+    df.write.mode("overwrite").parquet(folder)
+
+
 # --- provider replies (S11-S19) -----------------------------------------------
 
 @register("parse_majestic_links", with_ctes("""
@@ -146,11 +166,16 @@ def _metric_table(spark, sf_dir):
     return fx(spark, sf_dir).urls().withColumnsRenamed({"tf": "trust_flow", "cf": "citation_flow"})
 
 
+def _write_txt(spark, sf_dir, columns):
+    folder = ST.shared_folder(spark, "resulttxt")
+    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=columns)
+    return folder
+
+
 @register("write_read_result_txt", with_ctes("SELECT url, http_status, tf AS trust_flow, CAST(cf AS INTEGER) AS citation_flow FROM fx_urls", "fx_urls"))
 def q_write_read_result_txt(spark, sf_dir):
     """S8 then S2: ``#`` header + ``|`` rows, read back into typed columns."""
-    folder = ST.shared_folder(spark, "resulttxt")
-    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow", "citation_flow"])
+    folder = _write_txt(spark, sf_dir, ["url", "http_status", "trust_flow", "citation_flow"])
     return SF.read_result_txt(spark, folder).select("url", "http_status", "trust_flow", "citation_flow")
 
 
@@ -205,9 +230,7 @@ SELECT line, count(*) AS n FROM (
   UNION ALL SELECT '#URL|HTTP Status|TF|CF') t GROUP BY line""", "fx_urls"))
 def q_write_result_txt(spark, sf_dir):
     """The written lines themselves, read as plain text."""
-    folder = ST.shared_folder(spark, "resulttxt")
-    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow", "citation_flow"])
-    return _lines(spark, folder, "#URL")
+    return _lines(spark, _write_txt(spark, sf_dir, ["url", "http_status", "trust_flow", "citation_flow"]), "#URL")
 
 
 @register("read_results", CSV_ORACLE)
@@ -230,8 +253,7 @@ def q_read_results_urls(spark, sf_dir):
 @register("read_results_txt", with_ctes("SELECT url, http_status, tf AS trust_flow FROM fx_urls", "fx_urls"))
 def q_read_results_txt(spark, sf_dir):
     """S4 on delimited text."""
-    folder = ST.shared_folder(spark, "resulttxt4")
-    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=["url", "http_status", "trust_flow"])
+    folder = _write_txt(spark, sf_dir, ["url", "http_status", "trust_flow"])
     return SF.read_results(spark, folder).select("url", "http_status", "trust_flow")
 
 
@@ -309,18 +331,20 @@ def q_append_session_results(spark, sf_dir):
 
 # --- streaming (T1-T3) --------------------------------------------------------
 
-def _stage(df, spark, name, parts=4):
+def _stage(df, spark, name, batches=4):
+    """The stream of ``df``'s rows, which arrive as files, in at most ``batches`` micro-batches."""
     folder = ST.shared_folder(spark, name)
-    df.repartition(parts).write.parquet(folder)
-    return folder, spark.read.parquet(folder).schema
+    write_parts(_as_parquet, df, folder, batches)
+    staged = spark.read.parquet(folder)
+    return ST.read_stream(spark, folder, staged.schema, files_per_trigger=-(-len(staged.inputFiles()) // batches))
 
 
 @register("stream_links", with_ctes(ALL_LINKS_SQL, "fx_links"))
 def q_stream_links(spark, sf_dir):
     """Pages arrive as files; links appended per micro-batch (= batch C1)."""
-    src, schema = _stage(fx(spark, sf_dir).html(), spark, "pages-in")
+    arriving = _stage(fx(spark, sf_dir).html(), spark, "pages-in")
     sink, ckpt = ST.shared_folder(spark, "links-out"), ST.shared_folder(spark, "links-ckpt")
-    ST.run_append(ST.stream_links(ST.read_stream(spark, src, schema)), sink, ckpt)
+    ST.run_append(ST.stream_links(arriving), sink, ckpt)
     return spark.read.parquet(sink).select("page_id", "page_url", "pos", "href", "rel")
 
 
@@ -332,10 +356,10 @@ def q_stream_items(spark, sf_dir):
     micro-batch to a sink and to the session folder."""
     from ..operators import elements as EL
 
-    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-items-in")
+    arriving = _stage(fx(spark, sf_dir).pages(), spark, "pages-items-in")
     sink, session, ckpt = ST.shared_folder(spark, "items-out"), ST.shared_folder(spark, "items-session"), ST.shared_folder(spark, "items-ckpt")
     rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href")
-    ST.run_append_with_session(ST.stream_items(ST.read_stream(spark, src, schema), [rule]), sink, session, ckpt)
+    ST.run_append_with_session(ST.stream_items(arriving, [rule]), sink, session, ckpt)
     out = spark.read.parquet(sink)
     return out.select("page_id", "rule", "idx", "item")
 
@@ -348,9 +372,9 @@ def q_stream_items_text(spark, sf_dir):
     """T1 with a text rule: each micro-batch runs C3's parser engine inside foreachBatch."""
     from ..operators import elements as EL
 
-    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-text-in")
+    arriving = _stage(fx(spark, sf_dir).pages(), spark, "pages-text-in")
     sink, session, ckpt = ST.shared_folder(spark, "text-out"), ST.shared_folder(spark, "text-session"), ST.shared_folder(spark, "text-ckpt")
-    ST.run_items_per_batch(ST.read_stream(spark, src, schema), [EL.Rule("h1", "h1")], sink, session, ckpt)
+    ST.run_items_per_batch(arriving, [EL.Rule("h1", "h1")], sink, session, ckpt)
     return spark.read.parquet(sink).select("page_id", "rule", "idx", "item")
 
 
@@ -359,10 +383,10 @@ def q_stream_session_items(spark, sf_dir):
     """S10 fed by T1: the session folder holds every non-empty item once."""
     from ..operators import elements as EL
 
-    src, schema = _stage(fx(spark, sf_dir).pages(), spark, "pages-sess-in")
+    arriving = _stage(fx(spark, sf_dir).pages(), spark, "pages-sess-in")
     sink, session, ckpt = ST.shared_folder(spark, "sess-out"), ST.shared_folder(spark, "sess-session"), ST.shared_folder(spark, "sess-ckpt")
     rule = EL.Rule("nav", "a", (EL.Test("href", "starts-with", "/"),), "@href")
-    ST.run_append_with_session(ST.stream_items(ST.read_stream(spark, src, schema), [rule]), sink, session, ckpt)
+    ST.run_append_with_session(ST.stream_items(arriving, [rule]), sink, session, ckpt)
     return spark.read.text(session).select("value")
 
 
@@ -370,11 +394,11 @@ def q_stream_session_items(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     """URL key set after streaming de-duplication (= key set of A1)."""
     u = fx(spark, sf_dir).urls().withColumn("ts", F.timestamp_seconds(F.col("row_id")))
-    src, schema = _stage(u, spark, "urls-in")
+    arriving = _stage(u, spark, "urls-in")
     sink, ckpt = ST.shared_folder(spark, "dedup-out"), ST.shared_folder(spark, "dedup-ckpt")
     # one file holds any time of the table: a URL may come again after the whole span
     span = u.agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("s")).first()
-    ST.run_append(ST.stream_dedup(ST.read_stream(spark, src, schema), delay=f"{(span.s or 0) + 1} seconds"), sink, ckpt)
+    ST.run_append(ST.stream_dedup(arriving, delay=f"{(span.s or 0) + 1} seconds"), sink, ckpt)
     return spark.read.parquet(sink).select("url")
 
 
@@ -386,10 +410,10 @@ def q_stream_counts(spark, sf_dir):
     """Events per day window with a watermark, update mode, last value per window."""
     ev = fx(spark, sf_dir).base("events").select("event_id", "ts")
     # the files arrive in any order, so events may be later than the newest one by the table's whole span
-    src, schema = _stage(ev, spark, "events-in")
+    arriving = _stage(ev, spark, "events-in")
     span = ev.agg(F.datediff(F.max("ts"), F.min("ts")).alias("d")).first()
     sink, ckpt = ST.shared_folder(spark, "counts-out"), ST.shared_folder(spark, "counts-ckpt")
-    ST.run_updates(ST.stream_counts(ST.read_stream(spark, src, schema), delay=f"{(span.d or 0) + 1} days"), sink, ckpt)
+    ST.run_updates(ST.stream_counts(arriving, delay=f"{(span.d or 0) + 1} days"), sink, ckpt)
     c = ST.latest_counts(spark, sink)
     fmt = "yyyy-MM-dd HH:mm:ss"
     return c.select(F.date_format("window_start", fmt).alias("window_start"), F.date_format("window_end", fmt).alias("window_end"), "events")
