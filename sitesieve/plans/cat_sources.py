@@ -199,7 +199,7 @@ CSV_ORACLE = with_ctes("SELECT url, http_status, tf AS trust_flow, 'a\"' || CAST
 def _write_csv(spark, sf_dir):
     u = _metric_table(spark, sf_dir).withColumn("anchor", F.concat(F.lit('a"'), (F.col("row_id") % 10).cast("string"), F.lit('"b')))
     folder = ST.shared_folder(spark, "resultcsv")
-    SK.write_result_csv(u.repartition(3), folder, columns=["url", "http_status", "trust_flow", "anchor"])
+    write_parts(partial(SK.write_result_csv, columns=["url", "http_status", "trust_flow", "anchor"]), u, folder, 3)
     return folder
 
 
