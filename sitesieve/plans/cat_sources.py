@@ -157,7 +157,7 @@ def q_read_url_list(spark, sf_dir):
              .unionAll(u.where(F.col("row_id") % 89 == 0).select(F.lit("")))
              .unionAll(u.where(F.col("row_id") % 83 == 0).select(F.concat(F.lit('"# '), F.col("url")))))
     folder = ST.shared_folder(spark, "urllist")
-    lines.repartition(4).write.text(folder)
+    write_parts(_as_text, lines, folder, 4)
     return SF.read_url_list(spark, [folder]).select("url")
 
 
@@ -189,7 +189,7 @@ def q_read_result_txt_ragged(spark, sf_dir):
                     F.when(F.col("row_id") % 7 == 3, F.lit("|extra")).otherwise(F.lit("")))
     line = F.concat(F.col("url"), F.when(F.col("row_id") % 5 != 0, more).otherwise(F.lit("")))
     folder = ST.shared_folder(spark, "ragged")
-    u.select(line.alias("value")).repartition(2).write.text(folder)
+    write_parts(_as_text, u.select(line.alias("value")), folder, 2)
     return SF.read_result_txt(spark, folder).select("url", "pr")
 
 
@@ -246,7 +246,7 @@ def q_read_results_urls(spark, sf_dir):
     folders = []
     for k in (0, 1):
         folders.append(ST.shared_folder(spark, f"plain{k}"))
-        u.where(F.col("row_id") % 2 == k).select("url").repartition(2).write.text(folders[-1])
+        write_parts(_as_text, u.where(F.col("row_id") % 2 == k).select("url"), folders[-1], 2)
     return SF.read_results(spark, folders).select("url")
 
 
