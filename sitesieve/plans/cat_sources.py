@@ -168,7 +168,7 @@ def _metric_table(spark, sf_dir):
 
 def _write_txt(spark, sf_dir, columns):
     folder = ST.shared_folder(spark, "resulttxt")
-    SK.write_result_txt(_metric_table(spark, sf_dir).repartition(3), folder, columns=columns)
+    write_parts(partial(SK.write_result_txt, columns=columns), _metric_table(spark, sf_dir), folder, 3)
     return folder
 
 
